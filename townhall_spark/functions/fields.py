@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from townhall_spark.functions.regions import STATE_CODES, lookup
-from townhall_spark.functions.text import ustrip
+from townhall_spark.functions.text import let, ustrip
 
 # Governing-body words, tested in this order on the upper-cased label.
 COMMITTEE_WORDS = ("PLAN", "ZON")
@@ -32,10 +32,7 @@ def _text(name: str, schema: T.StructType) -> Column:
 
 
 def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    hit = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    return text.rlike("|".join(words))
 
 
 def meeting_type_from_govt(label: Column) -> Column:
@@ -59,11 +56,14 @@ def parse_date(text: Column, fmt: str = "iso") -> Column:
 def clean_text(text: Column, missing: str = "") -> Column:
     """Stripped text; null when empty or equal to the ``missing`` marker in any case."""
     sentinel = missing.lower()
-    stripped = ustrip(text)
-    # One character more than the marker decides equality without lowering a
-    # whole transcript.
-    head = F.lower(F.substring(stripped, 1, len(sentinel) + 1))
-    return F.when((stripped != "") & (head != sentinel), stripped)
+
+    def keep(stripped: Column) -> Column:
+        # One character more than the marker decides equality without lowering
+        # a whole transcript.
+        head = F.lower(F.substring(stripped, 1, len(sentinel) + 1))
+        return F.when((stripped != "") & (head != sentinel), stripped)
+
+    return let(ustrip(text), keep)
 
 
 def fill_template(template: str, schema: T.StructType) -> Column:

@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from townhall_spark.functions.literals import text_array
 from townhall_spark.functions.text import let, sentences
 from townhall_spark.schemas import ADAPTATION_CATEGORIES
 
@@ -73,20 +74,14 @@ def load_lexicon(path: str = str(CLIMATE_LEXICON)) -> Lexicon:
     return Lexicon.from_mapping(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
 
-def _terms(words: Sequence[str]) -> Column:
-    if not words:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(w) for w in words])
-
-
 def term_hits(low: Column, words: Sequence[str]) -> Column:
     """Array of the terms that occur in already lower-cased text."""
-    return F.filter(_terms(words), lambda term: F.contains(low, term))
+    return F.filter(text_array(words), lambda term: F.contains(low, term))
 
 
 def any_hit(low: Column, words: Sequence[str]) -> Column:
     """True when at least one term occurs; stops at the first."""
-    return F.exists(_terms(words), lambda term: F.contains(low, term))
+    return F.exists(text_array(words), lambda term: F.contains(low, term))
 
 
 def hazard_tag(low: Column, lexicon: Lexicon) -> Column:

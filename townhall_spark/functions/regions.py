@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from townhall_spark.functions.literals import text_map
+
 # State name -> postal code.
 STATE_CODES = {
     "Alabama": "AL", "Alaska": "AK", "Arizona": "AZ", "Arkansas": "AR", "California": "CA",
@@ -58,8 +60,7 @@ STATE_DIVISION = {
 
 def lookup(table: dict[str, str], key: Column, default: Column | str | None) -> Column:
     """Value of ``key`` in a small fixed table, ``default`` when absent."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    found = F.try_element_at(F.create_map(*entries), key)
+    found = F.try_element_at(text_map(table), key)
     if default is None:
         return found
     return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))

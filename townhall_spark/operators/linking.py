@@ -27,11 +27,12 @@ ORDER = ("rank_quality", "rank_chars", "ingest_seq")
 
 
 class Resolved(NamedTuple):
-    """``meetings`` one row each; ``transcript_chunks`` every merged text in full;
-    ``links`` one row per record; ``conflicts`` one per disagreeing record and field."""
+    """``meetings`` one row each; ``oversized`` the full text, in chunks, of meetings
+    too long for one string; ``links`` one row per record; ``conflicts`` one per
+    disagreeing record and field."""
 
     meetings: DataFrame
-    transcript_chunks: DataFrame
+    oversized: DataFrame
     links: DataFrame
     conflicts: DataFrame
 
@@ -114,10 +115,23 @@ def resolve(records: DataFrame, max_chars: int = MAX_TEXT_CHARS,
             hot_rows: int = HOT_ROWS) -> Resolved:
     """All four linking results over one table of canonical records."""
     assembled = _assembled(records, max_chars)
-    return Resolved(_meetings(assembled), assembled.chunks,
+    return Resolved(_meetings(assembled), assembled.oversized,
                     provenance(records, hot_rows), conflicts(records, hot_rows))
 
 
+def full_transcripts(meeting_rows: DataFrame, oversized: DataFrame) -> DataFrame:
+    """(canonical_id, transcript): all merged text, in one row or in several chunks."""
+    whole = meeting_rows.where(F.col("transcript_chunks") == 1).select(KEY, "transcript")
+    return whole.unionByName(
+        oversized.join(F.broadcast(_oversized_ids(meeting_rows)), KEY, "left_semi")
+        .select(KEY, "transcript"))
+
+
+def _oversized_ids(meeting_rows: DataFrame) -> DataFrame:
+    # At most total characters / MAX_TEXT_CHARS meetings are oversized.
+    return meeting_rows.where(F.col("transcript_chunks") > 1).select(KEY)
+
+
 def overlap_stats(links: DataFrame, conflict_rows: DataFrame) -> DataFrame:
     """Counts of a linking run: records, meetings, linked, cross-source, conflicts."""
     per_meeting = links.groupBy(KEY).agg(

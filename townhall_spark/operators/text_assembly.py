@@ -26,10 +26,12 @@ SEPARATOR = "\n\n"
 
 class Assembled(NamedTuple):
     """``groups``: one row per key with the carried aggregates, the text (its first
-    chunk when there are several) and ``n_chunks``. ``chunks``: every chunk."""
+    chunk when there are several) and ``n_chunks``. ``chunks``: every chunk of
+    every group. ``oversized``: the chunks of the groups that have several."""
 
     groups: DataFrame
     chunks: DataFrame
+    oversized: DataFrame
 
 
 def _joined(order: Sequence[str], text: str, distinct: bool, strip: bool) -> Column:
@@ -94,4 +96,4 @@ def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], te
                            .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))))
     chunks = (whole.select(*keys, F.lit(0).cast("long").alias("chunk_seq"), text)
               .unionByName(hot_chunks))
-    return Assembled(groups, chunks)
+    return Assembled(groups, chunks, hot_chunks)

@@ -254,7 +254,7 @@ def overlap_stats(spark, sf_dir):
     SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence
     FROM (SELECT doc_id, {sql.sentence_list('text')} AS l FROM documents)""")
 def split_sentences(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     return (extraction.split_sentences(docs, ["doc_id"], "text")
             .withColumn("pos", F.col("pos").cast("long")))
 
@@ -280,7 +280,7 @@ def term_hits(spark, sf_dir):
 @query("hazard_tag", (), f"""
     SELECT doc_id, {sql.hazard('lower(text)', fx.TEST_LEXICON)} AS hazard FROM documents""")
 def hazard_tag(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select(
+    return fx.documents(spark, sf_dir).select(
         "doc_id", lexicon.hazard_tag(F.lower("text"), fx.TEST_LEXICON).alias("hazard"))
 
 
@@ -289,7 +289,7 @@ def hazard_tag(spark, sf_dir):
       c AS ({sql.classified('s', 'sentence')})
     SELECT doc_id, sentence, category, hazard, confidence FROM c""")
 def classify_text(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     labelled = extraction.split_sentences(docs, ["doc_id"], "text").select(
         "doc_id", "sentence",
         lexicon.classify(F.col("sentence"), fx.TEST_LEXICON).alias("label"))

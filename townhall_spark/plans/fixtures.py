@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townhall_spark.functions.lexicon import Lexicon
+from townhall_spark.functions.literals import text_array
 from townhall_spark.functions.regions import STATE_CODES
 from townhall_spark.functions.text import sentences
+from townhall_spark.sources.readers import spread
 from townhall_spark.sources.specs import SourceSpec, canonical_of
 
 STATE_NAMES = ("California", "Washington", "Massachusetts", "Texas", "Ohio", "Florida",
@@ -69,7 +71,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(text_array(values), (index + 1).cast("int"))
 
 
 def place_number() -> Column:
@@ -78,11 +80,15 @@ def place_number() -> Column:
     return F.when(doc % 3 == 0, doc % 50).otherwise(doc % 700)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def raw_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, k = F.col("doc_id"), F.col("k")
     cycle = F.when(doc % 3 == 0, F.lit(0)).otherwise(13 * F.floor(doc / 1400))
     days = ((9 * k + cycle) % 6570).cast("int")
-    return (table(spark, sf_dir, "documents").withColumn("k", place_number()).select(
+    return (documents(spark, sf_dir).withColumn("k", place_number()).select(
         F.concat(F.lit("vid"), doc.cast("string")).alias("vid_id"),
         doc.alias("ingest_seq"), "source",
         F.when(doc % 97 == 0, "").otherwise((1000000 + k).cast("string")).alias("st_fips"),
@@ -171,7 +177,7 @@ def with_county_names(meetings: DataFrame) -> DataFrame:
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of a labelled document, stored as excerpts are."""
-    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    labels, docs = table(spark, sf_dir, "labels"), documents(spark, sf_dir)
     toxic, quality = F.col("toxic") == 1, F.col("quality") == 1
     doc = F.col("doc_id")
     category = (F.when(toxic & quality, "both").when(toxic, "adaptation")
@@ -230,7 +236,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(kind == 4, _list(good))
            .when(kind == 5, bad)
            .otherwise(loose))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(F.lit("doc"), doc.cast("string")).alias("canonical_id"), raw.alias("raw"))
 
 
@@ -247,4 +253,4 @@ def label_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(kind == 2, _item(text, "bogus", "heat", "0.9"))
            .when(kind == 3, F.concat(F.lit("not json "), text))
            .otherwise(_item(text, category, "heat", '"high"')))
-    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return documents(spark, sf_dir).select("doc_id", raw.alias("raw"))

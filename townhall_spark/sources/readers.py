@@ -98,3 +98,13 @@ def read_or_empty(spark: SparkSession, paths: str | Sequence[str], schema: T.Str
 def read_place_to_county(spark: SparkSession, path: str) -> DataFrame:
     """Optional place-to-county table, all text; empty when there is no file."""
     return read_or_empty(spark, path, PLACE_TO_COUNTY, "csv")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files alone give fewer scan tasks than cores.
+
+    A few large row groups would leave text work to a few tasks. Tables with
+    enough files, which is any large table, pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
