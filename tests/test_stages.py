@@ -1,0 +1,92 @@
+"""The stages end to end over files, and their agreement with the in-memory operators."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from townhall_spark.functions.lexicon import classify
+from townhall_spark.plans import fixtures as fx
+from townhall_spark.plans import stages
+from townhall_spark.plans.catalog import CATALOG
+from townhall_spark.sources import sinks, specs
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def work(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("work")
+    raw = fx.raw_tabular(spark, SF)
+    raw.coalesce(1).write.parquet(f"{root}/raw/captions/meetings.2014.parquet")
+    spec = specs.SourceSpec(
+        "captions", {"type": "dataverse_parquet", "years": [2014], "file_ids": {"2014": 1}},
+        "generic_tabular", fx.TABULAR_SPEC.field_map, order_column="ingest_seq",
+        source_column="source")
+    counts = stages.ingest(spark, [spec], f"{root}/raw", str(root), jsonl=True)
+    assert sum(r.kept for r in counts.collect()) == 178
+    stats = stages.link(spark, str(root)).first()
+    assert (stats.records, stats.meetings, stats.linked) == (178, 139, 39)
+    categories = stages.extract(spark, str(root), fx.TEST_LEXICON, fx.TEST_VERSION).collect()
+    assert {r.action_category for r in categories} == {"adaptation", "mitigation", "both"}
+    return str(root)
+
+
+def same(a, b):
+    columns = sorted(a.columns)
+    assert columns == sorted(b.columns)
+    assert sorted(map(repr, a.select(*columns).collect())) == sorted(
+        map(repr, b.select(*columns).collect()))
+
+
+def test_tables_match_queries(spark, work):
+    actions = spark.read.parquet(f"{work}/actions").drop("extracted_at")
+    same(actions, CATALOG["extract_actions"].plan(spark, SF))
+    same(spark.read.parquet(f"{work}/provenance"), CATALOG["provenance"].plan(spark, SF))
+    same(spark.read.parquet(f"{work}/conflicts"), CATALOG["conflicts"].plan(spark, SF))
+    same(spark.read.parquet(f"{work}/meetings"), CATALOG["primaries"].plan(spark, SF))
+    assert spark.read.parquet(f"{work}/canonical_rejects").count() == 0
+    assert spark.read.json(f"{work}/canonical_jsonl").count() == 178
+
+
+def test_analyze(spark, work, tmp_path):
+    plain = stages.analyze(spark, work)
+    assert len(plain) == 6
+    same(plain["by_region"], CATALOG["by_region"].plan(spark, SF))
+    csv = str(tmp_path / "counties")
+    fx.counties(spark, SF).coalesce(1).write.option("header", True).csv(csv)
+    places = str(tmp_path / "places")
+    fx.place_to_county(spark).coalesce(1).write.option("header", True).csv(places)
+    tables = stages.analyze(spark, work, csv, places, fx.FIXED_COUNTY)
+    assert len(tables) == 8
+    assert tables["exposure_alignment"].count() == 4
+    assert stages.analyze(spark, work, str(tmp_path / "missing.csv")).keys() == plain.keys()
+
+
+def test_limits_and_prompts(spark, work):
+    first = stages.prompts(spark, work, limit=5)
+    assert first.count() <= 5
+    meetings = spark.read.parquet(f"{work}/meetings").where("length(transcript) > 0").count()
+    assert stages.prompts(spark, work).count() == meetings
+
+
+def test_responses(spark, work):
+    counts = stages.collect_responses(spark, fx.responses(spark, SF), work, "m:1").collect()
+    assert sum(r.actions for r in counts) == CATALOG["parse_responses"].plan(spark, SF).count()
+    assert spark.read.parquet(f"{work}/response_rejects").count() == CATALOG[
+        "response_rejects"].plan(spark, SF).count()
+
+
+def test_evaluate(spark, work, tmp_path):
+    golden = str(tmp_path / "golden")
+    sinks.append_labels(fx.golden(spark, SF).coalesce(1).sortWithinPartitions("seq").select(
+        "canonical_id", "action_text", "action_category", "hazard_type",
+        F.lit("me").alias("label_source")), golden)
+    classifier = lambda text: classify(text, fx.TEST_LEXICON)
+    reports = str(tmp_path / "reports")
+    tables = stages.evaluate(spark, golden, classifier, "lexicon", reports, "20240101T000000Z")
+    same(tables["per_category"], CATALOG["eval_per_category"].plan(spark, SF))
+    stages.evaluate(spark, str(tmp_path / "none"), classifier, "lexicon", reports,
+                    "20240102T000000Z")
+    latest = sinks.latest_reports(spark, reports).first()
+    assert json.loads(latest.report)["golden_items"] == 0

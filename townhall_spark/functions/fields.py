@@ -42,15 +42,17 @@ def meeting_type_from_govt(label: Column) -> Column:
             .when(_contains_any(upper, COUNCIL_WORDS), "council_full"))
 
 
+# Shapes a date text must have; year 0 is not a year.
+ISO_SHAPE = r"^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
+MMDDYYYY_SHAPE = r"^[0-9]{4}(?!0000)[0-9]{4}\z"
+
+
 def parse_date(text: Column, fmt: str = "iso") -> Column:
     """DATE, or null when the text is not a calendar date of year 1 or later."""
     if fmt == "mmddyyyy":
-        shaped = F.when(text.rlike(r"^[0-9]{8}\z"), F.try_to_date(text, "MMddyyyy"))
-    else:
-        head = F.substring(text, 1, 10)
-        shaped = F.when(head.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"),
-                        F.try_to_date(head, "yyyy-M-d"))
-    return F.when(F.year(shaped) >= 1, shaped)
+        return F.when(text.rlike(MMDDYYYY_SHAPE), F.try_to_date(text, "MMddyyyy"))
+    head = F.substring(text, 1, 10)
+    return F.when(head.rlike(ISO_SHAPE), F.try_to_date(head, "yyyy-M-d"))
 
 
 def clean_text(text: Column, missing: str = "") -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from townhall_spark.functions.fields import parse_date
 from townhall_spark.functions.ids import canonical_id
-from townhall_spark.functions.text import has_text
+from townhall_spark.functions.literals import text_array
+from townhall_spark.functions.regions import lookup
+from townhall_spark.functions.text import has_text, let
 from townhall_spark.operators.text_assembly import MAX_TEXT_CHARS, Assembled, assemble_text
 
 # Token in the body -> (fips, state, name), tested in this order.
@@ -28,28 +30,34 @@ BODY_TYPES = ("committee", "special", "workshop")
 BODY_TYPE_DEFAULT = "council_full"
 
 
+def _first_token(low: Column, tokens: tuple[str, ...]) -> Column:
+    """First of the tokens, in their order, that occurs in the text."""
+    return F.get(F.filter(text_array(tokens), lambda t: F.contains(low, t)), F.lit(0))
+
+
+def _attribute(token: Column, position: int) -> Column:
+    return lookup({t: v[position] for t, v in BODY_JURISDICTIONS.items()}, token, None)
+
+
 def parse_uid(uid: Column) -> Column:
     """``struct<fips, state, name, meeting_date, meeting_type, meeting_uid>``, or null
     when the uid names no known jurisdiction or no valid date."""
-    parts = F.split(uid, "_", -1)
-    body, day = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    low = F.lower(body)
-    place = meeting_type = None
-    for token, (fips, state, name) in BODY_JURISDICTIONS.items():
-        value = F.struct(F.lit(fips).alias("fips"), F.lit(state).alias("state"),
-                         F.lit(name).alias("name"))
-        hit = F.contains(low, F.lit(token))
-        place = F.when(hit, value) if place is None else place.when(hit, value)
-    for word in BODY_TYPES:
-        hit = F.contains(low, F.lit(word))
-        meeting_type = (F.when(hit, word) if meeting_type is None
-                        else meeting_type.when(hit, word))
-    date = parse_date(day, "mmddyyyy")
-    return F.when(place.isNotNull() & date.isNotNull(), F.struct(
-        place.fips.alias("fips"), place.state.alias("state"), place["name"].alias("name"),
-        date.alias("meeting_date"),
-        meeting_type.otherwise(BODY_TYPE_DEFAULT).alias("meeting_type"),
-        F.concat_ws("_", body, day).alias("meeting_uid")))
+    def parts(p: Column) -> Column:
+        body, day = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        return F.struct(
+            _first_token(F.lower(body), tuple(BODY_JURISDICTIONS)).alias("place"),
+            F.coalesce(_first_token(F.lower(body), BODY_TYPES), F.lit(BODY_TYPE_DEFAULT))
+            .alias("kind"),
+            parse_date(day, "mmddyyyy").alias("day"),
+            F.concat_ws("_", body, day).alias("meeting_uid"))
+
+    def fields(p: Column) -> Column:
+        return F.when(p.place.isNotNull() & p.day.isNotNull(), F.struct(
+            _attribute(p.place, 0).alias("fips"), _attribute(p.place, 1).alias("state"),
+            _attribute(p.place, 2).alias("name"), p.day.alias("meeting_date"),
+            p.kind.alias("meeting_type"), p.meeting_uid.alias("meeting_uid")))
+
+    return let(let(F.split(uid, "_", -1), parts), fields)
 
 
 def _grouped(raw: DataFrame, max_chars: int) -> Assembled:

@@ -19,6 +19,7 @@ from townhall_spark.operators import (
     evaluation,
     exposure,
     extraction,
+    jurisdictions,
     labelling,
     linking,
     responses,
@@ -248,6 +249,26 @@ def overlap_stats(spark, sf_dir):
                                  linking.conflicts(records))
 
 
+@query("resolve_jurisdiction", ("canonical",), f"""
+    WITH listed AS (SELECT 'nation_' || n_nationkey AS name,
+        {sql.pick([regions.STATE_CODES.get(n, 'GU') for n in fx.STATE_NAMES], 'n_nationkey % 10')}
+          AS state, lpad(CAST(n_nationkey + 1 AS VARCHAR), 7, '0') AS fips FROM nation),
+      names AS (SELECT DISTINCT jurisdiction_name, state, lower(jurisdiction_name) AS key
+                FROM canonical),
+      near AS (SELECT jurisdiction_name, n.state, fips, levenshtein(key, name) AS edits,
+          greatest(length(key), length(name)) AS longer, name
+        FROM names n JOIN listed l ON n.state = l.state)
+    SELECT jurisdiction_name, state, fips,
+      CASE WHEN edits = 0 THEN 'exact' WHEN edits IS NOT NULL THEN 'close' END AS match
+    FROM (SELECT DISTINCT jurisdiction_name, state FROM names)
+    LEFT JOIN (SELECT * FROM near WHERE edits <= 2 AND 1.0 - edits / longer >= 0.8
+      QUALIFY row_number() OVER (PARTITION BY jurisdiction_name, state
+        ORDER BY edits, name) = 1) USING (jurisdiction_name, state)""")
+def resolve_jurisdiction(spark, sf_dir):
+    return jurisdictions.resolve_jurisdictions(fx.canonical(spark, sf_dir),
+                                               fx.crosswalk(spark, sf_dir))
+
+
 # ---- lexicon -----------------------------------------------------------------
 
 @query("split_sentences", (), f"""

@@ -175,6 +175,16 @@ def with_county_names(meetings: DataFrame) -> DataFrame:
         "jurisdiction_name", F.when((k >= 120) & (k < 300), county).otherwise(name))
 
 
+def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listed jurisdiction per nation."""
+    key = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("Nation_"), key.cast("string")).alias("jurisdiction_name"),
+        _state_code(key % 10).alias("state"),
+        F.lpad((key + 1).cast("string"), 7, "0").alias("fips"),
+        F.lit("place").alias("fips_type"))
+
+
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of a labelled document, stored as excerpts are."""
     labels, docs = table(spark, sf_dir, "labels"), documents(spark, sf_dir)

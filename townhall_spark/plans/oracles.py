@@ -353,4 +353,7 @@ def with_ctes(needs: tuple[str, ...], select: str) -> str:
     if not ordered:
         return select
     steps = ",\n".join(f"{name} AS MATERIALIZED ({STEPS[name][1]})" for name in ordered)
-    return f"WITH {steps}\n{select}"
+    rest = select.strip()
+    if rest.startswith("WITH "):
+        return f"WITH {steps},\n{rest[5:]}"
+    return f"WITH {steps}\n{rest}"
