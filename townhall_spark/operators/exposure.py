@@ -77,8 +77,11 @@ def resolve_county(meetings: DataFrame, counties: DataFrame,
     if place_to_county is not None:
         out = out.join(_place_lookup(place_to_county), "_place", "left")
         tiers.append(F.col("_place_county"))
-    out = out.withColumn("_name_key", county_name_key(F.col("jurisdiction_name"),
-                                                      F.col("state")))
+    # Most names are no counties. Their null keys would all meet in one task if
+    # this join ever shuffled, so each gets a key of its own that matches nothing.
+    no_match = F.concat(F.lit("\x00"), F.col("canonical_id"))
+    out = out.withColumn("_name_key", F.coalesce(
+        county_name_key(F.col("jurisdiction_name"), F.col("state")), no_match))
     out = out.join(_name_lookup(counties), "_name_key", "left")
     tiers.append(F.col("_name_county"))
     return (out.withColumn("county_fips", F.coalesce(*tiers))

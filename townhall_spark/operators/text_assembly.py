@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from townhall_spark.functions.text import has_text, let, ustrip
 from townhall_spark.operators.skew import hot_keys, split_hot
 
-# Characters of one assembled string. 100 TB of text holds at most 1.6 million
-# groups above it, which bounds the broadcast list of their keys.
-MAX_TEXT_CHARS = 64 * 1024 * 1024
+# Characters of one assembled string. 100 TB of text holds at most 6 million
+# groups above it, which bounds the broadcast list of their keys (real meetings
+# stay far below it); a hash aggregate keeps at most 128 such strings before it
+# falls back to sorting.
+MAX_TEXT_CHARS = 16 * 1024 * 1024
 
 SEPARATOR = "\n\n"
 
