@@ -107,7 +107,7 @@ def test_exposure(spark):
         acts += [(f"m{i}", "x", "adaptation", "wildfire", 1.0)] * i
     acts += [("m6", "x", "adaptation", "flood", 1.0)]
     actions = spark.createDataFrame(acts, ACTIONS)
-    counties = summaries.exposure_jurisdictions(meetings, actions, exposure)
+    counties = summaries.exposure_jurisdictions(actions, exposure)
     out = {r.county_fips: r for r in counties.collect()}
     assert len(out) == 6
     assert (out["c3"].meetings, out["c3"].act_flood, out["c3"].act_wildfire, out["c3"].act_heat,

@@ -2,7 +2,10 @@
 
 Actions are first counted per meeting (combined before the shuffle, so one
 meeting with very many actions stays cheap), then joined to meetings, then
-grouped. ``meetings`` has one row per canonical_id, as linking produces it.
+grouped. ``meetings`` and ``exposure`` have one row per canonical_id, as linking
+and enrichment produce them, so meetings are counted and not told apart.
+Jurisdictions are told apart by grouping on them first: what is shuffled is one
+row per group and jurisdiction, not several copies of every meeting.
 """
 
 from __future__ import annotations
@@ -79,14 +82,17 @@ def _per_meeting(meetings: DataFrame, actions: DataFrame, columns: Sequence[str]
 def _intensity(rows: DataFrame, keys: Sequence[str], categories: Sequence[str],
                jurisdictions: bool) -> DataFrame:
     zero = F.lit(0).cast("long")
-    aggregates = [F.count_distinct("canonical_id").alias("meetings")]
+    sums = [F.coalesce(F.sum(c), zero).alias(c) for c in categories]
     if jurisdictions:
-        aggregates.append(F.count_distinct("jurisdiction_fips").alias("jurisdictions"))
-    aggregates += [F.coalesce(F.sum(c), zero).alias(c) for c in categories]
-    table = rows.groupBy(*keys).agg(*aggregates)
-    climate = F.col(CLIMATE_CATEGORIES[0])
-    for category in CLIMATE_CATEGORIES[1:]:
-        climate = climate + F.col(category)
+        places = rows.groupBy(*keys, "jurisdiction_fips").agg(
+            F.count(F.lit(1)).alias("meetings"), *sums)
+        table = places.groupBy(*keys).agg(
+            F.sum("meetings").alias("meetings"),
+            F.count("jurisdiction_fips").alias("jurisdictions"),
+            *[F.sum(c).alias(c) for c in categories])
+    else:
+        table = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("meetings"), *sums)
+    climate = F.expr(" + ".join(f"`{c}`" for c in CLIMATE_CATEGORIES))
     return (table.withColumn("climate_actions", climate)
             .withColumn("actions_per_meeting", F.bround(
                 F.try_divide(F.col("climate_actions").cast("double"), "meetings"), 3)))
@@ -137,11 +143,13 @@ def hazard_by_region(meetings: DataFrame, actions: DataFrame) -> DataFrame:
 
 def coverage(meetings: DataFrame) -> DataFrame:
     """Meetings, jurisdictions and share with a transcript per region and source."""
-    has = F.col("transcript").isNotNull().cast("double")
-    return meetings.groupBy(region(F.col("state")).alias("region"), "source").agg(
-        F.count_distinct("canonical_id").alias("meetings"),
-        F.count_distinct("jurisdiction_fips").alias("jurisdictions"),
-        F.bround(F.lit(100.0) * F.avg(has), 1).alias("pct_with_transcript"))
+    places = meetings.groupBy(
+        region(F.col("state")).alias("region"), "source", "jurisdiction_fips").agg(
+        F.count(F.lit(1)).alias("n"), F.count("transcript").alias("with_text"))
+    share = F.sum("with_text").cast("double") / F.sum("n").cast("double")
+    return places.groupBy("region", "source").agg(
+        F.sum("n").alias("meetings"), F.count("jurisdiction_fips").alias("jurisdictions"),
+        F.bround(F.lit(100.0) * share, 1).alias("pct_with_transcript"))
 
 
 def coverage_pivot(coverage_table: DataFrame, sources: Sequence[str]) -> DataFrame:
@@ -152,8 +160,10 @@ def coverage_pivot(coverage_table: DataFrame, sources: Sequence[str]) -> DataFra
 
 def overview(meetings: DataFrame) -> DataFrame:
     """Headline counts of a meetings table."""
-    return meetings.agg(
-        F.count(F.lit(1)).alias("meetings"),
+    places = meetings.groupBy("jurisdiction_fips", "state", "source").agg(
+        F.count(F.lit(1)).alias("n"))
+    return places.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("meetings"),
         F.count_distinct("jurisdiction_fips").alias("jurisdictions"),
         F.count_distinct("state").alias("states"),
         F.count_distinct("source").alias("sources"))
@@ -164,18 +174,16 @@ def source_jurisdiction_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("source", "jurisdiction_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exposure_jurisdictions(meetings: DataFrame, actions: DataFrame,
-                           exposure: DataFrame) -> DataFrame:
+def exposure_jurisdictions(actions: DataFrame, exposure: DataFrame) -> DataFrame:
     """Per county: meetings, risks, and matching adaptation actions per hazard."""
     counts = _adaptation(actions).groupBy("canonical_id").agg(*[
         _count_if(F.col("hazard_type") == h).alias(f"act_{h}") for h in ALIGNED_HAZARDS])
     located = (exposure.where(F.col("county_fips").isNotNull())
-               .join(meetings.select("canonical_id"), "canonical_id")
                .join(counts, "canonical_id", "left"))
     # Name and risks are constant within a county.
     return located.groupBy("county_fips").agg(
         F.max("county_name").alias("county_name"),
-        F.count_distinct("canonical_id").alias("meetings"),
+        F.count(F.lit(1)).alias("meetings"),
         *[F.max(f"risk_{h}").alias(f"risk_{h}") for h in ALIGNED_HAZARDS],
         *[F.coalesce(F.sum(f"act_{h}"), F.lit(0).cast("long")).alias(f"act_{h}")
           for h in ALIGNED_HAZARDS])
@@ -219,7 +227,7 @@ def build_all(meetings: DataFrame, actions: DataFrame, exposure: DataFrame | Non
         "coverage": coverage(meetings),
     }
     if exposure is not None:
-        counties = exposure_jurisdictions(meetings, actions, exposure)
+        counties = exposure_jurisdictions(actions, exposure)
         tables["exposure_jurisdictions"] = counties
         tables["exposure_alignment"] = exposure_alignment(counties)
     return tables

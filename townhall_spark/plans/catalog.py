@@ -529,8 +529,7 @@ def exposure_coverage(spark, sf_dir):
 
 def _per_county(spark: SparkSession, sf_dir: str) -> DataFrame:
     meetings, actions = _both(spark, sf_dir)
-    return summaries.exposure_jurisdictions(
-        meetings, actions, _exposure(spark, sf_dir, meetings))
+    return summaries.exposure_jurisdictions(actions, _exposure(spark, sf_dir, meetings))
 
 
 @query("exposure_jurisdictions", ("per_county",), "SELECT * FROM per_county")
