@@ -143,16 +143,25 @@ def classify(text: Column, lexicon: Lexicon) -> Column:
     return classify_lowered(F.lower(F.coalesce(text, F.lit(""))), lexicon)
 
 
-def labelled_sentences(text: Column, lexicon: Lexicon) -> Column:
-    """Array of ``struct<pos, text, label>`` of the sentences that are actions.
-
-    Sentences without a climate term can only be ``unrelated`` and are dropped
-    before the full decision, so most sentences cost one short scan.
-    """
+def _labelled(text: Column, terms: Column, lexicon: Lexicon) -> Column:
     lowered = F.transform(sentences(text), lambda s, i: F.struct(
         i.alias("pos"), s.alias("text"), F.lower(s).alias("low")))
-    candidates = F.filter(lowered, lambda x: any_hit(x.low, lexicon.climate_terms))
+    candidates = F.filter(lowered, lambda x: F.exists(
+        terms, lambda term: F.contains(x.low, term)))
     labelled = F.transform(candidates, lambda x: F.struct(
         x.pos.alias("pos"), x.text.alias("text"),
         classify_lowered(x.low, lexicon).alias("label")))
     return F.filter(labelled, lambda x: x.label.category != "unrelated")
+
+
+def labelled_sentences(text: Column, lexicon: Lexicon) -> Column:
+    """Array of ``struct<pos, text, label>`` of the sentences that are actions.
+
+    A sentence without a climate term can only be ``unrelated``. So the climate
+    terms that occur anywhere in the text are found first: a text with none of
+    them is not even split, and sentences are searched for those few only
+    before the full decision is made.
+    """
+    present = let(F.lower(text), lambda low: term_hits(low, lexicon.climate_terms))
+    return let(present, lambda terms: F.when(
+        F.size(terms) > 0, _labelled(text, terms, lexicon)))
