@@ -87,7 +87,7 @@ def test_golden_last_label_wins_and_missing_hazard_is_none(spark):
 
 
 def test_scored_elsewhere(spark):
-    golden = spark.createDataFrame([("a", "both", None), ("b", "both", "heat")],
+    golden = spark.createDataFrame([("a", "both", ""), ("b", "both", "heat")],
                                    "action_text string, action_category string,"
                                    "hazard_type string")
     scored = spark.createDataFrame([("a", "both", "heat", 0.8)],

@@ -128,6 +128,7 @@ def test_labels_append_and_latest_report(spark, tmp_path):
         report = spark.createDataFrame([(method, f"{method}@{stamp}")],
                                        "method string, report string")
         sinks.write_report(report, str(tmp_path / "r"), stamp)
+    assert sinks.newest_report(spark, str(tmp_path / "r")).first().run_ts == "20240102T000000Z"
     latest = {r.method: (r.run_ts, r.report)
               for r in sinks.latest_reports(spark, str(tmp_path / "r")).collect()}
     assert latest == {"lexicon": ("20240102T000000Z", "lexicon@20240102T000000Z"),

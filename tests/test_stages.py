@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from townhall_spark.functions.lexicon import classify
@@ -63,6 +64,18 @@ def test_analyze(spark, work, tmp_path):
     assert stages.analyze(spark, work, str(tmp_path / "missing.csv")).keys() == plain.keys()
 
 
+def test_county_table(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text(
+        "A,STCOFIPS,STATEABBRV,COUNTY,POPULATION,RISK_SCORE,IFLD_RISKS,CFLD_RISKS,WFIR_RISKS,"
+        "HWAV_RISKS,DRGT_RISKS,HRCN_RISKS,Z\n0,1001,AL,Autauga,5,1.5,1,2,3,4,5,,9\n")
+    row = stages.build_county_table(spark, str(tmp_path / "wide.csv"),
+                                    str(tmp_path / "slim")).first()
+    assert (row.STCOFIPS, row.POPULATION, row.RISK_SCORE, row.HRCN_RISKS) == (
+        "01001", 5, 1.5, None)
+    with pytest.raises(AnalysisException):
+        stages.build_county_table(spark, str(tmp_path / "no.csv"), str(tmp_path / "slim"))
+
+
 def test_limits_and_prompts(spark, work):
     first = stages.prompts(spark, work, limit=5)
     assert first.count() <= 5
@@ -86,6 +99,19 @@ def test_evaluate(spark, work, tmp_path):
     reports = str(tmp_path / "reports")
     tables = stages.evaluate(spark, golden, classifier, "lexicon", reports, "20240101T000000Z")
     same(tables["per_category"], CATALOG["eval_per_category"].plan(spark, SF))
+    # A later label for a known text replaces the earlier one.
+    first = fx.golden(spark, SF).orderBy("seq").first()
+    relabel = spark.createDataFrame([("doc", first.action_text, "both", "", "me")],
+                                    "canonical_id string, action_text string,"
+                                    "action_category string, hazard_type string,"
+                                    "label_source string")
+    sinks.append_labels(relabel, golden)
+    again = stages.evaluate(spark, golden, classifier, "lexicon", reports, "20240101T120000Z")
+    items = again["overall"].first().golden_items
+    assert items == tables["overall"].first().golden_items
+    support = {r.category: r.support for r in again["per_category"].collect()}
+    before = {r.category: r.support for r in tables["per_category"].collect()}
+    assert sum(support.values()) == sum(before.values())
     stages.evaluate(spark, str(tmp_path / "none"), classifier, "lexicon", reports,
                     "20240102T000000Z")
     latest = sinks.latest_reports(spark, reports).first()

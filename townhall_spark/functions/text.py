@@ -52,6 +52,11 @@ def zfill(col: Column, width: int) -> Column:
     return F.when(F.length(col) < width, F.lpad(col, width, "0")).otherwise(col)
 
 
+def or_none(col: Column) -> Column:
+    """The value, or ``none`` when it is null or empty."""
+    return F.when(has_text(col), col).otherwise("none")
+
+
 def has_text(col: Column) -> Column:
     """True when the text is neither null nor empty."""
     return F.coalesce(F.length(col) > 0, F.lit(False))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from townhall_spark.functions.text import or_none
 from townhall_spark.schemas import ACTION_CATEGORIES
 
 # A classifier turns a text column into struct<category, hazard, confidence>.
@@ -22,7 +23,7 @@ BINS = (("0.0-0.5", 0.0, 0.5), ("0.5-0.7", 0.5, 0.7), ("0.7-0.9", 0.7, 0.9),
 
 
 def golden_latest(golden: DataFrame, order: str = "seq") -> DataFrame:
-    """Last label per text wins."""
+    """Last label per text wins; ``order`` is any unique, comparable column."""
     others = [c for c in golden.columns if c not in ("action_text", order)]
     return (golden.groupBy("action_text")
             .agg(F.max(F.struct(order, *others)).alias("last"))
@@ -31,10 +32,10 @@ def golden_latest(golden: DataFrame, order: str = "seq") -> DataFrame:
 
 def _pairs(rows: DataFrame, keep: tuple[str, ...], label: Column) -> DataFrame:
     return (rows.select(*keep, F.col("action_category").alias("y_true"),
-                        F.coalesce("hazard_type", F.lit("none")).alias("haz_true"),
+                        or_none(F.col("hazard_type")).alias("haz_true"),
                         label.alias("label"))
             .select(*keep, "y_true", "haz_true", F.col("label.category").alias("y_pred"),
-                    F.coalesce("label.hazard", F.lit("none")).alias("haz_pred"),
+                    or_none(F.col("label.hazard")).alias("haz_pred"),
                     F.col("label.confidence").cast("double").alias("confidence")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townhall_spark.functions.regions import lookup
-from townhall_spark.functions.text import ustrip
+from townhall_spark.functions.text import or_none, ustrip
 from townhall_spark.operators.sampling import SAMPLE_SEED, stratified_sample
 
 # One-letter label codes.
@@ -44,6 +44,6 @@ def label(candidates: DataFrame, category_code: Column, hazard_code: Column,
         "canonical_id", "action_text",
         apply_code(category_code, CATEGORY_CODES, F.col("action_category"))
         .alias("action_category"),
-        apply_code(hazard_code, HAZARD_CODES, F.coalesce("hazard_type", F.lit("none")))
+        apply_code(hazard_code, HAZARD_CODES, or_none(F.col("hazard_type")))
         .alias("hazard_type"),
         F.lit(label_source).alias("label_source"))

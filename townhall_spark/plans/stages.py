@@ -84,6 +84,14 @@ def collect_responses(spark: SparkSession, answered: DataFrame, work_dir: str,
     return summaries.category_counts(spark.read.parquet(f"{work_dir}/actions_model"))
 
 
+def build_county_table(spark: SparkSession, wide_csv: str, out_csv: str) -> DataFrame:
+    """Writes the used columns of the wide county file; fails when it is missing."""
+    wide = spark.read.option("header", True).csv(wide_csv)
+    (exposure.slim_counties(wide).write.mode("overwrite").option("header", True)
+     .csv(out_csv))
+    return readers.read_counties(spark, out_csv)
+
+
 def analyze(spark: SparkSession, work_dir: str, counties_csv: str | None = None,
             places_csv: str | None = None,
             fixed: Mapping[str, str] = exposure.CITY_COUNTY) -> dict[str, DataFrame]:
@@ -110,7 +118,7 @@ def evaluate(spark: SparkSession, golden_jsonl: str, classifier: evaluation.Clas
     A missing golden set scores as an empty one.
     """
     golden = readers.read_or_empty(spark, golden_jsonl, GOLDEN, "json").withColumn(
-        "seq", F.monotonically_increasing_id())
+        "seq", F.struct("labelled_at", F.monotonically_increasing_id()))
     tables = evaluation.evaluate(golden, classifier, method)
     sinks.write_report(evaluation.report_document(tables, method), reports_dir, run_ts)
     return tables

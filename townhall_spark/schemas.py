@@ -96,7 +96,7 @@ EXPOSURE = _struct(
 GOLDEN = _struct(
     "action_text action_category",
     "canonical_id string, action_text string, action_category string, hazard_type string,"
-    "label_source string",
+    "label_source string, labelled_at timestamp",
 )
 
 RESPONSE = _struct("canonical_id", "canonical_id string, raw string")

@@ -28,8 +28,11 @@ def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
 
 
 def append_labels(labels: DataFrame, path: str) -> None:
-    """Add golden labels to a JSONL golden set."""
-    labels.write.mode("append").option("ignoreNullFields", False).json(path)
+    """Add golden labels, stamped with the time, to a JSONL golden set.
+
+    The stamp orders labels: names of appended files do not.
+    """
+    labels.withColumn("labelled_at", F.current_timestamp()).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def write_report(report: DataFrame, root: str, run_ts: str) -> None:
@@ -38,8 +41,17 @@ def write_report(report: DataFrame, root: str, run_ts: str) -> None:
      .write.mode("append").partitionBy("method", "run_ts").json(root))
 
 
+def reports(spark: SparkSession, root: str) -> DataFrame:
+    """(report, method, run_ts) of every run."""
+    return spark.read.schema("report string, method string, run_ts string").json(root)
+
+
+def newest_report(spark: SparkSession, root: str) -> DataFrame:
+    """The newest report of any method."""
+    return reports(spark, root).orderBy(F.desc("run_ts"), "method").limit(1)
+
+
 def latest_reports(spark: SparkSession, root: str) -> DataFrame:
     """(method, run_ts, report): the newest report of every method."""
-    rows = spark.read.schema("report string, method string, run_ts string").json(root)
-    return rows.groupBy("method").agg(
+    return reports(spark, root).groupBy("method").agg(
         F.max("run_ts").alias("run_ts"), F.max_by("report", "run_ts").alias("report"))
