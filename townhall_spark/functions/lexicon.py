@@ -74,35 +74,47 @@ def load_lexicon(path: str = str(CLIMATE_LEXICON)) -> Lexicon:
     return Lexicon.from_mapping(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
 
-def term_hits(low: Column, words: Sequence[str]) -> Column:
-    """Array of the terms that occur in already lower-cased text."""
+def _hits(low: Column, words: Sequence[str]) -> Column:
+    # ``low`` stands inside a lambda: it must be bound, or it is recomputed per term.
     return F.filter(text_array(words), lambda term: F.contains(low, term))
 
 
-def any_hit(low: Column, words: Sequence[str]) -> Column:
-    """True when at least one term occurs; stops at the first."""
+def _any_hit(low: Column, words: Sequence[str]) -> Column:
     return F.exists(text_array(words), lambda term: F.contains(low, term))
 
 
-def hazard_tag(low: Column, lexicon: Lexicon) -> Column:
-    """First hazard, in lexicon order, one of whose terms occurs, else ``other``."""
+def _hazard(low: Column, lexicon: Lexicon) -> Column:
     if not lexicon.hazards:
         return F.lit("other")
     (first, words), *rest = lexicon.hazards
-    tag = F.when(any_hit(low, words), first)
+    tag = F.when(_any_hit(low, words), first)
     for name, words in rest:
-        tag = tag.when(any_hit(low, words), name)
+        tag = tag.when(_any_hit(low, words), name)
     return tag.otherwise("other")
 
 
+def _lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def term_hits(text: Column, words: Sequence[str]) -> Column:
+    """Array of the terms that occur in the text in any case."""
+    return let(_lowered(text), lambda low: _hits(low, words))
+
+
+def hazard_tag(text: Column, lexicon: Lexicon) -> Column:
+    """First hazard, in lexicon order, one of whose terms occurs, else ``other``."""
+    return let(_lowered(text), lambda low: _hazard(low, lexicon))
+
+
 def _counts(low: Column, lexicon: Lexicon) -> Column:
     return F.struct(
         low.alias("low"),
-        F.size(term_hits(low, lexicon.adaptation_strong)).alias("adapt"),
-        F.size(term_hits(low, lexicon.mitigation_strong)).alias("mitig"),
-        any_hit(low, lexicon.climate_generic).alias("generic"),
-        any_hit(low, lexicon.weak_context).alias("weak"),
-        any_hit(low, lexicon.procedural).alias("procedural"),
+        F.size(_hits(low, lexicon.adaptation_strong)).alias("adapt"),
+        F.size(_hits(low, lexicon.mitigation_strong)).alias("mitig"),
+        _any_hit(low, lexicon.climate_generic).alias("generic"),
+        _any_hit(low, lexicon.weak_context).alias("weak"),
+        _any_hit(low, lexicon.procedural).alias("procedural"),
     )
 
 
@@ -127,7 +139,7 @@ def _decide(n: Column, lexicon: Lexicon) -> Column:
     )
     return let(category, lambda c: F.struct(
         c.alias("category"),
-        F.when(c.isin(*ADAPTATION_CATEGORIES), hazard_tag(n.low, lexicon))
+        F.when(c.isin(*ADAPTATION_CATEGORIES), _hazard(n.low, lexicon))
         .otherwise("none").alias("hazard"),
         confidence.alias("confidence"),
     ))
@@ -140,7 +152,7 @@ def classify_lowered(low: Column, lexicon: Lexicon) -> Column:
 
 def classify(text: Column, lexicon: Lexicon) -> Column:
     """``struct<category, hazard, confidence>`` of any text; null counts as empty."""
-    return classify_lowered(F.lower(F.coalesce(text, F.lit(""))), lexicon)
+    return let(_lowered(text), lambda low: classify_lowered(low, lexicon))
 
 
 def _labelled(text: Column, terms: Column, lexicon: Lexicon) -> Column:
@@ -162,6 +174,5 @@ def labelled_sentences(text: Column, lexicon: Lexicon) -> Column:
     them is not even split, and sentences are searched for those few only
     before the full decision is made.
     """
-    present = let(F.lower(text), lambda low: term_hits(low, lexicon.climate_terms))
-    return let(present, lambda terms: F.when(
+    return let(term_hits(text, lexicon.climate_terms), lambda terms: F.when(
         F.size(terms) > 0, _labelled(text, terms, lexicon)))

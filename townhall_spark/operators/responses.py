@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.functions.text import ustrip
+from townhall_spark.functions.text import let, ustrip
 from townhall_spark.schemas import ACTION_CATEGORIES, HAZARD_TYPES
 
 NOT_JSON = "not_json"
@@ -28,36 +28,37 @@ def _member(item: Column, path: str, domain: tuple[str, ...]) -> Column:
     return F.when(value.isin(*domain), value)
 
 
-def _parsed(responses: DataFrame) -> DataFrame:
-    v = F.try_parse_json("raw")
-    return responses.select("canonical_id", "raw", v.alias("v"))
+def _reason(v: Column) -> Column:
+    listed = F.try_variant_get(v, "$.actions", "array<variant>")
+    present = F.try_variant_get(v, "$.actions", "variant").isNotNull()
+    return (F.when(v.isNull(), NOT_JSON)
+            .when(present & listed.isNull(), ACTIONS_NOT_ARRAY))
 
 
 def response_rejects(responses: DataFrame) -> DataFrame:
     """(canonical_id, reason) of responses that yield nothing because they are broken."""
-    v = F.col("v")
-    listed = F.try_variant_get(v, "$.actions", "array<variant>")
-    present = F.try_variant_get(v, "$.actions", "variant").isNotNull()
-    reason = (F.when(v.isNull(), NOT_JSON)
-              .when(present & listed.isNull(), ACTIONS_NOT_ARRAY))
-    return (_parsed(responses).select("canonical_id", reason.alias("reason"))
-            .where(F.col("reason").isNotNull()))
+    reason = let(F.try_parse_json("raw"), _reason)
+    # An exploded array instead of a filter: a filter would parse every response twice.
+    return responses.select(
+        "canonical_id", F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
-def parse_responses(responses: DataFrame, version: str) -> DataFrame:
-    """Actions of the well-formed items of every response."""
-    items = F.try_variant_get(F.try_parse_json("raw"), "$.actions", "array<variant>")
-    rows = responses.select("canonical_id", F.explode(items).alias("item"))
-    item = F.col("item")
-    is_object = F.schema_of_variant(item).startswith("OBJECT")
-    fields = F.when(is_object, F.struct(
+def _action(item: Column) -> Column:
+    """Fields of an item that is an object, else null."""
+    return F.when(F.schema_of_variant(item).startswith("OBJECT"), F.struct(
         ustrip(F.try_variant_get(item, "$.action_text", "string")).alias("action_text"),
         _member(item, "$.action_category", ACTION_CATEGORIES).alias("action_category"),
         _member(item, "$.hazard_type", HAZARD_TYPES).alias("hazard_type"),
         _confidence(item).alias("confidence")))
-    return (rows.select("canonical_id", fields.alias("f")).select("canonical_id", "f.*")
-            .where((F.col("action_text") != "") & F.col("action_category").isNotNull())
-            .withColumn("model_version", F.lit(version)))
+
+
+def parse_responses(responses: DataFrame, version: str) -> DataFrame:
+    """Actions of the well-formed items of every response."""
+    items = F.try_variant_get(F.try_parse_json("raw"), "$.actions", "array<variant>")
+    actions = F.filter(F.transform(items, _action), lambda a: (
+        (a.action_text != "") & a.action_category.isNotNull()))
+    return (responses.select("canonical_id", F.explode(actions).alias("a"))
+            .select("canonical_id", "a.*", F.lit(version).alias("model_version")))
 
 
 def parse_label_response(raw: Column) -> Column:
@@ -65,11 +66,13 @@ def parse_label_response(raw: Column) -> Column:
 
     Anything unusable is ``(unrelated, none, 0.0)``.
     """
-    v = F.try_parse_json(raw)
-    category = _member(v, "$.action_category", ACTION_CATEGORIES)
-    usable = category.isNotNull()
-    return F.struct(
-        F.coalesce(category, F.lit("unrelated")).alias("category"),
-        F.coalesce(F.when(usable, _member(v, "$.hazard_type", HAZARD_TYPES)), F.lit("none"))
-        .alias("hazard"),
-        F.when(usable, _confidence(v)).otherwise(F.lit(0.0)).alias("confidence"))
+    def label(v: Column) -> Column:
+        category = _member(v, "$.action_category", ACTION_CATEGORIES)
+        usable = category.isNotNull()
+        return F.struct(
+            F.coalesce(category, F.lit("unrelated")).alias("category"),
+            F.coalesce(F.when(usable, _member(v, "$.hazard_type", HAZARD_TYPES)),
+                       F.lit("none")).alias("hazard"),
+            F.when(usable, _confidence(v)).otherwise(F.lit(0.0)).alias("confidence"))
+
+    return let(F.try_parse_json(raw), label)

@@ -289,9 +289,8 @@ def split_sentences(spark, sf_dir):
         ("procedural", fx.TEST_LEXICON.procedural))) + " FROM documents")
 def term_hits(spark, sf_dir):
     lex = fx.TEST_LEXICON
-    low = F.lower("text")
-    return fx.table(spark, sf_dir, "documents").select("doc_id", *[
-        F.size(lexicon.term_hits(low, words)).cast("long").alias(name)
+    return fx.documents(spark, sf_dir).select("doc_id", *[
+        F.size(lexicon.term_hits(F.col("text"), words)).cast("long").alias(name)
         for name, words in (("adaptation", lex.adaptation_strong),
                             ("mitigation", lex.mitigation_strong),
                             ("generic", lex.climate_generic),
@@ -302,7 +301,7 @@ def term_hits(spark, sf_dir):
     SELECT doc_id, {sql.hazard('lower(text)', fx.TEST_LEXICON)} AS hazard FROM documents""")
 def hazard_tag(spark, sf_dir):
     return fx.documents(spark, sf_dir).select(
-        "doc_id", lexicon.hazard_tag(F.lower("text"), fx.TEST_LEXICON).alias("hazard"))
+        "doc_id", lexicon.hazard_tag(F.col("text"), fx.TEST_LEXICON).alias("hazard"))
 
 
 @query("classify_text", (), f"""
