@@ -50,6 +50,30 @@ def test_tables_match_queries(spark, work):
     assert spark.read.json(f"{work}/canonical_jsonl").count() == 178
 
 
+def test_oversized_meetings_give_the_same_actions(spark, work, tmp_path):
+    """With a tiny limit nearly every meeting is cut; nothing may be lost or doubled."""
+    small = str(tmp_path)
+    sinks.write_parquet(spark.read.parquet(f"{work}/canonical"), f"{small}/canonical")
+    stages.link(spark, small, max_chars=3000)
+    meetings = spark.read.parquet(f"{small}/meetings")
+    chunks = spark.read.parquet(f"{small}/oversized")
+    cut = {r.canonical_id: r for r in meetings.where("transcript_chunks > 1").collect()}
+    assert cut
+    parts = {}
+    for r in chunks.collect():
+        parts.setdefault(r.canonical_id, []).append((r.chunk_seq, r.transcript))
+    whole = {r.canonical_id: r.transcript
+             for r in spark.read.parquet(f"{work}/meetings").collect()}
+    for key, row in cut.items():
+        texts = [t for _, t in sorted(parts[key])]
+        assert (len(texts), texts[0]) == (row.transcript_chunks, row.transcript)
+        assert "\n\n".join(texts) == whole[key]
+    same(stages.prompts(spark, small), stages.prompts(spark, work))
+    stages.extract(spark, small, fx.TEST_LEXICON, fx.TEST_VERSION)
+    same(spark.read.parquet(f"{small}/actions").drop("extracted_at"),
+         spark.read.parquet(f"{work}/actions").drop("extracted_at"))
+
+
 def test_analyze(spark, work, tmp_path):
     plain = stages.analyze(spark, work)
     assert len(plain) == 6

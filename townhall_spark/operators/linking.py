@@ -13,8 +13,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.operators.skew import HOT_ROWS, join_to_groups
-from townhall_spark.operators.text_assembly import MAX_TEXT_CHARS, Assembled, assemble_text
+from townhall_spark.operators.skew import HOT_ROWS, join_to_groups, top_k_per_group
+from townhall_spark.operators.text_assembly import (
+    MAX_TEXT_CHARS,
+    SEPARATOR,
+    Assembled,
+    assemble_text,
+)
 from townhall_spark.schemas import quality_rank
 
 KEY = "canonical_id"
@@ -60,10 +65,12 @@ def primary_records(records: DataFrame) -> DataFrame:
         _best().alias("best"), F.count(F.lit(1)).alias("n_records"))
 
 
-def _assembled(records: DataFrame, max_chars: int) -> Assembled:
+def _assembled(records: DataFrame, max_chars: int, stored: DataFrame | None = None
+               ) -> Assembled:
     return assemble_text(
         _ranked(records), [KEY], ORDER, "transcript", distinct=True, strip=True,
-        carry={"best": _best()}, chars=-F.col("rank_chars"), max_chars=max_chars)
+        carry={"best": _best()}, chars=-F.col("rank_chars"), max_chars=max_chars,
+        stored=stored)
 
 
 def merged_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
@@ -71,6 +78,11 @@ def merged_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> D
     return _assembled(records, max_chars).chunks
 
 
+def oversized_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+    """(canonical_id, chunk_seq, transcript) of meetings too long for one string."""
+    return _assembled(records, max_chars).oversized
+
+
 def _meetings(assembled: Assembled) -> DataFrame:
     return assembled.groups.select(
         KEY, *[F.col(f"best.{c}").alias(c) for c in DESCRIPTIVE],
@@ -111,10 +123,14 @@ def conflicts(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
                     F.lit(None).cast("string").alias("note")))
 
 
-def resolve(records: DataFrame, max_chars: int = MAX_TEXT_CHARS,
-            hot_rows: int = HOT_ROWS) -> Resolved:
-    """All four linking results over one table of canonical records."""
-    assembled = _assembled(records, max_chars)
+def resolve(records: DataFrame, max_chars: int = MAX_TEXT_CHARS, hot_rows: int = HOT_ROWS,
+            oversized: DataFrame | None = None) -> Resolved:
+    """All four linking results over one table of canonical records.
+
+    With ``oversized`` chunks that are already written, meetings show the first
+    of exactly those chunks and nothing is cut twice.
+    """
+    assembled = _assembled(records, max_chars, oversized)
     return Resolved(_meetings(assembled), assembled.oversized,
                     provenance(records, hot_rows), conflicts(records, hot_rows))
 
@@ -127,6 +143,24 @@ def full_transcripts(meeting_rows: DataFrame, oversized: DataFrame) -> DataFrame
         .select(KEY, "transcript"))
 
 
+def leading_text(meeting_rows: DataFrame, oversized: DataFrame, n: int) -> DataFrame:
+    """(canonical_id, transcript): the first ``n`` characters of all merged text.
+
+    Chunks may be short, so as many are looked at as could be needed for ``n``
+    characters, each cut to ``n`` first.
+    """
+    start = F.substring("transcript", 1, n).alias("transcript")
+    whole = meeting_rows.where(F.col("transcript_chunks") == 1).select(KEY, start)
+    heads = oversized.join(F.broadcast(_oversized_ids(meeting_rows)), KEY, "left_semi").select(
+        KEY, "chunk_seq", start)
+    first = top_k_per_group(heads, [KEY], [F.col("chunk_seq")],
+                            n // (len(SEPARATOR) + 1) + 1, F.col("chunk_seq"))
+    entries = F.array_sort(F.collect_list(F.struct("chunk_seq", "transcript")))
+    text = F.array_join(F.transform(entries, lambda e: e.transcript), SEPARATOR)
+    return whole.unionByName(first.groupBy(KEY).agg(
+        F.substring(text, 1, n).alias("transcript")))
+
+
 def _oversized_ids(meeting_rows: DataFrame) -> DataFrame:
     # At most total characters / MAX_TEXT_CHARS meetings are oversized.
     return meeting_rows.where(F.col("transcript_chunks") > 1).select(KEY)

@@ -3,7 +3,8 @@
 The result of an ordinary group is one string. A group too long for one string
 (Spark strings end at 2 GB, and one task would have to hold it) is cut into
 consecutive chunks: joining its chunks in ``chunk_seq`` order gives exactly the
-string the group would have had.
+string the group would have had. Where chunks end may differ between runs (range
+bounds are sampled), what they add up to does not.
 """
 
 from __future__ import annotations
@@ -74,11 +75,13 @@ def _hot_chunks(rows: DataFrame, keys: list[str], order: list[str], text: str,
 
 def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str,
                   *, distinct: bool, strip: bool, carry: Mapping[str, Column],
-                  chars: Column | None = None, max_chars: int = MAX_TEXT_CHARS) -> Assembled:
+                  chars: Column | None = None, max_chars: int = MAX_TEXT_CHARS,
+                  stored: DataFrame | None = None) -> Assembled:
     """Join ``text`` per key in ``order``; ``carry`` are further aggregates per key.
 
     Ordinary groups take a single shuffle that also computes ``carry``.
-    ``chars`` is the length of a row's text where it is already stored.
+    ``chars`` is the length of a row's text where it is already stored;
+    ``stored`` are the oversized chunks where an earlier job has written them.
     """
     keys, order = list(keys), list(order)
     length = F.length(text) if chars is None else chars
@@ -88,7 +91,8 @@ def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], te
 
     whole = ordinary.groupBy(*keys).agg(
         *carried, _joined(order, text, distinct, strip).alias(text))
-    hot_chunks = _hot_chunks(hot, keys, order, text, distinct, strip, max_chars)
+    hot_chunks = stored if stored is not None else _hot_chunks(
+        hot, keys, order, text, distinct, strip, max_chars)
     heads = hot_chunks.groupBy(*keys).agg(
         F.min_by(text, "chunk_seq").alias(text), F.count(F.lit(1)).cast("int").alias("n_chunks"))
     hot_groups = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *carried).drop("_n")

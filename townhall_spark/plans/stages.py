@@ -23,6 +23,7 @@ from townhall_spark.operators import (
     sampling,
     summaries,
 )
+from townhall_spark.operators.text_assembly import MAX_TEXT_CHARS
 from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, GOLDEN
 from townhall_spark.sources import readers, sinks, specs
 
@@ -41,14 +42,17 @@ def ingest(spark: SparkSession, sources: Sequence[specs.SourceSpec], raw_dir: st
     return specs.ingest_counts(stored)
 
 
-def link(spark: SparkSession, work_dir: str) -> DataFrame:
+def link(spark: SparkSession, work_dir: str, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
     """Writes ``meetings``, ``oversized``, ``provenance``, ``conflicts``; returns the
     overlap statistics."""
     records, _ = check_domain(spark.read.parquet(f"{work_dir}/canonical"), MEETING_RULES)
-    resolved = linking.resolve(records)
+    sinks.write_parquet(linking.oversized_transcripts(records, max_chars),
+                        f"{work_dir}/oversized")
+    resolved = linking.resolve(records, max_chars,
+                               oversized=spark.read.parquet(f"{work_dir}/oversized"))
     sinks.write_tables({
-        "meetings": resolved.meetings, "oversized": resolved.oversized,
-        "provenance": resolved.links, "conflicts": resolved.conflicts}, work_dir)
+        "meetings": resolved.meetings, "provenance": resolved.links,
+        "conflicts": resolved.conflicts}, work_dir)
     return linking.overlap_stats(spark.read.parquet(f"{work_dir}/provenance"),
                                  spark.read.parquet(f"{work_dir}/conflicts"))
 
@@ -69,8 +73,10 @@ def extract(spark: SparkSession, work_dir: str, lexicon: Lexicon,
 
 def prompts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
     """Writes ``prompts`` for an external model and returns them."""
-    sinks.write_parquet(extraction.prompt_table(_meetings(spark, work_dir, limit)),
-                        f"{work_dir}/prompts")
+    texts = linking.leading_text(
+        _meetings(spark, work_dir, limit), spark.read.parquet(f"{work_dir}/oversized"),
+        extraction.PROMPT_CHARS)
+    sinks.write_parquet(extraction.prompt_table(texts), f"{work_dir}/prompts")
     return spark.read.parquet(f"{work_dir}/prompts")
 
 
