@@ -95,22 +95,24 @@ def _label_counts(cube: DataFrame) -> DataFrame:
 
 
 def _category_dim(df: DataFrame) -> DataFrame:
-    values = ", ".join(f"({i}, '{c}')" for i, c in enumerate(ACTION_CATEGORIES))
-    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(ord, category)")
+    values = ", ".join(f"('{c}')" for c in ACTION_CATEGORIES)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(category)")
+
+
+def _f1() -> Column:
+    return _or_zero(_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("true_n")))
 
 
 def _scores(cube: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
-    counts = _label_counts(cube)
     joined = _category_dim(cube).join(
-        counts, F.col("category") == F.col("label"), "left").select(
-        "ord", "category", *[F.coalesce(c, zero).alias(c) for c in ("tp", "true_n", "pred_n")])
+        F.broadcast(_label_counts(cube)), F.col("category") == F.col("label"), "left").select(
+        "category", *[F.coalesce(c, zero).alias(c) for c in ("tp", "true_n", "pred_n")])
     return joined.select(
-        "ord", "category",
+        "category",
         _or_zero(_ratio(F.col("tp"), F.col("pred_n"))).alias("precision"),
         _or_zero(_ratio(F.col("tp"), F.col("true_n"))).alias("recall"),
-        _or_zero(_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("true_n"))).alias("f1"),
-        F.col("true_n").alias("support"))
+        _f1().alias("f1"), F.col("true_n").alias("support"))
 
 
 def per_category(cube: DataFrame, method: str) -> DataFrame:
@@ -122,20 +124,17 @@ def per_category(cube: DataFrame, method: str) -> DataFrame:
 
 def overall(cube: DataFrame, method: str) -> DataFrame:
     """Golden items, macro F1, accuracy and Cohen's kappa; nulls for an empty set."""
-    zero = F.lit(0).cast("long")
+    # A category nobody used has no row here and an F1 of 0.
+    scored = F.when(F.col("label").isin(*ACTION_CATEGORIES), _f1()).otherwise(0.0)
     totals = _label_counts(cube).agg(
-        F.coalesce(F.sum("true_n"), zero).alias("golden_items"),
-        F.sum("tp").alias("tp"),
+        F.coalesce(F.sum("true_n"), F.lit(0).cast("long")).alias("golden_items"),
+        F.sum("tp").alias("tp"), (F.sum(scored) / len(ACTION_CATEGORIES)).alias("macro"),
         F.sum(F.col("true_n").cast("double") * F.col("pred_n").cast("double")).alias("chance"))
-    macro = _scores(cube).agg(F.avg("f1").alias("macro"))
     n = F.col("golden_items")
     agreed = _ratio(F.col("tp"), n)
     expected = F.try_divide(F.col("chance"), n.cast("double") * n.cast("double"))
-    # Both sides are single rows.
-    return totals.withColumn("_one", F.lit(1)).join(
-        macro.withColumn("_one", F.lit(1)), "_one").select(
-        F.lit(method).alias("method"), "golden_items",
-        F.when(n > 0, F.bround("macro", 3)).alias("macro_f1"),
+    return totals.select(
+        F.lit(method).alias("method"), "golden_items", F.bround("macro", 3).alias("macro_f1"),
         F.bround(agreed, 3).alias("accuracy"),
         F.bround(F.try_divide(agreed - expected, F.lit(1.0) - expected), 3).alias("kappa"))
 
@@ -161,9 +160,8 @@ def hazard_accuracy(cube: DataFrame, method: str) -> DataFrame:
                     .alias("accuracy")))
 
 
-def evaluate_pairs(pairs: DataFrame, method: str) -> dict[str, DataFrame]:
-    """The four report tables of prepared pairs."""
-    cube = score_cube(pairs)
+def evaluate_cube(cube: DataFrame, method: str) -> dict[str, DataFrame]:
+    """The four report tables of a score cube."""
     return {
         "per_category": per_category(cube, method),
         "overall": overall(cube, method),
@@ -172,6 +170,11 @@ def evaluate_pairs(pairs: DataFrame, method: str) -> dict[str, DataFrame]:
     }
 
 
+def evaluate_pairs(pairs: DataFrame, method: str) -> dict[str, DataFrame]:
+    """The four report tables of prepared pairs."""
+    return evaluate_cube(score_cube(pairs), method)
+
+
 def evaluate(golden: DataFrame, classifier: Classifier, method: str,
              order: str = "seq") -> dict[str, DataFrame]:
     """The four report tables of a classifier over the latest golden labels."""

@@ -121,10 +121,14 @@ def evaluate(spark: SparkSession, golden_jsonl: str, classifier: evaluation.Clas
              method: str, reports_dir: str, run_ts: str) -> dict[str, DataFrame]:
     """Scores a classifier, adds its report to the report table, returns the tables.
 
-    A missing golden set scores as an empty one.
+    Golden rows are classified once, into a small stored cube that every table
+    is computed from. A missing golden set scores as an empty one.
     """
     golden = readers.read_or_empty(spark, golden_jsonl, GOLDEN, "json").withColumn(
         "seq", F.struct("labelled_at", F.monotonically_increasing_id()))
-    tables = evaluation.evaluate(golden, classifier, method)
+    pairs = evaluation.eval_pairs(evaluation.golden_latest(golden), classifier)
+    cube_path = f"{reports_dir}_cubes/{method}"
+    sinks.write_parquet(evaluation.score_cube(pairs), cube_path)
+    tables = evaluation.evaluate_cube(spark.read.parquet(cube_path), method)
     sinks.write_report(evaluation.report_document(tables, method), reports_dir, run_ts)
     return tables
