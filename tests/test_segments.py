@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from townhall_spark.operators import segments
+from townhall_spark.operators import linking, segments
 
 
 def test_parse_uid(spark):
@@ -59,3 +59,17 @@ def test_oversized_meeting_keeps_all_text(spark):
     assert len(chunks) > 1
     assert "\n\n".join(c.transcript for c in chunks) == (
         "first\n\nsecond\n\nfirst\n\nother body, same day")
+
+
+def test_cut_meeting_links_back_together(spark):
+    rows = [(f"DenverCityCouncil_05012017_{i}", f"segment number {i}", i) for i in range(60)]
+    rows.append(("DenverCommittee_05012017_1", "short", 99))
+    df = spark.createDataFrame(rows, "uid string, transcript string, ingest_seq long")
+    records = segments.segments_to_meetings(df, "segments", max_chars=100)
+    council = records.where("meeting_type = 'council_full'").collect()
+    assert len(council) > 1
+    assert {r.source_record_id for r in council} == {"DenverCityCouncil_05012017"}
+    assert len({r.ingest_seq for r in council}) == len(council)
+    texts = {r.meeting_type: r.transcript for r in linking.meetings(records).collect()}
+    assert texts == {"council_full": "\n\n".join(r[1] for r in rows[:60]),
+                     "committee": "short"}

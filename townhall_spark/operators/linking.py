@@ -80,7 +80,7 @@ def merged_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> D
 
 def oversized_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
     """(canonical_id, chunk_seq, transcript) of meetings too long for one string."""
-    return _assembled(records, max_chars).oversized
+    return _assembled(records, max_chars).oversized.drop("chunk_start")
 
 
 def _meetings(assembled: Assembled) -> DataFrame:
@@ -131,7 +131,7 @@ def resolve(records: DataFrame, max_chars: int = MAX_TEXT_CHARS, hot_rows: int =
     of exactly those chunks and nothing is cut twice.
     """
     assembled = _assembled(records, max_chars, oversized)
-    return Resolved(_meetings(assembled), assembled.oversized,
+    return Resolved(_meetings(assembled), assembled.oversized.drop("chunk_start"),
                     provenance(records, hot_rows), conflicts(records, hot_rows))
 
 

@@ -85,10 +85,22 @@ def segments_to_meetings(raw: DataFrame, source: str, source_url: str = "",
     """Canonical records of raw segments (uid, transcript, ingest_seq).
 
     Segment texts join in arrival order; the first segment gives the meeting's
-    uid and arrival number. Of a text over ``max_chars`` this holds the first
-    chunk; :func:`segment_transcripts` has them all.
+    uid and arrival number. A text over ``max_chars`` becomes one record per
+    chunk, all with the same id and uid; they carry the same ``transcript_chars``,
+    so that linking merges them again in arrival order.
     """
-    return _grouped(raw, max_chars).groups.select(
+    assembled = _grouped(raw, max_chars)
+    keys = ["fips", "meeting_date", "meeting_type"]
+    chars = F.coalesce(F.length("transcript"), F.lit(0)).cast("long")
+    whole = assembled.groups.where(F.col("n_chunks") == 1).select(
+        *keys, "first", "transcript", F.col("first.ingest_seq").alias("ingest_seq"),
+        chars.alias("transcript_chars"))
+    # At most total characters / max_chars groups are cut.
+    cut = assembled.groups.where(F.col("n_chunks") > 1).select(*keys, "first")
+    parts = assembled.oversized.join(F.broadcast(cut), keys).select(
+        *keys, "first", "transcript", F.col("chunk_start.ingest_seq").alias("ingest_seq"),
+        F.lit(max_chars).cast("long").alias("transcript_chars"))
+    return whole.unionByName(parts).select(
         _id().alias("canonical_id"),
         F.col("first.name").alias("jurisdiction_name"),
         F.col("fips").alias("jurisdiction_fips"),
@@ -98,5 +110,4 @@ def segments_to_meetings(raw: DataFrame, source: str, source_url: str = "",
         .alias("transcript_quality"),
         F.lit(source).alias("source"), F.lit(source_url).alias("source_url"),
         F.col("first.meeting_uid").alias("source_record_id"),
-        F.col("first.ingest_seq").alias("ingest_seq"),
-        F.coalesce(F.length("transcript"), F.lit(0)).cast("long").alias("transcript_chars"))
+        "ingest_seq", "transcript_chars")

@@ -30,7 +30,8 @@ SEPARATOR = "\n\n"
 class Assembled(NamedTuple):
     """``groups``: one row per key with the carried aggregates, the text (its first
     chunk when there are several) and ``n_chunks``. ``chunks``: every chunk of
-    every group. ``oversized``: the chunks of the groups that have several."""
+    every group. ``oversized``: the chunks of groups over the limit, with the order
+    of their first row (``chunk_start``)."""
 
     groups: DataFrame
     chunks: DataFrame
@@ -70,7 +71,8 @@ def _hot_chunks(rows: DataFrame, keys: list[str], order: list[str], text: str,
             .withColumn("_range", F.spark_partition_id())
             .withColumn("chunk_seq", chunk_seq)
             .groupBy(*keys, "chunk_seq")
-            .agg(_joined(order, "_text", False, False).alias(text)))
+            .agg(_joined(order, "_text", False, False).alias(text),
+                 F.min(F.struct(*order)).alias("chunk_start")))
 
 
 def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str,
@@ -101,5 +103,5 @@ def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], te
               .unionByName(hot_groups.join(heads, keys, "left")
                            .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))))
     chunks = (whole.select(*keys, F.lit(0).cast("long").alias("chunk_seq"), text)
-              .unionByName(hot_chunks))
+              .unionByName(hot_chunks.select(*keys, "chunk_seq", text)))
     return Assembled(groups, chunks, hot_chunks)
