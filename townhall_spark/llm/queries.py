@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall_spark.llm import chat, langid, packing, secrets, shards
+from townhall_spark.llm import chat, langid, ngram_join, packing, secrets, shards
 from townhall_spark.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(added)))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component under 85 % overlap of 4-word shingles."""
+    found = ngram_join.join(table(spark, sf_dir, "documents"), 4, 85)
+    real = [F.when(F.col(c) < ngram_join.NO_ID, F.col(c)).alias(name)
+            for c, name in (("id", "doc_id"), ("component", "component_id"))]
+    return found.select(real[0], F.col("n").alias("n_shingles"), real[1])
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_language_id": op5_language_id,
     "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
