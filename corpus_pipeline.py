@@ -1,13 +1,31 @@
-"""A corpus through packing and secret scans; each stage reads what the one before wrote."""
+"""A corpus from raw documents to packed sequences.
+
+Each stage works on all that the stage before kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townhall_spark.llm import packing, secrets
+from townhall_spark.llm import decontam, langid, ngram_join, packing, secrets
 from townhall_spark.llm.common import stored, table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model does not reject."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest id, of each group of near-duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no live-looking credential."""
     return secrets.without_live(docs)
@@ -18,9 +36,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("secret scans", no_secrets), ("packing", pack)]
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", no_benchmark),
+    ("secret scans", no_secrets),
+    ("packing", pack),
+]
 
-# Later stages cannot be said in SQL; tests compare the stages with brute force.
+# A trained model, components of links and a tokenizer cannot be said in SQL; the
+# tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall_spark.llm import chat, langid, ngram_join, packing, secrets, shards
+from townhall_spark.llm import (
+    chat,
+    decontam,
+    langid,
+    ngram_join,
+    packing,
+    secrets,
+    shards,
+    vptree,
+)
 from townhall_spark.llm.common import table
 
 
+# Pruning as the triangle inequality allows: exact.
+FACTOR = 1.0
 # A conversation whose texts are control strings.
 CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"),
                  (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -31,6 +42,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(real[0], F.col("n").alias("n_shingles"), real[1])
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.search(vectors, vectors.where("vec_id % 100 = 0"), 10, FACTOR)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +56,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "rejected")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its best window."""
+    found = decontam.flagged(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                             table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards of almost equal bytes, equal texts together."""
     placed = shards.shard(table(spark, sf_dir, "documents"), 16)
@@ -59,7 +83,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
     "op10_packing": op10_packing,
