@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from townhall_spark.llm import (
     chat,
     decontam,
+    html_text,
     langid,
+    licenses,
     ngram_join,
     packing,
     secrets,
@@ -48,6 +50,16 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.search(vectors, vectors.where("vec_id % 100 = 0"), 10, FACTOR)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that each document holds and where."""
+    places = F.transform("matches", lambda m: F.concat_ws(
+        ":", m["license"], m["start_word"].cast("string"), m["end_word"].cast("string")))
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0))
+        .alias("coverage"), F.array_join(places, ",").alias("places"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +87,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -84,9 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_license_scans": op4_license_scans,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_secret_scans": op8_secret_scans,
+    "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }
