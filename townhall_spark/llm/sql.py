@@ -1,5 +1,114 @@
-"""The queries that SQL can express, for DuckDB."""
+"""The queries that SQL can express, for DuckDB.
+
+The others have none: op4, op5, op6, op7, op9, op10 and the pipeline are compared with
+brute force, round trips, invariants and held-out labels in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from townhall_spark.llm import secrets
+from townhall_spark.llm.queries import CONTROL_TURNS
+
+_TURN = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in CONTROL_TURNS)
+# Opener, closer and the two spaces, by role.
+_AROUND = "CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 END"
+_CONTROL = r"[<\[]\\*(<SYS>>|</SYS>>|/?INST\]|/?s>|/?ROLE)"
+
+CHAT = f"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations UNION ALL SELECT * FROM (VALUES {_TURN}))
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
+        AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), ''))
+        AS loss_sha256,
+      CAST(sum(length(text) + {_AROUND} + len(regexp_extract_all(text, '{_CONTROL}'))) AS BIGINT)
+        AS formatted_chars
+    FROM turns GROUP BY conv_id"""
+
+JACCARD = r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+      FROM words),
+    shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b
+      FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n
+      HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reach AS (SELECT a, b FROM links UNION
+      SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c, doc_id))
+      AS component_id
+    FROM sets LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id"""
+
+NEAREST = """
+    WITH usable AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE len(embedding) > 0 AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank
+      FROM (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+        FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id))
+    WHERE rank <= 10"""
+
+
+def _either_case(pattern: str) -> str:
+    head, tail = pattern.split(")", 1)
+    letters = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c
+                      for c in head.removeprefix("((?i:"))
+    return f"({letters}{tail}"
+
+
+def _found(place: int, kind: secrets.Kind) -> str:
+    pattern = _either_case(kind.pattern) if kind.group else kind.pattern
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    whole = f"regexp_extract_all(t, {pattern}, 0)"
+    return f"""
+      SELECT r, {place} AS place, '{kind.name}' AS kind, v, length(w) AS width, {kind.least} AS least,
+        sum(length(b)) OVER (PARTITION BY r ORDER BY i)
+          + coalesce(sum(length(w)) OVER (PARTITION BY r ORDER BY i
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM (SELECT r, generate_subscripts({whole}, 1) AS i, unnest({whole}) AS w,
+          unnest(regexp_extract_all(t, {pattern}, {kind.group})) AS v,
+          unnest(string_split_regex(t, {pattern})[:len({whole})]) AS b FROM docs)"""
+
+
+SECRETS = f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t
+      FROM documents),
+    found AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + width AS BIGINT)
+        AS span FROM ({" UNION ALL ".join(_found(i, k) for i, k in enumerate(secrets.KINDS))})
+      WHERE length(v) >= least),
+    held AS (SELECT r, v, max(len(list_distinct(string_split(v, '')))
+        >= {secrets.RANDOM_CHARACTERS}) AS random FROM found GROUP BY r, v),
+    owned AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners,
+        count(DISTINCT coalesce(source, '') || chr(0) || coalesce(CAST(doc_id AS VARCHAR), ''))
+          AS repositories
+      FROM held JOIN docs USING (r) GROUP BY v),
+    judged AS (SELECT r, count(*) FILTER (WHERE example) AS n_example,
+        count(*) FILTER (WHERE NOT example AND random) AS n_live
+      FROM (SELECT held.*, owners >= {secrets.EXAMPLE_OWNERS}
+          OR repositories >= {secrets.EXAMPLE_REPOSITORIES} AS example
+        FROM held JOIN owned USING (v)) GROUP BY r)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.KINDS)},
+      sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+      coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
+    FROM docs LEFT JOIN (SELECT r, string_agg(span, ',' ORDER BY start, place) AS spans,
+        {", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}"
+                   for k in secrets.KINDS)}
+      FROM found GROUP BY r) USING (r) LEFT JOIN judged USING (r)"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": CHAT,
+    "op2_ngram_jaccard_join": JACCARD,
+    "op3_nearest_neighbours": NEAREST,
+    "op8_secret_scans": SECRETS,
+}

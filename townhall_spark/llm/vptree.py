@@ -25,7 +25,6 @@ from townhall_spark.llm.common import stored
 SHARD_VECTORS = 4096
 QUERY_BLOCK = 2048
 LEAF = 64
-_ROWS = 256
 
 
 class Node(NamedTuple):
@@ -40,12 +39,13 @@ class Node(NamedTuple):
 
 
 def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, from the differences."""
-    out = np.empty((len(queries), len(vectors)))
-    for at in range(0, len(queries), _ROWS):
-        gap = queries[at:at + _ROWS, None, :] - vectors[None]
-        out[at:at + _ROWS] = np.sqrt(np.einsum("qvd,qvd->qv", gap, gap))
-    return out
+    """Euclidean distances in double precision, summed in the order of components."""
+    out = np.zeros((len(queries), len(vectors)))
+    for c in range(queries.shape[1]):
+        gap = queries[:, c, None] - vectors[None, :, c]
+        gap *= gap
+        out += gap
+    return np.sqrt(out)
 
 
 class Tree:
