@@ -120,4 +120,8 @@ def test_method_compare_and_report(spark):
     assert {r.category: (r.x, r.y) for r in both} == {
         c: (f, None if c == "both" else f) for c, f in per.items()}
     report = json.loads(evaluation.report_document(tables, "m").first().report)
-    assert {e["category"]: e["f1"] for e in report["per_category"]} == per
+    assert {c: e["f1"] for c, e in report["per_category"].items()} == per
+    assert list(report) == [
+        "method", "golden_items", "per_category", "macro_f1", "accuracy",
+        "human_vs_model_cohen_kappa", "kappa_note", "confidence_calibration",
+        "hazard_accuracy_exploratory", "hazard_note"]

@@ -59,7 +59,7 @@ def test_extract_actions(spark):
             "long meeting.\nSolar panels will be put on the library roof " + "x" * 600)
     rows = spark.createDataFrame([("a", text), ("b", None), ("c", "")],
                                  "canonical_id string, transcript string")
-    out = extraction.extract_actions(rows, lx.load_lexicon()).collect()
+    out = extraction.extract_actions(rows, lx.load_lexicon()).orderBy("action_category").collect()
     assert [(r.canonical_id, r.action_category, r.hazard_type, len(r.action_text),
              r.model_version) for r in out] == [
         ("a", "adaptation", "flood", 43, "lexicon:climate-v1"),
@@ -82,7 +82,8 @@ def test_prompts(spark):
     rows = spark.createDataFrame([("a", "z" * 7000), ("b", None)],
                                  "canonical_id string, transcript string")
     out = extraction.prompt_table(rows, "PROMPT").collect()
-    assert [(r.canonical_id, r.prompt) for r in out] == [
-        ("a", "PROMPT\n\n## Transcript excerpt\n\n" + "z" * 6000 + "\n")]
+    assert [(r.canonical_id, r.window_seq, r.prompt) for r in out] == [
+        ("a", 0, "PROMPT\n\n## Transcript excerpt\n\n" + "z" * 6000 + "\n"),
+        ("a", 1, "PROMPT\n\n## Transcript excerpt\n\n" + "z" * 1200 + "\n")]
     label = rows.select(extraction.label_prompt(F.col("transcript")).alias("p")).first().p
     assert label.endswith("z" * 6000)

@@ -53,23 +53,19 @@ def test_grouping(spark):
         None, "metadata_only", 0, "segments", "https://x/")
 
 
-def test_oversized_meeting_keeps_all_text(spark):
-    chunks = (segments.segment_transcripts(raw(spark), max_chars=10)
-              .where("transcript IS NOT NULL").orderBy("canonical_id", "chunk_seq").collect())
-    assert len(chunks) > 1
-    assert "\n\n".join(c.transcript for c in chunks) == (
-        "first\n\nsecond\n\nfirst\n\nother body, same day")
-
-
-def test_cut_meeting_links_back_together(spark):
-    rows = [(f"DenverCityCouncil_05012017_{i}", f"segment number {i}", i) for i in range(60)]
-    rows.append(("DenverCommittee_05012017_1", "short", 99))
+def test_a_huge_meeting_is_one_record_of_true_length(spark):
+    rows = [(f"DenverCityCouncil_05012017_{i}", f"segment {i} " + "x" * 20000, i)
+            for i in range(1000)]
+    rows.append(("DenverCommittee_05012017_1", " \n", 2000))
     df = spark.createDataFrame(rows, "uid string, transcript string, ingest_seq long")
-    records = segments.segments_to_meetings(df, "segments", max_chars=100)
-    council = records.where("meeting_type = 'council_full'").collect()
-    assert len(council) > 1
-    assert {r.source_record_id for r in council} == {"DenverCityCouncil_05012017"}
-    assert len({r.ingest_seq for r in council}) == len(council)
-    texts = {r.meeting_type: r.transcript for r in linking.meetings(records).collect()}
-    assert texts == {"council_full": "\n\n".join(r[1] for r in rows[:60]),
-                     "committee": "short"}
+    got = {r.meeting_type: r for r in segments.segments_to_meetings(df, "segments").collect()}
+    whole = "\n\n".join(r[1] for r in rows[:1000])
+    assert len(got) == 2 and got["council_full"].transcript == whole
+    assert got["council_full"].transcript_chars == len(whole) > 20_000_000
+    blank = got["committee"]
+    assert (blank.transcript, blank.transcript_quality, blank.transcript_chars) == (
+        " \n", "full_text", 0)
+    linked = {r.meeting_type: r for r in linking.primaries(
+        segments.segments_to_meetings(df, "segments")).collect()}
+    assert linked["council_full"].transcript == whole
+    assert linked["committee"].transcript is None

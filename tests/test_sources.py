@@ -33,7 +33,7 @@ def raw_dir(spark, tmp_path_factory):
 
 
 def test_years(spark, raw_dir):
-    known = {"2014": 1, "2015": 2, "2016": 3}
+    known = [2014, "2015", 2016]
     df = readers.read_years(spark, f"{raw_dir}/localview", [2013, 2014, 2015], known, COLUMNS)
     assert df.count() == 5 and df.columns == COLUMNS
     assert readers.read_years(spark, f"{raw_dir}/localview", [2015], known).count() == 2
@@ -61,18 +61,63 @@ def test_shipped_sources(spark, raw_dir):
         "OH", "https://www.youtube.com/watch?v=v20141", "caption 1")
 
 
-def test_row_sample_takes_the_first_rows(spark, raw_dir):
-    spec = specs.SourceSpec.from_mapping("meetingbank", {
-        "loader": {"type": "huggingface_streaming", "sample_size": 3},
-        "mapper": {"type": "meetingbank_segments"}})
-    texts = sorted(r.transcript for r in specs.run_source(spark, spec, raw_dir).collect())
-    assert texts == ["segment 0\n\nsegment 1", "segment 2"]
+def test_a_present_file_is_read_whole_unless_a_sample_is_asked_for(spark, tmp_path):
+    (tmp_path / "meetingbank").mkdir()
+    with (tmp_path / "meetingbank" / "sample.jsonl").open("w") as out:
+        for i in range(500):
+            out.write(json.dumps({"uid": f"DenverCityCouncil_05012017_x{i}",
+                                  "transcript": f"segment {i}"}) + "\n")
+    mapping = {"loader": {"type": "huggingface_streaming"},
+               "mapper": {"type": "meetingbank_segments"}}
+    whole, = specs.run_source(
+        spark, specs.SourceSpec.from_mapping("meetingbank", mapping), str(tmp_path)).collect()
+    assert whole.transcript == "\n\n".join(f"segment {i}" for i in range(500))
+    sampled, = specs.run_source(spark, specs.SourceSpec.from_mapping(
+        "meetingbank", {**mapping, "sample": {"size": 3}}), str(tmp_path)).collect()
+    assert sampled.transcript == "segment 0\n\nsegment 1\n\nsegment 2"
+
+
+@pytest.mark.parametrize("split", ["128m", "2k"])
+def test_arrival_follows_files_and_rows_not_their_sizes(spark, tmp_path, split):
+    """Small, large and middle files, packed into tasks by size, and cut into small splits."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        wanted, at = [], 0
+        folder = tmp_path / "meetingbank" / "sample.jsonl"
+        folder.mkdir(parents=True)
+        for part, n in enumerate((3, 700, 90)):
+            with (folder / f"part-{part}.json").open("w") as out:
+                for _ in range(n):
+                    wanted.append(f"segment {at}")
+                    out.write(json.dumps({"uid": "DenverCityCouncil_05012017_x",
+                                          "transcript": f"segment {at}"}) + "\n" * (1 + at % 3))
+                    at += 1
+        spec = specs.SourceSpec.from_mapping("meetingbank", {
+            "loader": {"type": "huggingface_streaming"}, "mapper": {"type": "meetingbank_segments"}})
+        row, = specs.run_source(spark, spec, str(tmp_path)).collect()
+        assert row.transcript.split("\n\n") == wanted
+        assert row.ingest_seq == 0
+
+        year = tmp_path / "localview" / "meetings.2014.parquet"
+        for part, n in enumerate((3, 700, 90)):
+            spark.createDataFrame([caption(1000 * part + i, 2014) for i in range(n)],
+                                  [*COLUMNS, "extra"]).coalesce(1).write.mode("append").parquet(
+                str(tmp_path / f"made{part}"))
+            made, = (tmp_path / f"made{part}").glob("part-*.parquet")
+            year.mkdir(parents=True, exist_ok=True)
+            (year / f"part-{part}.parquet").write_bytes(made.read_bytes())
+        rows = readers.read_years(spark, str(tmp_path / "localview"), [2014], [2014],
+                                  ["vid_id"], arrival="n").orderBy("n").collect()
+        assert [r.vid_id for r in rows] == [
+            f"v2014{1000 * p + i}" for p, n in enumerate((3, 700, 90)) for i in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_a_new_source_is_a_mapping(spark, raw_dir):
     spec = specs.SourceSpec.from_mapping("localview", {
         "loader": {"type": "dataverse_parquet", "years": [2014, 2015],
-                   "file_ids": {"2014": 1, "2015": 2}},
+                   "known_years": [2014, 2015]},
         "mapper": {"type": "generic_tabular"}, "sample": {"size": 4},
         "field_map": {"jurisdiction_fips": {"copy": "st_fips"},
                       "meeting_date": {"parse_date": {"column": "meeting_date"}},
@@ -92,7 +137,7 @@ def test_read_or_empty(spark, raw_dir, tmp_path):
     (tmp_path / "p.csv").write_text("junk,county_fips,place_fips\nx,01001,0007\n")
     found = readers.read_or_empty(
         spark, [str(tmp_path / "none.csv"), str(tmp_path / "p.csv")], PLACE_TO_COUNTY, "csv")
-    assert tuple(found.first()) == ("0007", "01001")
+    assert tuple(found.first())[:2] == ("0007", "01001")
 
 
 def test_csv_keys_stay_text(spark, tmp_path):
@@ -128,14 +173,12 @@ def test_labels_append_and_latest_report(spark, tmp_path):
         report = spark.createDataFrame([(method, f"{method}@{stamp}")],
                                        "method string, report string")
         sinks.write_report(report, str(tmp_path / "r"), stamp)
+    again = spark.createDataFrame([("model", "model@20230101T000000Z")],
+                                  "method string, report string")
+    sinks.write_report(again, str(tmp_path / "r"), "20230101T000000Z")
+    assert sinks.reports(spark, str(tmp_path / "r")).count() == 3
     assert sinks.newest_report(spark, str(tmp_path / "r")).first().run_ts == "20240102T000000Z"
     latest = {r.method: (r.run_ts, r.report)
               for r in sinks.latest_reports(spark, str(tmp_path / "r")).collect()}
     assert latest == {"lexicon": ("20240102T000000Z", "lexicon@20240102T000000Z"),
                       "model": ("20230101T000000Z", "model@20230101T000000Z")}
-
-
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert readers.spread(wide) is wide
-    assert readers.spread(spark.range(0, 100, 1, 2)).rdd.getNumPartitions() == 8

@@ -7,9 +7,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from townhall_spark.functions.lexicon import classify
+from townhall_spark.operators import extraction
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.plans import stages
 from townhall_spark.plans.catalog import CATALOG
+from townhall_spark.schemas import CANONICAL_MEETING
 from townhall_spark.sources import sinks, specs
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +23,7 @@ def work(spark, tmp_path_factory):
     raw = fx.raw_tabular(spark, SF)
     raw.coalesce(1).write.parquet(f"{root}/raw/captions/meetings.2014.parquet")
     spec = specs.SourceSpec(
-        "captions", {"type": "dataverse_parquet", "years": [2014], "file_ids": {"2014": 1}},
+        "captions", {"type": "dataverse_parquet", "years": [2014], "known_years": [2014]},
         "generic_tabular", fx.TABULAR_SPEC.field_map, order_column="ingest_seq",
         source_column="source")
     counts = stages.ingest(spark, [spec], f"{root}/raw", str(root), jsonl=True)
@@ -45,33 +47,24 @@ def test_tables_match_queries(spark, work):
     same(actions, CATALOG["extract_actions"].plan(spark, SF))
     same(spark.read.parquet(f"{work}/provenance"), CATALOG["provenance"].plan(spark, SF))
     same(spark.read.parquet(f"{work}/conflicts"), CATALOG["conflicts"].plan(spark, SF))
-    same(spark.read.parquet(f"{work}/meetings"), CATALOG["primaries"].plan(spark, SF))
+    same(spark.read.parquet(f"{work}/meetings"), CATALOG["meeting_table"].plan(spark, SF))
+    same(stages.transcripts(spark, work), CATALOG["merged_transcripts"].plan(spark, SF))
     assert spark.read.parquet(f"{work}/canonical_rejects").count() == 0
     assert spark.read.json(f"{work}/canonical_jsonl").count() == 178
 
 
-def test_oversized_meetings_give_the_same_actions(spark, work, tmp_path):
-    """With a tiny limit nearly every meeting is cut; nothing may be lost or doubled."""
-    small = str(tmp_path)
-    sinks.write_parquet(spark.read.parquet(f"{work}/canonical"), f"{small}/canonical")
-    stages.link(spark, small, max_chars=3000)
-    meetings = spark.read.parquet(f"{small}/meetings")
-    chunks = spark.read.parquet(f"{small}/oversized")
-    cut = {r.canonical_id: r for r in meetings.where("transcript_chunks > 1").collect()}
-    assert cut
-    parts = {}
-    for r in chunks.collect():
-        parts.setdefault(r.canonical_id, []).append((r.chunk_seq, r.transcript))
-    whole = {r.canonical_id: r.transcript
-             for r in spark.read.parquet(f"{work}/meetings").collect()}
-    for key, row in cut.items():
-        texts = [t for _, t in sorted(parts[key])]
-        assert (len(texts), texts[0]) == (row.transcript_chunks, row.transcript)
-        assert "\n\n".join(texts) == whole[key]
-    same(stages.prompts(spark, small), stages.prompts(spark, work))
-    stages.extract(spark, small, fx.TEST_LEXICON, fx.TEST_VERSION)
-    same(spark.read.parquet(f"{small}/actions").drop("extracted_at"),
-         spark.read.parquet(f"{work}/actions").drop("extracted_at"))
+def test_one_huge_meeting_gives_all_its_actions(spark, tmp_path):
+    """A meeting of many long records, and copies of one of them."""
+    sentence = "The council adopted the eran plan for the riverside number {}."
+    texts = [" ".join(sentence.format(f"{i} {j}") for j in range(400)) for i in range(60)]
+    rows = [(str(i % 60), texts[i % 60]) for i in range(90)] + [("s", "  " + texts[0] + "\n")]
+    records = spark.createDataFrame(rows, "k string, transcript string").withColumn(
+        "canonical_id", F.lit("m"))
+    found = extraction.extract_actions(records, fx.TEST_LEXICON, "v", stamped=False)
+    assert found.count() == 60 * 400
+    assert found.select("action_text").distinct().count() == 60 * 400
+    cut = extraction.extract_actions(records, fx.TEST_LEXICON, "v", stamped=False, max_chars=10)
+    assert cut.count() == 60 * 400 and cut.first().action_text == "The counci"
 
 
 def test_analyze(spark, work, tmp_path):
@@ -100,16 +93,43 @@ def test_county_table(spark, tmp_path):
         stages.build_county_table(spark, str(tmp_path / "no.csv"), str(tmp_path / "slim"))
 
 
-def test_limits_and_prompts(spark, work):
-    first = stages.prompts(spark, work, limit=5)
-    assert first.count() <= 5
-    meetings = spark.read.parquet(f"{work}/meetings").where("length(transcript) > 0").count()
-    assert stages.prompts(spark, work).count() == meetings
+def test_prompt_windows_cover_every_character(spark, work):
+    same(stages.prompts(spark, work), CATALOG["prompt_table"].plan(spark, SF))
+    texts = {r.canonical_id: r.transcript for r in stages.transcripts(spark, work).collect()}
+    windows = {}
+    head = extraction.EXTRACTION_PROMPT + "\n\n## Transcript excerpt\n\n"
+    for r in stages.prompts(spark, work).orderBy("window_seq").collect():
+        windows.setdefault(r.canonical_id, []).append(r.prompt.removeprefix(head)[:-1])
+    assert windows.keys() == texts.keys() and max(map(len, windows.values())) > 1
+    for key, parts in windows.items():
+        assert parts[0] == texts[key][:6000]
+        assert parts[0] + "".join(p[200:] for p in parts[1:]) == texts[key]
+
+
+def test_limit_takes_the_meetings_that_appear_first(spark, work, tmp_path):
+    root = str(tmp_path)
+    rows = spark.read.parquet(f"{work}/canonical").orderBy("ingest_seq").limit(3).collect()
+
+    def row(base, seq, key, text):
+        return {**base.asDict(), "ingest_seq": seq, "canonical_id": key, "transcript": text,
+                "transcript_chars": len(text), "transcript_quality": "full_text"}
+
+    text = "They discussed the eran of the river and more."
+    records = [row(rows[0], 1, "A", text), row(rows[1], 2, "B", text),
+               row(rows[2], 3, "A", text + " And then they adopted an eran program, too.")]
+    sinks.write_parquet(spark.createDataFrame(
+        [tuple(r[c] for c in CANONICAL_MEETING.names) for r in records], CANONICAL_MEETING),
+        f"{root}/canonical")
+    stages.link(spark, root)
+    stages.extract(spark, root, fx.TEST_LEXICON, fx.TEST_VERSION, limit=1)
+    found = spark.read.parquet(f"{root}/actions").collect()
+    assert {r.canonical_id for r in found} == {"A"} and len(found) == 3
 
 
 def test_responses(spark, work):
     counts = stages.collect_responses(spark, fx.responses(spark, SF), work, "m:1").collect()
     assert sum(r.actions for r in counts) == CATALOG["parse_responses"].plan(spark, SF).count()
+    assert spark.read.parquet(f"{work}/action_rejects").count() == 0
     assert spark.read.parquet(f"{work}/response_rejects").count() == CATALOG[
         "response_rejects"].plan(spark, SF).count()
 

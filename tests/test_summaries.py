@@ -7,7 +7,7 @@ import pytest
 from townhall_spark.operators import summaries
 
 MEETINGS = ("canonical_id string, jurisdiction_fips string, jurisdiction_name string,"
-            "state string, meeting_date date, source string, transcript string")
+            "state string, meeting_date date, source string, has_transcript boolean")
 ACTIONS = ("canonical_id string, action_text string, action_category string,"
            "hazard_type string, confidence double")
 
@@ -16,10 +16,10 @@ ACTIONS = ("canonical_id string, action_text string, action_category string,"
 def tables(spark):
     day = dt.date
     meetings = spark.createDataFrame([
-        ("a", "1", "A", "WA", day(2014, 1, 1), "s1", "text"),
-        ("b", "1", "A", "WA", day(2015, 1, 1), "s1", None),
-        ("c", "2", "C", "CA", day(2014, 1, 1), "s2", "text"),
-        ("d", "3", "D", "", None, "s2", "text"),
+        ("a", "1", "A", "WA", day(2014, 1, 1), "s1", True),
+        ("b", "1", "A", "WA", day(2015, 1, 1), "s1", False),
+        ("c", "2", "C", "CA", day(2014, 1, 1), "s2", True),
+        ("d", "3", "D", "", None, "s2", True),
     ], MEETINGS)
     actions = spark.createDataFrame([
         ("a", "t1", "adaptation", "flood", 0.9), ("a", "t2", "both", "heat", 0.9),
@@ -36,7 +36,7 @@ def rows(df, *keys):
 
 
 def test_by_region(tables):
-    out = summaries.by_region(*tables)
+    out = summaries.by_region(summaries.meeting_counts(*tables))
     assert out.columns == ["region", "meetings", "jurisdictions", "adaptation", "mitigation",
                            "both", "climate_actions", "actions_per_meeting"]
     assert rows(out, "region") == {("West",): (3, 2, 3, 1, 1, 5, 1.667),
@@ -44,10 +44,10 @@ def test_by_region(tables):
 
 
 def test_by_state_and_time(tables):
-    assert rows(summaries.by_state(*tables), "state") == {
+    assert rows(summaries.by_state(summaries.meeting_counts(*tables)), "state") == {
         ("WA",): ("West", 2, 1, 1, 1, 3, 1.5), ("CA",): ("West", 1, 2, 0, 0, 2, 2.0),
         ("",): ("Unknown", 1, 0, 1, 0, 1, 1.0)}
-    assert rows(summaries.by_time(*tables), "year") == {
+    assert rows(summaries.by_time(summaries.meeting_counts(*tables)), "year") == {
         (2014,): (2, 3, 1, 1, 5, 2.5), (2015,): (1, 0, 0, 0, 0, 0.0)}
 
 
@@ -64,6 +64,8 @@ def test_coverage_and_pivot(tables):
     assert rows(cov, "region", "source") == {("West", "s1"): (2, 1, 50.0),
                                              ("West", "s2"): (1, 1, 100.0),
                                              ("Unknown", "s2"): (1, 1, 100.0)}
+    occurring = summaries.coverage_pivot(cov)
+    assert occurring.columns == ["region", "s1", "s2"]
     assert rows(summaries.coverage_pivot(cov, ["s1", "s2", "s3"]), "region") == {
         ("West",): (2, 1, 0), ("Unknown",): (0, 1, 0)}
 
@@ -96,7 +98,7 @@ EXPOSURE = ("canonical_id string, county_fips string, county_name string, risk_f
 def test_exposure(spark):
     day = dt.date(2014, 1, 1)
     meetings = spark.createDataFrame(
-        [(f"m{i}", str(i), "n", "WA", day, "s", "t") for i in range(7)], MEETINGS)
+        [(f"m{i}", str(i), "n", "WA", day, "s", True) for i in range(7)], MEETINGS)
     exposure = spark.createDataFrame(
         [(f"m{i}", f"c{i % 6}" if i != 6 else None, f"County {i}", float(i),
           None if i > 3 else float(i), 5.0, float(10 - i)) for i in range(7)], EXPOSURE)
@@ -127,6 +129,7 @@ def test_exposure(spark):
 
 def test_rounding_is_half_even(spark):
     meetings = spark.createDataFrame(
-        [(f"m{i}", "1", "A", "WA", dt.date(2014, 1, 1), "s", "t") for i in range(16)], MEETINGS)
+        [(f"m{i}", "1", "A", "WA", dt.date(2014, 1, 1), "s", True) for i in range(16)], MEETINGS)
     actions = spark.createDataFrame([("m0", "t", "both", "heat", 1.0)], ACTIONS)
-    assert summaries.by_region(meetings, actions).first().actions_per_meeting == 0.062
+    counts = summaries.meeting_counts(meetings, actions)
+    assert summaries.by_region(counts).first().actions_per_meeting == 0.062

@@ -69,7 +69,7 @@ def clean_text(text: Column, missing: str = "") -> Column:
 
 
 def fill_template(template: str, schema: T.StructType) -> Column:
-    """Text with ``{column}`` holes; null, empty and zero values fill as ``""``."""
+    """Text with ``{column}`` holes; null, empty, zero and false values fill as ``""``."""
     parts: list[Column] = []
     for literal, name, spec, conversion in Formatter().parse(template):
         if literal:
@@ -84,6 +84,8 @@ def fill_template(template: str, schema: T.StructType) -> Column:
         filled = F.coalesce(value.cast("string"), F.lit(""))
         if isinstance(schema[name].dataType, T.NumericType):
             filled = F.when(value == 0, "").otherwise(filled)
+        elif isinstance(schema[name].dataType, T.BooleanType):
+            filled = F.when(~value, "").otherwise(filled)
         parts.append(filled)
     return F.concat(*parts) if parts else F.lit("")
 

@@ -26,21 +26,21 @@ STATE_CODES = {
 # Census region -> division -> states.
 CENSUS = {
     "Northeast": {
-        "New England": "CT ME MA NH RI VT",
-        "Middle Atlantic": "NJ NY PA",
+        "New England": ("CT", "ME", "MA", "NH", "RI", "VT"),
+        "Middle Atlantic": ("NJ", "NY", "PA"),
     },
     "Midwest": {
-        "East North Central": "IL IN MI OH WI",
-        "West North Central": "IA KS MN MO NE ND SD",
+        "East North Central": ("IL", "IN", "MI", "OH", "WI"),
+        "West North Central": ("IA", "KS", "MN", "MO", "NE", "ND", "SD"),
     },
     "South": {
-        "South Atlantic": "DE DC FL GA MD NC SC VA WV",
-        "East South Central": "AL KY MS TN",
-        "West South Central": "AR LA OK TX",
+        "South Atlantic": ("DE", "DC", "FL", "GA", "MD", "NC", "SC", "VA", "WV"),
+        "East South Central": ("AL", "KY", "MS", "TN"),
+        "West South Central": ("AR", "LA", "OK", "TX"),
     },
     "West": {
-        "Mountain": "AZ CO ID MT NV NM UT WY",
-        "Pacific": "AK CA HI OR WA",
+        "Mountain": ("AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY"),
+        "Pacific": ("AK", "CA", "HI", "OR", "WA"),
     },
 }
 
@@ -48,13 +48,13 @@ STATE_REGION = {
     state: region
     for region, divisions in CENSUS.items()
     for states in divisions.values()
-    for state in states.split()
+    for state in states
 }
 STATE_DIVISION = {
     state: division
     for divisions in CENSUS.values()
     for division, states in divisions.items()
-    for state in states.split()
+    for state in states
 }
 
 

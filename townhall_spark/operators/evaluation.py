@@ -188,23 +188,43 @@ def method_compare(first: DataFrame, second: DataFrame, names: tuple[str, str])
     return left.join(right, "category", "full")
 
 
+# The notes of a report.
+KAPPA_NOTE = "Agreement between annotator labels and the method, not inter-annotator agreement."
+HAZARD_NOTE = "Exploratory only; small per-class support."
+
+
+def _entry(columns: dict[str, str]) -> Column:
+    return F.struct(*[F.col(c).alias(name) for name, c in columns.items()])
+
+
 def report_document(tables: dict[str, DataFrame], method: str) -> DataFrame:
     """(method, report): the nested report as one JSON text.
 
-    Every list holds at most one entry per category, bin or hazard.
+    ``per_category`` and ``hazard_accuracy_exploratory`` are objects by name,
+    ``confidence_calibration`` is a list by bin. All parts meet in one aggregate;
+    each has at most one entry per category, bin or hazard.
     """
-    def listed(name: str, key: str, columns: tuple[str, ...]) -> DataFrame:
-        entry = F.struct(F.col(key), *[F.col(c) for c in columns])
-        return tables[name].groupBy("method").agg(
-            F.array_sort(F.collect_list(entry)).alias(name))
-
-    joined = (tables["overall"]
-              .join(listed("per_category", "category", ("precision", "recall", "f1", "support")),
-                    "method", "left")
-              .join(listed("calibration", "bin", ("n", "empirical_accuracy")), "method", "left")
-              .join(listed("hazard", "hazard_type", ("correct", "support", "accuracy")),
-                    "method", "left"))
-    note = F.when(F.col("golden_items") == 0, "golden set is empty")
-    return joined.select("method", F.to_json(F.struct(
-        "method", "golden_items", "macro_f1", "accuracy", "kappa", "per_category",
-        "calibration", "hazard", note.alias("note"))).alias("report"))
+    scores = _entry({c: c for c in ("precision", "recall", "f1", "support")})
+    bins = _entry({"bin": "bin", "n": "n", "empirical_accuracy": "empirical_accuracy"})
+    hazards = _entry({c: c for c in ("correct", "support", "accuracy")})
+    totals = F.struct("golden_items", "macro_f1", "accuracy", "kappa")
+    rows = None
+    for name, part in (("overall", totals), ("per_category", F.struct("category", scores.alias("v"))),
+                       ("calibration", bins), ("hazard", F.struct("hazard_type", hazards.alias("v")))):
+        frame = tables[name].select(part.alias(name))
+        rows = frame if rows is None else rows.unionByName(frame, allowMissingColumns=True)
+
+    def listed(name: str) -> Column:
+        return F.array_sort(F.collect_list(name))
+
+    gathered = rows.agg(F.max("overall").alias("o"), listed("per_category").alias("c"),
+                        listed("calibration").alias("b"), listed("hazard").alias("h"))
+    note = F.when(F.col("o.golden_items") == 0, "golden set is empty")
+    return gathered.select(F.lit(method).alias("method"), F.to_json(F.struct(
+        F.lit(method).alias("method"), F.col("o.golden_items").alias("golden_items"),
+        F.map_from_entries("c").alias("per_category"),
+        F.col("o.macro_f1").alias("macro_f1"), F.col("o.accuracy").alias("accuracy"),
+        F.col("o.kappa").alias("human_vs_model_cohen_kappa"),
+        F.lit(KAPPA_NOTE).alias("kappa_note"), F.col("b").alias("confidence_calibration"),
+        F.map_from_entries("h").alias("hazard_accuracy_exploratory"),
+        F.lit(HAZARD_NOTE).alias("hazard_note"), note.alias("note"))).alias("report"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from townhall_spark.functions.regions import lookup
 from townhall_spark.functions.text import SPACE_CLASS, ustrip, zfill
-from townhall_spark.schemas import COUNTY_RISK, HAZARD_RISK_COLUMNS
+from townhall_spark.schemas import COUNTY_RISK, HAZARD_RISK_COLUMNS, ROW_ORDER
 
 # Place or county code -> county code of the segment source's cities.
 CITY_COUNTY = {
@@ -48,9 +48,14 @@ def county_name_key(name: Column, state: Column) -> Column:
                   county_key(F.regexp_replace(name, COUNTY_SUFFIX, ""), state))
 
 
-def _place_lookup(place_to_county: DataFrame) -> DataFrame:
+def _order(rows: DataFrame) -> Column:
+    """Where a row stands in its files, or in the frame when it comes from none."""
+    return F.col(ROW_ORDER) if ROW_ORDER in rows.columns else F.monotonically_increasing_id()
+
+
+def last_county_of_place(place_to_county: DataFrame) -> DataFrame:
     """Last entry per place wins."""
-    seq = F.monotonically_increasing_id()
+    seq = _order(place_to_county)
     return (place_to_county.select(ustrip(F.col("place_fips")).alias("_place"),
                                    zfill(F.col("county_fips"), 5).alias("_place_county"),
                                    seq.alias("_seq"))
@@ -58,11 +63,11 @@ def _place_lookup(place_to_county: DataFrame) -> DataFrame:
             .groupBy("_place").agg(F.max_by("_place_county", "_seq").alias("_place_county")))
 
 
-def _name_lookup(counties: DataFrame) -> DataFrame:
+def first_county_of_name(counties: DataFrame) -> DataFrame:
     """First county per ``COUNTY|STATE`` key wins."""
     return (counties.select(county_key(F.col("COUNTY"), F.col("STATEABBRV")).alias("_name_key"),
                             zfill(F.col("STCOFIPS"), 5).alias("_name_county"),
-                            F.monotonically_increasing_id().alias("_seq"))
+                            _order(counties).alias("_seq"))
             .where(F.col("_name_key").isNotNull())
             .groupBy("_name_key").agg(F.min_by("_name_county", "_seq").alias("_name_county")))
 
@@ -75,14 +80,14 @@ def resolve_county(meetings: DataFrame, counties: DataFrame,
     out = meetings.withColumn("_place", fips)
     tiers = [lookup(dict(fixed), fips, None)]
     if place_to_county is not None:
-        out = out.join(_place_lookup(place_to_county), "_place", "left")
+        out = out.join(last_county_of_place(place_to_county), "_place", "left")
         tiers.append(F.col("_place_county"))
     # Most names are no counties. Their null keys would all meet in one task if
     # this join ever shuffled, so each gets a key of its own that matches nothing.
     no_match = F.concat(F.lit("\x00"), F.col("canonical_id"))
     out = out.withColumn("_name_key", F.coalesce(
         county_name_key(F.col("jurisdiction_name"), F.col("state")), no_match))
-    out = out.join(_name_lookup(counties), "_name_key", "left")
+    out = out.join(first_county_of_name(counties), "_name_key", "left")
     tiers.append(F.col("_name_county"))
     return (out.withColumn("county_fips", F.coalesce(*tiers))
             .drop("_place", "_place_county", "_name_key", "_name_county"))
@@ -92,7 +97,7 @@ def attach_risk(resolved: DataFrame, counties: DataFrame) -> DataFrame:
     """(canonical_id, county_fips, county_name, overall_risk, risk_<hazard>...)."""
     risk = (counties.select(
         zfill(F.col("STCOFIPS"), 5).alias("county_fips"),
-        F.struct(F.monotonically_increasing_id().alias("seq"),
+        F.struct(_order(counties).alias("seq"),
                  F.col("COUNTY").alias("county_name"),
                  F.col("RISK_SCORE").alias("overall_risk"),
                  *[F.col(c).alias(f"risk_{h}") for h, c in HAZARD_RISK_COLUMNS.items()])

@@ -1,6 +1,6 @@
 """Labelled sentences out of transcripts, and prompts for an external model.
 
-Both are narrow: one row in, some rows out, no shuffle.
+Only actions are ever shuffled, not texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from townhall_spark.functions.lexicon import (
     Lexicon,
     labelled_sentences,
 )
-from townhall_spark.functions.text import has_text, sentences
+from townhall_spark.functions.text import has_text, sentences, ustrip
 
 # Fixed value: characters of a transcript that a prompt carries.
 PROMPT_CHARS = 6000
+# Characters that a prompt shares with the one before.
+PROMPT_OVERLAP = 200
 
 EXTRACTION_PROMPT = """You are given part of a transcript of a US local-government meeting.
 Find each climate action under discussion and classify it.
@@ -47,22 +49,27 @@ def split_sentences(rows: DataFrame, keep: list[str], text: str = "transcript")
 
 
 def extract_actions(rows: DataFrame, lexicon: Lexicon, version: str = LEXICON_VERSION,
-                    text: str = "transcript", stamped: bool = True) -> DataFrame:
+                    text: str = "transcript", stamped: bool = True,
+                    max_chars: int = ACTION_TEXT_CHARS) -> DataFrame:
     """One action per sentence the lexicon does not call ``unrelated``.
 
-    ``rows`` are meetings or transcript chunks: sentences never cross the blank
-    line between merged transcripts, so both give the same actions. The whole
-    decision runs inside the exploded array; a filter outside it would be
-    pushed down and classify every sentence a second time.
+    ``rows`` are the records of meetings. Records of a meeting with the same stripped
+    text count once: their actions are equal, and equal actions meet by meeting,
+    text digest and position, so that texts themselves are never shuffled or
+    gathered. Sentences do not cross records. The sentence is classified whole;
+    ``action_text`` keeps its first ``max_chars`` characters. The whole decision runs
+    inside the exploded array; a filter outside it would be pushed down and classify
+    every sentence a second time.
     """
-    out = (rows.select("canonical_id",
+    out = (rows.select("canonical_id", F.md5(ustrip(F.col(text))).alias("_text"),
                        F.explode(labelled_sentences(F.col(text), lexicon)).alias("a"))
-           .select("canonical_id",
-                   F.substring("a.text", 1, ACTION_TEXT_CHARS).alias("action_text"),
+           .select("canonical_id", "_text", F.col("a.pos").alias("_pos"),
+                   F.substring("a.text", 1, max_chars).alias("action_text"),
                    F.col("a.label.category").alias("action_category"),
                    F.col("a.label.hazard").alias("hazard_type"),
-                   F.col("a.label.confidence").alias("confidence"),
-                   F.lit(version).alias("model_version")))
+                   F.col("a.label.confidence").alias("confidence"))
+           .distinct().drop("_text", "_pos")
+           .withColumn("model_version", F.lit(version)))
     return out.withColumn("extracted_at", F.current_timestamp()) if stamped else out
 
 
@@ -71,12 +78,20 @@ def model_version(provider: str, model: str) -> str:
     return f"{provider}:{model}"
 
 
-def prompt_table(rows: DataFrame, prompt: str = EXTRACTION_PROMPT,
-                 max_chars: int = PROMPT_CHARS) -> DataFrame:
-    """(canonical_id, prompt) of every meeting with a transcript."""
-    excerpt = F.substring("transcript", 1, max_chars)
-    return (rows.where(has_text(F.col("transcript")))
-            .select("canonical_id",
+def prompt_table(transcripts: DataFrame, prompt: str = EXTRACTION_PROMPT,
+                 max_chars: int = PROMPT_CHARS, overlap: int = PROMPT_OVERLAP) -> DataFrame:
+    """(canonical_id, window_seq, prompt): windows that cover a transcript from end to end.
+
+    A window holds ``max_chars`` characters and starts ``overlap`` before the end of the
+    one before, so that no sentence shorter than that is only seen in halves.
+    """
+    step = max_chars - overlap
+    last = F.ceil(F.greatest(F.length("transcript") - max_chars, F.lit(0)) / step).cast("int")
+    excerpt = F.expr(f"substring(transcript, window_seq * {step} + 1, {max_chars})")
+    return (transcripts.where(has_text(F.col("transcript")))
+            .select("canonical_id", "transcript",
+                    F.explode(F.sequence(F.lit(0), last)).alias("window_seq"))
+            .select("canonical_id", "window_seq",
                     F.concat(F.lit(f"{prompt}\n\n## Transcript excerpt\n\n"), excerpt,
                              F.lit("\n")).alias("prompt")))
 

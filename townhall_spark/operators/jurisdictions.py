@@ -1,9 +1,10 @@
 """Free-text jurisdiction names to FIPS codes: exact, then close spelling in the state.
 
-Close spellings are found without comparing every pair of a state. A name cut
-into three pieces keeps at least one piece untouched by two edits, so names
-within two edits of each other share a piece at nearly the same position, and
-an equi-join on (state, length, piece number, piece) finds them all.
+Two names are close when their edits are at most a fifth of the longer one. Close
+spellings are found without comparing every pair of a state: a listed name of n
+letters has no more than e = n // 4 edits to any close name, so of its e + 1 pieces
+one is left whole, and at nearly the same place. An equi-join on (state, length,
+piece number, piece) finds every such pair.
 """
 
 from __future__ import annotations
@@ -13,31 +14,42 @@ from pyspark.sql import functions as F
 
 from townhall_spark.functions.text import ustrip
 
-MAX_EDITS = 2
 MIN_SIMILARITY = 0.8
 
-_START = "CAST(floor({i} * {n} / 3) AS INT)"
+# Of a listed name of n letters: its most edits, and where its piece i starts.
+_EDITS = "CAST(floor({n} / 4) AS INT)"
+_START = "CAST(floor({i} * {n} / ({e} + 1)) AS INT)"
 _PIECE = "substring({name}, {at} + 1, {end} - {start})"
 
 
 def _pieces(name: str) -> Column:
-    """The three pieces of a listed name."""
+    """The pieces of a listed name."""
     n = f"length({name})"
-    start, end = _START.format(i="i", n=n), _START.format(i="(i + 1)", n=n)
+    e = _EDITS.format(n=n)
+    start, end = _START.format(i="i", n=n, e=e), _START.format(i="(i + 1)", n=n, e=e)
     piece = _PIECE.format(name=name, at=start, start=start, end=end)
-    return F.expr(f"transform(sequence(0, 2), i -> struct({n} AS len, i AS part, "
+    return F.expr(f"transform(sequence(0, {e}), i -> struct({n} AS len, i AS part, "
                   f"{piece} AS piece))")
 
 
 def _probes(name: str) -> Column:
-    """Every piece a listed name within two edits of ``name`` could share with it."""
-    start, end = _START.format(i="i", n="n"), _START.format(i="(i + 1)", n="n")
+    """Every piece that a close listed name could share with ``name``.
+
+    Among the whole pieces there is one with at most i edits before it and at most
+    e - i behind it (more before it would leave another whole piece further on), so
+    its place moves by no more than that, counted from either end.
+    """
+    e = _EDITS.format(n="n")
+    start, end = _START.format(i="i", n="n", e=e), _START.format(i="(i + 1)", n="n", e=e)
     piece = _PIECE.format(name=name, at=f"{start} + shift", start=start, end=end)
-    shifts = f"filter(sequence(-{MAX_EDITS}, {MAX_EDITS}), s -> {start} + s >= 0)"
-    lengths = (f"filter(sequence(length({name}) - {MAX_EDITS}, length({name}) + {MAX_EDITS}), "
-               "l -> l > 0)")
+    delta = f"length({name}) - n"
+    shifts = (f"filter(sequence(-{e}, {e}), s -> {start} + s >= 0 AND abs(s) <= i "
+              f"AND abs(s - ({delta})) <= {e} - i)")
+    longest = f"CAST(floor(length({name}) / {MIN_SIMILARITY}) AS INT)"
+    shortest = f"CAST(ceil(length({name}) * {MIN_SIMILARITY}) AS INT)"
+    lengths = f"filter(sequence({shortest}, {longest}), l -> l > 0)"
     return F.expr(
-        f"array_distinct(flatten(flatten(transform({lengths}, n -> transform(sequence(0, 2), "
+        f"array_distinct(flatten(flatten(transform({lengths}, n -> transform(sequence(0, {e}), "
         f"i -> transform({shifts}, shift -> struct(n AS len, i AS part, {piece} AS piece)))))))")
 
 
@@ -52,11 +64,10 @@ def _close(unresolved: DataFrame, listed: DataFrame) -> DataFrame:
     pieces = listed.select("state", "_listed", "fips", F.explode(_pieces("_listed")).alias("p"))
     candidates = probes.join(pieces, ["state", "p"]).select(
         "jurisdiction_name", "state", "_key", "_listed", "fips").distinct()
-    distance = F.levenshtein("_key", "_listed", MAX_EDITS)
+    distance = F.levenshtein("_key", "_listed")
     longer = F.greatest(F.length("_key"), F.length("_listed"))
     return (candidates.withColumn("edits", distance)
-            .where((F.col("edits") >= 0)
-                   & (F.lit(1.0) - F.col("edits") / longer >= MIN_SIMILARITY))
+            .where(F.lit(1.0) - F.col("edits") / longer >= MIN_SIMILARITY)
             .groupBy("jurisdiction_name", "state")
             .agg(F.min(F.struct("edits", "_listed", "fips")).alias("best"))
             .select("jurisdiction_name", "state", F.col("best.fips").alias("_close")))

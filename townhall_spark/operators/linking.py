@@ -13,13 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.operators.skew import HOT_ROWS, join_to_groups, top_k_per_group
-from townhall_spark.operators.text_assembly import (
-    MAX_TEXT_CHARS,
-    SEPARATOR,
-    Assembled,
-    assemble_text,
-)
+from townhall_spark.functions.text import ustrip
+from townhall_spark.operators.text_assembly import distinct_texts, in_order
 from townhall_spark.schemas import quality_rank
 
 KEY = "canonical_id"
@@ -32,21 +27,20 @@ ORDER = ("rank_quality", "rank_chars", "ingest_seq")
 
 
 class Resolved(NamedTuple):
-    """``meetings`` one row each; ``oversized`` the full text, in chunks, of meetings
-    too long for one string; ``links`` one row per record; ``conflicts`` one per
-    disagreeing record and field."""
+    """``meetings`` one row each, without text; ``links`` one row per record;
+    ``conflicts`` one per disagreeing record and field."""
 
     meetings: DataFrame
-    oversized: DataFrame
     links: DataFrame
     conflicts: DataFrame
 
 
 def _chars(records: DataFrame) -> Column:
-    """Length of the transcript as it came, 0 when there is none."""
-    stored = (F.col("transcript_chars") if "transcript_chars" in records.columns
-              else F.length("transcript"))
-    return F.coalesce(stored, F.lit(0)).cast("long")
+    """Length of the transcript as it came, 0 when there is none or it is blank."""
+    if "transcript_chars" in records.columns:
+        return F.coalesce("transcript_chars", F.lit(0)).cast("long")
+    text = F.col("transcript")
+    return F.when(ustrip(text) != "", F.length(text)).otherwise(0).cast("long")
 
 
 def _ranked(records: DataFrame) -> DataFrame:
@@ -55,66 +49,57 @@ def _ranked(records: DataFrame) -> DataFrame:
             .withColumn("rank_chars", -_chars(records)))
 
 
-def _best() -> Column:
-    return F.min(F.struct(*ORDER, *DESCRIPTIVE))
-
-
 def primary_records(records: DataFrame) -> DataFrame:
-    """Per meeting: ``best`` (the primary's descriptive columns) and ``n_records``."""
+    """Per meeting: ``best`` (the primary's descriptive columns), whether any record has
+    a transcript, and ``first_seq``, where the meeting first appears."""
     return _ranked(records).groupBy(KEY).agg(
-        _best().alias("best"), F.count(F.lit(1)).alias("n_records"))
-
-
-def _assembled(records: DataFrame, max_chars: int, stored: DataFrame | None = None
-               ) -> Assembled:
-    return assemble_text(
-        _ranked(records), [KEY], ORDER, "transcript", distinct=True, strip=True,
-        carry={"best": _best()}, chars=-F.col("rank_chars"), max_chars=max_chars,
-        stored=stored)
+        F.min(F.struct(*ORDER, *DESCRIPTIVE)).alias("best"),
+        (F.min("rank_chars") < 0).alias("has_transcript"),
+        F.min("ingest_seq").alias("first_seq"))
 
 
-def merged_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """(canonical_id, chunk_seq, transcript): distinct transcripts in rank order."""
-    return _assembled(records, max_chars).chunks
+def meetings(records: DataFrame) -> DataFrame:
+    """One row per meeting: the primary record's description; no text is read."""
+    return primary_records(records).select(
+        KEY, *[F.col(f"best.{c}").alias(c) for c in DESCRIPTIVE], "has_transcript",
+        F.col("best.ingest_seq").alias("ingest_seq"), "first_seq")
 
 
-def oversized_transcripts(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """(canonical_id, chunk_seq, transcript) of meetings too long for one string."""
-    return _assembled(records, max_chars).oversized.drop("chunk_start")
+def merged_transcripts(records: DataFrame) -> DataFrame:
+    """(canonical_id, transcript) of meetings with text: distinct texts in rank order."""
+    parts = distinct_texts(_ranked(records), [KEY], ORDER, "transcript")
+    return parts.groupBy(KEY).agg(in_order(ORDER, "transcript").alias("transcript"))
 
 
-def _meetings(assembled: Assembled) -> DataFrame:
-    return assembled.groups.select(
-        KEY, *[F.col(f"best.{c}").alias(c) for c in DESCRIPTIVE],
-        "transcript", F.col("n_chunks").alias("transcript_chunks"),
-        F.col("best.ingest_seq").alias("ingest_seq"))
-
-
-def meetings(records: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
+def primaries(records: DataFrame) -> DataFrame:
     """One row per meeting: the primary record with the merged transcript."""
-    return _meetings(_assembled(records, max_chars))
+    return (meetings(records).drop("has_transcript", "first_seq")
+            .join(merged_transcripts(records), KEY, "left"))
 
 
-def members(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every record, without transcript, next to its meeting's primary (``best``)."""
+def members(records: DataFrame) -> DataFrame:
+    """Every record, without transcript, next to its meeting's primary (``best``).
+
+    One meeting may own very many records; adaptive execution splits such a key.
+    """
     light = records.select(KEY, *DESCRIPTIVE, "ingest_seq")
-    return join_to_groups(light, primary_records(records), [KEY], "n_records", hot_rows)
+    return light.join(primary_records(records).select(KEY, "best"), KEY)
 
 
-def provenance(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def provenance(records: DataFrame) -> DataFrame:
     """One link per input record; exactly one primary per meeting."""
-    return members(records, hot_rows).select(
+    return members(records).select(
         KEY, "source", "source_record_id", "source_url", "transcript_quality",
         (F.col("ingest_seq") == F.col("best.ingest_seq")).alias("is_primary"))
 
 
-def conflicts(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def conflicts(records: DataFrame) -> DataFrame:
     """One row per record and descriptive field that differs from the primary's."""
     pairs = F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"best.{f}").alias("value_a"),
                  F.col(f).alias("value_b"))
         for f in CONFLICT_FIELDS])
-    return (members(records, hot_rows)
+    return (members(records)
             .select(KEY, F.col("best.source").alias("source_a"),
                     F.col("source").alias("source_b"), F.explode(pairs).alias("c"))
             .where(~F.col("c.value_a").eqNullSafe(F.col("c.value_b")))
@@ -123,47 +108,9 @@ def conflicts(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
                     F.lit(None).cast("string").alias("note")))
 
 
-def resolve(records: DataFrame, max_chars: int = MAX_TEXT_CHARS, hot_rows: int = HOT_ROWS,
-            oversized: DataFrame | None = None) -> Resolved:
-    """All four linking results over one table of canonical records.
-
-    With ``oversized`` chunks that are already written, meetings show the first
-    of exactly those chunks and nothing is cut twice.
-    """
-    assembled = _assembled(records, max_chars, oversized)
-    return Resolved(_meetings(assembled), assembled.oversized.drop("chunk_start"),
-                    provenance(records, hot_rows), conflicts(records, hot_rows))
-
-
-def full_transcripts(meeting_rows: DataFrame, oversized: DataFrame) -> DataFrame:
-    """(canonical_id, transcript): all merged text, in one row or in several chunks."""
-    whole = meeting_rows.where(F.col("transcript_chunks") == 1).select(KEY, "transcript")
-    return whole.unionByName(
-        oversized.join(F.broadcast(_oversized_ids(meeting_rows)), KEY, "left_semi")
-        .select(KEY, "transcript"))
-
-
-def leading_text(meeting_rows: DataFrame, oversized: DataFrame, n: int) -> DataFrame:
-    """(canonical_id, transcript): the first ``n`` characters of all merged text.
-
-    Chunks may be short, so as many are looked at as could be needed for ``n``
-    characters, each cut to ``n`` first.
-    """
-    start = F.substring("transcript", 1, n).alias("transcript")
-    whole = meeting_rows.where(F.col("transcript_chunks") == 1).select(KEY, start)
-    heads = oversized.join(F.broadcast(_oversized_ids(meeting_rows)), KEY, "left_semi").select(
-        KEY, "chunk_seq", start)
-    first = top_k_per_group(heads, [KEY], [F.col("chunk_seq")],
-                            n // (len(SEPARATOR) + 1) + 1, F.col("chunk_seq"))
-    entries = F.array_sort(F.collect_list(F.struct("chunk_seq", "transcript")))
-    text = F.array_join(F.transform(entries, lambda e: e.transcript), SEPARATOR)
-    return whole.unionByName(first.groupBy(KEY).agg(
-        F.substring(text, 1, n).alias("transcript")))
-
-
-def _oversized_ids(meeting_rows: DataFrame) -> DataFrame:
-    # At most total characters / MAX_TEXT_CHARS meetings are oversized.
-    return meeting_rows.where(F.col("transcript_chunks") > 1).select(KEY)
+def resolve(records: DataFrame) -> Resolved:
+    """The linking results over one table of canonical records."""
+    return Resolved(meetings(records), provenance(records), conflicts(records))
 
 
 def overlap_stats(links: DataFrame, conflict_rows: DataFrame) -> DataFrame:

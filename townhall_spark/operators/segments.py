@@ -13,8 +13,8 @@ from townhall_spark.functions.fields import parse_date
 from townhall_spark.functions.ids import canonical_id
 from townhall_spark.functions.literals import text_array
 from townhall_spark.functions.regions import lookup
-from townhall_spark.functions.text import has_text, let
-from townhall_spark.operators.text_assembly import MAX_TEXT_CHARS, Assembled, assemble_text
+from townhall_spark.functions.text import has_text, let, ustrip
+from townhall_spark.operators.text_assembly import in_order
 
 # Token in the body -> (fips, state, name), tested in this order.
 BODY_JURISDICTIONS = {
@@ -60,48 +60,22 @@ def parse_uid(uid: Column) -> Column:
     return let(let(F.split(uid, "_", -1), parts), fields)
 
 
-def _grouped(raw: DataFrame, max_chars: int) -> Assembled:
-    parsed = (raw.select(parse_uid(F.col("uid")).alias("p"), "transcript", "ingest_seq")
-              .where(F.col("p").isNotNull())
-              .select("p.*", "transcript", "ingest_seq"))
-    first = F.min(F.struct("ingest_seq", "meeting_uid", "state", "name"))
-    return assemble_text(
-        parsed, ["fips", "meeting_date", "meeting_type"], ["ingest_seq"], "transcript",
-        distinct=False, strip=False, carry={"first": first}, max_chars=max_chars)
-
-
-def _id() -> Column:
-    return canonical_id(F.col("fips"), F.col("meeting_date"), F.col("meeting_type"))
-
-
-def segment_transcripts(raw: DataFrame, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """(canonical_id, chunk_seq, transcript) with every meeting's text in full."""
-    return _grouped(raw, max_chars).chunks.select(
-        _id().alias("canonical_id"), "chunk_seq", "transcript")
-
-
-def segments_to_meetings(raw: DataFrame, source: str, source_url: str = "",
-                         max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """Canonical records of raw segments (uid, transcript, ingest_seq).
+def segments_to_meetings(raw: DataFrame, source: str, source_url: str = "") -> DataFrame:
+    """Canonical records of raw segments (uid, transcript, ingest_seq), one per meeting.
 
     Segment texts join in arrival order; the first segment gives the meeting's
-    uid and arrival number. A text over ``max_chars`` becomes one record per
-    chunk, all with the same id and uid; they carry the same ``transcript_chars``,
-    so that linking merges them again in arrival order.
+    uid and arrival number.
     """
-    assembled = _grouped(raw, max_chars)
-    keys = ["fips", "meeting_date", "meeting_type"]
-    chars = F.coalesce(F.length("transcript"), F.lit(0)).cast("long")
-    whole = assembled.groups.where(F.col("n_chunks") == 1).select(
-        *keys, "first", "transcript", F.col("first.ingest_seq").alias("ingest_seq"),
-        chars.alias("transcript_chars"))
-    # At most total characters / max_chars groups are cut.
-    cut = assembled.groups.where(F.col("n_chunks") > 1).select(*keys, "first")
-    parts = assembled.oversized.join(F.broadcast(cut), keys).select(
-        *keys, "first", "transcript", F.col("chunk_start.ingest_seq").alias("ingest_seq"),
-        F.lit(max_chars).cast("long").alias("transcript_chars"))
-    return whole.unionByName(parts).select(
-        _id().alias("canonical_id"),
+    parsed = (raw.select(parse_uid(F.col("uid")).alias("p"), "transcript", "ingest_seq")
+              .where(F.col("p").isNotNull())
+              .select("p.*", "transcript", "ingest_seq"))
+    grouped = parsed.groupBy("fips", "meeting_date", "meeting_type").agg(
+        F.min(F.struct("ingest_seq", "meeting_uid", "state", "name")).alias("first"),
+        in_order(["ingest_seq"], "transcript").alias("transcript"))
+    chars = F.when(ustrip(F.col("transcript")) != "", F.length("transcript")).otherwise(0)
+    return grouped.select(
+        canonical_id(F.col("fips"), F.col("meeting_date"), F.col("meeting_type"))
+        .alias("canonical_id"),
         F.col("first.name").alias("jurisdiction_name"),
         F.col("fips").alias("jurisdiction_fips"),
         F.col("first.state").alias("state"),
@@ -110,4 +84,5 @@ def segments_to_meetings(raw: DataFrame, source: str, source_url: str = "",
         .alias("transcript_quality"),
         F.lit(source).alias("source"), F.lit(source_url).alias("source_url"),
         F.col("first.meeting_uid").alias("source_record_id"),
-        "ingest_seq", "transcript_chars")
+        F.col("first.ingest_seq").alias("ingest_seq"),
+        chars.cast("long").alias("transcript_chars"))

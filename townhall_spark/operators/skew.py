@@ -1,9 +1,4 @@
-"""Keeping one dominant key from becoming one task.
-
-A key that outweighs a limit is *hot*. There are at most ``total / limit`` hot
-keys, whatever the data looks like, so the list of hot keys has a size bound
-and may be broadcast; the rows behind it never are.
-"""
+"""Keeping one dominant key from becoming one task."""
 
 from __future__ import annotations
 
@@ -12,47 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key a single task may hold. At 10^12 rows at most 100,000 keys
-# can exceed it, so broadcasting a short row per hot key stays in the megabytes.
-HOT_ROWS = 10_000_000
-
 # Spread of one group over tasks in the first step of a two-step top-k.
 TOP_K_SPREAD = 64
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int,
-             weight: Column | None = None) -> DataFrame:
-    """Keys whose summed weight (default: row count) exceeds ``limit``.
-
-    Only keys and partial sums are shuffled.
-    """
-    amount = F.lit(1) if weight is None else weight
-    return (rows.groupBy(*keys).agg(F.sum(amount).alias("_weight"))
-            .where(F.col("_weight") > limit).select(*keys))
-
-
-def split_hot(rows: DataFrame, keys: Sequence[str], hot: DataFrame
-              ) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of hot keys); neither side is shuffled for it."""
-    hot = F.broadcast(hot)
-    return (rows.join(hot, list(keys), "left_anti"), rows.join(hot, list(keys), "left_semi"))
-
-
-def join_to_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str],
-                   size: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Inner join of rows to their own group's row, safe for a dominant key.
-
-    ``groups`` has one row per key and the group's row count in column ``size``.
-    Rows of hot groups meet a broadcast of the (boundedly many) hot group rows
-    and are not shuffled; all others take an ordinary equi-join.
-    """
-    keys = list(keys)
-    hot = groups.where(F.col(size) > limit)
-    ordinary = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return (ordinary.join(groups.where(F.col(size) <= limit), keys)
-            .unionByName(rows.join(F.broadcast(hot), keys)))
-
-
 def top_k_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                     spread: Column, buckets: int = TOP_K_SPREAD) -> DataFrame:
     """The first ``k`` rows of each group, exactly, without one task per group.

@@ -70,13 +70,16 @@ def category_pivot(enriched: DataFrame, key: str,
         _count_if(F.col("action_category") == c).alias(c) for c in categories])
 
 
-def _per_meeting(meetings: DataFrame, actions: DataFrame, columns: Sequence[str],
-                 categories: Sequence[str]) -> DataFrame:
+def meeting_counts(meetings: DataFrame, actions: DataFrame,
+                   categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
+    """Per meeting its place, region, year and actions per category (null: none).
+
+    What the tables by region, state and year are grouped from; compute it once.
+    """
     counts = category_pivot(actions, "canonical_id", categories)
     base = with_region_year(meetings.select(
         "canonical_id", "jurisdiction_fips", "state", "meeting_date"))
-    return (base.select("canonical_id", "jurisdiction_fips", *columns)
-            .join(counts, "canonical_id", "left"))
+    return base.drop("meeting_date").join(counts, "canonical_id", "left")
 
 
 def _intensity(rows: DataFrame, keys: Sequence[str], categories: Sequence[str],
@@ -98,25 +101,19 @@ def _intensity(rows: DataFrame, keys: Sequence[str], categories: Sequence[str],
                 F.try_divide(F.col("climate_actions").cast("double"), "meetings"), 3)))
 
 
-def by_region(meetings: DataFrame, actions: DataFrame,
-              categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
-    """Meetings, jurisdictions and climate actions per region."""
-    rows = _per_meeting(meetings, actions, ["region"], categories)
-    return _intensity(rows, ["region"], categories, True)
+def by_region(counts: DataFrame, categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
+    """Meetings, jurisdictions and climate actions per region, of ``meeting_counts``."""
+    return _intensity(counts, ["region"], categories, True)
 
 
-def by_state(meetings: DataFrame, actions: DataFrame,
-             categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
+def by_state(counts: DataFrame, categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
     """Meetings and climate actions per state; a state has one region."""
-    rows = _per_meeting(meetings, actions, ["state", "region"], categories)
-    return _intensity(rows, ["state", "region"], categories, False)
+    return _intensity(counts, ["state", "region"], categories, False)
 
 
-def by_time(meetings: DataFrame, actions: DataFrame,
-            categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
+def by_time(counts: DataFrame, categories: Sequence[str] = CLIMATE_CATEGORIES) -> DataFrame:
     """Meetings and climate actions per year; meetings without a date are left out."""
-    rows = _per_meeting(meetings, actions, ["year"], categories).dropna(subset=["year"])
-    return _intensity(rows, ["year"], categories, False)
+    return _intensity(counts.dropna(subset=["year"]), ["year"], categories, False)
 
 
 def _adaptation(actions: DataFrame) -> DataFrame:
@@ -145,16 +142,20 @@ def coverage(meetings: DataFrame) -> DataFrame:
     """Meetings, jurisdictions and share with a transcript per region and source."""
     places = meetings.groupBy(
         region(F.col("state")).alias("region"), "source", "jurisdiction_fips").agg(
-        F.count(F.lit(1)).alias("n"), F.count("transcript").alias("with_text"))
+        F.count(F.lit(1)).alias("n"), F.count_if("has_transcript").alias("with_text"))
     share = F.sum("with_text").cast("double") / F.sum("n").cast("double")
     return places.groupBy("region", "source").agg(
         F.sum("n").alias("meetings"), F.count("jurisdiction_fips").alias("jurisdictions"),
         F.bround(F.lit(100.0) * share, 1).alias("pct_with_transcript"))
 
 
-def coverage_pivot(coverage_table: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Meetings per region with one column per source, 0 when there are none."""
-    return (coverage_table.groupBy("region").pivot("source", list(sources))
+def coverage_pivot(coverage_table: DataFrame, sources: Sequence[str] | None = None) -> DataFrame:
+    """Meetings per region with one column per source, 0 when there are none.
+
+    The columns are the sources that occur, which takes a pass to list them, or the
+    given ones.
+    """
+    return (coverage_table.groupBy("region").pivot("source", list(sources) if sources else None)
             .agg(F.sum("meetings")).na.fill(0))
 
 
@@ -215,13 +216,17 @@ def alignment_display(alignment: DataFrame) -> DataFrame:
     return alignment.dropna(subset=["pearson_r_risk_vs_action"])
 
 
-def build_all(meetings: DataFrame, actions: DataFrame, exposure: DataFrame | None = None
-              ) -> dict[str, DataFrame]:
-    """The six summary tables, and the two exposure tables when exposure is given."""
+def build_all(meetings: DataFrame, actions: DataFrame, exposure: DataFrame | None = None,
+              counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six summary tables, and the two exposure tables when exposure is given.
+
+    ``counts`` are the stored ``meeting_counts``, where an earlier job wrote them.
+    """
+    counts = meeting_counts(meetings, actions) if counts is None else counts
     tables = {
-        "by_region": by_region(meetings, actions),
-        "by_state": by_state(meetings, actions),
-        "by_time": by_time(meetings, actions),
+        "by_region": by_region(counts),
+        "by_state": by_state(counts),
+        "by_time": by_time(counts),
         "by_hazard": by_hazard(actions),
         "hazard_by_region": hazard_by_region(meetings, actions),
         "coverage": coverage(meetings),

@@ -1,107 +1,39 @@
-"""Joining the texts of a group, in order, into one document.
-
-The result of an ordinary group is one string. A group too long for one string
-(Spark strings end at 2 GB, and one task would have to hold it) is cut into
-consecutive chunks: joining its chunks in ``chunk_seq`` order gives exactly the
-string the group would have had. Where chunks end may differ between runs (range
-bounds are sampled), what they add up to does not.
-"""
+"""Joining the texts of a group, in order, into one document."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from typing import NamedTuple
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townhall_spark.functions.text import has_text, let, ustrip
-from townhall_spark.operators.skew import hot_keys, split_hot
-
-# Characters of one assembled string. 100 TB of text holds at most 6 million
-# groups above it, which bounds the broadcast list of their keys (real meetings
-# stay far below it); a hash aggregate keeps at most 128 such strings before it
-# falls back to sorting.
-MAX_TEXT_CHARS = 16 * 1024 * 1024
 
 SEPARATOR = "\n\n"
 
-
-class Assembled(NamedTuple):
-    """``groups``: one row per key with the carried aggregates, the text (its first
-    chunk when there are several) and ``n_chunks``. ``chunks``: every chunk of
-    every group. ``oversized``: the chunks of groups over the limit, with the order
-    of their first row (``chunk_start``)."""
-
-    groups: DataFrame
-    chunks: DataFrame
-    oversized: DataFrame
+# Bytes that a Spark string can hold; a longer document is an error, never cut.
+MAX_STRING_BYTES = 2**31 - 2**20
 
 
-def _joined(order: Sequence[str], text: str, distinct: bool, strip: bool) -> Column:
-    """Aggregate: the group's non-empty texts in order, null when there are none."""
-    value = F.col(text)
-    entry = F.struct(*[F.col(c) for c in order], value.alias("_text"))
-    entries = F.array_sort(F.collect_list(F.when(has_text(value), entry)))
-    parts = F.transform(entries, lambda e: ustrip(e["_text"]) if strip else e["_text"])
-    if strip:
-        parts = F.filter(parts, lambda t: t != "")
-    if distinct:
-        parts = F.array_distinct(parts)
-    return let(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, SEPARATOR)))
+def in_order(order: Sequence[str], text: str) -> Column:
+    """Aggregate: the group's non-empty texts in order as one string, null without any."""
+    entry = F.struct(*[F.col(c) for c in order], F.col(text).alias("_text"))
+    entries = F.array_sort(F.collect_list(F.when(has_text(F.col(text)), entry)))
+    joined = let(F.transform(entries, lambda e: e["_text"]),
+                 lambda p: F.when(F.size(p) > 0, F.array_join(p, SEPARATOR)))
+    total = F.sum(F.octet_length(text) + len(SEPARATOR))
+    return F.when(total > MAX_STRING_BYTES, F.raise_error(F.lit(
+        "the text of one meeting is longer than a string can hold"))).otherwise(joined)
 
 
-def _hot_chunks(rows: DataFrame, keys: list[str], order: list[str], text: str,
-                distinct: bool, strip: bool, max_chars: int) -> DataFrame:
-    """Chunks of oversized groups, cut by a range partitioning on the group order."""
-    value = ustrip(F.col(text)) if strip else F.col(text)
-    parts = rows.select(*keys, *order, value.alias("_text")).where(has_text(F.col("_text")))
-    if distinct:
-        first = F.min(F.struct(*order)).alias("_first")
-        parts = (parts.groupBy(*keys, "_text").agg(first)
-                 .select(*keys, "_first.*", "_text"))
-    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    running = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    width = F.length("_text") + len(SEPARATOR)
-    before = F.sum(width).over(running) - width
-    chunk_seq = (F.shiftleft(F.col("_range").cast("long"), 32)
-                 + F.floor(before / max_chars).cast("long"))
-    return (parts.repartitionByRange(slices, *keys, *order)
-            .withColumn("_range", F.spark_partition_id())
-            .withColumn("chunk_seq", chunk_seq)
-            .groupBy(*keys, "chunk_seq")
-            .agg(_joined(order, "_text", False, False).alias(text),
-                 F.min(F.struct(*order)).alias("chunk_start")))
+def distinct_texts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str
+                   ) -> DataFrame:
+    """(keys, order, text): every different stripped text of a group, at its first place.
 
-
-def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str,
-                  *, distinct: bool, strip: bool, carry: Mapping[str, Column],
-                  chars: Column | None = None, max_chars: int = MAX_TEXT_CHARS,
-                  stored: DataFrame | None = None) -> Assembled:
-    """Join ``text`` per key in ``order``; ``carry`` are further aggregates per key.
-
-    Ordinary groups take a single shuffle that also computes ``carry``.
-    ``chars`` is the length of a row's text where it is already stored;
-    ``stored`` are the oversized chunks where an earlier job has written them.
+    Copies meet before the shuffle, so a text that very many records of one group
+    share costs one row per task.
     """
-    keys, order = list(keys), list(order)
-    length = F.length(text) if chars is None else chars
-    weight = F.coalesce(length, F.lit(0)) + len(SEPARATOR)
-    ordinary, hot = split_hot(rows, keys, hot_keys(rows, keys, max_chars, weight))
-    carried = [agg.alias(name) for name, agg in carry.items()]
-
-    whole = ordinary.groupBy(*keys).agg(
-        *carried, _joined(order, text, distinct, strip).alias(text))
-    hot_chunks = stored if stored is not None else _hot_chunks(
-        hot, keys, order, text, distinct, strip, max_chars)
-    heads = hot_chunks.groupBy(*keys).agg(
-        F.min_by(text, "chunk_seq").alias(text), F.count(F.lit(1)).cast("int").alias("n_chunks"))
-    hot_groups = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *carried).drop("_n")
-
-    groups = (whole.withColumn("n_chunks", F.lit(1))
-              .unionByName(hot_groups.join(heads, keys, "left")
-                           .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))))
-    chunks = (whole.select(*keys, F.lit(0).cast("long").alias("chunk_seq"), text)
-              .unionByName(hot_chunks.select(*keys, "chunk_seq", text)))
-    return Assembled(groups, chunks, hot_chunks)
+    return (rows.select(*keys, *order, ustrip(F.col(text)).alias(text))
+            .where(has_text(F.col(text)))
+            .groupBy(*keys, text).agg(F.min(F.struct(*order)).alias("_first"))
+            .select(*keys, "_first.*", text))

@@ -12,9 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall_spark.functions import domains, fields, lexicon, regions
+from townhall_spark.functions import domains, fields, lexicon
 from townhall_spark.functions.ids import canonical_id
-from townhall_spark.functions.text import zfill
 from townhall_spark.operators import (
     evaluation,
     exposure,
@@ -29,7 +28,7 @@ from townhall_spark.operators import (
 )
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.plans import oracles as sql
-from townhall_spark.sources import specs
+from townhall_spark.sources import readers, sinks, specs
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -54,13 +53,17 @@ def _meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.meetings(fx.canonical(spark, sf_dir))
 
 
-def _actions(meetings: DataFrame) -> DataFrame:
-    return extraction.extract_actions(meetings, fx.TEST_LEXICON, fx.TEST_VERSION, stamped=False)
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_actions(fx.canonical(spark, sf_dir), fx.TEST_LEXICON,
+                                      fx.TEST_VERSION, stamped=False)
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    meetings = _meetings(spark, sf_dir)
-    return meetings, _actions(meetings)
+    return _meetings(spark, sf_dir), _actions(spark, sf_dir)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.meeting_counts(*_both(spark, sf_dir))
 
 
 # ---- scans -------------------------------------------------------------------
@@ -74,13 +77,18 @@ def scan_project(spark, sf_dir):
     SELECT o_orderkey, o_totalprice, year(o_orderdate) AS year FROM orders
     WHERE year(o_orderdate) BETWEEN 1993 AND 1996""")
 def yearly_union(spark, sf_dir):
-    """Requested years 1990 to 1996, of which 1993 onwards are known."""
-    years = [y for y in range(1990, 1997) if y in range(1993, 1999)]
+    """Requested years 1990 to 1996, of which 1993 onwards are known: a frame for each
+    known year, of which the requested ones are read and joined."""
     day = F.col("o_orderdate")
-    return (fx.table(spark, sf_dir, "orders")
-            .where((day >= F.lit(f"{min(years)}-01-01").cast("timestamp_ntz"))
-                   & (day < F.lit(f"{max(years) + 1}-01-01").cast("timestamp_ntz")))
-            .select("o_orderkey", "o_totalprice", F.year(day).alias("year")))
+    orders = fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", day, F.year(day).alias("year"))
+
+    def of(year: int) -> DataFrame:
+        return orders.where((day >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
+                            & (day < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")))
+
+    return readers.union_years({y: of(y) for y in range(1993, 1999)},
+                               range(1990, 1997)).drop("o_orderdate")
 
 
 @query("bounded_scan", (), "SELECT doc_id, source, text FROM documents ORDER BY doc_id LIMIT 200")
@@ -90,11 +98,24 @@ def bounded_scan(spark, sf_dir):
 
 
 @query("slim_project", (), """
-    SELECT CASE WHEN length(k) < 5 THEN lpad(k, 5, '0') ELSE k END AS STCOFIPS, c_name, c_acctbal
-    FROM (SELECT *, CAST(c_custkey AS VARCHAR) AS k FROM customer)""")
+    SELECT CASE WHEN length(k) < 5 THEN lpad(k, 5, '0') ELSE k END AS STCOFIPS,
+      c_mktsegment AS STATEABBRV, c_name AS COUNTY, CAST(c_nationkey AS VARCHAR) AS POPULATION,
+      b AS RISK_SCORE, b AS IFLD_RISKS, b AS CFLD_RISKS, b AS WFIR_RISKS, b AS HWAV_RISKS,
+      b AS DRGT_RISKS, b AS HRCN_RISKS
+    FROM (SELECT *, CAST(c_custkey AS VARCHAR) AS k, CAST(c_acctbal AS VARCHAR) AS b
+          FROM customer)""")
 def slim_project(spark, sf_dir):
-    return fx.table(spark, sf_dir, "customer").select(
-        zfill(F.col("c_custkey").cast("string"), 5).alias("STCOFIPS"), "c_name", "c_acctbal")
+    return exposure.slim_counties(fx.wide_counties(spark, sf_dir))
+
+
+@query("places_last_entry", (), """
+    SELECT CAST(c_nationkey AS VARCHAR) AS place_fips, CASE WHEN length(k) < 5
+      THEN lpad(k, 5, '0') ELSE k END AS county_fips
+    FROM (SELECT c_nationkey, CAST(max(c_custkey) AS VARCHAR) AS k FROM customer GROUP BY 1)""")
+def places_last_entry(spark, sf_dir):
+    """Of repeated places the last entry counts."""
+    return exposure.last_county_of_place(fx.place_entries(spark, sf_dir)).select(
+        F.col("_place").alias("place_fips"), F.col("_place_county").alias("county_fips"))
 
 
 # ---- field mapping -----------------------------------------------------------
@@ -104,6 +125,15 @@ def map_fields(spark, sf_dir):
     return fx.canonical(spark, sf_dir)
 
 
+@query("map_constants", ("raw_tabular",), """
+    SELECT trim(vid_id) AS source_record_id, 'other' AS meeting_type, 'GU' AS state
+    FROM raw_tabular""")
+def map_constants(spark, sf_dir):
+    raw = fx.raw_tabular(spark, sf_dir)
+    return raw.select(*[c.alias(n) for n, c in fields.compile_map(
+        fx.CONST_MAP, raw.schema).items()])
+
+
 @query("in_scope", ("raw_tabular",), f"""
     SELECT vid_id, place_govt FROM raw_tabular
     WHERE {sql.govt_type('place_govt')} IS NOT NULL""")
@@ -113,7 +143,7 @@ def in_scope(spark, sf_dir):
 
 
 @query("state_abbrev", ("raw_tabular",), f"""
-    SELECT vid_id, {sql.case_map(sql.strip('state_name'), regions.STATE_CODES, "''")} AS state
+    SELECT vid_id, {sql.case_map(sql.strip('state_name'), sql.STATE_CODES, "''")} AS state
     FROM raw_tabular""")
 def state_abbrev(spark, sf_dir):
     raw = fx.raw_tabular(spark, sf_dir)
@@ -211,14 +241,20 @@ def source_jurisdiction_counts(spark, sf_dir):
 
 # ---- linking -----------------------------------------------------------------
 
-@query("primaries", ("meetings",), "SELECT *, 1 AS transcript_chunks FROM meetings")
+@query("primaries", ("meetings",), "SELECT * FROM meetings")
 def primaries(spark, sf_dir):
+    return linking.primaries(fx.canonical(spark, sf_dir))
+
+
+@query("meeting_table", ("meetings", "canonical"), """
+    SELECT m.* EXCLUDE (transcript), transcript IS NOT NULL AS has_transcript, first_seq
+    FROM meetings m JOIN (SELECT canonical_id, min(ingest_seq) AS first_seq FROM canonical
+      GROUP BY 1) USING (canonical_id)""")
+def meeting_table(spark, sf_dir):
     return _meetings(spark, sf_dir)
 
 
-@query("merged_transcripts", ("canonical", "merged"), """
-    SELECT canonical_id, CAST(0 AS BIGINT) AS chunk_seq, transcript
-    FROM (SELECT DISTINCT canonical_id FROM canonical) LEFT JOIN merged USING (canonical_id)""")
+@query("merged_transcripts", ("merged",), "SELECT canonical_id, transcript FROM merged")
 def merged_transcripts(spark, sf_dir):
     return linking.merged_transcripts(fx.canonical(spark, sf_dir))
 
@@ -251,7 +287,7 @@ def overlap_stats(spark, sf_dir):
 
 @query("resolve_jurisdiction", ("canonical",), f"""
     WITH listed AS (SELECT 'nation_' || n_nationkey AS name,
-        {sql.pick([regions.STATE_CODES.get(n, 'GU') for n in fx.STATE_NAMES], 'n_nationkey % 10')}
+        {sql.pick([sql.STATE_CODES.get(n, 'GU') for n in fx.STATE_NAMES], 'n_nationkey % 10')}
           AS state, lpad(CAST(n_nationkey + 1 AS VARCHAR), 7, '0') AS fips FROM nation),
       names AS (SELECT DISTINCT jurisdiction_name, state, lower(jurisdiction_name) AS key
                 FROM canonical),
@@ -261,7 +297,7 @@ def overlap_stats(spark, sf_dir):
     SELECT jurisdiction_name, state, fips,
       CASE WHEN edits = 0 THEN 'exact' WHEN edits IS NOT NULL THEN 'close' END AS match
     FROM (SELECT DISTINCT jurisdiction_name, state FROM names)
-    LEFT JOIN (SELECT * FROM near WHERE edits <= 2 AND 1.0 - edits / longer >= 0.8
+    LEFT JOIN (SELECT * FROM near WHERE 1.0 - edits / longer >= 0.8
       QUALIFY row_number() OVER (PARTITION BY jurisdiction_name, state
         ORDER BY edits, name) = 1) USING (jurisdiction_name, state)""")
 def resolve_jurisdiction(spark, sf_dir):
@@ -318,24 +354,26 @@ def classify_text(spark, sf_dir):
 
 @query("extract_actions", ("actions",), "SELECT * FROM actions")
 def extract_actions(spark, sf_dir):
-    return _both(spark, sf_dir)[1]
+    return _actions(spark, sf_dir)
 
 
 @query("category_counts", ("actions",), """
     SELECT action_category, count(*) AS actions FROM actions GROUP BY ALL""")
 def category_counts(spark, sf_dir):
-    return summaries.category_counts(_both(spark, sf_dir)[1])
+    return summaries.category_counts(_actions(spark, sf_dir))
 
 
 # ---- model responses ---------------------------------------------------------
 
-@query("prompt_table", ("meetings",), f"""
-    SELECT canonical_id, '{extraction.EXTRACTION_PROMPT}' || chr(10) || chr(10)
-      || '## Transcript excerpt' || chr(10) || chr(10) || substr(transcript, 1, 6000)
+@query("prompt_table", ("merged",), f"""
+    SELECT canonical_id, CAST(w AS INTEGER) AS window_seq,
+      '{extraction.EXTRACTION_PROMPT}' || chr(10) || chr(10)
+      || '## Transcript excerpt' || chr(10) || chr(10) || substr(transcript, w * 5800 + 1, 6000)
       || chr(10) AS prompt
-    FROM meetings WHERE length(transcript) > 0""")
+    FROM (SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(length(transcript) - 6000, 0)
+      / 5800.0) AS BIGINT))) AS w FROM merged)""")
 def prompt_table(spark, sf_dir):
-    return extraction.prompt_table(_meetings(spark, sf_dir))
+    return extraction.prompt_table(linking.merged_transcripts(fx.canonical(spark, sf_dir)))
 
 
 _ITEM_FIELDS = ", ".join(
@@ -431,17 +469,17 @@ def _intensity_sql(keys: str, join: str, extra: str = "") -> str:
 @query("by_region", ("placed", "enriched"), _intensity_sql(
     "region", "region", ", count(DISTINCT jurisdiction_fips) AS jurisdictions"))
 def by_region(spark, sf_dir):
-    return summaries.by_region(*_both(spark, sf_dir))
+    return summaries.by_region(_counts(spark, sf_dir))
 
 
 @query("by_state", ("placed", "enriched"), _intensity_sql("state, region", "state"))
 def by_state(spark, sf_dir):
-    return summaries.by_state(*_both(spark, sf_dir))
+    return summaries.by_state(_counts(spark, sf_dir))
 
 
 @query("by_time", ("placed", "enriched"), _intensity_sql("CAST(year AS INTEGER) AS year", "year"))
 def by_time(spark, sf_dir):
-    return summaries.by_time(*_both(spark, sf_dir))
+    return summaries.by_time(_counts(spark, sf_dir))
 
 
 @query("by_hazard", ("actions",), """
@@ -449,7 +487,7 @@ def by_time(spark, sf_dir):
     WHERE action_category IN ('adaptation', 'both') GROUP BY ALL
     ORDER BY actions DESC, hazard_type""")
 def by_hazard(spark, sf_dir):
-    return summaries.by_hazard(_both(spark, sf_dir)[1])
+    return summaries.by_hazard(_actions(spark, sf_dir))
 
 
 @query("hazard_by_region", ("enriched",), """
@@ -473,14 +511,12 @@ def coverage(spark, sf_dir):
     return summaries.coverage(_meetings(spark, sf_dir))
 
 
-SOURCES = tuple(f"src{i}" for i in range(20))
-
-
-@query("coverage_pivot", ("placed",), "SELECT region, " + ", ".join(
-    f"count(DISTINCT canonical_id) FILTER (WHERE source = '{s}') AS {s}" for s in SOURCES)
-    + " FROM placed GROUP BY region")
+@query("coverage_pivot", ("placed",), """
+    PIVOT (SELECT region, source, canonical_id FROM placed) ON source
+    USING count(DISTINCT canonical_id) GROUP BY region""")
 def coverage_pivot(spark, sf_dir):
-    return summaries.coverage_pivot(summaries.coverage(_meetings(spark, sf_dir)), SOURCES)
+    """A column for every source that occurs."""
+    return summaries.coverage_pivot(summaries.coverage(_meetings(spark, sf_dir)))
 
 
 @query("overview", ("meetings",), """
@@ -650,23 +686,33 @@ def method_compare(spark, sf_dir):
     return evaluation.method_compare(first, second, ("lexicon", "strict"))
 
 
+def _json_entry(columns: tuple[str, ...]) -> str:
+    return "json_object(" + ", ".join(f"'{c}', \"{c}\"" for c in columns) + ")"
+
+
 def _json_list(select: str, key: str, columns: tuple[str, ...]) -> str:
-    entries = ", ".join(f"'{c}', \"{c}\"" for c in (key, *columns))
-    return (f"(SELECT list(json_object({entries}) ORDER BY {key}) FROM ({select}))")
+    return f"(SELECT list({_json_entry((key, *columns))} ORDER BY {key}) FROM ({select}))"
+
+
+def _json_by_name(select: str, key: str, columns: tuple[str, ...]) -> str:
+    return (f"(SELECT CAST('{{' || string_agg('\"' || {key} || '\":' || CAST({_json_entry(columns)} "
+            f"AS VARCHAR), ',' ORDER BY {key}) || '}}' AS JSON) FROM ({select}))")
 
 
 @query("eval_report", ("scored",), f"""
     SELECT method, CAST(json_object('method', method, 'golden_items', golden_items,
-      'macro_f1', macro_f1, 'accuracy', accuracy, 'kappa', kappa,
-      'per_category', {_json_list(_per_category_sql('scored'), 'category',
-                                  ('precision', 'recall', 'f1', 'support'))},
-      'calibration', {_json_list(_CALIBRATION_SQL, 'bin', ('n', 'empirical_accuracy'))},
-      'hazard', {_json_list(_HAZARD_SQL, 'hazard_type', ('correct', 'support', 'accuracy'))})
-      AS VARCHAR) AS report
+      'per_category', {_json_by_name(_per_category_sql('scored'), 'category',
+                                     ('precision', 'recall', 'f1', 'support'))},
+      'macro_f1', macro_f1, 'accuracy', accuracy, 'human_vs_model_cohen_kappa', kappa,
+      'kappa_note', '{evaluation.KAPPA_NOTE}', 'confidence_calibration',
+      {_json_list(_CALIBRATION_SQL, 'bin', ('n', 'empirical_accuracy'))},
+      'hazard_accuracy_exploratory', {_json_by_name(
+          _HAZARD_SQL, 'hazard_type', ('correct', 'support', 'accuracy'))},
+      'hazard_note', '{evaluation.HAZARD_NOTE}') AS VARCHAR) AS report
     FROM ({_OVERALL_SQL})""")
 def eval_report(spark, sf_dir):
-    tables = evaluation.evaluate(fx.golden(spark, sf_dir), _classifier(fx.TEST_LEXICON),
-                                 "lexicon")
+    """From one stored pass over the golden set."""
+    tables = evaluation.evaluate_cube(sinks.stored(_cube(spark, sf_dir)), "lexicon")
     return evaluation.report_document(tables, "lexicon")
 
 
@@ -696,7 +742,7 @@ _STRATA = """
 
 @query("stratified_sample", ("actions",), _STRATA)
 def stratified_sample(spark, sf_dir):
-    return sampling.stratified_sample(_both(spark, sf_dir)[1], 80)
+    return sampling.stratified_sample(_actions(spark, sf_dir), 80)
 
 
 @query("label_candidates", ("actions", "golden"), f"""
@@ -704,7 +750,7 @@ def stratified_sample(spark, sf_dir):
     FROM ({_STRATA}) WHERE action_text NOT IN (SELECT action_text FROM golden)
     QUALIFY row_number() OVER (PARTITION BY action_text ORDER BY canonical_id) = 1""")
 def label_candidates(spark, sf_dir):
-    return labelling.label_candidates(_both(spark, sf_dir)[1], fx.golden(spark, sf_dir), 80)
+    return labelling.label_candidates(_actions(spark, sf_dir), fx.golden(spark, sf_dir), 80)
 
 
 @query("label_codes", ("actions",), f"""
@@ -718,5 +764,5 @@ def label_candidates(spark, sf_dir):
 def label_codes(spark, sf_dir):
     """The first two letters of an action stand in for the typed codes."""
     text = F.col("action_text")
-    return labelling.label(_both(spark, sf_dir)[1], F.substring(text, 1, 1),
+    return labelling.label(_actions(spark, sf_dir), F.substring(text, 1, 1),
                            F.substring(text, 2, 1), "tester")

@@ -14,7 +14,6 @@ from townhall_spark.functions.lexicon import Lexicon
 from townhall_spark.functions.literals import text_array
 from townhall_spark.functions.regions import STATE_CODES
 from townhall_spark.functions.text import sentences
-from townhall_spark.sources.readers import spread
 from townhall_spark.sources.specs import SourceSpec, canonical_of
 
 STATE_NAMES = ("California", "Washington", "Massachusetts", "Texas", "Ohio", "Florida",
@@ -46,6 +45,7 @@ TABULAR_SPEC = SourceSpec.from_mapping("captions", {
     "mapper": {"type": "generic_tabular"},
     "order_column": "ingest_seq",
     "source_column": "source",
+    # Columns of the field map by every kind of spec but a constant, which CONST_MAP has.
     "field_map": {
         "jurisdiction_fips": {"copy": "st_fips"},
         "jurisdiction_name": {"copy": "place_name"},
@@ -58,6 +58,8 @@ TABULAR_SPEC = SourceSpec.from_mapping("captions", {
         "source_record_id": {"copy": "vid_id"},
     },
 })
+CONST_MAP = {"meeting_type": {"const": "other"}, "state": {"const": "GU"},
+             "source_record_id": {"copy": "vid_id"}}
 SEGMENT_SPEC = SourceSpec.from_mapping("segments", {
     "loader": {"type": "table"},
     "mapper": {"type": "meetingbank_segments"},
@@ -81,7 +83,13 @@ def place_number() -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    """Documents over all cores: the small test files are one scan task each.
+
+    Tables with as many splits as cores pass through without a shuffle.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def raw_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +166,25 @@ def _county_of_place(k: int) -> str:
 FIXED_COUNTY = {str(1000000 + k): _county_of_place(k) for k in range(20)}
 
 
+def wide_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide county file of text columns: one county per customer."""
+    balance = F.col("c_acctbal").cast("string")
+    risks = ("RISK_SCORE", "IFLD_RISKS", "CFLD_RISKS", "WFIR_RISKS", "HWAV_RISKS", "DRGT_RISKS",
+             "HRCN_RISKS")
+    return table(spark, sf_dir, "customer").select(
+        "*", F.col("c_custkey").cast("string").alias("STCOFIPS"),
+        F.col("c_mktsegment").alias("STATEABBRV"), F.col("c_name").alias("COUNTY"),
+        F.col("c_nationkey").cast("string").alias("POPULATION"),
+        *[balance.alias(r) for r in risks])
+
+
+def place_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several counties for each place, in the order of customers."""
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" "), F.col("c_nationkey").cast("string")).alias("place_fips"),
+        F.col("c_custkey").cast("string").alias("county_fips"), F.col("c_custkey").alias("row_order"))
+
+
 def place_to_county(spark: SparkSession) -> DataFrame:
     """Places 20 to 119."""
     k = F.col("id")

@@ -7,13 +7,82 @@ of its final SELECT.
 from __future__ import annotations
 
 from townhall_spark.functions.lexicon import Lexicon
-from townhall_spark.functions.regions import STATE_CODES, STATE_DIVISION, STATE_REGION
-from townhall_spark.functions.text import WHITESPACE
-from townhall_spark.operators.segments import BODY_JURISDICTIONS
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.schemas import ACTION_CATEGORIES, HAZARD_TYPES
 
-WS = "'" + WHITESPACE + "'"
+# Fixed values, written out again so that a wrong entry in the library shows: state,
+# postal code, Census region, Census division.
+STATES = (
+    ("Alabama", "AL", "South", "East South Central"),
+    ("Alaska", "AK", "West", "Pacific"),
+    ("Arizona", "AZ", "West", "Mountain"),
+    ("Arkansas", "AR", "South", "West South Central"),
+    ("California", "CA", "West", "Pacific"),
+    ("Colorado", "CO", "West", "Mountain"),
+    ("Connecticut", "CT", "Northeast", "New England"),
+    ("Delaware", "DE", "South", "South Atlantic"),
+    ("District of Columbia", "DC", "South", "South Atlantic"),
+    ("Florida", "FL", "South", "South Atlantic"),
+    ("Georgia", "GA", "South", "South Atlantic"),
+    ("Hawaii", "HI", "West", "Pacific"),
+    ("Idaho", "ID", "West", "Mountain"),
+    ("Illinois", "IL", "Midwest", "East North Central"),
+    ("Indiana", "IN", "Midwest", "East North Central"),
+    ("Iowa", "IA", "Midwest", "West North Central"),
+    ("Kansas", "KS", "Midwest", "West North Central"),
+    ("Kentucky", "KY", "South", "East South Central"),
+    ("Louisiana", "LA", "South", "West South Central"),
+    ("Maine", "ME", "Northeast", "New England"),
+    ("Maryland", "MD", "South", "South Atlantic"),
+    ("Massachusetts", "MA", "Northeast", "New England"),
+    ("Michigan", "MI", "Midwest", "East North Central"),
+    ("Minnesota", "MN", "Midwest", "West North Central"),
+    ("Mississippi", "MS", "South", "East South Central"),
+    ("Missouri", "MO", "Midwest", "West North Central"),
+    ("Montana", "MT", "West", "Mountain"),
+    ("Nebraska", "NE", "Midwest", "West North Central"),
+    ("Nevada", "NV", "West", "Mountain"),
+    ("New Hampshire", "NH", "Northeast", "New England"),
+    ("New Jersey", "NJ", "Northeast", "Middle Atlantic"),
+    ("New Mexico", "NM", "West", "Mountain"),
+    ("New York", "NY", "Northeast", "Middle Atlantic"),
+    ("North Carolina", "NC", "South", "South Atlantic"),
+    ("North Dakota", "ND", "Midwest", "West North Central"),
+    ("Ohio", "OH", "Midwest", "East North Central"),
+    ("Oklahoma", "OK", "South", "West South Central"),
+    ("Oregon", "OR", "West", "Pacific"),
+    ("Pennsylvania", "PA", "Northeast", "Middle Atlantic"),
+    ("Rhode Island", "RI", "Northeast", "New England"),
+    ("South Carolina", "SC", "South", "South Atlantic"),
+    ("South Dakota", "SD", "Midwest", "West North Central"),
+    ("Tennessee", "TN", "South", "East South Central"),
+    ("Texas", "TX", "South", "West South Central"),
+    ("Utah", "UT", "West", "Mountain"),
+    ("Vermont", "VT", "Northeast", "New England"),
+    ("Virginia", "VA", "South", "South Atlantic"),
+    ("Washington", "WA", "West", "Pacific"),
+    ("West Virginia", "WV", "South", "South Atlantic"),
+    ("Wisconsin", "WI", "Midwest", "East North Central"),
+    ("Wyoming", "WY", "West", "Mountain"),
+)
+STATE_CODES = {name: code for name, code, _, _ in STATES}
+STATE_REGION = {code: region for _, code, region, _ in STATES}
+STATE_DIVISION = {code: division for _, code, _, division in STATES}
+
+# Word in a segment's body, code, state, name.
+BODIES = (
+    ("alameda", "0600562", "CA", "Alameda"),
+    ("boston", "2507000", "MA", "Boston"),
+    ("denver", "0820000", "CO", "Denver"),
+    ("longbeach", "0643000", "CA", "Long Beach"),
+    ("kingcounty", "53033", "WA", "King County"),
+    ("seattle", "5363000", "WA", "Seattle"),
+)
+
+# Code points that are white space.
+WS = "'" + "".join(map(chr, (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239,
+    8287, 12288))) + "'"
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
@@ -98,8 +167,7 @@ def classified(source: str, text: str, lexicon: Lexicon = fx.TEST_LEXICON) -> st
 def uid_parse(uid: str) -> str:
     """Body of a step over (uid, transcript, ingest_seq)."""
     def arm(pos: int) -> str:
-        return " ".join(f"WHEN contains(low, '{t}') THEN '{v[pos]}'"
-                        for t, v in BODY_JURISDICTIONS.items())
+        return " ".join(f"WHEN contains(low, '{b[0]}') THEN '{b[1 + pos]}'" for b in BODIES)
 
     return f"""
       SELECT *, body || '_' || day AS meeting_uid,
@@ -194,7 +262,8 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
           AS transcript_quality,
         'segments' AS source, 'https://segments.example.org/' AS source_url,
         source_record_id, ingest_seq,
-        CAST(coalesce(length(transcript), 0) AS BIGINT) AS transcript_chars
+        CAST(CASE WHEN {strip('transcript')} <> '' THEN length(transcript) ELSE 0 END AS BIGINT)
+          AS transcript_chars
       FROM (SELECT fips, meeting_date, meeting_type, any_value(state) AS state,
               any_value(name) AS jurisdiction_name, arg_min(meeting_uid, ingest_seq)
               AS source_record_id, min(ingest_seq) AS ingest_seq,

@@ -12,7 +12,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall_spark.functions.domains import MEETING_RULES, check_domain
+from townhall_spark.functions.domains import (
+    ACTION_RULES,
+    MEETING_RULES,
+    check_domain,
+    nan_to_null,
+)
 from townhall_spark.functions.lexicon import LEXICON_VERSION, Lexicon
 from townhall_spark.operators import (
     evaluation,
@@ -23,7 +28,6 @@ from townhall_spark.operators import (
     sampling,
     summaries,
 )
-from townhall_spark.operators.text_assembly import MAX_TEXT_CHARS
 from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, GOLDEN
 from townhall_spark.sources import readers, sinks, specs
 
@@ -42,14 +46,9 @@ def ingest(spark: SparkSession, sources: Sequence[specs.SourceSpec], raw_dir: st
     return specs.ingest_counts(stored)
 
 
-def link(spark: SparkSession, work_dir: str, max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """Writes ``meetings``, ``oversized``, ``provenance``, ``conflicts``; returns the
-    overlap statistics."""
-    records, _ = check_domain(spark.read.parquet(f"{work_dir}/canonical"), MEETING_RULES)
-    sinks.write_parquet(linking.oversized_transcripts(records, max_chars),
-                        f"{work_dir}/oversized")
-    resolved = linking.resolve(records, max_chars,
-                               oversized=spark.read.parquet(f"{work_dir}/oversized"))
+def link(spark: SparkSession, work_dir: str) -> DataFrame:
+    """Writes ``meetings``, ``provenance`` and ``conflicts``; returns the overlap statistics."""
+    resolved = linking.resolve(_records(spark, work_dir))
     sinks.write_tables({
         "meetings": resolved.meetings, "provenance": resolved.links,
         "conflicts": resolved.conflicts}, work_dir)
@@ -57,36 +56,48 @@ def link(spark: SparkSession, work_dir: str, max_chars: int = MAX_TEXT_CHARS) ->
                                  spark.read.parquet(f"{work_dir}/conflicts"))
 
 
-def _meetings(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
-    return sampling.bounded(spark.read.parquet(f"{work_dir}/meetings"), limit)
+def _records(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
+    """Valid canonical records; with ``limit``, those of the meetings that appear first."""
+    records, _ = check_domain(spark.read.parquet(f"{work_dir}/canonical"), MEETING_RULES)
+    if not limit:
+        return records
+    first = sampling.bounded(spark.read.parquet(f"{work_dir}/meetings"), limit, "first_seq")
+    return records.join(first.select(linking.KEY), linking.KEY, "left_semi")
 
 
 def extract(spark: SparkSession, work_dir: str, lexicon: Lexicon,
             version: str = LEXICON_VERSION, limit: int = 0) -> DataFrame:
     """Writes ``actions``; returns their number per category."""
-    meetings = _meetings(spark, work_dir, limit)
-    texts = linking.full_transcripts(meetings, spark.read.parquet(f"{work_dir}/oversized"))
-    sinks.write_parquet(extraction.extract_actions(texts, lexicon, version),
-                        f"{work_dir}/actions")
+    sinks.write_parquet(
+        extraction.extract_actions(_records(spark, work_dir, limit), lexicon, version),
+        f"{work_dir}/actions")
     return summaries.category_counts(spark.read.parquet(f"{work_dir}/actions"))
 
 
+def transcripts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
+    """Writes ``transcripts``, the merged text of every meeting with text, and returns it."""
+    sinks.write_parquet(linking.merged_transcripts(_records(spark, work_dir, limit)),
+                        f"{work_dir}/transcripts")
+    return spark.read.parquet(f"{work_dir}/transcripts")
+
+
 def prompts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
-    """Writes ``prompts`` for an external model and returns them."""
-    texts = linking.leading_text(
-        _meetings(spark, work_dir, limit), spark.read.parquet(f"{work_dir}/oversized"),
-        extraction.PROMPT_CHARS)
-    sinks.write_parquet(extraction.prompt_table(texts), f"{work_dir}/prompts")
+    """Writes ``prompts`` for an external model, windows over all text, and returns them."""
+    sinks.write_parquet(extraction.prompt_table(transcripts(spark, work_dir, limit)),
+                        f"{work_dir}/prompts")
     return spark.read.parquet(f"{work_dir}/prompts")
 
 
 def collect_responses(spark: SparkSession, answered: DataFrame, work_dir: str,
                       version: str) -> DataFrame:
-    """Writes ``actions_model`` and ``response_rejects`` of (canonical_id, raw) rows."""
-    actions = responses.parse_responses(answered, version).withColumn(
-        "extracted_at", F.current_timestamp())
-    sinks.write_tables({"actions_model": actions,
-                        "response_rejects": responses.response_rejects(answered)}, work_dir)
+    """Writes ``actions_model``, ``action_rejects`` (actions outside of their domains) and
+    ``response_rejects`` of (canonical_id, raw) rows."""
+    actions, rejects = check_domain(
+        nan_to_null(responses.parse_responses(answered, version)), ACTION_RULES)
+    sinks.write_tables({
+        "actions_model": actions.withColumn("extracted_at", F.current_timestamp()),
+        "action_rejects": rejects,
+        "response_rejects": responses.response_rejects(answered)}, work_dir)
     return summaries.category_counts(spark.read.parquet(f"{work_dir}/actions_model"))
 
 
@@ -112,7 +123,10 @@ def analyze(spark: SparkSession, work_dir: str, counties_csv: str | None = None,
         sinks.write_parquet(exposure.enrich(meetings, counties, places, fixed),
                             f"{work_dir}/exposure")
         exposed = spark.read.parquet(f"{work_dir}/exposure")
-    tables = summaries.build_all(meetings, actions, exposed)
+    sinks.write_parquet(summaries.meeting_counts(meetings, actions),
+                        f"{work_dir}/meeting_counts")
+    tables = summaries.build_all(meetings, actions, exposed,
+                                 spark.read.parquet(f"{work_dir}/meeting_counts"))
     sinks.write_tables(tables, f"{work_dir}/analysis")
     return {name: spark.read.parquet(f"{work_dir}/analysis/{name}") for name in tables}
 
@@ -124,8 +138,12 @@ def evaluate(spark: SparkSession, golden_jsonl: str, classifier: evaluation.Clas
     Golden rows are classified once, into a small stored cube that every table
     is computed from. A missing golden set scores as an empty one.
     """
-    golden = readers.read_or_empty(spark, golden_jsonl, GOLDEN, "json").withColumn(
-        "seq", F.struct("labelled_at", F.monotonically_increasing_id()))
+    if readers.exists(spark, golden_jsonl, "text"):
+        golden = readers.read_jsonl_in_order(spark, golden_jsonl, GOLDEN, "_line")
+    else:
+        golden = readers.read_or_empty(spark, [], GOLDEN).withColumn(
+            "_line", F.lit(None).cast("long"))
+    golden = golden.withColumn("seq", F.struct("labelled_at", "_line")).drop("_line")
     pairs = evaluation.eval_pairs(evaluation.golden_latest(golden), classifier)
     cube_path = f"{reports_dir}_cubes/{method}"
     sinks.write_parquet(evaluation.score_cube(pairs), cube_path)

@@ -35,71 +35,109 @@ HAZARD_RISK_COLUMNS = {
 }
 
 
-_TYPES = {
-    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
-    "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-}
-
-
-def _struct(required: str, spec: str) -> T.StructType:
-    names = set(required.split())
-    fields = []
-    for item in spec.split(","):
-        name, type_name = item.split()
-        fields.append(T.StructField(name, _TYPES[type_name], name not in names))
-    return T.StructType(fields)
-
-
-CANONICAL_MEETING = _struct(
-    "canonical_id jurisdiction_fips meeting_date meeting_type transcript_quality source",
-    "canonical_id string, jurisdiction_name string, jurisdiction_fips string, state string,"
-    "meeting_date date, meeting_type string, transcript string, transcript_quality string,"
-    "source string, source_url string, source_record_id string, ingested_at timestamp,"
-    "ingest_seq bigint, transcript_chars bigint",
-)
-
-ACTION = _struct(
-    "canonical_id action_text action_category confidence model_version",
-    "canonical_id string, action_text string, action_category string, hazard_type string,"
-    "confidence double, model_version string, extracted_at timestamp",
-)
-
-PROVENANCE_LINK = _struct(
-    "canonical_id source is_primary",
-    "canonical_id string, source string, source_record_id string, source_url string,"
-    "transcript_quality string, is_primary boolean",
-)
-
-CONFLICT = _struct(
-    "canonical_id field",
-    "canonical_id string, field string, source_a string, value_a string, source_b string,"
-    "value_b string, resolved_value string, note string",
-)
-
-COUNTY_RISK = _struct(
-    "STCOFIPS",
-    "STCOFIPS string, STATEABBRV string, COUNTY string, POPULATION bigint, RISK_SCORE double,"
-    "IFLD_RISKS double, CFLD_RISKS double, WFIR_RISKS double, HWAV_RISKS double,"
-    "DRGT_RISKS double, HRCN_RISKS double",
-)
-
-PLACE_TO_COUNTY = _struct("", "place_fips string, county_fips string")
-
-CROSSWALK = _struct("", "jurisdiction_name string, state string, fips string, fips_type string")
-
-EXPOSURE = _struct(
-    "canonical_id",
-    "canonical_id string, county_fips string, county_name string, overall_risk double,"
-    + ",".join(f"risk_{hazard} double" for hazard in HAZARD_RISK_COLUMNS),
-)
-
-GOLDEN = _struct(
-    "action_text action_category",
-    "canonical_id string, action_text string, action_category string, hazard_type string,"
-    "label_source string, labelled_at timestamp",
-)
-
-RESPONSE = _struct("canonical_id", "canonical_id string, raw string")
+# A sortable place of a row in the files it was read from.
+ROW_ORDER = "row_order"
+
+
+CANONICAL_MEETING = T.StructType([
+    T.StructField("canonical_id", T.StringType(), nullable=False),
+    T.StructField("jurisdiction_name", T.StringType()),
+    T.StructField("jurisdiction_fips", T.StringType(), nullable=False),
+    T.StructField("state", T.StringType()),
+    T.StructField("meeting_date", T.DateType(), nullable=False),
+    T.StructField("meeting_type", T.StringType(), nullable=False),
+    T.StructField("transcript", T.StringType()),
+    T.StructField("transcript_quality", T.StringType(), nullable=False),
+    T.StructField("source", T.StringType(), nullable=False),
+    T.StructField("source_url", T.StringType()),
+    T.StructField("source_record_id", T.StringType()),
+    T.StructField("ingested_at", T.TimestampType()),
+    T.StructField("ingest_seq", T.LongType()),
+    T.StructField("transcript_chars", T.LongType()),
+])
+
+ACTION = T.StructType([
+    T.StructField("canonical_id", T.StringType(), nullable=False),
+    T.StructField("action_text", T.StringType(), nullable=False),
+    T.StructField("action_category", T.StringType(), nullable=False),
+    T.StructField("hazard_type", T.StringType()),
+    T.StructField("confidence", T.DoubleType(), nullable=False),
+    T.StructField("model_version", T.StringType(), nullable=False),
+    T.StructField("extracted_at", T.TimestampType()),
+])
+
+PROVENANCE_LINK = T.StructType([
+    T.StructField("canonical_id", T.StringType(), nullable=False),
+    T.StructField("source", T.StringType(), nullable=False),
+    T.StructField("source_record_id", T.StringType()),
+    T.StructField("source_url", T.StringType()),
+    T.StructField("transcript_quality", T.StringType()),
+    T.StructField("is_primary", T.BooleanType(), nullable=False),
+])
+
+CONFLICT = T.StructType([
+    T.StructField("canonical_id", T.StringType(), nullable=False),
+    T.StructField("field", T.StringType(), nullable=False),
+    T.StructField("source_a", T.StringType()),
+    T.StructField("value_a", T.StringType()),
+    T.StructField("source_b", T.StringType()),
+    T.StructField("value_b", T.StringType()),
+    T.StructField("resolved_value", T.StringType()),
+    T.StructField("note", T.StringType()),
+])
+
+COUNTY_RISK = T.StructType([
+    T.StructField("STCOFIPS", T.StringType(), nullable=False),
+    T.StructField("STATEABBRV", T.StringType()),
+    T.StructField("COUNTY", T.StringType()),
+    T.StructField("POPULATION", T.LongType()),
+    T.StructField("RISK_SCORE", T.DoubleType()),
+    T.StructField("IFLD_RISKS", T.DoubleType()),
+    T.StructField("CFLD_RISKS", T.DoubleType()),
+    T.StructField("WFIR_RISKS", T.DoubleType()),
+    T.StructField("HWAV_RISKS", T.DoubleType()),
+    T.StructField("DRGT_RISKS", T.DoubleType()),
+    T.StructField("HRCN_RISKS", T.DoubleType()),
+])
+
+PLACE_TO_COUNTY = T.StructType([
+    T.StructField("place_fips", T.StringType()),
+    T.StructField("county_fips", T.StringType()),
+])
+
+CROSSWALK = T.StructType([
+    T.StructField("jurisdiction_name", T.StringType()),
+    T.StructField("state", T.StringType()),
+    T.StructField("fips", T.StringType()),
+    T.StructField("fips_type", T.StringType()),
+])
+
+EXPOSURE = T.StructType([
+    T.StructField("canonical_id", T.StringType(), nullable=False),
+    T.StructField("county_fips", T.StringType()),
+    T.StructField("county_name", T.StringType()),
+    T.StructField("overall_risk", T.DoubleType()),
+    *[T.StructField(f"risk_{hazard}", T.DoubleType()) for hazard in HAZARD_RISK_COLUMNS],
+])
+
+GOLDEN = T.StructType([
+    T.StructField("canonical_id", T.StringType()),
+    T.StructField("action_text", T.StringType(), nullable=False),
+    T.StructField("action_category", T.StringType(), nullable=False),
+    T.StructField("hazard_type", T.StringType()),
+    T.StructField("label_source", T.StringType()),
+    T.StructField("labelled_at", T.TimestampType()),
+])
+
+RESPONSE = T.StructType([
+    T.StructField("canonical_id", T.StringType(), nullable=False),
+    T.StructField("raw", T.StringType()),
+])
+
+RAW_SEGMENT = T.StructType([
+    T.StructField("uid", T.StringType()),
+    T.StructField("transcript", T.StringType()),
+])
 
 
 def quality_rank(quality: Column) -> Column:

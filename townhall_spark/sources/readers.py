@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from townhall_spark.functions.domains import MEETING_RULES, check_domain
-from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, PLACE_TO_COUNTY
+from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, PLACE_TO_COUNTY, ROW_ORDER
+
+
+# Arrival numbers of the i-th file of a source start at i * 2^40.
+FILE_SHIFT = 40
+MAX_FILES = 1 << 16
+
+# Slashes after a scheme come in different numbers.
+_SCHEME = r"^(\w+):/+"
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -37,25 +46,92 @@ def read_canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return check_domain(read_jsonl(spark, path, CANONICAL_MEETING), MEETING_RULES)
 
 
-def read_years(spark: SparkSession, root: str, years: Sequence[int | str],
-               known: Mapping[str, object], columns: Sequence[str] | None = None,
-               pattern: str = "meetings.{year}.parquet") -> DataFrame:
-    """Yearly parquet files of the requested years that exist in ``known``.
+def in_file_order(frames: Sequence[DataFrame], name: str = "ingest_seq") -> list[DataFrame]:
+    """Parquet frames with the arrival number of each row: its file's place, then its own.
+
+    Files count in the order of the frames and, inside a frame, of their paths. The
+    order does not depend on how Spark packs files into tasks.
+    """
+    out, first = [], 0
+    for frame in frames:
+        files = frame.inputFiles()
+        number = _file_numbers(frame.sparkSession, files, first)
+        place = F.col("_metadata.row_index")
+        out.append(frame.select("*", _file().alias("_file"), place.alias("_place"))
+                   .join(number, "_file")
+                   .withColumn(name, F.shiftleft("_number", FILE_SHIFT) + F.col("_place"))
+                   .drop("_file", "_place", "_number"))
+        first += len(files)
+    return out
+
+
+def _file_numbers(spark: SparkSession, files: Sequence[str], first: int) -> DataFrame:
+    if first + len(files) > MAX_FILES:
+        raise ValueError(f"one source has more than {MAX_FILES} files")
+    names = sorted(re.sub(_SCHEME, r"\1:/", f) for f in files)
+    return spark.createDataFrame([(f, first + i) for i, f in enumerate(names)],
+                                 "_file string, _number long")
+
+
+def _file() -> Column:
+    """A row's file, spelled as a listing of files spells it."""
+    return F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/")
+
 
-    Only the paths of requested years are listed, so other years are never read.
+def read_jsonl_in_order(spark: SparkSession, path: str, schema: T.StructType,
+                        name: str = "ingest_seq") -> DataFrame:
+    """JSON lines of a declared schema with the arrival number of each line.
+
+    Blank lines are left out; a broken line is a row of nulls. A row's place in its
+    file is where its block of the file starts plus its place in the block, which
+    rises along the file however Spark cuts it.
     """
-    paths = [f"{root}/{pattern.format(year=y)}" for y in years if str(y) in known]
-    if not paths:
+    lines = spark.read.text(path).select(
+        "value", _file().alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"))
+    numbers = _file_numbers(spark, lines.inputFiles(), 0)
+    place = F.shiftleft("_number", FILE_SHIFT) + F.col("_block") + F.col("_id") - F.col("_first")
+    parsed = F.from_json("value", nullable(schema)).alias("_row")
+    return (lines.join(blocks, ["_file", "_block"]).join(numbers, "_file")
+            .where(F.trim("value") != "")
+            .select(parsed, place.alias(name)).select("_row.*", name))
+
+
+def union_years(frames: Mapping[int, DataFrame], years: Sequence[int | str]) -> DataFrame:
+    """The frames of the requested years that there are, in the order of the request."""
+    found = [frames[int(y)] for y in years if int(y) in frames]
+    if not found:
         raise ValueError(f"no known year among {list(years)}")
-    frames = [read_columns(spark, p, columns) for p in paths]
-    out = frames[0]
-    for frame in frames[1:]:
+    out = found[0]
+    for frame in found[1:]:
         out = out.unionByName(frame)
     return out
 
 
+def read_years(spark: SparkSession, root: str, years: Sequence[int | str],
+               known: Sequence[int | str], columns: Sequence[str] | None = None,
+               pattern: str = "meetings.{year}.parquet", arrival: str | None = None) -> DataFrame:
+    """Yearly parquet files of the requested years that are known.
+
+    Only the files of requested years are listed. ``arrival`` names a column for the
+    rows' arrival numbers, in the order of years, files and rows.
+    """
+    wanted = [int(y) for y in years if int(y) in {int(k) for k in known}]
+    frames = [spark.read.parquet(f"{root}/{pattern.format(year=y)}") for y in wanted]
+    if arrival:
+        frames = in_file_order(frames, arrival)
+    if columns:
+        frames = [f.select(*columns, *[arrival] * bool(arrival)) for f in frames]
+    return union_years(dict(zip(wanted, frames, strict=True)), years)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; the schema's columns are found by name, others are not parsed."""
+    """CSV with a header; the schema's columns are found by name, others are not parsed.
+
+    ``row_order`` is a sortable place of each row, by path, block and row.
+    """
     header = spark.read.option("header", True).csv(path)
     columns = []
     for field in schema.fields:
@@ -64,7 +140,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         else:
             column = F.lit(None).cast(field.dataType)
         columns.append(column.alias(field.name))
-    return header.select(*columns)
+    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                     F.monotonically_increasing_id().alias("row"))
+    return header.select(*columns, order.alias(ROW_ORDER))
 
 
 def read_counties(spark: SparkSession, path: str) -> DataFrame:
@@ -98,13 +176,3 @@ def read_or_empty(spark: SparkSession, paths: str | Sequence[str], schema: T.Str
 def read_place_to_county(spark: SparkSession, path: str) -> DataFrame:
     """Optional place-to-county table, all text; empty when there is no file."""
     return read_or_empty(spark, path, PLACE_TO_COUNTY, "csv")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files alone give fewer scan tasks than cores.
-
-    A few large row groups would leave text work to a few tasks. Tables with
-    enough files, which is any large table, pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,22 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` and read back.
+
+    Where the setting is missing a temporary folder does on a local master only.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="townhall-")
+    path = f"{base.rstrip('/')}/townhall-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines; null fields are written, not dropped."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -36,9 +54,13 @@ def append_labels(labels: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, root: str, run_ts: str) -> None:
-    """Add a run's (method, report) rows to the report table."""
+    """Put a run's (method, report) rows into the report table.
+
+    A run replaces its own earlier rows and no others.
+    """
     (report.withColumn("run_ts", F.lit(run_ts))
-     .write.mode("append").partitionBy("method", "run_ts").json(root))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("method", "run_ts").json(root))
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:

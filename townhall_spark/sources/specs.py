@@ -13,16 +13,21 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from townhall_spark.functions.fields import compile_map, compile_spec
 from townhall_spark.functions.ids import canonical_id
 from townhall_spark.functions.text import has_text
 from townhall_spark.operators import sampling
 from townhall_spark.operators.segments import segments_to_meetings
-from townhall_spark.sources.readers import read_jsonl, read_years
+from townhall_spark.schemas import RAW_SEGMENT
+from townhall_spark.sources.readers import read_jsonl, read_jsonl_in_order, read_years
 
 SOURCES_DIR = Path(__file__).resolve().parents[1] / "config" / "sources"
 
+# The column of arrival numbers.
+SEQ = "ingest_seq"
+
 # Arrival numbers of the i-th source start at i * 2^56.
 SOURCE_SHIFT = 56
 
@@ -30,7 +35,7 @@ SOURCE_SHIFT = 56
 @dataclass(frozen=True)
 class SourceSpec:
     """One source. ``order_column`` names a unique number that gives the arrival
-    order; without it, the order of files and rows is used."""
+    order; without it, the order of files, by path, and of their rows is used."""
 
     name: str
     loader: Mapping[str, Any]
@@ -65,16 +70,17 @@ def available_sources(directory: str | Path = SOURCES_DIR) -> list[str]:
 
 def _load_years(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFrame:
     cfg = spec.loader
-    return read_years(spark, f"{raw_dir}/{spec.name}", cfg["years"], cfg["file_ids"],
-                      cfg.get("columns"))
+    return read_years(spark, f"{raw_dir}/{spec.name}", cfg["years"], cfg["known_years"],
+                      cfg.get("columns"), arrival=None if spec.order_column else SEQ)
 
 
 def _load_rows(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFrame:
-    rows = read_jsonl(spark, f"{raw_dir}/{spec.name}/sample.jsonl")
-    return sampling.bounded(
-        rows.withColumn("_row", arrival(spec)), spec.loader.get("sample_size",
-                                                                sampling.SAMPLE_SIZE),
-        "_row").drop("_row")
+    """Segment rows of files that are in place, whole; a sample is the spec's to ask for."""
+    path, columns = f"{raw_dir}/{spec.name}/sample.jsonl", [f.name for f in RAW_SEGMENT]
+    if spec.order_column and spec.order_column not in columns:
+        schema = T.StructType([*RAW_SEGMENT, T.StructField(spec.order_column, T.LongType())])
+        return read_jsonl(spark, path, schema)
+    return read_jsonl_in_order(spark, path, RAW_SEGMENT, SEQ)
 
 
 # Loaders read files that are already in place; they do not download.
@@ -84,11 +90,12 @@ LOADERS: dict[str, Callable[[SparkSession, SourceSpec, str], DataFrame]] = {
 }
 
 
-def arrival(spec: SourceSpec) -> Column:
-    """Arrival number of a row within its source."""
+def arrival(raw: DataFrame, spec: SourceSpec) -> Column:
+    """Arrival number of a row within its source: the order column, else what the loader
+    numbered, else the order of the frame's partitions."""
     if spec.order_column:
         return F.col(spec.order_column).cast("long")
-    return F.monotonically_increasing_id()
+    return F.col(SEQ) if SEQ in raw.columns else F.monotonically_increasing_id()
 
 
 def in_scope(raw: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -143,7 +150,9 @@ def map_tabular(raw: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def map_segments(raw: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Agenda segments grouped into meetings."""
+    """Agenda segments, a sample of them if asked for, grouped into meetings."""
+    if spec.sample.get("size"):
+        raw = sampling.bounded(raw, spec.sample["size"])
     return segments_to_meetings(raw, spec.name, spec.source_url)
 
 
@@ -155,7 +164,7 @@ MAPPERS: dict[str, Callable[[DataFrame, SourceSpec], DataFrame]] = {
 
 def canonical_of(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     """Canonical records of raw rows that are already loaded."""
-    return MAPPERS[spec.mapper](raw.withColumn("ingest_seq", arrival(spec)), spec)
+    return MAPPERS[spec.mapper](raw.withColumn(SEQ, arrival(raw, spec)), spec)
 
 
 def run_source(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFrame:
