@@ -340,7 +340,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     members = classed.select("id", "n", "class").join(
         labels.withColumnRenamed("node", "id"), "id")
     cells = stored(_cells(members))
-    links = stored(rows.join(cells, "id").groupBy("cell").applyInArrow(
+    # A short list of ids reaches all tasks by Spark's own size check; then only the texts
+    # of candidates are shuffled. A long one is one more use of the same shuffle by id.
+    wanted = stored(cells.select("id").distinct())
+    texts = rows.join(wanted, "id", "left_semi").join(cells, "id")
+    links = stored(texts.groupBy("cell").applyInArrow(
         _join_cell(width, percent), "a long, b long"))
     # Rows of one id but different texts are one document: their texts connect.
     own = some.join(distinct.select("digest", F.col("id").alias("least")), "digest").select(
@@ -354,7 +358,13 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """The documents with the smallest id of each component, their columns unchanged."""
-    kept = join(docs, width, percent, key, text).where("id = component").select(
-        F.col("id").alias("_id")).distinct()
-    return (docs.withColumn("_id", _ids(key, text)).join(kept, "_id")
-            .dropDuplicates(["_id"]).drop("_id"))
+    found = stored(join(docs, width, percent, key, text).select(
+        F.col("id").alias("_id"), F.col("component")))
+    dropped = stored(found.where("_id <> component").select("_id").distinct())
+    repeated = stored(found.where("_id = component").groupBy("_id").agg(
+        F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id"))
+    kept = docs.withColumn("_id", _ids(key, text)).join(dropped, "_id", "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "_id", "left_semi").dropDuplicates(["_id"])
+        kept = kept.join(repeated, "_id", "left_anti").unionByName(once)
+    return kept.drop("_id")

@@ -133,8 +133,8 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source",
 
 def without_live(docs: DataFrame, key: str = "doc_id", **columns: str) -> DataFrame:
     """The documents that hold no live-looking credential, whole and unchanged."""
-    live = (scan(docs, key=key, **columns).where("n_live > 0")
-            .select(F.col(key).alias("_live")).distinct())
+    live = stored(scan(docs, key=key, **columns).where("n_live > 0")
+                  .select(F.col(key).alias("_live")).distinct())
     return docs.join(live, F.col(key).eqNullSafe(F.col("_live")), "left_anti")
 
 
