@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 2_000_000
+_WORDS_KEPT = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def values(column: pa.Array) -> Iterator:
+    """The values of an Arrow column, one at a time."""
+    return (v.as_py() for v in column)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.llm.common import WordHashes, combined
+from townhall_spark.llm.common import WordHashes, combined, values
 from townhall_spark.llm.words import HashSet, words
 
 WIDTH = 5
@@ -151,17 +151,18 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
 
 
 def _flag(docs: DataFrame, rows: list[tuple[int, str]], text: str, least: float) -> DataFrame:
-    kind = docs.schema.simpleString()
+    kind, at = docs.schema.simpleString(), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, seen = Items(rows), WordHashes()
         form = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()),
                                    ("start_word", pa.int64()), ("n_words", pa.int64())]))
         for batch in batches:
-            found = [items.matches(seen.of(words(t)), least) for t in batch.column(1).to_pylist()]
+            found = [items.matches(seen.of(words(t)), least) 
+                     for t in values(batch.column(0).field(at))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, form)],
                                              names=["row", "matches"])
-    return docs.select(F.struct("*").alias("row"), F.col(text).alias("_text")).mapInArrow(
+    return docs.select(F.struct("*").alias("row")).mapInArrow(
         run, f"row {kind}, matches {MATCHES}")
 
 

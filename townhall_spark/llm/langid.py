@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from townhall_spark.llm.common import values
+
 BUCKETS = 1 << 15
 WIDTHS = (1, 2, 3, 4)
 DIMENSIONS = 16
@@ -141,7 +143,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, buckets, counts = [], [], []
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for lang, text in zip(*map(values, batch.columns), strict=True):
             bag = np.zeros(BUCKETS, np.int64)
             for chunk in _chunks(text):
                 bag += np.bincount(features(chunk), minlength=BUCKETS)
@@ -195,18 +197,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     are read whole, in parts of bounded length. Repeated rows get the same answer; an
     empty table gives an empty table; columns named like the result's stay in ``row``.
     """
-    kind = docs.schema.simpleString()
+    kind, at = docs.schema.simpleString(), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            found = [score(t) for t in batch.column(1).to_pylist()]
+            found = [score(t) for t in values(batch.column(0).field(at))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64()),
                  pa.array([f[2] for f in found], pa.bool_())],
                 names=["row", "lang_pred", "score", "rejected"])
-    return docs.select(F.struct("*").alias("row"), F.col(text).alias("_text")).mapInArrow(
+    return docs.select(F.struct("*").alias("row")).mapInArrow(
         run, f"row {kind}, lang_pred string, score double, rejected boolean")
 
 

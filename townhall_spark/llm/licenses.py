@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.llm.common import WordHashes, combined
+from townhall_spark.llm.common import WordHashes, combined, values
 from townhall_spark.llm.words import HashSet, words
 
 # Public licence texts and the notices that stand for them.
@@ -201,7 +201,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, leas
         scanner, seen = Scanner(templates), WordHashes()
         for batch in batches:
             found = [scanner.matches(seen.of(words(t)), least)
-                     for t in batch.column(1).to_pylist()]
+                     for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0),
                  pa.array([sorted({m.license for m in f}) for f in found], pa.list_(pa.string())),

@@ -33,12 +33,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.llm.common import WordHashes, shingle_set, stored, text_or_empty
+from townhall_spark.llm.common import (
+    WordHashes,
+    shingle_set,
+    stored,
+    text_or_empty,
+    values,
+)
 from townhall_spark.llm.components import components
 
 # Text bytes behind one bucket of shingles; shingles of one block of documents.
 BUCKET_BYTES = 4 << 20
-BLOCK_SHINGLES = 4 << 20
+BLOCK_SHINGLES = 2 << 20
+BLOCK_DOCS = 1 << 16
 # Documents and shingles of one slice of a cell; a task holds two slices.
 SLICE_DOCS = 4096
 SLICE_SHINGLES = 4 << 20
@@ -61,7 +68,7 @@ def _ids(key: str, text: str) -> Column:
 
 def _deal(width: int, bits: int):
     """Blocks of documents: per bucket the shingles' keys and how many each document has."""
-    names = ["block", "bucket", "keys", "counts", "ids", "digests", "sizes"]
+    names = [c.split()[0] for c in _DEALT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, block = WordHashes(), TaskContext.get().partitionId() << 32
@@ -79,9 +86,10 @@ def _deal(width: int, bits: int):
             rows = []
             for b in range(1 << bits):
                 own = slice(ends[b - 1] if b else 0, ends[b])
-                counts = np.bincount(doc[order[own]], minlength=len(sets)).astype(np.uint32)
+                counts = np.bincount(doc[order[own]], minlength=len(sets))
                 meta = b == 0
-                rows.append((block, b, keys[own].tobytes(), counts.tobytes(),
+                rows.append((block, b, len(sets), keys[own].tobytes(),
+                             counts.astype(np.min_scalar_type(counts.max())).tobytes(),
                              np.array(ids, np.int64).tobytes() if meta else None,
                              b"".join(digests) if meta else None,
                              sizes.tobytes() if meta else None))
@@ -89,23 +97,24 @@ def _deal(width: int, bits: int):
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
-                 *[pa.array(c, pa.binary()) for c in columns[2:]]], names)
+                 pa.array(columns[2], pa.int32()),
+                 *[pa.array(c, pa.binary()) for c in columns[3:]]], names)
 
         for batch in batches:
-            for key, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, digest, text in zip(*map(values, batch.columns), strict=True):
                 found = shingle_set(text, width, seen)
                 ids.append(key)
                 digests.append(digest)
                 sets.append(found)
                 total += len(found)
-                if total >= BLOCK_SHINGLES:
+                if total >= BLOCK_SHINGLES or len(sets) == BLOCK_DOCS:
                     yield flush()
         if sets:
             yield flush()
     return run
 
 
-_DEALT = ("block long, bucket int, keys binary, counts binary, ids binary, digests binary, "
+_DEALT = ("block long, bucket int, docs int, keys binary, counts binary, ids binary, digests binary, "
           "sizes binary")
 _SHARED = ("block long, bucket int, keys binary, docs binary, ranks binary, ids binary, "
            "digests binary, sizes binary")
@@ -120,12 +129,14 @@ def _count(rows: pa.Table) -> pa.Table:
     # The rank is all that matters, and equal for equal shingles: logarithmic steps do.
     rank = np.minimum(255, np.floor(8 * np.log2(times))).astype(np.uint8)
     out, at = [], 0
-    for key, counts in zip(keys, rows.column("counts").to_pylist(), strict=True):
+    for key, counts, n in zip(keys, rows.column("counts").to_pylist(),
+                              rows.column("docs").to_pylist(), strict=True):
         own = where[at:at + len(key)]
         at += len(key)
         shared = times[own] > 1
-        held = np.frombuffer(counts, np.uint32)
-        docs = np.repeat(np.arange(len(held), dtype=np.uint32), held)
+        # The counts of a block's n documents are as wide as the largest needs.
+        docs = np.repeat(np.arange(n, dtype=np.uint16),
+                         np.frombuffer(counts, f"u{len(counts) // n}"))
         out.append((key[shared].tobytes(), docs[shared].tobytes(), rank[own][shared].tobytes()))
     columns = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
     return pa.table([rows.column("block"), rows.column("bucket"), *columns,
@@ -143,7 +154,7 @@ def _prefixes(percent: int):
         n = np.frombuffer(parts["sizes"][first], np.uint32).astype(np.int64)
         keys = np.concatenate([(np.int64(b) << 32) | np.frombuffer(k, np.uint32).astype(np.int64)
                                for b, k in zip(parts["bucket"], parts["keys"], strict=True)])
-        docs = np.concatenate([np.frombuffer(d, np.uint32) for d in parts["docs"]])
+        docs = np.concatenate([np.frombuffer(d, np.uint16) for d in parts["docs"]])
         ranks = np.concatenate([np.frombuffer(r, np.uint8) for r in parts["ranks"]])
         order = np.lexsort((keys, ranks, docs))
         keys, docs = keys[order], docs[order]
@@ -279,7 +290,7 @@ def _join_cell(width: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
         seen = WordHashes()
         ids = rows.column("id").to_pylist()
-        sets = [shingle_set(t, width, seen) for t in rows.column("text").to_pylist()]
+        sets = [shingle_set(t, width, seen) for t in values(rows.column("text"))]
         roots = linked(sets, percent)
         pairs = [(ids[i], ids[r]) for i, r in enumerate(roots) if ids[i] != ids[r]]
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()),

@@ -24,12 +24,16 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from townhall_spark.llm.common import values
 
 SEQUENCE_TOKENS = 1024
 GROUP_TOKENS = 2 * 1024 * 1024
 # Cost of attention relative to the linear layers, per pair of tokens.
 QUADRATIC = 1 / 1024
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = "<|endoftext|>"
 END_ID = 0
 
@@ -37,16 +41,30 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "sequence_id long, offset long")
 
 
-def encoder(path: str | None = None) -> tiktoken.Encoding:
-    """The byte-level BPE; its file of ranks holds the ids of ``byte_bpe_50k.json``.
+class Encoder:
+    """Ids of ``byte_bpe_50k.json``, special tokens not added.
 
-    The special token's string in a text is the special token, as in that file's
-    own tokenizer.
+    The same vocabulary as ranks gives the same ids several times as fast; where that
+    reader gives up (white space of a million characters and more), the file's own
+    tokenizer reads the text. The special token's string in a text is the special
+    token for both.
     """
-    with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
-        ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN,
-                             mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+
+    def __init__(self, ranks: str | None = None, tokenizer: str | None = None):
+        with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
+            ids = {base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding(
+            "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids,
+            special_tokens={END_OF_TEXT: len(ids)})
+        self.path, self.own = tokenizer or public_tokenizers.path(VOCABULARY), None
+
+    def __call__(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if self.own is None:
+                self.own = Tokenizer.from_file(self.path)
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def capacities(tokens: int, most: int = SEQUENCE_TOKENS) -> list[int]:
@@ -92,11 +110,11 @@ def pack(lengths: np.ndarray, most: int = SEQUENCE_TOKENS, quadratic: float = QU
     return pieces
 
 
-def _packed(most: int, group_tokens: int, quadratic: float, path: str | None):
+def _packed(most: int, group_tokens: int, quadratic: float, files: tuple[str | None, str | None]):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = Encoder(*files)
         # Sequence ids: the partition's number, then a count in it; a task that runs
         # again packs the same rows to the same ids.
         base = TaskContext.get().partitionId() << 40
@@ -114,9 +132,8 @@ def _packed(most: int, group_tokens: int, quadratic: float, path: str | None):
                 [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)], names)
 
         for batch in batches:
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encode.encode_to_numpy(text, allowed_special="all")
-                ids = np.append(ids, END_ID).astype("<u4")
+            for key, text in zip(*map(values, batch.columns), strict=True):
+                ids = np.append(encode(text), END_ID).astype("<u4")
                 held.append((key, ids))
                 tokens += len(ids)
                 if tokens >= group_tokens:
@@ -128,14 +145,16 @@ def _packed(most: int, group_tokens: int, quadratic: float, path: str | None):
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                    most: int = SEQUENCE_TOKENS, group_tokens: int = GROUP_TOKENS,
-                   quadratic: float = QUADRATIC, path: str | None = None) -> DataFrame:
+                   quadratic: float = QUADRATIC, ranks: str | None = None,
+                   tokenizer: str | None = None) -> DataFrame:
     """Every token of every document in exactly one piece of one sequence.
 
     A document is the ids of its text (null: empty) and the end id 0, so an empty
     text is one token. Repeated rows are packed each by itself; an empty table
     gives an empty table. A task holds the ids of one group, ``group_tokens`` and
-    its last document.
+    its last document. ``ranks`` and ``tokenizer`` are paths of the vocabulary's two
+    files, the same on every machine.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(_packed(most, group_tokens, quadratic, path), SCHEMA)
+    return rows.mapInArrow(_packed(most, group_tokens, quadratic, (ranks, tokenizer)), SCHEMA)
