@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from townhall_spark.plans.catalog import CATALOG
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -34,7 +35,7 @@ def rows(columns, records):
     return sorted((tuple(plain(r[i]) for i in order) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(CATALOG))
 def test_query(spark, duck, name):
     df = driver.queries()[name](spark, SF)
     result = duck.execute(ORACLES[name])
@@ -45,6 +46,10 @@ def test_query(spark, duck, name):
     assert got
 
 
+def test_all_are_registered():
+    assert set(CATALOG) <= set(driver.queries()) and set(CATALOG) <= set(ORACLES)
+
+
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns[0] == "region" and df.count() == 5
