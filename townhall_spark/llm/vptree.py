@@ -121,14 +121,11 @@ def _usable(vector: str) -> Column:
 
 
 def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, equal rows once, by id and then by components."""
+    """Ids and vectors, by id and then by components."""
     ids = np.array(rows.column("id").to_pylist(), np.int64)
     vectors = np.array(rows.column("vector").to_pylist(), np.float64)
     order = np.lexsort((*vectors.T[::-1], ids))
-    ids, vectors = ids[order], vectors[order]
-    again = (ids[1:] == ids[:-1]) & (vectors[1:] == vectors[:-1]).all(axis=1)
-    kept = np.concatenate([[True], ~again])
-    return ids[kept], vectors[kept]
+    return ids[order], vectors[order]
 
 
 def _blob(key: tuple, names: tuple[str, str, str], value: object) -> pa.Table:
@@ -173,7 +170,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         return df.where(F.col(key).isNotNull() & _usable(vector)).select(
             F.col(key).cast("long").alias("id"),
             F.col(vector).cast("array<double>").alias("vector"),
-            F.size(vector).alias("dim"))
+            F.size(vector).alias("dim")).distinct()
 
     rows, asked = usable(vectors), usable(queries)
     shards = max(1, math.ceil(rows.count() / shard_vectors))
