@@ -28,6 +28,7 @@ from townhall_spark.operators import (
 )
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.plans import oracles as sql
+from townhall_spark.schemas import GOLDEN, PLACE_TO_COUNTY
 from townhall_spark.sources import readers, sinks, specs
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +119,107 @@ def places_last_entry(spark, sf_dir):
         F.col("_place").alias("place_fips"), F.col("_place_county").alias("county_fips"))
 
 
+# ---- files: tables written to a scratch folder and read by the library's readers ----
+
+@query("yearly_files", (), """
+    SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) IN (1993, 1995)""")
+def yearly_files(spark, sf_dir):
+    """One parquet file a year; 1994 is not requested, 2001 not known."""
+    root, day = sinks.scratch(spark), F.col("o_orderdate")
+    orders = fx.table(spark, sf_dir, "orders")
+    for year in (1993, 1994, 1995):
+        sinks.write_parquet(
+            orders.where((day >= F.lit(f"{year}-01-01").cast("timestamp_ntz"))
+                         & (day < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))),
+            f"{root}/meetings.{year}.parquet")
+    return readers.read_years(spark, root, [1993, 1995, 2001], [1993, 1994, 1995],
+                              ["o_orderkey", "o_totalprice"])
+
+
+@query("jsonl_scan", ("canonical",), "SELECT * FROM canonical")
+def jsonl_scan(spark, sf_dir):
+    """Canonical records as JSON lines, read back with their schema and domains."""
+    path = sinks.scratch(spark)
+    records = fx.canonical(spark, sf_dir)
+    sinks.write_jsonl(records.withColumn("ingested_at", F.current_timestamp()), path)
+    return readers.read_canonical(spark, path)[0].select(*records.columns)
+
+
+@query("jsonl_untyped", ("label_responses",), "SELECT doc_id, raw FROM label_responses")
+def jsonl_untyped(spark, sf_dir):
+    """JSON lines without a schema."""
+    path = sinks.scratch(spark)
+    sinks.write_jsonl(fx.label_responses(spark, sf_dir), path)
+    return readers.read_jsonl(spark, path).select("doc_id", "raw")
+
+
+@query("csv_counties", ("counties",), """
+    SELECT STCOFIPS, STATEABBRV, COUNTY, n AS POPULATION, RISK_SCORE, IFLD_RISKS, CFLD_RISKS,
+      WFIR_RISKS, HWAV_RISKS, DRGT_RISKS, HRCN_RISKS
+    FROM counties LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)
+      ON k = CAST(STCOFIPS AS BIGINT) - 1""")
+def csv_counties(spark, sf_dir):
+    """The county table as a wide CSV with other columns; codes stay text."""
+    path = sinks.scratch(spark)
+    counties = fx.counties(spark, sf_dir)
+    counties.withColumn("OTHER", F.lit("x")).write.option("header", True).csv(path)
+    return readers.read_counties(spark, path).select(*counties.columns)
+
+
+@query("csv_places", (), """
+    SELECT ' ' || c_nationkey AS place_fips, CAST(c_custkey AS VARCHAR) AS county_fips
+    FROM customer""")
+def csv_places(spark, sf_dir):
+    """An optional table: the first path that exists; another one is missing and empty."""
+    root = sinks.scratch(spark)
+    places = fx.place_entries(spark, sf_dir).select("place_fips", "county_fips")
+    places.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(f"{root}/b")
+    found = readers.read_or_empty(spark, [f"{root}/a", f"{root}/b"], PLACE_TO_COUNTY, "csv")
+    empty = readers.read_or_empty(spark, f"{root}/a", PLACE_TO_COUNTY, "csv")
+    return found.select("place_fips", "county_fips").unionByName(empty)
+
+
+@query("segment_files", ("segment_records",), """
+    SELECT * EXCLUDE (ingest_seq) REPLACE ('segments' AS source) FROM segment_records""")
+def segment_files(spark, sf_dir):
+    """Raw segments in several JSON files without an order column: files and rows in turn."""
+    root = sinks.scratch(spark)
+    raw = fx.raw_segments(spark, sf_dir)
+    sinks.write_jsonl(raw.repartitionByRange(4, "ingest_seq").sortWithinPartitions("ingest_seq")
+                      .select("uid", "transcript"), f"{root}/segments/sample.jsonl")
+    spec = specs.SourceSpec.from_mapping("segments", {
+        "loader": {"type": "huggingface_streaming"}, "mapper": {"type": "meetingbank_segments"},
+        "source_url": fx.SEGMENT_SPEC.source_url})
+    return specs.run_source(spark, spec, root).drop("ingest_seq")
+
+
+@query("label_files", ("golden_latest", "golden"), """
+    SELECT action_text, action_category, hazard_type, label_source FROM (
+      SELECT action_text, action_category, hazard_type, 'first' AS label_source
+      FROM golden_latest WHERE action_text NOT IN (SELECT action_text FROM golden
+        WHERE action_category = 'mitigation')
+      UNION ALL
+      SELECT action_text, 'both', 'storm', 'second' FROM (SELECT DISTINCT action_text FROM golden
+        WHERE action_category = 'mitigation'))""")
+def label_files(spark, sf_dir):
+    """Labels appended to a golden set in two runs; the last label of a text wins."""
+    path = sinks.scratch(spark)
+    golden = fx.golden(spark, sf_dir)
+    columns = ("canonical_id", "action_text", "action_category", "hazard_type", "label_source")
+    first = golden.withColumn("label_source", F.lit("first"))
+    again = (golden.where("action_category = 'mitigation'")
+             .withColumn("action_category", F.lit("both")).withColumn("hazard_type", F.lit("storm"))
+             .withColumn("label_source", F.lit("second")))
+    sinks.append_labels(first.repartitionByRange(4, "seq").sortWithinPartitions("seq")
+                        .select(*columns), path)
+    sinks.append_labels(again.select(*columns), path)
+    stored = readers.read_jsonl_in_order(spark, path, GOLDEN, "line")
+    # Two runs may stamp their labels alike only within one instant.
+    return evaluation.golden_latest(
+        stored.withColumn("seq", F.struct("labelled_at", "line")).drop("labelled_at", "line")
+    ).select("action_text", "action_category", "hazard_type", "label_source")
+
+
 # ---- field mapping -----------------------------------------------------------
 
 @query("map_fields", ("canonical",), "SELECT * FROM canonical")
@@ -716,6 +818,20 @@ def eval_report(spark, sf_dir):
     return evaluation.report_document(tables, "lexicon")
 
 
+@query("report_files", ("scored",), f"""
+    SELECT method, '20240102T000000Z' AS run_ts, macro_f1 FROM ({_OVERALL_SQL})""")
+def report_files(spark, sf_dir):
+    """Reports of two runs, one written twice; the newest counts."""
+    root = sinks.scratch(spark)
+    tables = evaluation.evaluate_cube(sinks.stored(_cube(spark, sf_dir)), "lexicon")
+    report = evaluation.report_document(tables, "lexicon")
+    for stamp in ("20240101T000000Z", "20240102T000000Z", "20240102T000000Z"):
+        sinks.write_report(report, root, stamp)
+    return sinks.latest_reports(spark, root).select(
+        "method", "run_ts", F.get_json_object("report", "$.macro_f1").cast("double")
+        .alias("macro_f1"))
+
+
 # ---- sampling and labelling --------------------------------------------------
 
 @query("group_sample", ("raw_tabular",), """

@@ -18,18 +18,23 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` and read back.
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
     Where the setting is missing a temporary folder does on a local master only.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="townhall-")
-    path = f"{base.rstrip('/')}/townhall-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/townhall-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a scratch folder and read back."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
