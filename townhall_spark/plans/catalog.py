@@ -67,6 +67,15 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.meeting_counts(*_both(spark, sf_dir))
 
 
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [table.groupBy().agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("name"), "n") for name, table in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ---- scans -------------------------------------------------------------------
 
 @query("scan_project", (), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -236,6 +245,15 @@ def map_constants(spark, sf_dir):
         fx.CONST_MAP, raw.schema).items()])
 
 
+@query("nan_to_null", (), """
+    SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer""")
+def nan_to_null(spark, sf_dir):
+    """Negative balances stand for NaN."""
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("double"))
+    return domains.nan_to_null(fx.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.coalesce(balance, F.lit(float("nan"))).alias("balance")))
+
+
 @query("in_scope", ("raw_tabular",), f"""
     SELECT vid_id, place_govt FROM raw_tabular
     WHERE {sql.govt_type('place_govt')} IS NOT NULL""")
@@ -387,6 +405,15 @@ def overlap_stats(spark, sf_dir):
                                  linking.conflicts(records))
 
 
+@query("resolve_tables", ("canonical", "meetings", "conflicts"), """
+    SELECT 'meetings' AS name, count(*) AS n FROM meetings UNION ALL
+    SELECT 'links', count(*) FROM canonical UNION ALL
+    SELECT 'conflicts', count(*) FROM conflicts""")
+def resolve_tables(spark, sf_dir):
+    """Rows of each table that linking gives."""
+    return _sizes(linking.resolve(fx.canonical(spark, sf_dir))._asdict())
+
+
 @query("resolve_jurisdiction", ("canonical",), f"""
     WITH listed AS (SELECT 'nation_' || n_nationkey AS name,
         {sql.pick([sql.STATE_CODES.get(n, 'GU') for n in fx.STATE_NAMES], 'n_nationkey % 10')}
@@ -454,6 +481,21 @@ def classify_text(spark, sf_dir):
     return labelled.select("doc_id", "sentence", "label.*")
 
 
+_SHIPPED = lexicon.load_lexicon()
+
+
+@query("shipped_lexicon", (), f"""
+    WITH s AS (SELECT doc_id, unnest({sql.sentence_list('text')}) AS sentence FROM documents),
+      c AS ({sql.classified('s', 'sentence', _SHIPPED)})
+    SELECT category, hazard, count(*) AS n FROM c GROUP BY ALL""")
+def shipped_lexicon(spark, sf_dir):
+    """Sentences per label under the lexicon file of the library."""
+    docs = fx.documents(spark, sf_dir)
+    label = lexicon.classify(F.col("sentence"), lexicon.load_lexicon())
+    return (extraction.split_sentences(docs, ["doc_id"], "text").select(label.alias("label"))
+            .groupBy("label.category", "label.hazard").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("extract_actions", ("actions",), "SELECT * FROM actions")
 def extract_actions(spark, sf_dir):
     return _actions(spark, sf_dir)
@@ -685,6 +727,26 @@ def alignment_display(spark, sf_dir):
     return summaries.alignment_display(summaries.exposure_alignment(_per_county(spark, sf_dir)))
 
 
+@query("build_all", ("placed", "actions", "enriched", "per_county", "alignment"), """
+    SELECT 'by_region' AS name, count(DISTINCT region) AS n FROM placed UNION ALL
+    SELECT 'by_state', count(DISTINCT state) FROM placed UNION ALL
+    SELECT 'by_time', count(DISTINCT year) FROM placed UNION ALL
+    SELECT 'by_hazard', count(DISTINCT hazard_type) FROM actions
+      WHERE action_category IN ('adaptation', 'both') UNION ALL
+    SELECT 'hazard_by_region', count(*) FROM (SELECT DISTINCT region, hazard_type FROM enriched
+      WHERE action_category IN ('adaptation', 'both') AND hazard_type IS NOT NULL) UNION ALL
+    SELECT 'coverage', count(*) FROM (SELECT DISTINCT region, source FROM placed) UNION ALL
+    SELECT 'exposure_jurisdictions', count(*) FROM per_county UNION ALL
+    SELECT 'exposure_alignment', count(*) FROM alignment""")
+def build_all(spark, sf_dir):
+    """Rows of each summary table, over actions and counts that are stored once."""
+    meetings = _meetings(spark, sf_dir)
+    actions = sinks.stored(_actions(spark, sf_dir))
+    counts = sinks.stored(summaries.meeting_counts(meetings, actions))
+    return _sizes(summaries.build_all(meetings, actions, _exposure(spark, sf_dir, meetings),
+                                      counts))
+
+
 # ---- evaluation --------------------------------------------------------------
 
 def _classifier(lex):
