@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,13 +57,33 @@ def test_against_brute_force(spark, width, percent, seed):
 
 
 def test_sliced_cells_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SLICE_DOCS", 3)
+    monkeypatch.setattr(ngram_join, "LEAST_SLICE", 3)
+    monkeypatch.setattr(ngram_join, "MOST_SLICE", 5)
+    monkeypatch.setattr(ngram_join, "FIRST_SEARCHES", 1)
     rows = corpus(4)
     docs = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], SCHEMA)
     got = {r.id: (r.n, r.component) for r in ngram_join.join(docs, 4, 85).collect()}
     assert got == brute(rows, 4, 85)
 
 
+def test_a_large_group_of_near_copies_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_SLICE", 9)
+    monkeypatch.setattr(ngram_join, "MOST_SLICE", 14)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(70)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.randrange(7)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(300)}"
+        rows.append((i, " ".join(text)))
+    want = brute(rows, 4, 85)
+    assert 2 < len(set(want.values())) and max(Counter(c for _, c in want.values()).values()) > 60
+    got = {r.id: (r.n, r.component) for r in ngram_join.join(
+        spark.createDataFrame([(d, t, 0, "x") for d, t in rows], SCHEMA), 4, 85).collect()}
+    assert got == want
+
+
 def test_search_in_one_cell_against_brute_force():
     rng = np.random.default_rng(5)
     for percent in (50, 80, 85, 100):

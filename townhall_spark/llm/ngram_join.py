@@ -14,7 +14,8 @@ Exact, in three steps:
 3. In each cell a T-occurrence search over inverted lists: short lists are merged by
    a heap, long ones are probed by binary search (DivideSkip), and documents with
    the required overlap are linked. Links only have to connect what is not yet
-   connected, so documents of a cell's largest group need not search.
+   connected, so documents of a cell's largest group need not search. A large cell is
+   cut into slices, and searches meet every slice.
 
 Components of the links, over all cells, are the result.
 """
@@ -26,6 +27,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +43,18 @@ from townhall_spark.llm.common import (
     values,
 )
 from townhall_spark.llm.components import components
+from townhall_spark.operators.skew import top_k_per_group
 
 # Text bytes behind one bucket of shingles; shingles of one block of documents.
 BUCKET_BYTES = 4 << 20
 BLOCK_SHINGLES = 2 << 20
 BLOCK_DOCS = 1 << 16
-# Documents and shingles of one slice of a cell; a task holds two slices.
-SLICE_DOCS = 4096
+# Documents of one slice of a cell, and its shingles; a task holds two slices.
+LEAST_SLICE = 256
+MOST_SLICE = 4096
 SLICE_SHINGLES = 4 << 20
+# Documents of a cell of several slices that search before all others.
+FIRST_SEARCHES = 8
 # Weight of list length against probing, as published for DivideSkip.
 MU = 0.0085
 # Rows without an id get internal ids from here on.
@@ -256,20 +262,23 @@ class Index:
         return out
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[int]:
+def linked(sets: list[np.ndarray], percent: int, asking: list[int] | None = None) -> list[int]:
     """For each set a representative of its component under links; exact.
 
-    A link between two components has an end outside the largest one, so it is
-    enough that all documents outside it have searched.
+    With ``asking`` only those sets search, and links between others are not looked
+    for. Otherwise all links count: one between two components has an end outside
+    the largest, so it is enough that all documents outside it have searched.
     """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     index = Index([sets[i] for i in order], percent)
     groups, searched = _Groups(len(sets)), [len(s) == 0 for s in index.sets]
-    largest = 0
+    largest, only = 0, None if asking is None else set(asking)
 
     def settled(doc: int) -> bool:
+        if searched[doc] or only is not None:
+            return searched[doc] or order[doc] not in only
         top = groups.find(largest)
-        return searched[doc] or (groups.size[top] > 1 and groups.find(doc) == top)
+        return groups.size[top] > 1 and groups.find(doc) == top
 
     while waiting := [d for d in range(len(sets)) if not settled(d)]:
         for doc in waiting:
@@ -288,36 +297,100 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
 
 def _join_cell(width: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
+        """(a, b): each document of a cell and its component's representative there."""
         seen = WordHashes()
         ids = rows.column("id").to_pylist()
+        asks = rows.column("asks").to_pylist()
         sets = [shingle_set(t, width, seen) for t in values(rows.column("text"))]
-        roots = linked(sets, percent)
+        asking = None if None in asks else [i for i, a in enumerate(asks) if a]
+        roots = linked(sets, percent, asking)
         pairs = [(ids[i], ids[r]) for i, r in enumerate(roots) if ids[i] != ids[r]]
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()),
                          pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
     return run
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """(id, cell): the cells in which a document meets all it may link with.
+def _cell(*, of: str = "0", by: str = "0") -> Column:
+    """The task of a cell's slice ``of`` and block of searching documents ``by``."""
+    return F.expr(f"struct(label, at, CAST({of} AS BIGINT) AS slice, CAST({by} AS BIGINT) AS block)")
+
+
+class _Cells(NamedTuple):
+    """``small``: (id, cell, asks) of cells that one task searches in full. ``large``: the
+    members of the others, with the ``slice`` of the cell that they are in."""
+
+    small: DataFrame
+    large: DataFrame
+
+
+def _cells(members: DataFrame) -> _Cells:
+    """The cells in which a document meets all it may link with.
 
     Size classes are a little wider than the least ratio of linked sizes, so linked
-    documents are in one class or in neighbouring ones. A cell of a group holds two
-    neighbouring classes; a large one is sliced, and each pair of slices is a cell.
+    documents are in one class or in neighbouring ones; a cell of a group holds two
+    neighbouring classes. Slices of a cell grow with the root of its documents, so
+    that slices and searches of slices both stay bounded for long.
     """
     placed = stored(members.select(
         "id", "n", "label", "class", F.explode(F.array(F.col("class"), F.col("class") + 1))
         .alias("at")))
+    size = F.greatest(F.lit(LEAST_SLICE), F.least(F.lit(MOST_SLICE), 6 * F.sqrt("docs")))
+    slices = F.ceil(F.greatest(F.col("docs") / size, F.col("shingles") / SLICE_SHINGLES))
     sizes = stored(placed.groupBy("label", "at").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"),
-        F.max("class").alias("most")).where("docs > 1 and most = at"))
-    slices = F.ceil(F.greatest(F.col("docs") / SLICE_DOCS, F.col("shingles") / SLICE_SHINGLES))
-    own = F.pmod(F.xxhash64("id"), F.col("slices"))
-    other = F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)
-    return (placed.join(sizes, ["label", "at"]).withColumn("slices", slices.cast("long"))
-            .withColumn("own", own).withColumn("other", F.explode(other))
-            .select("id", F.struct("label", "at", F.least("own", "other").alias("i"),
-                                   F.greatest("own", "other").alias("j")).alias("cell")))
+        F.max("class").alias("most")).where("docs > 1 and most = at")
+        .select("label", "at", slices.cast("long").alias("slices")))
+    cells = placed.select("id", "label", "at").join(sizes, ["label", "at"])
+    return _Cells(
+        stored(cells.where("slices = 1").select(
+            "id", _cell().alias("cell"), F.lit(None).cast("boolean").alias("asks"))),
+        stored(cells.where("slices > 1").withColumn(
+            "slice", F.pmod(F.xxhash64("id"), F.col("slices")))))
+
+
+def _search(rows: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): connected pairs that the tasks (id, cell, asks) find."""
+    tasks = stored(tasks)
+    # A short list of ids reaches all tasks by Spark's own size check; then only the texts
+    # of candidates are shuffled. A long one is one more use of the same shuffle by id.
+    wanted = stored(tasks.select("id").distinct())
+    texts = rows.join(wanted, "id", "left_semi").join(tasks, "id")
+    return stored(texts.groupBy("cell").applyInArrow(
+        _join_cell(width, percent), "a long, b long"))
+
+
+def _search_large(rows: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of cells of several slices: searches of documents against every slice.
+
+    First a few documents of each cell search, which connects most of a large group
+    of near-copies. A link between components has an end outside of the cell's largest
+    one, so then all documents outside of it search, in blocks.
+    """
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    no, yes = F.lit(False).alias("asks"), F.lit(True).alias("asks")
+    few = top_k_per_group(large, ["label", "at"], [F.xxhash64("id"), F.col("id")], FIRST_SEARCHES,
+                          F.col("id"))
+    first = _search(rows, large.select("id", _cell(of="slice").alias("cell"), no).unionByName(
+        few.withColumn("of", slices).select("id", _cell(of="of").alias("cell"), yes)),
+        width, percent)
+    labels = components(first).select(F.col("node").alias("id"), F.col("label").alias("found"))
+    grouped = stored(large.join(labels, "id", "left").withColumn(
+        "found", F.coalesce("found", "id")))
+    largest = (grouped.groupBy("label", "at", "found").agg(F.count(F.lit(1)).alias("docs"))
+               .groupBy("label", "at").agg(F.max(F.struct("docs", "found")).alias("top"))
+               .select("label", "at", F.col("top.found").alias("found")))
+    outside = stored(grouped.join(largest, ["label", "at", "found"], "left_anti"))
+    blocks = outside.groupBy("label", "at").agg(F.count(F.lit(1)).alias("searches"))
+    size = F.greatest(F.lit(LEAST_SLICE), F.least(F.lit(MOST_SLICE), 6 * F.sqrt("searches")))
+    blocks = stored(blocks.select("label", "at", F.ceil(F.col("searches") / size).cast("long")
+                                  .alias("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    held = (large.join(blocks, ["label", "at"]).withColumn("by", every)
+            .select("id", _cell(of="slice", by="by").alias("cell"), no))
+    asked = (outside.join(blocks, ["label", "at"])
+             .withColumn("by", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")))
+             .withColumn("of", slices).select("id", _cell(of="of", by="by").alias("cell"), yes))
+    return first.unionByName(_search(rows, held.unionByName(asked), width, percent))
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
@@ -350,13 +423,10 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     labels = components(near)
     members = classed.select("id", "n", "class").join(
         labels.withColumnRenamed("node", "id"), "id")
-    cells = stored(_cells(members))
-    # A short list of ids reaches all tasks by Spark's own size check; then only the texts
-    # of candidates are shuffled. A long one is one more use of the same shuffle by id.
-    wanted = stored(cells.select("id").distinct())
-    texts = rows.join(wanted, "id", "left_semi").join(cells, "id")
-    links = stored(texts.groupBy("cell").applyInArrow(
-        _join_cell(width, percent), "a long, b long"))
+    cells = _cells(members)
+    links = _search(rows, cells.small, width, percent)
+    if not cells.large.isEmpty():
+        links = links.unionByName(_search_large(rows, cells.large, width, percent))
     # Rows of one id but different texts are one document: their texts connect.
     own = some.join(distinct.select("digest", F.col("id").alias("least")), "digest").select(
         F.col("id").alias("a"), F.col("least").alias("b"))
