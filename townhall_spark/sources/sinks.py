@@ -55,7 +55,8 @@ def append_labels(labels: DataFrame, path: str) -> None:
 
     The stamp orders labels: names of appended files do not.
     """
-    labels.withColumn("labelled_at", F.current_timestamp()).write.mode("append").option("ignoreNullFields", False).json(path)
+    (labels.withColumn("labelled_at", F.current_timestamp())
+     .write.mode("append").option("ignoreNullFields", False).json(path))
 
 
 def write_report(report: DataFrame, root: str, run_ts: str) -> None:
