@@ -7,6 +7,7 @@ is the feature (bounded and seeded samples, label candidates).
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -481,19 +482,23 @@ def classify_text(spark, sf_dir):
     return labelled.select("doc_id", "sentence", "label.*")
 
 
-_SHIPPED = lexicon.load_lexicon()
+def _register_shipped_lexicon() -> None:
+    shipped = lexicon.load_lexicon()
 
+    @query("shipped_lexicon", (), f"""
+        WITH s AS (SELECT doc_id, unnest({sql.sentence_list('text')}) AS sentence FROM documents),
+          c AS ({sql.classified('s', 'sentence', shipped)})
+        SELECT category, hazard, count(*) AS n FROM c GROUP BY ALL""")
+    def shipped_lexicon(spark, sf_dir):
+        """Sentences per label under the lexicon file of the library."""
+        docs = fx.documents(spark, sf_dir)
+        label = lexicon.classify(F.col("sentence"), shipped)
+        return (extraction.split_sentences(docs, ["doc_id"], "text").select(label.alias("label"))
+                .groupBy("label.category", "label.hazard").agg(F.count(F.lit(1)).alias("n")))
 
-@query("shipped_lexicon", (), f"""
-    WITH s AS (SELECT doc_id, unnest({sql.sentence_list('text')}) AS sentence FROM documents),
-      c AS ({sql.classified('s', 'sentence', _SHIPPED)})
-    SELECT category, hazard, count(*) AS n FROM c GROUP BY ALL""")
-def shipped_lexicon(spark, sf_dir):
-    """Sentences per label under the lexicon file of the library."""
-    docs = fx.documents(spark, sf_dir)
-    label = lexicon.classify(F.col("sentence"), lexicon.load_lexicon())
-    return (extraction.split_sentences(docs, ["doc_id"], "text").select(label.alias("label"))
-            .groupBy("label.category", "label.hazard").agg(F.count(F.lit(1)).alias("n")))
+
+if find_spec("yaml"):  # the lexicon file is YAML
+    _register_shipped_lexicon()
 
 
 @query("extract_actions", ("actions",), "SELECT * FROM actions")
