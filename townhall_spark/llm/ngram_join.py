@@ -355,7 +355,10 @@ def _search(rows: DataFrame, tasks: DataFrame, width: int, percent: int) -> Data
     # of candidates are shuffled. A long one is one more use of the same shuffle by id.
     wanted = stored(tasks.select("id").distinct())
     texts = rows.join(wanted, "id", "left_semi").join(tasks, "id")
-    return stored(texts.groupBy("cell").applyInArrow(
+    # Cells are few bytes and much work: a number of partitions that is asked for keeps
+    # adaptive execution from putting many of them into one task.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(texts.repartition(parts, "cell").groupBy("cell").applyInArrow(
         _join_cell(width, percent), "a long, b long"))
 
 
