@@ -45,10 +45,12 @@ from townhall_spark.llm.common import (
 from townhall_spark.llm.components import components
 from townhall_spark.operators.skew import top_k_per_group
 
-# Text bytes behind one bucket of shingles; shingles of one block of documents.
-BUCKET_BYTES = 4 << 20
-BLOCK_SHINGLES = 2 << 20
-BLOCK_DOCS = 1 << 16
+# Shingles of one block of documents and of one bucket, at least. Both grow with the root
+# of the corpus, so that what a block sends to a bucket is at least PACKED shingles.
+LEAST_BLOCK = 1 << 20
+PACKED = 64
+# Text bytes to a word, about; only sizes of blocks and buckets depend on it.
+WORD_BYTES = 6
 # Documents of one slice of a cell, and its shingles; a task holds two slices.
 LEAST_SLICE = 256
 MOST_SLICE = 4096
@@ -72,7 +74,7 @@ def _ids(key: str, text: str) -> Column:
                       F.lit(NO_ID) + F.pmod(F.xxhash64(text_or_empty(text)), F.lit(1 << 60)))
 
 
-def _deal(width: int, bits: int):
+def _deal(width: int, bits: int, block_shingles: int):
     """Blocks of documents: per bucket the shingles' keys and how many each document has."""
     names = [c.split()[0] for c in _DEALT.split(", ")]
 
@@ -84,7 +86,7 @@ def _deal(width: int, bits: int):
             nonlocal block, ids, digests, sets, total
             sizes = np.array([len(s) for s in sets], np.uint32)
             shingles = np.concatenate(sets)
-            bucket = (shingles >> np.uint64(64 - bits)).astype(np.uint16)
+            bucket = (shingles >> np.uint64(64 - bits)).astype(np.min_scalar_type((1 << bits) - 1))
             doc = np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(bucket, kind="stable")
             keys = (shingles >> np.uint64(32 - bits)).astype(np.uint32)[order]
@@ -113,7 +115,7 @@ def _deal(width: int, bits: int):
                 digests.append(digest)
                 sets.append(found)
                 total += len(found)
-                if total >= BLOCK_SHINGLES or len(sets) == BLOCK_DOCS:
+                if total >= block_shingles:
                     yield flush()
         if sets:
             yield flush()
@@ -141,7 +143,7 @@ def _count(rows: pa.Table) -> pa.Table:
         at += len(key)
         shared = times[own] > 1
         # The counts of a block's n documents are as wide as the largest needs.
-        docs = np.repeat(np.arange(n, dtype=np.uint16),
+        docs = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)),
                          np.frombuffer(counts, f"u{len(counts) // n}"))
         out.append((key[shared].tobytes(), docs[shared].tobytes(), rank[own][shared].tobytes()))
     columns = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
@@ -160,7 +162,8 @@ def _prefixes(percent: int):
         n = np.frombuffer(parts["sizes"][first], np.uint32).astype(np.int64)
         keys = np.concatenate([(np.int64(b) << 32) | np.frombuffer(k, np.uint32).astype(np.int64)
                                for b, k in zip(parts["bucket"], parts["keys"], strict=True)])
-        docs = np.concatenate([np.frombuffer(d, np.uint16) for d in parts["docs"]])
+        place = np.min_scalar_type(len(ids))
+        docs = np.concatenate([np.frombuffer(d, place) for d in parts["docs"]]).astype(np.int64)
         ranks = np.concatenate([np.frombuffer(r, np.uint8) for r in parts["ranks"]])
         order = np.lexsort((keys, ranks, docs))
         keys, docs = keys[order], docs[order]
@@ -181,10 +184,11 @@ def _prefixes(percent: int):
 
 def _nodes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, digest, n, tokens) per row: its set's size and the shingles to match by."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
+    shingles = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD_BYTES + 1
+    block = max(LEAST_BLOCK, math.isqrt(PACKED * shingles))
+    bits = max(3, math.ceil(math.log2(shingles / block)))
     dealt = docs.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(
-        _deal(width, min(bits, 16)), _DEALT)
+        _deal(width, bits, block), _DEALT)
     shared = dealt.groupBy("bucket").applyInArrow(_count, _SHARED)
     return stored(shared.groupBy("block").applyInArrow(_prefixes(percent), _NODES))
 
