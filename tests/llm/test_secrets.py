@@ -55,6 +55,17 @@ def test_examples_and_live_credentials(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 5, 7, 8]
 
 
+def test_one_owner_is_live_at_any_number_of_documents(spark):
+    own, shared = "token = q8Zr51LmXw02", "token = EXAMPLEkey123456"
+    rows = [(f"{own} {i}", "hot") for i in range(25)]
+    rows += [(f"{shared} {i}", f"s{i % 2}") for i in range(secrets.EXAMPLE_REPOSITORIES)]
+    got = spans(spark, rows)
+    assert {(got[i].n_example, got[i].n_live) for i in range(25)} == {(0, 1)}
+    assert {(got[i].n_example, got[i].n_live) for i in range(25, len(rows))} == {(1, 0)}
+    df = spark.createDataFrame([(i, t, s, "x") for i, (t, s) in enumerate(rows)], SCHEMA)
+    assert sorted(r.doc_id for r in secrets.without_live(df).collect()) == list(range(25, len(rows)))
+
+
 def test_repeated_rows_null_ids_long_texts_and_no_rows(spark):
     long = "pad " * 100000 + "secret: 0a1b2c3d4e5f"
     rows = [(None, long, "a", "x"), (None, long, "a", "x"), (5, long, "a", "x")]

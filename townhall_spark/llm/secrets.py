@@ -4,7 +4,8 @@ Every text is searched for three kinds of candidates. A candidate's value, kept
 only as a hash, is then counted over the whole corpus by distinct repositories and
 owners. A value that several owners hold is an example that people copy
 (documentation, test keys); a value of one owner that looks random is a live
-credential of that owner. DataFrame functions only.
+credential of that owner, however many of its repositories hold it. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Kind("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-# A value of so many owners or repositories is an example.
+# A value of so many owners is an example, and one of so many repositories that have
+# at least SHARED_OWNERS owners. A value of one owner never is.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 20
+SHARED_OWNERS = 2
 # Distinct characters from which a value looks random.
 RANDOM_CHARACTERS = 8
 
@@ -117,7 +120,8 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source",
         "_id", F.sha2(F.to_json(F.struct("_key", "found")), 256))
     counts = ownership(some, "_repository", "_owner")
     example = ((F.col("n_owners") >= EXAMPLE_OWNERS)
-               | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES))
+               | ((F.col("n_owners") >= SHARED_OWNERS)
+                  & (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)))
     values = (some.select("_id", F.explode("found").alias("s"))
               .groupBy("_id", F.col("s.value").alias("value"))
               .agg(F.max("s.random").alias("random")))
