@@ -1,3 +1,5 @@
+import random
+
 from townhall_spark.llm import langid
 
 SCHEMA = "doc_id long, text string, lang string, score string"
@@ -45,3 +47,20 @@ def test_without_labels_and_without_rows(spark):
     model = langid.fit(empty)
     assert langid.identify(empty, model).count() == 0
     assert {r.lang_pred for r in langid.identify(docs(spark, 4), model).collect()} == {"und"}
+
+
+def test_a_left_out_language_and_letter_noise_are_rejected_and_learned_ones_stay(spark):
+    rng = random.Random(4)
+    alphabets = {"aa": "etaoinshrdlu", "bb": "aeioumnprstk", "cc": "wxzqjykvbgfc"}
+    words = {n: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+             for n, a in alphabets.items()}
+    rows = [(i, " ".join(rng.choice(words[n]) for _ in range(60)), n, "x")
+            for i, n in enumerate(["aa", "bb", "cc"] * 200)]
+    rows += [(600 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400)),
+              "noise", "x") for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(df.where("lang in ('aa', 'bb')"))
+    got = langid.identify(df, model).select("row.doc_id", "row.lang", "rejected").collect()
+    unknown = [r.rejected for r in got if r.lang in ("cc", "noise")]
+    learned = [r.rejected for r in got if r.lang in ("aa", "bb")]
+    assert sum(unknown) >= 0.95 * len(unknown) and sum(learned) <= 0.01 * len(learned)

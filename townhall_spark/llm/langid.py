@@ -4,7 +4,9 @@ A text is the average of the embeddings of its character n-grams, which do not
 cross words and are hashed to a fixed number of buckets; a linear layer and a
 softmax give the languages. Stochastic gradient descent fits both on a bounded
 sample of labelled rows. Scores are calibrated by a temperature on rows that
-training did not see, and so is the score below which a text is rejected.
+training did not see. A text is rejected for a low score, or for a low share of
+n-grams that training saw in the language found: a softmax alone is sure of texts in
+languages it never learned. Quantiles over more such rows give both limits.
 """
 
 from __future__ import annotations
@@ -29,8 +31,14 @@ RATE = 1.0
 SAMPLE_ROWS = 2000
 # Every so many rows of the sample calibrate and are not trained on.
 CALIBRATE_EVERY = 4
-# Share of labelled texts that calibration lets be rejected.
+# Share of labelled texts that calibration lets be rejected by each of the two limits.
 REJECTED_SHARE = 0.001
+# Further rows, of all languages together, that only the limits are taken from.
+CALIBRATE_ROWS = 20000
+# N-grams that count as known in any text, so few unseen ones do not reject a short one.
+PRIOR = 100
+# Up to this share unseen n-grams never reject.
+UNSEEN_ALLOWED = 0.02
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
@@ -69,7 +77,7 @@ def features(text: str) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """``logits`` is the product of embeddings and the linear layer, per bucket."""
+    """``known`` tells, per language, in which buckets training saw n-grams of it."""
 
     languages: list[str]
     embeddings: np.ndarray
@@ -77,32 +85,69 @@ class Model(NamedTuple):
     bias: np.ndarray
     temperature: float
     least: float
+    known: np.ndarray
+    least_known: float
 
-    def scorer(self) -> Callable[[str | None], tuple[str, float, bool]]:
-        """text -> (language, calibrated score, rejected)."""
+    def measure(self) -> Callable[[str | None], tuple[str, float, float]]:
+        """text -> (language, calibrated score, known share of its n-grams)."""
         logits = (self.embeddings @ self.weights).astype(np.float32)
 
-        def score(text: str | None) -> tuple[str, float, bool]:
+        def of(text: str | None) -> tuple[str, float, float]:
             total, count = np.zeros(len(self.languages)), 0
+            seen = np.zeros(len(self.languages), np.int64)
             for chunk in _chunks(text or ""):
                 buckets = features(chunk)
                 total += logits[buckets].sum(axis=0, dtype=np.float64)
+                seen += np.array([np.count_nonzero(own[buckets]) for own in self.known], np.int64)
                 count += len(buckets)
             if not count or not self.languages:
-                return UNKNOWN, 0.0, True
+                return UNKNOWN, 0.0, 0.0
             p = _softmax((total / count + self.bias) / self.temperature)
             best = int(np.argmax(p))
-            return self.languages[best], float(p[best]), bool(p[best] < self.least)
+            return self.languages[best], float(p[best]), _known_share(seen[best], count)
+        return of
+
+    def scorer(self) -> Callable[[str | None], tuple[str, float, bool]]:
+        """text -> (language, calibrated score, rejected)."""
+        measure = self.measure()
+
+        def score(text: str | None) -> tuple[str, float, bool]:
+            name, p, share = measure(text)
+            return name, p, name == UNKNOWN or p < self.least or share < self.least_known
         return score
 
+    def limited(self, scores: np.ndarray, shares: np.ndarray) -> Model:
+        """The model with limits from rows that training did not see.
+
+        Each is the quantile at ``REJECTED_SHARE``. Fewer rows than that has one of
+        say little about the lowest to come: there the limit is half of the lowest
+        score, and twice the largest unseen share.
+        """
+        if not len(scores):
+            return self
+        at = int(len(scores) * REJECTED_SHARE)
+        least, unseen = float(np.sort(scores)[at]), 1 - float(np.sort(shares)[at])
+        if not at:
+            least, unseen = 0.5 * least, 2 * unseen
+        return self._replace(least=least, least_known=1 - max(unseen, UNSEEN_ALLOWED))
+
+
+def _known_share(seen: int, count: int) -> float:
+    return float((seen + PRIOR) / (count + PRIOR))
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
-    """Fits a model on (buckets, counts) of texts; every fourth text calibrates it."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7
+          ) -> tuple[Model, np.ndarray, np.ndarray]:
+    """Fits a model on (buckets, counts) of texts; every fourth text calibrates it.
+
+    The model, which rejects nothing with letters, and the scores and known shares of
+    the texts that calibrate; none where there are too few to keep some from training.
+    """
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -133,11 +178,16 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
         p = _softmax(logits / t)[np.arange(len(truth)), truth]
         return float(-np.log(np.maximum(p, 1e-12)).mean()) if len(truth) else 0.0
     temperature = min((0.1 * 1.25 ** k for k in range(24)), key=loss)
-    scores = np.sort(_softmax(logits / temperature).max(axis=1)) if len(truth) else np.zeros(1)
-    # Half of the score that the allowed share stays below: where few rows calibrate,
-    # the lowest score seen says little about the lowest to come.
-    least = 0.5 * float(scores[int(len(scores) * REJECTED_SHARE)])
-    return Model(languages, embeddings, weights, bias, temperature, least)
+    known = np.zeros((len(languages), BUCKETS), bool)
+    for i in learn:
+        known[target[i], bags[i][0]] = True
+    model = Model(languages, embeddings, weights, bias, temperature, 0.0, known, 0.0)
+    if not held.any():
+        return model, np.empty(0), np.empty(0)
+    p = _softmax(logits / temperature)
+    shares_known = [_known_share(bags[i][1][known[k, bags[i][0]]].sum(), bags[i][1].sum())
+                    for i, k in zip(check, p.argmax(axis=1), strict=True)]
+    return model, p.max(axis=1), np.array(shares_known)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +217,23 @@ def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "t
 
     Rows are chosen by the hash of their id, among those with label and text that are
     not held out. Only the rows' n-gram counts come to the driver, at most ``BUCKETS``
-    numbers a row. Without labelled rows the model knows no language.
+    numbers a row. Without labelled rows the model knows no language. About
+    ``CALIBRATE_ROWS`` further rows, with two numbers each, set the limits of rejection.
     """
     rows = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)).alias("at"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return train([], [])
+        return train([], [])[0]
     each = max(8, sample_rows // len(sizes))
-    chosen = F.lit(False)
+    chosen, further = F.lit(False), F.lit(False)
+    more = CALIBRATE_ROWS // len(sizes)
     for name, size in sizes.items():
-        most = (1 << 30) * each // size
-        chosen = chosen | ((F.col("lang") == name) & (F.col("at") < most))
+        most, end = ((1 << 30) * n // size for n in (each, each + more))
+        own = F.col("lang") == name
+        chosen = chosen | (own & (F.col("at") < most))
+        further = further | (own & (F.col("at") >= most) & (F.col("at") < end))
     found = (rows.where(chosen).select("lang", "text")
              .mapInArrow(_bags, "lang string, buckets array<int>, counts array<int>").toArrow())
     langs = found.column("lang").to_pylist()
@@ -187,7 +241,18 @@ def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "t
             zip(found.column("buckets"), found.column("counts"), strict=True)]
     # The order in which rows arrive may differ between runs; their content gives one that does not.
     order = sorted(range(len(langs)), key=lambda i: (bags[i][0].tobytes(), bags[i][1].tobytes()))
-    return train([bags[i] for i in order], [langs[i] for i in order])
+    model, scores, shares = train([bags[i] for i in order], [langs[i] for i in order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = model.measure()
+        for batch in batches:
+            got = [g for g in map(measure, values(batch.column(0))) if g[0] != UNKNOWN]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[1] for g in got], pa.float64()),
+                 pa.array([g[2] for g in got], pa.float64())], names=["score", "known"])
+    got = rows.where(further).select("text").mapInArrow(run, "score double, known double").toArrow()
+    return model.limited(np.concatenate([scores, got.column("score").to_numpy()]),
+                         np.concatenate([shares, got.column("known").to_numpy()]))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
