@@ -56,3 +56,19 @@ def test_edited_repeated_long_and_missing_texts(spark):
         (6, [], 0)]
     assert 0.85 <= got[0].matches[0].coverage < 1
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_usual_wordings_and_near_misses(spark):
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 100)
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    cases = [("Licensed under the MIT License", "MIT"), (gpl, "GPL-3.0"),
+             (gpl.replace("GNU General", "GNU Lesser General"), "LGPL-3.0"),
+             (gpl.replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+             (bsd, "BSD-3-Clause"), (bsd.split(" Neither")[0], "BSD-2-Clause"),
+             ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+             ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+             ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0")]
+    rows = [(i, t, "x") for i, (t, _) in enumerate(cases)]
+    got = {r.doc_id: r.licenses for r in
+           licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(cases))] == [[name] for _, name in cases]

@@ -70,6 +70,37 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International "
      "License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # Usual wordings of the notices, and licences that differ from others by few words.
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without "
+     "modification, are permitted provided that the following conditions are met: Redistributions "
+     "of source code must retain the above copyright notice, this list of conditions and the "
+     "following disclaimer. Redistributions in binary form must reproduce the above copyright "
+     "notice, this list of conditions and the following disclaimer in the documentation and/or "
+     "other materials provided with the distribution."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under "
+     "the terms of the GNU Lesser General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under "
+     "the terms of the GNU Lesser General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under "
+     "the terms of the GNU Lesser General Public License as published by the Free Software "
+     "Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under "
+     "the terms of the GNU Affero General Public License as published by the Free Software "
+     "Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+     "International License."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and "
+     "related or neighboring rights to this work."),
 )
 LEAST = 0.85
 MATCHES = ("array<struct<license:string,template:int,coverage:double,start_word:bigint,"
