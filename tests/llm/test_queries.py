@@ -36,9 +36,9 @@ def test_against_sql(spark, duck, name):
     assert got == rows(columns, result.fetchall()) and got
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = set(driver.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names}
     assert "pipeline" in names
 
 

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from townhall_spark.llm import (
     chat,
     decontam,
+    divergence,
     html_text,
     langid,
     licenses,
     ngram_join,
     packing,
+    periodic,
+    popcount_join,
     secrets,
     shards,
     vptree,
 )
-from townhall_spark.llm.common import table
-
+from townhall_spark.llm.common import table, text_or_empty
 
 # Pruning as the triangle inequality allows: exact.
 FACTOR = 1.0
@@ -97,6 +99,51 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source against the others of its language, and the terms it has more of."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten, by the CRC-32 of its id, repeats a part of itself."""
+    held = docs.select("doc_id", text_or_empty().alias("text"),
+                       F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = held.withColumn("w", F.when(F.expr("h % 10 = 0"), F.regexp_extract_all(
+        "text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = words.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+    start = n.withColumn("a", F.when(F.col("n") > 0, F.expr("g % greatest(n, 1)")))
+    period = start.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("""array_join(transform(sequence(0, n - 1), i ->
+        w[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]), ' ')""")
+    return period.select("doc_id", F.when(F.col("a").isNotNull(), planted)
+                         .otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document and its text without their repetitions."""
+    found = periodic.collapse(with_planted_runs(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(
+        ",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    # Runs come by start and period, so of equal exponents the first stays.
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(
+        r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(F.concat_ws("", F.transform(line, lambda t: F.concat(t, F.lit("\n")))), 256)
+        .alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256",
+        "collapsed_sha256")
+
+
+def op13_popcount_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and its component under 4 differing bits."""
+    found = popcount_join.join(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"),
+                        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -108,4 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_popcount_join": op13_popcount_join,
 }

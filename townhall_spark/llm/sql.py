@@ -1,6 +1,6 @@
 """The queries that SQL can express, for DuckDB.
 
-The others have none: op4, op5, op6, op7, op9, op10 and the pipeline are compared with
+The others have none: op4, op5, op6, op7, op9, op10, op13 and the pipeline are compared with
 brute force, round trips, invariants and held-out labels in ``tests/llm``.
 """
 
@@ -106,9 +106,79 @@ SECRETS = f"""
                    for k in secrets.KINDS)}
       FROM found GROUP BY r) USING (r) LEFT JOIN judged USING (r)"""
 
+DIVERGENCE = r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    occurring AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+    kept AS (SELECT lang, term FROM (SELECT DISTINCT r, lang, term FROM occurring)
+      GROUP BY lang, term HAVING count(*) >= 30),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM occurring JOIN kept USING (lang, term)
+      GROUP BY lang, source, term),
+    sources AS (SELECT DISTINCT lang, source FROM docs),
+    groups AS (SELECT lang, source, coalesce(total, 0) AS total FROM sources LEFT JOIN
+      (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source) USING (lang, source)),
+    languages AS (SELECT lang, count(DISTINCT term) AS v, sum(n) AS total FROM counts GROUP BY lang),
+    shares AS (SELECT lang, g.source, term, coalesce(n, 0) AS n, CAST(1 + (1000000000 *
+        (CAST(coalesce(n, 0) AS HUGEINT) + 5)) // (g.total + 5 * v) AS BIGINT) AS p
+      FROM groups g JOIN kept USING (lang) JOIN languages USING (lang)
+        LEFT JOIN counts USING (lang, source, term)),
+    whole AS (SELECT lang, term, CAST(1 + (1000000000 * (CAST(sum(n) AS HUGEINT) + 5))
+        // (max(l.total) + 5 * max(v)) AS BIGINT) AS q
+      FROM counts JOIN languages l USING (lang) GROUP BY lang, term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, 'pair' AS part,
+        coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y USING (lang, term)
+          WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+      FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source),
+    above AS (SELECT lang, source, term AS item, 'term' AS part, p - q AS value
+      FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)
+        AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM above))
+    WHERE part = 'pair' OR rank <= 50"""
+
+# Eight neighbouring words that come again some words on are where a run may be: a run has
+# at least 16 words that come again a period on.
+PERIODIC = r"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''),
+        '[^\x20\x09-\x0D]+') AS w, xor(list_reduce(list_prepend(4294967295, list_transform(
+          string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) AS h
+      FROM documents),
+    planned AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM docs),
+    texts AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(
+        range(n), lambda i: w[1 + CASE WHEN i < a THEN i
+          ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM planned),
+    eights AS (SELECT r, n, i, array_to_string(w[i + 1:i + 8], ' ') AS e
+      FROM texts, unnest(range(n - 7)) AS t(i)),
+    again AS (SELECT a.r, b.i - a.i AS q, a.i, a.i - row_number()
+        OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS island
+      FROM eights a JOIN eights b ON a.r = b.r AND a.e = b.e AND a.i < b.i
+        AND 3 * (b.i - a.i) <= a.n),
+    stretches AS (SELECT r, min(i) AS s, count(*) + 7 + q AS m, q FROM again GROUP BY r, q, island),
+    runs AS (SELECT r, s, m, min(q) AS q FROM stretches WHERE m >= greatest(24, 3 * q)
+      GROUP BY r, s, m),
+    dropped AS (SELECT r, list(DISTINCT i) AS gone FROM runs, unnest(range(s + q, s + m)) AS t(i)
+      GROUP BY r),
+    found AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), ''
+        ORDER BY s, q) AS lines FROM runs GROUP BY r),
+    best AS (SELECT * FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.r = a.r AND
+        (b.m * a.q > a.m * b.q OR b.m * a.q = a.m * b.q AND (b.s, b.q) < (a.s, a.q))))
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, m AS length, q AS period,
+      1000 * m // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+      sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(
+        list_filter(list_zip(w, range(n)), lambda x: NOT list_contains(gone, x[2])),
+        lambda x: x[1]) END, ' '), '')) AS collapsed_sha256
+    FROM texts LEFT JOIN found USING (r) LEFT JOIN best USING (r) LEFT JOIN dropped USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": CHAT,
     "op2_ngram_jaccard_join": JACCARD,
     "op3_nearest_neighbours": NEAREST,
     "op8_secret_scans": SECRETS,
+    "op11_source_divergence": DIVERGENCE,
+    "op12_periodic_runs": PERIODIC,
 }
