@@ -81,9 +81,15 @@ def test_topic_swap_and_empty_lists(spark):
 def test_prompts(spark):
     rows = spark.createDataFrame([("a", "z" * 7000), ("b", None)],
                                  "canonical_id string, transcript string")
-    out = extraction.prompt_table(rows, "PROMPT").collect()
+    out = extraction.prompt_table(rows, "PROMPT").orderBy("canonical_id", "window_seq").collect()
     assert [(r.canonical_id, r.window_seq, r.prompt) for r in out] == [
         ("a", 0, "PROMPT\n\n## Transcript excerpt\n\n" + "z" * 6000 + "\n"),
         ("a", 1, "PROMPT\n\n## Transcript excerpt\n\n" + "z" * 1200 + "\n")]
-    label = rows.select(extraction.label_prompt(F.col("transcript")).alias("p")).first().p
-    assert label.endswith("z" * 6000)
+    label = rows.select(extraction.label_prompt(F.substring("transcript", 1, 6000)).alias("p"))
+    assert label.first().p.endswith("z" * 6000)
+    with pytest.raises(Exception, match="more than 6000 characters"):
+        rows.select(extraction.label_prompt(F.col("transcript")).alias("p")).collect()
+    windows = extraction.label_prompts(rows, ["canonical_id"], "transcript").orderBy("window_seq")
+    assert [r.prompt.count("z") - extraction.LABEL_PROMPT.count("z") for r in windows.collect()] \
+        == [6000, 1200]
+    assert all(r.prompt.startswith(extraction.LABEL_PROMPT) for r in windows.collect())

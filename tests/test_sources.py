@@ -182,3 +182,40 @@ def test_labels_append_and_latest_report(spark, tmp_path):
               for r in sinks.latest_reports(spark, str(tmp_path / "r")).collect()}
     assert latest == {"lexicon": ("20240102T000000Z", "lexicon@20240102T000000Z"),
                       "model": ("20230101T000000Z", "model@20230101T000000Z")}
+
+
+def test_any_number_of_files_counts_in_order(spark, tmp_path):
+    """More files than a task lists, in two years, numbered without gaps."""
+    for year, n in ((2014, 60), (2015, 45)):
+        spark.range(n).repartitionByRange(n, "id").select(
+            F.lit(year).alias("year"), F.explode(F.expr("sequence(1, 1 + CAST(id % 3 AS INT))"))
+            .alias("row"), "id").write.parquet(f"{tmp_path}/meetings.{year}.parquet")
+    df = readers.read_years(spark, str(tmp_path), [2014, 2015], [2014, 2015],
+                            ["year", "row", "id"], arrival="n")
+    rows = sorted(df.collect(), key=lambda r: r.n)
+    assert [r.n for r in rows] == list(range(len(rows)))
+    assert [(r.year, r.id, r.row) for r in rows] == sorted((r.year, r.id, r.row) for r in rows)
+    assert len({r.id for r in rows}) == 60
+
+
+@pytest.mark.parametrize("split", ["128m", "1k"])
+def test_broken_lines_are_kept_verbatim(spark, tmp_path, split):
+    good = json.dumps({"uid": "DenverCityCouncil_05012017_x", "transcript": "text"})
+    bad = ['{"uid": "cut', "  not json  ", '{"uid": 1} trailing', '{"transcript": {"a": 1}']
+    folder = tmp_path / "meetingbank" / "sample.jsonl"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text("\n".join([good, bad[0], "", "   ", good, bad[1]] + [good] * 40))
+    (folder / "b.json").write_text("\n".join([bad[2], good, bad[3]]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        spec = specs.SourceSpec.from_mapping("meetingbank", {
+            "loader": {"type": "huggingface_streaming"}, "mapper": {"type": "meetingbank_segments"}})
+        rejects = sorted(specs.line_rejects(spark, [spec], str(tmp_path)).collect(),
+                         key=lambda r: r.ingest_seq)
+        row, = specs.run_source(spark, spec, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in rejects] == bad
+    assert [r.file[-6:] for r in rejects] == ["a.json", "a.json", "b.json", "b.json"]
+    assert {r.source for r in rejects} == {"meetingbank"}
+    assert row.transcript == "\n\n".join(["text"] * 43)

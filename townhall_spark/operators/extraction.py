@@ -14,32 +14,43 @@ from townhall_spark.functions.lexicon import (
     Lexicon,
     labelled_sentences,
 )
-from townhall_spark.functions.text import has_text, sentences, ustrip
+from townhall_spark.functions.text import sentences, ustrip
+from townhall_spark.operators import text_parts
+from townhall_spark.schemas import ACTION_CATEGORIES, HAZARD_TYPES
 
 # Fixed value: characters of a transcript that a prompt carries.
 PROMPT_CHARS = 6000
 # Characters that a prompt shares with the one before.
 PROMPT_OVERLAP = 200
 
-EXTRACTION_PROMPT = """You are given part of a transcript of a US local-government meeting.
+_CATEGORIES = {
+    "adaptation": "prepares a place for climate harm", "mitigation": "cuts greenhouse-gas emissions",
+    "both": "one action that does the two", "unrelated": "anything else"}
+_HAZARDS = ", ".join(HAZARD_TYPES)
+_KINDS = "\n".join(f"- {name}: {_CATEGORIES[name]}" for name in ACTION_CATEGORIES)
+
+EXTRACTION_PROMPT = f"""You are given part of a transcript of a US local-government meeting.
 Find each climate action under discussion and classify it.
 
-Categories: adaptation (prepares for climate harm), mitigation (cuts greenhouse-gas
-emissions), both (one action that does both), unrelated (anything else).
-Hazards: flood, wildfire, heat, drought, storm, sea_level_rise, other, none.
+Categories:
+{_KINDS}
+Hazards: {_HAZARDS}.
 
 Answer with one JSON object and nothing else:
-{"actions": [{"action_text": "...", "action_category": "...", "hazard_type": "...",
-"confidence": 0.0}]}
+{{"actions": [{{"action_text": "...", "action_category": "...", "hazard_type": "...",
+"confidence": 0.0}}]}}
 Quote action_text word for word. confidence is between 0 and 1. Without any climate
-action answer {"actions": []}."""
+action answer {{"actions": []}}."""
+
+LABEL_PROMPT = f"""Reply with a JSON object of three fields about the passage below:
+"action_category", one of the categories; "hazard_type", one of the hazards; and
+"confidence", a number from 0 to 1.
 
-LABEL_PROMPT = """Label this excerpt of a US local-government meeting. Answer with one JSON
-object and nothing else: {"action_category": adaptation|mitigation|both|unrelated,
-"hazard_type": flood|wildfire|heat|drought|storm|sea_level_rise|other|none,
-"confidence": 0..1}
+Categories:
+{_KINDS}
+Hazards: {_HAZARDS}.
 
-Excerpt:
+Passage:
 """
 
 
@@ -78,24 +89,38 @@ def model_version(provider: str, model: str) -> str:
     return f"{provider}:{model}"
 
 
-def prompt_table(transcripts: DataFrame, prompt: str = EXTRACTION_PROMPT,
-                 max_chars: int = PROMPT_CHARS, overlap: int = PROMPT_OVERLAP) -> DataFrame:
+def prompt_windows(parts: DataFrame, prompt: str = EXTRACTION_PROMPT,
+                   max_chars: int = PROMPT_CHARS, overlap: int = PROMPT_OVERLAP) -> DataFrame:
     """(canonical_id, window_seq, prompt): windows that cover a transcript from end to end.
 
-    A window holds ``max_chars`` characters and starts ``overlap`` before the end of the
-    one before, so that no sentence shorter than that is only seen in halves.
+    ``parts`` are the transcript's, in order. A window holds ``max_chars`` characters
+    and starts ``overlap`` before the end of the one before, so that no sentence shorter
+    than that is only seen in halves.
     """
-    step = max_chars - overlap
-    last = F.ceil(F.greatest(F.length("transcript") - max_chars, F.lit(0)) / step).cast("int")
-    excerpt = F.expr(f"substring(transcript, window_seq * {step} + 1, {max_chars})")
-    return (transcripts.where(has_text(F.col("transcript")))
-            .select("canonical_id", "transcript",
-                    F.explode(F.sequence(F.lit(0), last)).alias("window_seq"))
-            .select("canonical_id", "window_seq",
-                    F.concat(F.lit(f"{prompt}\n\n## Transcript excerpt\n\n"), excerpt,
-                             F.lit("\n")).alias("prompt")))
+    return text_parts.windows(parts, ["canonical_id"], max_chars, overlap).select(
+        "canonical_id", "window_seq",
+        F.concat(F.lit(f"{prompt}\n\n## Transcript excerpt\n\n"), "excerpt", F.lit("\n"))
+        .alias("prompt"))
+
+
+def prompt_table(transcripts: DataFrame, prompt: str = EXTRACTION_PROMPT,
+                 max_chars: int = PROMPT_CHARS, overlap: int = PROMPT_OVERLAP) -> DataFrame:
+    """:func:`prompt_windows` of transcripts (canonical_id, transcript) that are one text each."""
+    return prompt_windows(text_parts.whole(transcripts, ["canonical_id"]), prompt, max_chars,
+                          overlap)
+
+
+def label_prompts(rows: DataFrame, keep: list[str], text: str = "action_text",
+                  max_chars: int = PROMPT_CHARS, overlap: int = PROMPT_OVERLAP) -> DataFrame:
+    """(keep..., window_seq, prompt): prompts that ask a model to label an excerpt, windows
+    over the whole of a long one. ``keep`` tells the rows apart."""
+    return text_parts.windows(text_parts.whole(rows, keep, text), keep, max_chars, overlap).select(
+        *keep, "window_seq", F.concat(F.lit(LABEL_PROMPT), "excerpt").alias("prompt"))
 
 
 def label_prompt(text: Column, max_chars: int = PROMPT_CHARS) -> Column:
-    """Prompt that asks a model to label one excerpt."""
-    return F.concat(F.lit(LABEL_PROMPT), F.substring(text, 1, max_chars))
+    """Prompt that asks a model to label one excerpt; a longer one is an error, as it needs
+    :func:`label_prompts`."""
+    return F.when(F.length(text) > max_chars, F.raise_error(F.lit(
+        f"an excerpt has more than {max_chars} characters"))).otherwise(
+        F.concat(F.lit(LABEL_PROMPT), text))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from townhall_spark.functions.text import ustrip
 from townhall_spark.operators.text_assembly import distinct_texts, in_order
+from townhall_spark.operators.text_parts import parts
 from townhall_spark.schemas import quality_rank
 
 KEY = "canonical_id"
@@ -65,10 +66,16 @@ def meetings(records: DataFrame) -> DataFrame:
         F.col("best.ingest_seq").alias("ingest_seq"), "first_seq")
 
 
+def transcript_parts(records: DataFrame) -> DataFrame:
+    """(canonical_id, part, offset, total, text): the distinct texts of each meeting in rank
+    order, with their places in the merged transcript; no task holds a meeting."""
+    return parts(distinct_texts(_ranked(records), [KEY], ORDER, "transcript"), [KEY], ORDER)
+
+
 def merged_transcripts(records: DataFrame) -> DataFrame:
     """(canonical_id, transcript) of meetings with text: distinct texts in rank order."""
-    parts = distinct_texts(_ranked(records), [KEY], ORDER, "transcript")
-    return parts.groupBy(KEY).agg(in_order(ORDER, "transcript").alias("transcript"))
+    texts = distinct_texts(_ranked(records), [KEY], ORDER, "transcript")
+    return texts.groupBy(KEY).agg(in_order(ORDER, "transcript").alias("transcript"))
 
 
 def primaries(records: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from townhall_spark.functions.literals import text_array
 from townhall_spark.functions.regions import lookup
 from townhall_spark.functions.text import has_text, let, ustrip
 from townhall_spark.operators.text_assembly import in_order
+from townhall_spark.operators.text_parts import parts
 
 # Token in the body -> (fips, state, name), tested in this order.
 BODY_JURISDICTIONS = {
@@ -60,16 +61,26 @@ def parse_uid(uid: Column) -> Column:
     return let(let(F.split(uid, "_", -1), parts), fields)
 
 
+def _parsed(raw: DataFrame) -> DataFrame:
+    return (raw.select(parse_uid(F.col("uid")).alias("p"), "transcript", "ingest_seq")
+            .where(F.col("p").isNotNull()).select("p.*", "transcript", "ingest_seq"))
+
+
+def segment_parts(raw: DataFrame) -> DataFrame:
+    """(canonical_id, part, offset, total, text): the segments of each meeting in arrival
+    order, with their places in its transcript; no task holds a meeting."""
+    meeting = canonical_id(F.col("fips"), F.col("meeting_date"), F.col("meeting_type"))
+    return parts(_parsed(raw).select(meeting.alias("canonical_id"), "transcript", "ingest_seq"),
+                 ["canonical_id"], ["ingest_seq"])
+
+
 def segments_to_meetings(raw: DataFrame, source: str, source_url: str = "") -> DataFrame:
     """Canonical records of raw segments (uid, transcript, ingest_seq), one per meeting.
 
     Segment texts join in arrival order; the first segment gives the meeting's
     uid and arrival number.
     """
-    parsed = (raw.select(parse_uid(F.col("uid")).alias("p"), "transcript", "ingest_seq")
-              .where(F.col("p").isNotNull())
-              .select("p.*", "transcript", "ingest_seq"))
-    grouped = parsed.groupBy("fips", "meeting_date", "meeting_type").agg(
+    grouped = _parsed(raw).groupBy("fips", "meeting_date", "meeting_type").agg(
         F.min(F.struct("ingest_seq", "meeting_uid", "state", "name")).alias("first"),
         in_order(["ingest_seq"], "transcript").alias("transcript"))
     chars = F.when(ustrip(F.col("transcript")) != "", F.length("transcript")).otherwise(0)

@@ -29,7 +29,7 @@ from townhall_spark.operators import (
 )
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.plans import oracles as sql
-from townhall_spark.schemas import GOLDEN, PLACE_TO_COUNTY
+from townhall_spark.schemas import ACTION, GOLDEN, PLACE_TO_COUNTY
 from townhall_spark.sources import readers, sinks, specs
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,18 @@ def jsonl_untyped(spark, sf_dir):
     return readers.read_jsonl(spark, path).select("doc_id", "raw")
 
 
+@query("jsonl_rejects", ("label_responses",), r"""
+    SELECT regexp_replace(raw, '[\n\r]', ' ', 'g') AS line FROM label_responses
+    WHERE doc_id % 5 IN (3, 4)""")
+def jsonl_rejects(spark, sf_dir):
+    """Responses as lines of a file, of which some are no JSON and some have a word for a
+    number: those lines, verbatim."""
+    path = sinks.scratch(spark)
+    lines = fx.label_responses(spark, sf_dir).select(F.regexp_replace("raw", r"[\n\r]", " "))
+    lines.write.text(path)
+    return readers.jsonl_rejects(spark, path, ACTION).select("line")
+
+
 @query("csv_counties", ("counties",), """
     SELECT STCOFIPS, STATEABBRV, COUNTY, n AS POPULATION, RISK_SCORE, IFLD_RISKS, CFLD_RISKS,
       WFIR_RISKS, HWAV_RISKS, DRGT_RISKS, HRCN_RISKS
@@ -380,6 +392,30 @@ def merged_transcripts(spark, sf_dir):
     return linking.merged_transcripts(fx.canonical(spark, sf_dir))
 
 
+_PARTS = """
+    SELECT canonical_id, part, total, text,
+      CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY canonical_id ORDER BY part
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+    FROM (SELECT canonical_id, text, row_number() OVER (PARTITION BY canonical_id ORDER BY place) - 1
+        AS part, CAST(sum(length(text) + 2) OVER (PARTITION BY canonical_id) - 2 AS BIGINT) AS total
+      FROM ({texts}))"""
+
+
+@query("transcript_parts", ("ranked",), _PARTS.format(texts=f"""
+    SELECT canonical_id, text, min(rn) AS place
+    FROM (SELECT canonical_id, rn, {sql.strip('transcript')} AS text FROM ranked)
+    WHERE text <> '' GROUP BY canonical_id, text"""))
+def transcript_parts(spark, sf_dir):
+    return linking.transcript_parts(fx.canonical(spark, sf_dir))
+
+
+@query("segment_parts", ("parsed_segments",), _PARTS.format(texts=f"""
+    SELECT {sql.meeting_id('fips', 'meeting_date', 'meeting_type')} AS canonical_id,
+      transcript AS text, ingest_seq AS place FROM parsed_segments WHERE transcript <> ''"""))
+def segment_parts(spark, sf_dir):
+    return segments.segment_parts(fx.raw_segments(spark, sf_dir))
+
+
 @query("provenance", ("ranked",), """
     SELECT canonical_id, source, source_record_id, source_url, transcript_quality,
       rn = 1 AS is_primary FROM ranked""")
@@ -522,7 +558,7 @@ def category_counts(spark, sf_dir):
     FROM (SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(length(transcript) - 6000, 0)
       / 5800.0) AS BIGINT))) AS w FROM merged)""")
 def prompt_table(spark, sf_dir):
-    return extraction.prompt_table(linking.merged_transcripts(fx.canonical(spark, sf_dir)))
+    return extraction.prompt_windows(linking.transcript_parts(fx.canonical(spark, sf_dir)))
 
 
 _ITEM_FIELDS = ", ".join(

@@ -34,13 +34,15 @@ from townhall_spark.sources import readers, sinks, specs
 
 def ingest(spark: SparkSession, sources: Sequence[specs.SourceSpec], raw_dir: str,
            work_dir: str, jsonl: bool = False) -> DataFrame:
-    """Writes ``canonical`` (and ``canonical_rejects``); returns kept rows per source."""
+    """Writes ``canonical``, ``canonical_rejects`` (records out of their domains) and
+    ``line_rejects`` (lines that could not be parsed); returns kept rows per source."""
     records = specs.ingest(spark, sources, raw_dir).withColumn(
         "ingested_at", F.current_timestamp())
     sinks.write_parquet(records.select(*CANONICAL_MEETING.names), f"{work_dir}/canonical")
     stored = spark.read.parquet(f"{work_dir}/canonical")
     _, rejects = check_domain(stored, MEETING_RULES)
     sinks.write_parquet(rejects, f"{work_dir}/canonical_rejects")
+    sinks.write_parquet(specs.line_rejects(spark, sources, raw_dir), f"{work_dir}/line_rejects")
     if jsonl:
         sinks.write_jsonl(stored, f"{work_dir}/canonical_jsonl")
     return specs.ingest_counts(stored)
@@ -81,9 +83,16 @@ def transcripts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame
     return spark.read.parquet(f"{work_dir}/transcripts")
 
 
+def transcript_parts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
+    """Writes ``transcript_parts``, the ordered texts of every meeting, and returns them."""
+    sinks.write_parquet(linking.transcript_parts(_records(spark, work_dir, limit)),
+                        f"{work_dir}/transcript_parts")
+    return spark.read.parquet(f"{work_dir}/transcript_parts")
+
+
 def prompts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
     """Writes ``prompts`` for an external model, windows over all text, and returns them."""
-    sinks.write_parquet(extraction.prompt_table(transcripts(spark, work_dir, limit)),
+    sinks.write_parquet(extraction.prompt_windows(transcript_parts(spark, work_dir, limit)),
                         f"{work_dir}/prompts")
     return spark.read.parquet(f"{work_dir}/prompts")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from townhall_spark.functions.domains import MEETING_RULES, check_domain
+from townhall_spark.functions.text import ustrip
+from townhall_spark.operators.ordering import numbered
 from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, PLACE_TO_COUNTY, ROW_ORDER
-
-
-# Arrival numbers of the i-th file of a source start at i * 2^40.
-FILE_SHIFT = 40
-MAX_FILES = 1 << 16
+from townhall_spark.sources.sinks import stored
 
 # Slashes after a scheme come in different numbers.
 _SCHEME = r"^(\w+):/+"
@@ -46,57 +43,92 @@ def read_canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return check_domain(read_jsonl(spark, path, CANONICAL_MEETING), MEETING_RULES)
 
 
-def in_file_order(frames: Sequence[DataFrame], name: str = "ingest_seq") -> list[DataFrame]:
-    """Parquet frames with the arrival number of each row: its file's place, then its own.
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(_frame, _file, _start): the first number of each file, by frame and path.
 
-    Files count in the order of the frames and, inside a frame, of their paths. The
-    order does not depend on how Spark packs files into tasks.
+    ``sizes`` (_frame, _file, _size) may list any number of files; they are ranked and
+    summed in slices, and none comes to the driver.
     """
-    out, first = [], 0
-    for frame in frames:
-        files = frame.inputFiles()
-        number = _file_numbers(frame.sparkSession, files, first)
-        place = F.col("_metadata.row_index")
-        out.append(frame.select("*", _file().alias("_file"), place.alias("_place"))
-                   .join(number, "_file")
-                   .withColumn(name, F.shiftleft("_number", FILE_SHIFT) + F.col("_place"))
-                   .drop("_file", "_place", "_number"))
-        first += len(files)
-    return out
+    return stored(numbered(sizes, [], ["_frame", "_file"], "_size").select(
+        "_frame", "_file", F.col("_before").alias("_start")))
+
 
+def in_file_order(frames: Sequence[DataFrame], name: str = "ingest_seq") -> list[DataFrame]:
+    """Parquet frames with the arrival number of each row: the rows before it.
 
-def _file_numbers(spark: SparkSession, files: Sequence[str], first: int) -> DataFrame:
-    if first + len(files) > MAX_FILES:
-        raise ValueError(f"one source has more than {MAX_FILES} files")
-    names = sorted(re.sub(_SCHEME, r"\1:/", f) for f in files)
-    return spark.createDataFrame([(f, first + i) for i, f in enumerate(names)],
-                                 "_file string, _number long")
+    Files count in the order of the frames and, inside a frame, of their paths. The
+    order does not depend on how Spark packs files into tasks. Counting a file's rows
+    reads no column.
+    """
+    place = F.col("_metadata.row_index")
+    sizes = None
+    for i, frame in enumerate(frames):
+        rows = frame.select(_file().alias("_file"), place.alias("_place")).groupBy("_file").agg(
+            (F.max("_place") + 1).alias("_size")).select(F.lit(i).alias("_frame"), "_file", "_size")
+        sizes = rows if sizes is None else sizes.unionByName(rows)
+    if sizes is None:
+        return []
+    starts = _starts(sizes)
+    return [frame.select("*", _file().alias("_file"), place.alias("_place"))
+            .join(starts.where(F.col("_frame") == i).drop("_frame"), "_file")
+            .withColumn(name, F.col("_start") + F.col("_place"))
+            .drop("_file", "_place", "_start") for i, frame in enumerate(frames)]
 
 
 def _file() -> Column:
-    """A row's file, spelled as a listing of files spells it."""
+    """A row's file, spelled the same by every reader."""
     return F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/")
 
 
-def read_jsonl_in_order(spark: SparkSession, path: str, schema: T.StructType,
-                        name: str = "ingest_seq") -> DataFrame:
-    """JSON lines of a declared schema with the arrival number of each line.
+# A line that its schema does not fit.
+_BROKEN = "_broken"
 
-    Blank lines are left out; a broken line is a row of nulls. A row's place in its
-    file is where its block of the file starts plus its place in the block, which
-    rises along the file however Spark cuts it.
+
+def _lines(spark: SparkSession, path: str, schema: T.StructType, name: str) -> DataFrame:
+    """(_row, _file, _raw_line, name): every line that is not blank, parsed, with its number.
+
+    A line's place in its file is where its block of the file starts plus its place in
+    the block, which rises along the file however Spark cuts it.
     """
     lines = spark.read.text(path).select(
         "value", _file().alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"))
-    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"))
-    numbers = _file_numbers(spark, lines.inputFiles(), 0)
-    place = F.shiftleft("_number", FILE_SHIFT) + F.col("_block") + F.col("_id") - F.col("_first")
-    parsed = F.from_json("value", nullable(schema)).alias("_row")
-    return (lines.join(blocks, ["_file", "_block"]).join(numbers, "_file")
+    blocks = stored(lines.groupBy("_file", "_block").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")))
+    starts = _starts(blocks.groupBy("_file").agg(
+        F.max(F.col("_block") + F.col("_rows")).alias("_size"))
+        .select(F.lit(0).alias("_frame"), "_file", "_size")).drop("_frame")
+    number = F.col("_start") + F.col("_block") + F.col("_id") - F.col("_first")
+    fields = T.StructType([*nullable(schema), T.StructField(_BROKEN, T.StringType())])
+    # The parser stops behind the object; what follows it makes the line a broken one.
+    parsed = F.when(F.endswith(ustrip(F.col("value")), F.lit("}")), F.from_json(
+        "value", fields, {"columnNameOfCorruptRecord": _BROKEN})).otherwise(
+        F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields[:-1]],
+                 F.col("value").alias(_BROKEN)))
+    return (lines.join(blocks, ["_file", "_block"]).join(starts, "_file")
             .where(F.trim("value") != "")
-            .select(parsed, place.alias(name)).select("_row.*", name))
+            .select(parsed.alias("_row"), "_file", F.col("value").alias("_raw_line"),
+                    number.alias(name)))
+
+
+def read_jsonl_in_order(spark: SparkSession, path: str, schema: T.StructType,
+                        name: str = "ingest_seq") -> DataFrame:
+    """JSON lines of a declared schema with the arrival number of each line.
+
+    Numbers rise by file and line and may have gaps. Blank lines are left out, and so
+    are broken ones, which :func:`jsonl_rejects` returns.
+    """
+    return (_lines(spark, path, schema, name).where(F.col(f"_row.{_BROKEN}").isNull())
+            .select(*[F.col(f"_row.`{f}`").alias(f) for f in schema.names], name))
+
+
+def jsonl_rejects(spark: SparkSession, path: str, schema: T.StructType,
+                  name: str = "ingest_seq") -> DataFrame:
+    """(file, ``name``, line): the lines that are no JSON object of the schema, or have more
+    text behind it, verbatim, each with its file and the arrival number it would have had."""
+    return (_lines(spark, path, schema, name).where(F.col(f"_row.{_BROKEN}").isNotNull())
+            .select(F.col("_file").alias("file"), name, F.col("_raw_line").alias("line")))
 
 
 def union_years(frames: Mapping[int, DataFrame], years: Sequence[int | str]) -> DataFrame:

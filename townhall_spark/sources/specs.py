@@ -21,7 +21,12 @@ from townhall_spark.functions.text import has_text
 from townhall_spark.operators import sampling
 from townhall_spark.operators.segments import segments_to_meetings
 from townhall_spark.schemas import RAW_SEGMENT
-from townhall_spark.sources.readers import read_jsonl, read_jsonl_in_order, read_years
+from townhall_spark.sources.readers import (
+    jsonl_rejects,
+    read_jsonl,
+    read_jsonl_in_order,
+    read_years,
+)
 
 SOURCES_DIR = Path(__file__).resolve().parents[1] / "config" / "sources"
 
@@ -74,9 +79,13 @@ def _load_years(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFram
                       cfg.get("columns"), arrival=None if spec.order_column else SEQ)
 
 
+def _rows_path(spec: SourceSpec, raw_dir: str) -> str:
+    return f"{raw_dir}/{spec.name}/sample.jsonl"
+
+
 def _load_rows(spark: SparkSession, spec: SourceSpec, raw_dir: str) -> DataFrame:
     """Segment rows of files that are in place, whole; a sample is the spec's to ask for."""
-    path, columns = f"{raw_dir}/{spec.name}/sample.jsonl", [f.name for f in RAW_SEGMENT]
+    path, columns = _rows_path(spec, raw_dir), [f.name for f in RAW_SEGMENT]
     if spec.order_column and spec.order_column not in columns:
         schema = T.StructType([*RAW_SEGMENT, T.StructField(spec.order_column, T.LongType())])
         return read_jsonl(spark, path, schema)
@@ -90,6 +99,16 @@ LOADERS: dict[str, Callable[[SparkSession, SourceSpec, str], DataFrame]] = {
 }
 
 
+def line_rejects(spark: SparkSession, specs: Sequence[SourceSpec], raw_dir: str) -> DataFrame:
+    """(source, file, ingest_seq, line): lines of JSON sources that could not be parsed."""
+    out = spark.createDataFrame([], "source string, file string, ingest_seq long, line string")
+    for spec in specs:
+        if LOADERS[spec.loader["type"]] is _load_rows:
+            broken = jsonl_rejects(spark, _rows_path(spec, raw_dir), RAW_SEGMENT, SEQ)
+            out = out.unionByName(broken.withColumn("source", F.lit(spec.name)))
+    return out
+
+
 def arrival(raw: DataFrame, spec: SourceSpec) -> Column:
     """Arrival number of a row within its source: the order column, else what the loader
     numbered, else the order of the frame's partitions."""
