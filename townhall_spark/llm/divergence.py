@@ -33,6 +33,9 @@ COUNTED = 1 << 19
 # Corrections that a task holds before it adds them up, and hands over.
 CORRECTIONS = 1 << 20
 
+# Entries of a path by which rows are dealt to tasks.
+_RANGED = 4
+
 # A-Z become a-z; other ASCII characters that are no letter separate terms.
 _TERMS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32
                for b in range(256))
@@ -175,7 +178,9 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     paths = stored(kept.groupBy("lang", "term")
                    .agg(F.array_sort(F.collect_list(entry)).alias("path"))
                    .groupBy("lang", "path").agg(F.count(F.lit(1)).alias("rows")))
-    both = stored(paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # Ranges of the first entries keep paths that share them together; bounds stay short.
+    both = stored(paths.repartitionByRange("lang", F.slice("path", 1, _RANGED))
+                  .sortWithinPartitions("lang", "path")
                   .select("lang", "path.source", "path.share", "path.none", "rows")
                   .mapInArrow(_grow, _CORRECTIONS))
     other = groups.select("lang", F.col("source").alias("item"), F.col("none").alias("other"))
