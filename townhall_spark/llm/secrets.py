@@ -10,6 +10,7 @@ functions only.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,8 @@ KINDS = (
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 20
 SHARED_OWNERS = 2
+# What a value is judged to be; spans of these follow those of the kinds.
+JUDGED = ("example", "live")
 # Distinct characters from which a value looks random.
 RANDOM_CHARACTERS = 8
 
@@ -106,12 +109,17 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source",
-         key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, ``found``, ``n_example``, ``n_live``.
-
-    ``n_example`` counts the document's distinct values that are widely copied,
-    ``n_live`` those of few owners that look random. Rows of an empty table give
-    an empty table; repeated rows each give a row; other columns are not read.
+         key: str = "doc_id", text: str = "text", example_owners: int = EXAMPLE_OWNERS,
+         shared_owners: int = SHARED_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES
+         ) -> DataFrame:
+    """One row per document: ``key``, ``found``, ``judged``, ``n_example``, ``n_live``.
+
+    A value is an example if it has ``example_owners`` owners, or ``shared_owners`` and
+    ``example_repositories`` repositories; else it is live if it looks random.
+    ``n_example`` and ``n_live`` count the document's distinct values of each kind;
+    ``judged`` has their spans, of kind ``example`` or ``live``. Null and empty texts have
+    none. Rows of an empty table give an empty table; repeated rows each give a row; other
+    columns are not read, whatever they are called.
     """
     light = docs.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"),
                         F.col(repository).alias("_repository"), F.col(text).alias("_scanned"))
@@ -119,36 +127,70 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source",
     some = found.where(F.size("found") > 0).withColumn(
         "_id", F.sha2(F.to_json(F.struct("_key", "found")), 256))
     counts = ownership(some, "_repository", "_owner")
-    example = ((F.col("n_owners") >= EXAMPLE_OWNERS)
-               | ((F.col("n_owners") >= SHARED_OWNERS)
-                  & (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)))
+    example = ((F.col("n_owners") >= example_owners)
+               | ((F.col("n_owners") >= shared_owners)
+                  & (F.col("n_repositories") >= example_repositories)))
     values = (some.select("_id", F.explode("found").alias("s"))
               .groupBy("_id", F.col("s.value").alias("value"))
               .agg(F.max("s.random").alias("random")))
-    judged = (values.join(counts, "value").groupBy("_id").agg(
-        F.sum(example.cast("long")).alias("n_example"),
-        F.sum((~example & F.col("random")).cast("long")).alias("n_live")))
+    labelled = values.join(counts, "value").withColumn(
+        "label", F.when(example, JUDGED[0]).when(F.col("random"), JUDGED[1]))
+
+    def of(name: str) -> Column:
+        return F.sum((F.coalesce("label", F.lit("")) == name).cast("long"))
+
+    # A document's own distinct values: no more than the document has spans.
+    names = F.map_from_entries(F.collect_list(F.when(
+        F.col("label").isNotNull(), F.struct("value", "label"))))
+    judged = labelled.groupBy("_id").agg(
+        of(JUDGED[0]).alias("n_example"), of(JUDGED[1]).alias("n_live"), names.alias("labels"))
+
+    def label(s: Column) -> Column:
+        return F.element_at("labels", s["value"])
+
+    spans = F.transform(F.filter("found", lambda s: label(s).isNotNull()), lambda s: F.struct(
+        s["start"].alias("start"),
+        (F.lit(len(KINDS)) + (label(s) == JUDGED[1]).cast("int")).alias("place"),
+        s["end"].alias("end"), label(s).alias("kind"), s["value"].alias("value"),
+        s["random"].alias("random")))
     zero = F.lit(0).cast("long")
-    return (some.join(judged, "_id").select("_key", "found", "n_example", "n_live")
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    return (some.join(judged, "_id")
+            .select("_key", "found", spans.alias("judged"), "n_example", "n_live")
             .unionByName(found.where(F.size("found") == 0).select(
-                "_key", "found", zero.alias("n_example"), zero.alias("n_live")))
+                "_key", "found", none.alias("judged"), zero.alias("n_example"),
+                zero.alias("n_live")))
             .withColumnRenamed("_key", key))
 
 
-def without_live(docs: DataFrame, key: str = "doc_id", **columns: str) -> DataFrame:
-    """The documents that hold no live-looking credential, whole and unchanged."""
-    live = stored(scan(docs, key=key, **columns).where("n_live > 0")
-                  .select(F.col(key).alias("_live")).distinct())
-    return docs.join(live, F.col(key).eqNullSafe(F.col("_live")), "left_anti")
+def without_live(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                 **options: str | int) -> DataFrame:
+    """The documents that hold no live-looking credential, whole and unchanged.
+
+    Rows are told apart by key and text, so a clean row stays although another of its
+    key, or another without key, goes. Rows without text stay; repeated rows stay or go
+    together; an empty table stays empty; other columns may have any name.
+    """
+    row = f"_{uuid.uuid4().hex}"
+    told = docs.withColumn(row, F.struct(
+        F.col(key).alias("key"), F.md5(text_or_empty(text)).alias("text")))
+    options = {"repository": key} | options
+    live = stored(scan(told, key=row, text=text, **options).where("n_live > 0")
+                  .select(row).distinct())
+    return told.join(live, told[row].eqNullSafe(live[row]), "left_anti").drop(row)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The scan's result with spans as strings ``kind:start:end``, comma-joined."""
-    spans = F.array_join(F.transform(
-        "found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
-                                       s["end"].cast("string"))), ",")
+    """The scan's result with spans as strings ``kind:start:end``, comma-joined; ``spans`` has
+    the judged ones as well, each behind the candidates that start with it."""
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
     kinds = F.transform("found", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k.name))).cast("long")
               .alias(f"n_{k.name}") for k in KINDS]
-    return scanned.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"),
-                          spans.alias("spans"), "n_example", "n_live")
+    return scanned.select("doc_id", *counts, F.sha2(joined(F.col("found")), 256)
+                          .alias("base_sha256"),
+                          joined(F.array_sort(F.concat("found", "judged"))).alias("spans"),
+                          "n_example", "n_live")

@@ -93,18 +93,25 @@ SECRETS = f"""
         count(DISTINCT coalesce(source, '') || chr(0) || coalesce(CAST(doc_id AS VARCHAR), ''))
           AS repositories
       FROM held JOIN docs USING (r) GROUP BY v),
-    judged AS (SELECT r, count(*) FILTER (WHERE example) AS n_example,
-        count(*) FILTER (WHERE NOT example AND random) AS n_live
-      FROM (SELECT held.*, owners >= {secrets.EXAMPLE_OWNERS}
-          OR repositories >= {secrets.EXAMPLE_REPOSITORIES} AS example
-        FROM held JOIN owned USING (v)) GROUP BY r)
+    judged AS (SELECT held.*, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS}
+          OR owners >= {secrets.SHARED_OWNERS} AND repositories >= {secrets.EXAMPLE_REPOSITORIES}
+        THEN 'example' WHEN random THEN 'live' END AS label
+      FROM held JOIN owned USING (v)),
+    counted AS (SELECT r, count(*) FILTER (WHERE label = 'example') AS n_example,
+        count(*) FILTER (WHERE label = 'live') AS n_live FROM judged GROUP BY r),
+    spans AS (SELECT r, string_agg(span, ',' ORDER BY start, place) FILTER (WHERE base) AS base,
+        string_agg(span, ',' ORDER BY start, place) AS spans
+      FROM (SELECT r, start, place, span, true AS base FROM found UNION ALL
+        SELECT r, start, {len(secrets.KINDS)} + CAST(label = 'live' AS INTEGER),
+          label || ':' || CAST(start AS BIGINT) || ':' || CAST(start + width AS BIGINT), false
+        FROM found JOIN judged USING (r, v) WHERE label IS NOT NULL) GROUP BY r)
     SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secrets.KINDS)},
-      sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
       coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
-    FROM docs LEFT JOIN (SELECT r, string_agg(span, ',' ORDER BY start, place) AS spans,
+    FROM docs LEFT JOIN spans USING (r) LEFT JOIN counted USING (r) LEFT JOIN (SELECT r,
         {", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}"
                    for k in secrets.KINDS)}
-      FROM found GROUP BY r) USING (r) LEFT JOIN judged USING (r)"""
+      FROM found GROUP BY r) USING (r)"""
 
 DIVERGENCE = r"""
     WITH docs AS (
