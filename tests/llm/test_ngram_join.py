@@ -118,6 +118,56 @@ def test_nulls_repeats_and_ids(spark):
         (False, 3), (False, 9), (False, 10), (False, 11), (False, 12), (False, 13), (True, 0)]
 
 
+def test_different_texts_of_one_id(spark):
+    one, two = "one two three four five six seven eight", "nine ten eleven twelve some more words"
+    rows = [(5, one, 1, "b"), (5, two, 2, "a"), (6, two, 3, "c"), (5, one, 1, "a"),
+            (8, one, 4, "d"), (None, "alone here with words", 0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = ngram_join.join(df, 4, 85).collect()
+    assert sorted((r.id, r.component) for r in got if r.id < ngram_join.NO_ID) == [
+        (5, 5), (5, 5), (5, 5), (6, 5), (8, 5)]
+    # Both texts of the id stay, the same rows in every run.
+    want = [(5, one, 1, "a"), (5, two, 2, "a"), (None, "alone here with words", 0, "x")]
+    for n in (1, 2, 5):
+        kept = ngram_join.one_of_each(df.repartition(n)).collect()
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    schema = "doc_id long, text string, _id string, digest string, component long, row int, rows int"
+    rows = [(1, "a b c d e f", "p", "q", 7, 8, 9), (2, "A b c d e f", "p", "q", 7, 8, 9),
+            (3, None, "r", "s", 1, 2, 3), (3, None, "r", "s", 1, 2, 3)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, schema))
+    assert kept.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+    assert ngram_join.one_of_each(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_frequent_shingles_are_sent_once_and_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.sample(common, 2) + common + [f"w{rng.randrange(60)}"
+                         for _ in range(rng.randrange(12))])) for i in range(150)]
+    docs = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], SCHEMA).repartition(2)
+    got = {r.id: (r.n, r.component) for r in ngram_join.join(docs, 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+    deal = ngram_join._deal(4, 3, 1 << 20)
+    from pyspark import TaskContext
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda _: type("T", (), {
+        "partitionId": lambda self: 0})()))
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([d for d, _ in rows]), pa.array([b"0" * 16] * len(rows)),
+         pa.array([t for _, t in rows])], ["id", "digest", "text"])
+    dealt = [r for part in deal(iter([batch])) for r in part.to_pylist()]
+    # Every document holds 27 common shingles: they are no occurrences any more.
+    assert sum(len(r["keys"]) // 4 for r in dealt) <= sum(
+        len(shingles(t, 4)) for _, t in rows) - 27 * 150
+    assert sum(len(r["often"]) // 4 for r in dealt) >= 27
+    assert sum(r["ids"] is not None for r in dealt) == 1
+
+
 def test_a_very_long_text_and_its_near_copy(spark):
     words = [f"w{i % 977}x{i}" for i in range(60000)]
     near = words[:]

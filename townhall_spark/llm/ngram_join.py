@@ -3,8 +3,8 @@
 Exact, in three steps:
 
 1. Document frequencies of all shingles. Each task deals its shingles to buckets by
-   hash, as packed arrays; a bucket counts them and sends back those that several
-   documents have. A document orders its shingles from rare to frequent. Two linked
+   hash, as packed arrays, a frequent one once with its count; a bucket counts them and
+   sends back those that several documents have. A document orders its shingles from rare to frequent. Two linked
    documents share one of the few rarest of each (prefix filter), whatever the
    order, so only shared shingles in that prefix make candidates. Frequent
    passages are in the prefix only of documents that hold little else.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
@@ -49,6 +50,9 @@ from townhall_spark.operators.skew import top_k_per_group
 # of the corpus, so that what a block sends to a bucket is at least PACKED shingles.
 LEAST_BLOCK = 1 << 20
 PACKED = 64
+# A shingle that more documents of a block hold, and more than one in so many, is counted
+# there and sent to its bucket once.
+FREQUENT = 32
 # Text bytes to a word, about; only sizes of blocks and buckets depend on it.
 WORD_BYTES = 6
 # Documents of one slice of a cell, and its shingles; a task holds two slices.
@@ -86,21 +90,35 @@ def _deal(width: int, bits: int, block_shingles: int):
             nonlocal block, ids, digests, sets, total
             sizes = np.array([len(s) for s in sets], np.uint32)
             shingles = np.concatenate(sets)
-            bucket = (shingles >> np.uint64(64 - bits)).astype(np.min_scalar_type((1 << bits) - 1))
             doc = np.repeat(np.arange(len(sets)), sizes)
+            # What many documents of a block hold goes to its bucket once, with its count;
+            # who holds it goes with the block's own data.
+            every, where, times = np.unique(shingles, return_inverse=True, return_counts=True)
+            many = times > max(FREQUENT, len(sets) // FREQUENT)
+            frequent = np.flatnonzero(many)
+            held = many[where]
+            places = np.searchsorted(frequent, where[held]).astype(np.uint32)
+            holders = doc[held].astype(np.uint32)
+            shingles, doc = shingles[~held], doc[~held]
+            shift = np.uint64(64 - bits)
+            bucket = (shingles >> shift).astype(np.min_scalar_type((1 << bits) - 1))
             order = np.argsort(bucket, kind="stable")
             keys = (shingles >> np.uint64(32 - bits)).astype(np.uint32)[order]
             ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))
-            rows = []
+            often, counted = every[frequent], times[frequent].astype(np.uint32)
+            bounds = np.searchsorted((often >> shift).astype(np.int64), np.arange((1 << bits) + 1))
+            often = (often >> np.uint64(32 - bits)).astype(np.uint32)
+            home, rows = block % (1 << bits), []
             for b in range(1 << bits):
                 own = slice(ends[b - 1] if b else 0, ends[b])
                 counts = np.bincount(doc[order[own]], minlength=len(sets))
-                meta = b == 0
+                of = slice(bounds[b], bounds[b + 1])
                 rows.append((block, b, len(sets), keys[own].tobytes(),
                              counts.astype(np.min_scalar_type(counts.max())).tobytes(),
-                             np.array(ids, np.int64).tobytes() if meta else None,
-                             b"".join(digests) if meta else None,
-                             sizes.tobytes() if meta else None))
+                             often[of].tobytes(), counted[of].tobytes(),
+                             *((np.array(ids, np.int64).tobytes(), b"".join(digests),
+                                sizes.tobytes(), places.tobytes(), holders.tobytes())
+                               if b == home else [None] * 5)))
             block, ids, digests, sets, total = block + 1, [], [], [], 0
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays(
@@ -115,40 +133,47 @@ def _deal(width: int, bits: int, block_shingles: int):
                 digests.append(digest)
                 sets.append(found)
                 total += len(found)
-                if total >= block_shingles:
+                if total >= block_shingles or len(sets) >= block_shingles // PACKED:
                     yield flush()
         if sets:
             yield flush()
     return run
 
 
-_DEALT = ("block long, bucket int, docs int, keys binary, counts binary, ids binary, digests binary, "
-          "sizes binary")
-_SHARED = ("block long, bucket int, keys binary, docs binary, ranks binary, ids binary, "
-           "digests binary, sizes binary")
+_OWN = "ids binary, digests binary, sizes binary, places binary, holders binary"
+_DEALT = ("block long, bucket int, docs int, keys binary, counts binary, often binary, "
+          f"times binary, {_OWN}")
+_SHARED = ("block long, bucket int, keys binary, docs binary, ranks binary, often_ranks binary, "
+           f"often binary, {_OWN}")
 _NODES = "id long, digest binary, n long, tokens array<long>"
 
 
 def _count(rows: pa.Table) -> pa.Table:
     """A bucket's shingles that several documents have, with their rank of frequency."""
     keys = [np.frombuffer(k, np.uint32) for k in rows.column("keys").to_pylist()]
-    every = np.concatenate(keys)
-    _, where, times = np.unique(every, return_inverse=True, return_counts=True)
+    often = [np.frombuffer(k, np.uint32) for k in rows.column("often").to_pylist()]
+    once = sum(map(len, keys))
+    _, where = np.unique(np.concatenate(keys + often), return_inverse=True)
+    times = np.bincount(where, np.concatenate(
+        [np.ones(once), *[np.frombuffer(t, np.uint32) for t in rows.column("times").to_pylist()]]))
     # The rank is all that matters, and equal for equal shingles: logarithmic steps do.
-    rank = np.minimum(255, np.floor(8 * np.log2(times))).astype(np.uint8)
-    out, at = [], 0
-    for key, counts, n in zip(keys, rows.column("counts").to_pylist(),
-                              rows.column("docs").to_pylist(), strict=True):
+    rank = np.minimum(255, np.floor(8 * np.log2(np.maximum(times, 1)))).astype(np.uint8)
+    out, at, of = [], 0, once
+    for key, counts, n, some in zip(keys, rows.column("counts").to_pylist(),
+                                    rows.column("docs").to_pylist(), often, strict=True):
         own = where[at:at + len(key)]
         at += len(key)
         shared = times[own] > 1
         # The counts of a block's n documents are as wide as the largest needs.
         docs = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)),
                          np.frombuffer(counts, f"u{len(counts) // n}"))
-        out.append((key[shared].tobytes(), docs[shared].tobytes(), rank[own][shared].tobytes()))
+        out.append((key[shared].tobytes(), docs[shared].tobytes(), rank[own][shared].tobytes(),
+                    rank[where[of:of + len(some)]].tobytes()))
+        of += len(some)
     columns = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
     return pa.table([rows.column("block"), rows.column("bucket"), *columns,
-                     *[rows.column(c) for c in ("ids", "digests", "sizes")]],
+                     *[rows.column(c) for c in
+                       ("often", "ids", "digests", "sizes", "places", "holders")]],
                     names=[c.split()[0] for c in _SHARED.split(", ")])
 
 
@@ -165,6 +190,17 @@ def _prefixes(percent: int):
         place = np.min_scalar_type(len(ids))
         docs = np.concatenate([np.frombuffer(d, place) for d in parts["docs"]]).astype(np.int64)
         ranks = np.concatenate([np.frombuffer(r, np.uint8) for r in parts["ranks"]])
+        # Frequent shingles are numbered by hash, so by bucket and key.
+        by_bucket = np.argsort(parts["bucket"])
+        often = np.concatenate([(np.int64(parts["bucket"][i]) << 32) | np.frombuffer(
+            parts["often"][i], np.uint32).astype(np.int64) for i in by_bucket])
+        often_ranks = np.concatenate([np.frombuffer(parts["often_ranks"][i], np.uint8)
+                                      for i in by_bucket])
+        places = np.frombuffer(parts["places"][first], np.uint32)
+        keys = np.concatenate([keys, often[places]])
+        docs = np.concatenate([docs, np.frombuffer(parts["holders"][first], np.uint32)
+                               .astype(np.int64)])
+        ranks = np.concatenate([ranks, often_ranks[places]])
         order = np.lexsort((keys, ranks, docs))
         keys, docs = keys[order], docs[order]
         shared = np.bincount(docs, minlength=len(n))
@@ -400,24 +436,38 @@ def _search_large(rows: DataFrame, large: DataFrame, width: int, percent: int) -
     return first.unionByName(_search(rows, held.unionByName(asked), width, percent))
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
-         text: str = "text") -> DataFrame:
-    """(id, n, component) per row: set size and the smallest id reachable by links.
+def _apart(table: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``table`` (id, digest, ...) with ``node``: an id for every text of an id.
 
-    A set holds the distinct ``width``-word shingles of the whole lower-cased text; a
-    shorter text is one shingle; null, empty and wordless texts have none and link with
-    nothing. Two rows link when the overlap is at least ``percent`` per cent of the
-    union. Rows of one id count as one document. A row without id gets an internal
-    one (``NO_ID`` and above) that is never the smallest where there is a real one.
-    Repeated rows each give a row; an empty table gives an empty table; other columns
-    are not read.
+    The text of the smallest digest has the id itself, others get internal ids.
     """
+    if repeated is None:
+        return table.withColumn("node", F.col("id"))
+    other = F.col("keeps").isNotNull() & (F.col("digest") != F.col("keeps"))
+    inner = F.lit(NO_ID) + F.pmod(F.xxhash64("id", "digest"), F.lit(1 << 60))
+    return table.join(repeated, "id", "left").withColumn(
+        "node", F.when(other, inner).otherwise(F.col("id"))).drop("keeps")
+
+
+def _classes(docs: DataFrame, width: int, percent: int, key: str, text: str, by_id: bool
+             ) -> DataFrame:
+    """(id, digest, n, component) per row; with ``by_id`` texts of one id are connected."""
     rows = docs.select(_ids(key, text).alias("id"), text_or_empty(text).alias("text"))
     nodes = _nodes(rows, width, percent)
+    repeated = stored(nodes.groupBy("id").agg(F.min("digest").alias("keeps"),
+                                              F.max("digest").alias("last"))
+                      .where("keeps <> last").select("id", "keeps"))
+    if repeated.isEmpty():
+        repeated = None
+    else:
+        rows = rows.withColumn("digest", F.unhex(F.md5("text")))
+        nodes = stored(_apart(nodes, repeated))
+    nodes = nodes if repeated is not None else _apart(nodes, None)
+    rows = _apart(rows, repeated).select(F.col("node").alias("id"), "text")
     some = nodes.where((F.col("n") > 0) & (F.size("tokens") > 0))
     # Equal texts have equal tokens and become one; the step combines before its shuffle.
     distinct = stored(some.groupBy("digest").agg(
-        F.min("id").alias("id"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
+        F.min("node").alias("id"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
     ratio = 1.001 * math.log(100 / percent)
     classed = distinct.withColumn("class", F.floor(F.log("n") / ratio).cast("long"))
     # A hub is a shingle and a size class; the next class's documents are in it, too.
@@ -434,25 +484,60 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id"
     links = _search(rows, cells.small, width, percent)
     if not cells.large.isEmpty():
         links = links.unionByName(_search_large(rows, cells.large, width, percent))
-    # Rows of one id but different texts are one document: their texts connect.
     own = some.join(distinct.select("digest", F.col("id").alias("least")), "digest").select(
-        F.col("id").alias("a"), F.col("least").alias("b"))
-    joined = components(links.unionByName(own.where("a != b")))
-    named = nodes.select("id", "n").join(
-        joined.select(F.col("node").alias("id"), "label"), "id", "left")
-    return named.select("id", "n", F.coalesce("label", "id").alias("component"))
+        F.col("node").alias("a"), F.col("least").alias("b"))
+    links = links.unionByName(own.where("a != b"))
+    if by_id and repeated is not None:
+        links = links.unionByName(nodes.where("node <> id").select(
+            F.col("node").alias("a"), F.col("id").alias("b")))
+    joined = components(links)
+    named = nodes.select("id", "digest", "n", "node").join(
+        joined.select("node", "label"), "node", "left")
+    return named.select("id", "digest", "n", F.coalesce("label", "node").alias("component"))
+
+
+def join(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
+         text: str = "text") -> DataFrame:
+    """(id, n, component) per row: set size and the smallest id reachable by links.
+
+    A set holds the distinct ``width``-word shingles of the whole lower-cased text; a
+    shorter text is one shingle; null, empty and wordless texts have none and link with
+    nothing. Two rows link when the overlap is at least ``percent`` per cent of the
+    union. Rows of one id count as one document, which links as any of its texts does.
+    A row without id gets an internal one (``NO_ID`` and above) that is never the
+    smallest where there is a real one. Repeated rows each give a row; an empty table
+    gives an empty table; other columns are not read. The join runs when it is called:
+    its steps are written to the scratch folder.
+    """
+    return _classes(docs, width, percent, key, text, True).select("id", "n", "component")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
                 text: str = "text") -> DataFrame:
-    """The documents with the smallest id of each component, their columns unchanged."""
-    found = stored(join(docs, width, percent, key, text).select(
-        F.col("id").alias("_id"), F.col("component")))
-    dropped = stored(found.where("_id <> component").select("_id").distinct())
-    repeated = stored(found.where("_id = component").groupBy("_id").agg(
-        F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id"))
-    kept = docs.withColumn("_id", _ids(key, text)).join(dropped, "_id", "left_anti")
+    """The documents with the smallest id of each component, their columns unchanged.
+
+    Texts of one id that do not link are documents of their own, and all stay. Of texts
+    of one id that link, the one of the smallest digest stays; of rows that repeat id and
+    text, the smallest by all columns; so a run repeated gives the same rows. Rows without
+    words all stay. Rows without id go before others of their component. Columns may
+    have any name.
+    """
+    found = stored(_classes(docs, width, percent, key, text, False).where("n > 0")
+                   .select("id", "digest", "component"))
+    best = found.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("best"))
+    told = found.groupBy("component", "id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    named, row = f"_{uuid.uuid4().hex}", F.struct("id", "digest")
+    dropped = stored(told.join(best, "component").where(row != F.col("best"))
+                     .select(row.alias(named)))
+    repeated = stored(told.join(best, "component").where((row == F.col("best")) & (F.col("rows") > 1))
+                      .select(row.alias(named)))
+    kept = docs.withColumn(named, F.struct(
+        _ids(key, text).alias("id"), F.unhex(F.md5(text_or_empty(text))).alias("digest"))
+    ).join(dropped, named, "left_anti")
     if not repeated.isEmpty():
-        once = kept.join(repeated, "_id", "left_semi").dropDuplicates(["_id"])
-        kept = kept.join(repeated, "_id", "left_anti").unionByName(once)
-    return kept.drop("_id")
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        once = (kept.join(repeated, named, "left_semi").groupBy(named)
+                .agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias("row"))
+                .select("row.*"))
+        return kept.join(repeated, named, "left_anti").drop(named).unionByName(once)
+    return kept.drop(named)
