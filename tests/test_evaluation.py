@@ -2,7 +2,10 @@
 
 import json
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,25 @@ def test_method_compare_and_report(spark):
         "method", "golden_items", "per_category", "macro_f1", "accuracy",
         "human_vs_model_cohen_kappa", "kappa_note", "confidence_calibration",
         "hazard_accuracy_exploratory", "hazard_note"]
+
+
+def test_a_python_classifier_runs_once_a_row(spark):
+    rows = [(f"the {i} flood plan" if i % 3 else None, "adaptation", "flood") for i in range(500)]
+    golden = spark.createDataFrame(rows, "action_text string, action_category string, "
+                                         "hazard_type string").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def by_word(texts):
+        seen.add(len(texts))
+        flood = texts.str.contains("flood")
+        return pd.DataFrame({"confidence": np.where(flood, 1, 0), "other": 1,
+                             "hazard": np.where(flood, "flood", None),
+                             "category": np.where(flood, "adaptation", "unrelated")})
+
+    pairs = evaluation.eval_pairs(golden, evaluation.from_python(by_word)).collect()
+    assert seen.value == 500
+    assert Counter((r.y_pred, r.haz_pred, r.confidence) for r in pairs) == {
+        ("adaptation", "flood", 1.0): 333, ("unrelated", "none", 0.0): 167}
+    short = evaluation.from_python(lambda texts: by_word(texts).head(1))
+    with pytest.raises(Exception, match="1 labels for"):
+        evaluation.eval_pairs(golden, short).collect()

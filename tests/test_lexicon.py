@@ -1,5 +1,8 @@
 """Every branch of the decision table, on the climate lexicon and on a swapped one."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,34 @@ def test_prompts(spark):
     assert [r.prompt.count("z") - extraction.LABEL_PROMPT.count("z") for r in windows.collect()] \
         == [6000, 1200]
     assert all(r.prompt.startswith(extraction.LABEL_PROMPT) for r in windows.collect())
+
+
+def test_many_terms_in_one_pass_find_what_a_search_for_each_finds(spark, monkeypatch):
+    """Terms that overlap, begin with one another, and hold what patterns take for signs."""
+    rng = random.Random(4)
+    letters = "ab é水.-'\\(|"
+    for _ in range(4):
+        words = list({"".join(rng.choices(letters, k=rng.randrange(1, 5))) for _ in range(70)})
+        texts = ["".join(rng.choices(letters + "\n", k=rng.randrange(40))) for _ in range(150)]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        text = F.col("t")
+        lex = lx.Lexicon(tuple(words[:25]), tuple(words[25:40]), tuple(words[40:]), (), (),
+                         (("x", tuple(words[:2])), ("y", tuple(words[2:30])), ("z", tuple(words))))
+        found = df.select("t", lx.term_hits(text, words).alias("hits"),
+                          lx.hazard_tag(text, lex).alias("hazard"), lx.classify(text, lex).alias("c"))
+        assert lx.SINGLE_PASS_TERMS < len(words)
+        once = found.collect()
+        assert all(r.hits == [w for w in words if w in r.t] for r in once)
+        with monkeypatch.context() as each:
+            each.setattr(lx, "SINGLE_PASS_TERMS", 1000)
+            assert once == df.select(
+                "t", lx.term_hits(text, words).alias("hits"),
+                lx.hazard_tag(text, lex).alias("hazard"), lx.classify(text, lex).alias("c")).collect()
+
+
+def test_a_long_lexicon_is_one_pattern(spark):
+    words = [f"term{i}" for i in range(1000)]
+    plan = spark.range(1).select(lx.term_hits(F.col("id").cast("string"), words).alias("h"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all") == 1 and "Contains" not in text
+    assert re.compile(lx.term_pattern(words).replace("(?=[t])", "")).match("term12").group() == "term12"

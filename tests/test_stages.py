@@ -45,9 +45,9 @@ def same(a, b):
 def test_tables_match_queries(spark, work):
     actions = spark.read.parquet(f"{work}/actions").drop("extracted_at")
     same(actions, CATALOG["extract_actions"].plan(spark, SF))
-    same(spark.read.parquet(f"{work}/provenance"), CATALOG["provenance"].plan(spark, SF))
-    same(spark.read.parquet(f"{work}/conflicts"), CATALOG["conflicts"].plan(spark, SF))
-    same(spark.read.parquet(f"{work}/meetings"), CATALOG["meeting_table"].plan(spark, SF))
+    same(stages.linked(spark, work)["provenance"], CATALOG["provenance"].plan(spark, SF))
+    same(stages.linked(spark, work)["conflicts"], CATALOG["conflicts"].plan(spark, SF))
+    same(stages.linked(spark, work)["meetings"], CATALOG["meeting_table"].plan(spark, SF))
     same(stages.transcripts(spark, work), CATALOG["merged_transcripts"].plan(spark, SF))
     assert spark.read.parquet(f"{work}/canonical_rejects").count() == 0
     assert spark.read.json(f"{work}/canonical_jsonl").count() == 178
@@ -160,3 +160,55 @@ def test_evaluate(spark, work, tmp_path):
                     "20240102T000000Z")
     latest = sinks.latest_reports(spark, reports).first()
     assert json.loads(latest.report)["golden_items"] == 0
+
+
+def test_a_run_that_fails_leaves_the_last_set_readable(spark, tmp_path):
+    root = str(tmp_path)
+    good = {"a": spark.range(3), "b": spark.range(4)}
+    sinks.publish(spark, good, root)
+    broken = {"a": spark.range(30), "b": spark.range(40).select(
+        F.when(F.col("id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))}
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(spark, broken, root)
+    seen = sinks.published(spark, root)
+    assert {name: t.count() for name, t in seen.items()} == {"a": 3, "b": 4}
+    sinks.publish(spark, {"a": spark.range(5), "b": spark.range(6)}, root)
+    # Who has opened a set goes on with it; who opens one now has the new one.
+    assert {name: t.count() for name, t in seen.items()} == {"a": 3, "b": 4}
+    assert {n: t.count() for n, t in sinks.published(spark, root).items()} == {"a": 5, "b": 6}
+    with pytest.raises(ValueError):
+        sinks.published(spark, root, "none")
+
+
+def test_linking_that_fails_keeps_the_tables_of_the_last_run(spark, work, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    sinks.write_parquet(spark.read.parquet(f"{work}/canonical"), f"{root}/canonical")
+    stages.link(spark, root)
+    before = {n: t.count() for n, t in stages.linked(spark, root).items()}
+    monkeypatch.setattr(stages.linking, "conflicts", lambda records: records.select(
+        F.raise_error(F.lit("lost")).alias("canonical_id")))
+    with pytest.raises(Exception, match="lost"):
+        stages.link(spark, root)
+    assert {n: t.count() for n, t in stages.linked(spark, root).items()} == before
+    monkeypatch.undo()
+    stages.link(spark, root, resolve_conflicts=True)
+    same(stages.linked(spark, root)["conflicts"], CATALOG["conflicts_resolved"].plan(spark, SF))
+
+
+def test_a_label_run_that_is_tried_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "golden")
+    schema = "action_text string, action_category string"
+    first = spark.createDataFrame([("a", "both"), ("b", "both")], schema)
+    second = spark.createDataFrame([("b", "unrelated"), ("c", "both")], schema)
+    for _ in range(2):
+        sinks.append_labels(first, path, "20240101T000000Z")
+    for _ in range(3):
+        sinks.append_labels(second, path, "20240102T000000Z")
+    stored = spark.read.json(path)
+    assert stored.count() == 4
+    assert {r.labelled_at[:19] for r in stored.collect()} == {
+        "2024-01-01T00:00:00", "2024-01-02T00:00:00"}
+    sinks.append_labels(second, path, "20240103T000000Z", skip_known=True)
+    assert spark.read.json(path).count() == 4
+    sinks.append_labels(second, path)
+    assert spark.read.json(path).count() == 6

@@ -1,14 +1,14 @@
 """Topic lexicon: term hits, hazard tag and the category decision as Columns.
 
 Matching is substring matching on lower-cased text, with no word boundaries;
-overlapping terms all count. Term lists are array literals searched with
-higher-order functions, which keeps generated code small however long a
-lexicon grows. Swapping the lexicon retargets everything.
+overlapping terms all count. A long list is one pattern, and a text is read once for
+all of its terms; a short one is an array literal searched with higher-order functions.
+Swapping the lexicon retargets everything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from townhall_spark.functions.literals import text_array
+from townhall_spark.functions.literals import quoted, text_array
 from townhall_spark.functions.text import let, sentences
 from townhall_spark.schemas import ADAPTATION_CATEGORIES
 
@@ -74,22 +74,93 @@ def load_lexicon(path: str = str(CLIMATE_LEXICON)) -> Lexicon:
     return Lexicon.from_mapping(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
 
+# Lists of more terms are searched for in one pass, by a pattern of all of them; for fewer
+# a search for each is quicker. Both give the same hits.
+SINGLE_PASS_TERMS = 40
+
+
+def term_pattern(words: Sequence[str]) -> str:
+    """A pattern of the terms as a tree of their common beginnings.
+
+    At any place of a text it matches the longest term that begins there, and reads no
+    character twice to find it.
+    """
+    tree: dict[str, dict] = {}
+    for word in words:
+        node = tree
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(char: str) -> str:
+        return char if char.isalnum() and char.isascii() else rf"\x{{{ord(char):x}}}"
+
+    def rest(node: dict) -> str:
+        parts = [written(c) + rest(node[c]) for c in sorted(node) if c]
+        if not parts:
+            return ""
+        # Of several ends the longest counts, so going on comes first.
+        joined = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return joined + ("?" if "" in node else "")
+
+    first = "".join(written(c) for c in sorted(tree) if c)
+    return f"(?=[{first}]){rest(tree)}"
+
+
+def _in_one_pass(words: Sequence[str]) -> bool:
+    return len(words) > SINGLE_PASS_TERMS and "" not in words
+
+
+def _found(low: Column, words: Sequence[str]) -> Column:
+    """Array of the different terms that occur, in one pass over the text.
+
+    A match is the longest term at its place; shorter ones that it begins with occur,
+    too. Matches take no room, so terms that overlap are all found.
+    """
+    matches = F.array_distinct(F.regexp_extract_all(
+        low, F.lit(f"(?=({term_pattern(words)}))"), F.lit(1)))
+    known = set(words)
+    begun = {w: [w[:n] for n in range(1, len(w)) if w[:n] in known] for w in sorted(known)}
+    begun = {w: short for w, short in begun.items() if short}
+    if not begun:
+        return matches
+    entries = ", ".join(f"{quoted(w)}, array({', '.join(map(quoted, short))})"
+                        for w, short in begun.items())
+    shorter = F.expr(f"map({entries})")
+    return let(matches, lambda m: F.array_distinct(F.concat(m, F.flatten(F.filter(
+        F.transform(m, lambda w: F.element_at(shorter, w)), lambda x: x.isNotNull())))))
+
+
 def _hits(low: Column, words: Sequence[str]) -> Column:
     # ``low`` stands inside a lambda: it must be bound, or it is recomputed per term.
-    return F.filter(text_array(words), lambda term: F.contains(low, term))
+    if not _in_one_pass(words):
+        return F.filter(text_array(words), lambda term: F.contains(low, term))
+    return let(_found(low, words), lambda found: F.when(
+        F.size(found) > 0, F.filter(text_array(words), lambda t: F.array_contains(found, t)))
+        .otherwise(text_array([])))
 
 
 def _any_hit(low: Column, words: Sequence[str]) -> Column:
-    return F.exists(text_array(words), lambda term: F.contains(low, term))
+    if not _in_one_pass(words):
+        return F.exists(text_array(words), lambda term: F.contains(low, term))
+    return F.rlike(low, F.lit(term_pattern(words)))
 
 
 def _hazard(low: Column, lexicon: Lexicon) -> Column:
     if not lexicon.hazards:
         return F.lit("other")
+    every = [w for _, words in lexicon.hazards for w in words]
+    if not _in_one_pass(every):
+        return _first_hazard(lexicon, lambda words: _any_hit(low, words))
+    return let(_found(low, every), lambda found: _first_hazard(
+        lexicon, lambda words: F.arrays_overlap(found, text_array(words))))
+
+
+def _first_hazard(lexicon: Lexicon, occurs: Callable[[Sequence[str]], Column]) -> Column:
     (first, words), *rest = lexicon.hazards
-    tag = F.when(_any_hit(low, words), first)
+    tag = F.when(occurs(words), first)
     for name, words in rest:
-        tag = tag.when(_any_hit(low, words), name)
+        tag = tag.when(occurs(words), name)
     return tag.otherwise("other")
 
 

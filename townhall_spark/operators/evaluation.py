@@ -6,15 +6,17 @@ hazards); every report is computed from that cube.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townhall_spark.functions.text import or_none
 from townhall_spark.schemas import ACTION_CATEGORIES
 
-# A classifier turns a text column into struct<category, hazard, confidence>.
+# A classifier turns a text column into struct<category, hazard, confidence>; ``from_python``
+# makes one of a Python function.
 Classifier = Callable[[Column], Column]
 
 # Confidence bins (label, lower bound, upper bound).
@@ -22,6 +24,28 @@ BINS = (("0.0-0.5", 0.0, 0.5), ("0.5-0.7", 0.5, 0.7), ("0.7-0.9", 0.7, 0.9),
         ("0.9-1.0", 0.9, 1.01))
 
 
+def from_python(function: Callable[[pd.Series], pd.DataFrame]) -> Classifier:
+    """The classifier of a Python function over batches of texts.
+
+    ``function`` takes a series of texts, null as empty, and returns a frame of as many
+    rows with the columns category, hazard and confidence; it runs in Python workers, on
+    Arrow batches, once for each row. Load a model inside of it and keep it there: it
+    is called once a batch.
+    """
+    fields = ("category", "hazard", "confidence")
+
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = function(texts.fillna(""))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} labels for {len(texts)} texts")
+            yield found[list(fields)].astype({"confidence": "float64"}).reset_index(drop=True)
+
+    # Not deterministic to Spark: it must not be copied to where a field of it is used.
+    udf = F.pandas_udf(label, "category string, hazard string, confidence double").asNondeterministic()
+    return lambda text: udf(text)
+
+
 def golden_latest(golden: DataFrame, order: str = "seq") -> DataFrame:
     """Last label per text wins; ``order`` is any unique, comparable column."""
     others = [c for c in golden.columns if c not in ("action_text", order)]

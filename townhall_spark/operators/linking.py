@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.functions.text import ustrip
+from townhall_spark.functions.text import has_text, ustrip
 from townhall_spark.operators.text_assembly import distinct_texts, in_order
 from townhall_spark.operators.text_parts import parts
 from townhall_spark.schemas import quality_rank
@@ -115,6 +115,37 @@ def conflicts(records: DataFrame) -> DataFrame:
                     F.lit(None).cast("string").alias("note")))
 
 
+def resolutions(records: DataFrame) -> DataFrame:
+    """(canonical_id, field, resolved_value, note): the value that the records of a meeting
+    vote for, for each conflict field on which they name several.
+
+    A value of a record of better quality wins, then one that more records have, then
+    the one seen first. Missing and empty values have no vote. Votes are counted a value
+    before they are compared, so a meeting of very many records is no row of its own.
+    """
+    votes = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+                      for f in CONFLICT_FIELDS])
+    values = (records.select(KEY, quality_rank(F.col("transcript_quality")).alias("rank"),
+                             "ingest_seq", F.explode(votes).alias("v"))
+              .where(has_text(F.col("v.value")))
+              .groupBy(KEY, F.col("v.field").alias("field"), F.col("v.value").alias("value"))
+              .agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"),
+                   (-F.min("ingest_seq")).alias("first")))
+    best = values.groupBy(KEY, "field").agg(
+        F.max(F.struct("rank", "n", "first", "value")).alias("best"),
+        F.count(F.lit(1)).alias("values"), F.sum("n").alias("votes"))
+    note = F.format_string("%d of %d records, quality %d, %d values", "best.n", "votes",
+                           "best.rank", "values")
+    return best.where("values > 1").select(
+        KEY, "field", F.col("best.value").alias("resolved_value"), note.alias("note"))
+
+
+def conflicts_resolved(records: DataFrame) -> DataFrame:
+    """:func:`conflicts` with the value that each is resolved to, and why."""
+    return conflicts(records).drop("resolved_value", "note").join(
+        resolutions(records), [KEY, "field"], "left")
+
+
 def resolve(records: DataFrame) -> Resolved:
     """The linking results over one table of canonical records."""
     return Resolved(meetings(records), provenance(records), conflicts(records))

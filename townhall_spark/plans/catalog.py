@@ -7,9 +7,12 @@ is the feature (bounded and seeded samples, label candidates).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from importlib.util import find_spec
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from townhall_spark.operators import (
 )
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.plans import oracles as sql
-from townhall_spark.schemas import ACTION, GOLDEN, PLACE_TO_COUNTY
+from townhall_spark.schemas import ACTION, ACTION_CATEGORIES, GOLDEN, PLACE_TO_COUNTY
 from townhall_spark.sources import readers, sinks, specs
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +245,22 @@ def label_files(spark, sf_dir):
     ).select("action_text", "action_category", "hazard_type", "label_source")
 
 
+@query("label_retry", ("golden",), """
+    SELECT '20240101T000000Z' AS run, count(*) AS n, count(DISTINCT action_text) AS texts FROM golden
+    UNION ALL SELECT '20240102T000000Z', count(*), count(DISTINCT action_text) FROM golden
+    WHERE action_category = 'mitigation'""")
+def label_retry(spark, sf_dir):
+    """Two runs of labels, the second of them tried twice: it is there once."""
+    path = sinks.scratch(spark)
+    golden = fx.golden(spark, sf_dir)
+    sinks.append_labels(golden, path, "20240101T000000Z")
+    for _ in range(2):
+        sinks.append_labels(golden.where("action_category = 'mitigation'"), path,
+                            "20240102T000000Z")
+    return spark.read.schema("action_text string, run string").json(path).groupBy("run").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("action_text").alias("texts"))
+
+
 # ---- field mapping -----------------------------------------------------------
 
 @query("map_fields", ("canonical",), "SELECT * FROM canonical")
@@ -284,6 +303,22 @@ def state_abbrev(spark, sf_dir):
     return raw.select("vid_id", state.alias("state"))
 
 
+@query("summary_tier", ("mapped",), """
+    SELECT source_record_id, CASE WHEN length(transcript) > 0 THEN CASE
+        WHEN length(transcript) % 4 = 1 THEN 'summary' ELSE 'full_text' END
+      ELSE 'metadata_only' END AS transcript_quality
+    FROM mapped WHERE jurisdiction_fips <> '' AND meeting_type IS NOT NULL
+      AND meeting_date IS NOT NULL""")
+def summary_tier(spark, sf_dir):
+    """A source that says of some transcripts that they are summaries."""
+    raw = fx.raw_tabular(spark, sf_dir)
+    text = fields.compile_spec(fx.TABULAR_SPEC.field_map["transcript"], raw.schema)
+    told = raw.withColumn("tier", F.when(F.length(text) % 4 == 1, "summary").otherwise("full_text"))
+    spec = replace(fx.TABULAR_SPEC, field_map={**fx.TABULAR_SPEC.field_map,
+                                               "transcript_quality": {"copy": "tier"}})
+    return specs.canonical_of(told, spec).select("source_record_id", "transcript_quality")
+
+
 @query("govt_type", ("raw_tabular",), f"""
     SELECT vid_id, {sql.govt_type('place_govt')} AS meeting_type FROM raw_tabular""")
 def govt_type(spark, sf_dir):
@@ -430,6 +465,35 @@ def conflicts(spark, sf_dir):
     return linking.conflicts(fx.canonical(spark, sf_dir))
 
 
+@query("conflicts_resolved", ("conflicts", "ranked"), """
+    WITH votes AS (
+      SELECT canonical_id, field, value, count(*) AS n, min(ingest_seq) AS first, max(CASE
+        transcript_quality WHEN 'full_text' THEN 3 WHEN 'summary' THEN 2 ELSE 1 END) AS rank
+      FROM (SELECT canonical_id, ingest_seq, transcript_quality, 'jurisdiction_name' AS field,
+          jurisdiction_name AS value FROM ranked UNION ALL
+        SELECT canonical_id, ingest_seq, transcript_quality, 'state', state FROM ranked)
+      WHERE value <> '' GROUP BY ALL),
+    chosen AS (SELECT *, count(*) OVER w AS n_values, CAST(sum(n) OVER w AS BIGINT) AS total,
+        row_number() OVER (PARTITION BY canonical_id, field ORDER BY rank DESC, n DESC, first) AS k
+      FROM votes WINDOW w AS (PARTITION BY canonical_id, field))
+    SELECT c.*, CASE WHEN n_values > 1 THEN value END AS resolved_value, CASE WHEN n_values > 1
+      THEN format('{} of {} records, quality {}, {} values', n, total, rank, n_values) END AS note
+    FROM conflicts c LEFT JOIN (SELECT * FROM chosen WHERE k = 1) USING (canonical_id, field)""")
+def conflicts_resolved(spark, sf_dir):
+    return linking.conflicts_resolved(fx.canonical(spark, sf_dir))
+
+
+@query("conflicts_none", ("canonical",), """
+    SELECT count(*) AS records, CAST(0 AS BIGINT) AS conflicts FROM canonical WHERE canonical_id IN
+      (SELECT canonical_id FROM canonical GROUP BY 1 HAVING count(*) = 1)""")
+def conflicts_none(spark, sf_dir):
+    """Meetings of one record have an empty conflict table."""
+    records = fx.canonical(spark, sf_dir)
+    alone = records.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    records = records.join(alone, "canonical_id", "left_semi")
+    return linking.overlap_stats(records, linking.conflicts(records)).select("records", "conflicts")
+
+
 @query("overlap_stats", ("canonical", "conflicts"), """
     SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS meetings,
       count(*) FILTER (WHERE n > 1) AS linked, count(*) FILTER (WHERE s > 1) AS cross_source,
@@ -520,17 +584,31 @@ def classify_text(spark, sf_dir):
 
 def _register_shipped_lexicon() -> None:
     shipped = lexicon.load_lexicon()
+    terms = fx.lexicon_terms(shipped)
 
     @query("shipped_lexicon", (), f"""
-        WITH s AS (SELECT doc_id, unnest({sql.sentence_list('text')}) AS sentence FROM documents),
+        WITH s AS (SELECT doc_id, unnest({sql.sentence_list(sql.planted(terms))}) AS sentence
+          FROM documents),
           c AS ({sql.classified('s', 'sentence', shipped)})
-        SELECT category, hazard, count(*) AS n FROM c GROUP BY ALL""")
+        SELECT category, hazard, confidence, count(*) AS n FROM c GROUP BY ALL""")
     def shipped_lexicon(spark, sf_dir):
-        """Sentences per label under the lexicon file of the library."""
-        docs = fx.documents(spark, sf_dir)
+        """Sentences per label under the lexicon file of the library, whose terms each
+        document has two of."""
+        docs = fx.documents(spark, sf_dir).select("doc_id", fx.planted(terms).alias("text"))
         label = lexicon.classify(F.col("sentence"), shipped)
         return (extraction.split_sentences(docs, ["doc_id"], "text").select(label.alias("label"))
-                .groupBy("label.category", "label.hazard").agg(F.count(F.lit(1)).alias("n")))
+                .groupBy("label.category", "label.hazard", "label.confidence")
+                .agg(F.count(F.lit(1)).alias("n")))
+
+    @query("shipped_terms", (), f"""
+        SELECT term, count(*) AS n FROM (SELECT unnest(list_filter({sql.text_list(terms)},
+          lambda t: contains(lower({sql.planted(terms)}), t))) AS term FROM documents)
+        GROUP BY term""")
+    def shipped_terms(spark, sf_dir):
+        """How many documents hold each term of the lexicon file, in one pass over a text."""
+        docs = fx.documents(spark, sf_dir).select(fx.planted(terms).alias("text"))
+        return (docs.select(F.explode(lexicon.term_hits(F.col("text"), terms)).alias("term"))
+                .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
 if find_spec("yaml"):  # the lexicon file is YAML
@@ -696,12 +774,14 @@ def coverage(spark, sf_dir):
     return summaries.coverage(_meetings(spark, sf_dir))
 
 
-@query("coverage_pivot", ("placed",), """
-    PIVOT (SELECT region, source, canonical_id FROM placed) ON source
-    USING count(DISTINCT canonical_id) GROUP BY region""")
+_PER_SOURCE = ", ".join(f"count(DISTINCT canonical_id) FILTER (WHERE source = '{s}') AS {s}"
+                        for s in fx.SOURCES)
+
+
+@query("coverage_pivot", ("placed",), f"SELECT region, {_PER_SOURCE} FROM placed GROUP BY region")
 def coverage_pivot(spark, sf_dir):
-    """A column for every source that occurs."""
-    return summaries.coverage_pivot(summaries.coverage(_meetings(spark, sf_dir)))
+    """A column for every source of the data's domain; listed, they take no pass to find."""
+    return summaries.coverage_pivot(summaries.coverage(_meetings(spark, sf_dir)), fx.SOURCES)
 
 
 @query("overview", ("meetings",), """
@@ -871,6 +951,66 @@ def eval_overall(spark, sf_dir):
     return evaluation.overall(_cube(spark, sf_dir), "lexicon")
 
 
+def _python_rules(texts: pd.Series) -> pd.DataFrame:
+    """The test lexicon's decision as a Python function over a batch of texts."""
+    low, lex = texts.str.lower(), fx.TEST_LEXICON
+
+    def hits(words: tuple[str, ...]) -> pd.Series:
+        return low.map(lambda text: sum(word in text for word in words))
+
+    adapt, mitig = hits(lex.adaptation_strong), hits(lex.mitigation_strong)
+    generic, weak = hits(lex.climate_generic) > 0, hits(lex.weak_context) > 0
+    procedural, strong = hits(lex.procedural) > 0, adapt + mitig
+    category = np.select([(adapt > 0) & (mitig > 0), adapt > 0, mitig > 0, generic & weak],
+                         ["both", "adaptation", "mitigation", "both"], "unrelated")
+    hazard = np.select([hits(words) > 0 for _, words in lex.hazards],
+                       [name for name, _ in lex.hazards], "other")
+    nothing = (strong == 0) & ~generic
+    confidence = np.select([nothing & (procedural | ~weak), nothing, strong >= 2, strong == 1],
+                           [0.5, 0.45, 0.9, 0.75], 0.6)
+    return pd.DataFrame({
+        "category": category, "confidence": confidence,
+        "hazard": np.where(np.isin(category, ["adaptation", "both"]), hazard, "none")})
+
+
+@query("eval_python_classifier", ("scored",), """
+    SELECT seq, action_category AS y_true, coalesce(hazard_type, 'none') AS haz_true,
+      category AS y_pred, hazard AS haz_pred, confidence FROM scored""")
+def eval_python_classifier(spark, sf_dir):
+    """Golden labels next to those of a classifier written in Python."""
+    return evaluation.eval_pairs(evaluation.golden_latest(fx.golden(spark, sf_dir)),
+                                 evaluation.from_python(_python_rules), ("seq",))
+
+
+@query("eval_scored", ("scored",), """
+    SELECT action_category AS y_true, coalesce(hazard_type, 'none') AS haz_true,
+      CASE WHEN known THEN category ELSE 'unrelated' END AS y_pred,
+      CASE WHEN known THEN hazard ELSE 'none' END AS haz_pred,
+      CASE WHEN known THEN confidence ELSE 0.0::DOUBLE END AS confidence
+    FROM (SELECT *, length(action_text) % 3 <> 0 AS known FROM scored)""")
+def eval_scored(spark, sf_dir):
+    """Golden labels next to predictions that were made elsewhere, for two texts in three."""
+    golden = evaluation.golden_latest(fx.golden(spark, sf_dir))
+    scored = golden.where(F.length("action_text") % 3 != 0).select(
+        "action_text", lexicon.classify(F.col("action_text"), fx.TEST_LEXICON).alias("l")).select(
+        "action_text", "l.*")
+    return evaluation.eval_pairs_scored(golden, scored)
+
+
+@query("eval_empty", ("golden",), f"""
+    SELECT 'lexicon' AS method, count(*) AS golden_items, 'golden set is empty' AS note,
+      CAST({len(ACTION_CATEGORIES)} AS BIGINT) AS categories FROM golden WHERE action_category = 'none'""")
+def eval_empty(spark, sf_dir):
+    """The report of a golden set that has no item left."""
+    golden = evaluation.golden_latest(fx.golden(spark, sf_dir).where("action_category = 'none'"))
+    tables = evaluation.evaluate(golden, _classifier(fx.TEST_LEXICON), "lexicon")
+    report = evaluation.report_document(tables, "lexicon")
+    return report.select(
+        "method", F.get_json_object("report", "$.golden_items").cast("long").alias("golden_items"),
+        F.get_json_object("report", "$.note").alias("note"), F.size(F.json_object_keys(
+            F.get_json_object("report", "$.per_category"))).cast("long").alias("categories"))
+
+
 @query("eval_calibration", ("scored",), _CALIBRATION_SQL)
 def eval_calibration(spark, sf_dir):
     return evaluation.calibration(_cube(spark, sf_dir), "lexicon")

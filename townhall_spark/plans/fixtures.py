@@ -36,6 +36,8 @@ TEST_LEXICON = Lexicon(
              ("wildfire", ("rea", "onen")), ("heat", ("der",)), ("drought", ("las",)),
              ("storm", ("her",))),
 )
+# The sources of the given documents.
+SOURCES = tuple(f"src{i}" for i in range(20))
 # The second method of comparisons: the same lexicon without its weak list.
 STRICT_LEXICON = Lexicon(**{**TEST_LEXICON.__dict__, "weak_context": ()})
 TEST_VERSION = "lexicon:testdata"
@@ -92,6 +94,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def lexicon_terms(lexicon: Lexicon) -> tuple[str, ...]:
+    """Every term of a lexicon, once."""
+    lists = (lexicon.adaptation_strong, lexicon.mitigation_strong, lexicon.climate_generic,
+             lexicon.weak_context, lexicon.procedural, *(words for _, words in lexicon.hazards))
+    return tuple(dict.fromkeys(term for words in lists for term in words))
+
+
+def planted(terms: tuple[str, ...]) -> Column:
+    """The text of a document and a sentence with two of the terms, by its number."""
+    doc, n = F.col("doc_id"), len(terms)
+    return F.concat("text", F.lit("\nThe Board spoke of "), _pick(terms, doc % n), F.lit(" and "),
+                    _pick(terms, F.floor(doc / 7) % n), F.lit(" at some length."))
+
+
 def raw_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, k = F.col("doc_id"), F.col("k")
     cycle = F.when(doc % 3 == 0, F.lit(0)).otherwise(13 * F.floor(doc / 1400))

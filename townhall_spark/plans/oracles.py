@@ -87,7 +87,7 @@ SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
 def text_list(values) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
 def in_list(values) -> str:
@@ -122,6 +122,12 @@ def sentence_list(expr: str) -> str:
             "lambda x: length(x) >= 25)")
 
 
+def planted(terms) -> str:
+    n = len(terms)
+    return (f"(text || chr(10) || 'The Board spoke of ' || {pick(terms, f'doc_id % {n}')} || ' and ' "
+            f"|| {pick(terms, f'(doc_id // 7) % {n}')} || ' at some length.')")
+
+
 def govt_type(label: str) -> str:
     u = f"upper({label})"
     council = " OR ".join(f"contains({u}, '{w}')"

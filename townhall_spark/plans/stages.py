@@ -2,7 +2,8 @@
 
 Each stage reads the tables of the one before it, so lineage is cut by a
 written table, a lost executor costs tasks and not stages, and later stages
-read only the columns they need. Every stage overwrites its own output.
+read only the columns they need. Every stage replaces its own output; tables that
+belong together are published as one set.
 """
 
 from __future__ import annotations
@@ -48,14 +49,22 @@ def ingest(spark: SparkSession, sources: Sequence[specs.SourceSpec], raw_dir: st
     return specs.ingest_counts(stored)
 
 
-def link(spark: SparkSession, work_dir: str) -> DataFrame:
-    """Writes ``meetings``, ``provenance`` and ``conflicts``; returns the overlap statistics."""
-    resolved = linking.resolve(_records(spark, work_dir))
-    sinks.write_tables({
+def link(spark: SparkSession, work_dir: str, resolve_conflicts: bool = False) -> DataFrame:
+    """Publishes ``meetings``, ``provenance`` and ``conflicts`` as one set; returns the overlap
+    statistics. Conflicts may be resolved by vote."""
+    records = _records(spark, work_dir)
+    resolved = linking.resolve(records)
+    if resolve_conflicts:
+        resolved = resolved._replace(conflicts=linking.conflicts_resolved(records))
+    tables = sinks.publish(spark, {
         "meetings": resolved.meetings, "provenance": resolved.links,
-        "conflicts": resolved.conflicts}, work_dir)
-    return linking.overlap_stats(spark.read.parquet(f"{work_dir}/provenance"),
-                                 spark.read.parquet(f"{work_dir}/conflicts"))
+        "conflicts": resolved.conflicts}, f"{work_dir}/linked")
+    return linking.overlap_stats(tables["provenance"], tables["conflicts"])
+
+
+def linked(spark: SparkSession, work_dir: str) -> dict[str, DataFrame]:
+    """The tables of the last run of :func:`link` that came to its end."""
+    return sinks.published(spark, f"{work_dir}/linked")
 
 
 def _records(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
@@ -63,7 +72,7 @@ def _records(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
     records, _ = check_domain(spark.read.parquet(f"{work_dir}/canonical"), MEETING_RULES)
     if not limit:
         return records
-    first = sampling.bounded(spark.read.parquet(f"{work_dir}/meetings"), limit, "first_seq")
+    first = sampling.bounded(linked(spark, work_dir)["meetings"], limit, "first_seq")
     return records.join(first.select(linking.KEY), linking.KEY, "left_semi")
 
 
@@ -121,23 +130,20 @@ def build_county_table(spark: SparkSession, wide_csv: str, out_csv: str) -> Data
 def analyze(spark: SparkSession, work_dir: str, counties_csv: str | None = None,
             places_csv: str | None = None,
             fixed: Mapping[str, str] = exposure.CITY_COUNTY) -> dict[str, DataFrame]:
-    """Writes the summary tables under ``analysis``, with exposure when the county
-    table exists; returns them as stored."""
-    meetings = spark.read.parquet(f"{work_dir}/meetings")
+    """Publishes the summary tables as one set under ``analysis``, with exposure when the
+    county table exists; returns them as stored. What they are computed from, the exposure
+    of meetings and counts a meeting, is published with them."""
+    meetings = linked(spark, work_dir)["meetings"]
     actions = spark.read.parquet(f"{work_dir}/actions")
-    exposed = None
-    if counties_csv and readers.exists(spark, counties_csv, "text"):
-        counties = readers.read_csv(spark, counties_csv, COUNTY_RISK)
-        places = readers.read_place_to_county(spark, places_csv) if places_csv else None
-        sinks.write_parquet(exposure.enrich(meetings, counties, places, fixed),
-                            f"{work_dir}/exposure")
-        exposed = spark.read.parquet(f"{work_dir}/exposure")
-    sinks.write_parquet(summaries.meeting_counts(meetings, actions),
-                        f"{work_dir}/meeting_counts")
-    tables = summaries.build_all(meetings, actions, exposed,
-                                 spark.read.parquet(f"{work_dir}/meeting_counts"))
-    sinks.write_tables(tables, f"{work_dir}/analysis")
-    return {name: spark.read.parquet(f"{work_dir}/analysis/{name}") for name in tables}
+    with sinks.Publication(spark, f"{work_dir}/analysis") as out:
+        exposed = None
+        if counties_csv and readers.exists(spark, counties_csv, "text"):
+            counties = readers.read_csv(spark, counties_csv, COUNTY_RISK)
+            places = readers.read_place_to_county(spark, places_csv) if places_csv else None
+            exposed = out.write("exposure", exposure.enrich(meetings, counties, places, fixed))
+        counts = out.write("meeting_counts", summaries.meeting_counts(meetings, actions))
+        tables = summaries.build_all(meetings, actions, exposed, counts)
+        return {name: out.write(name, table) for name, table in tables.items()}
 
 
 def evaluate(spark: SparkSession, golden_jsonl: str, classifier: evaluation.Classifier,
@@ -154,7 +160,7 @@ def evaluate(spark: SparkSession, golden_jsonl: str, classifier: evaluation.Clas
             "_line", F.lit(None).cast("long"))
     golden = golden.withColumn("seq", F.struct("labelled_at", "_line")).drop("_line")
     pairs = evaluation.eval_pairs(evaluation.golden_latest(golden), classifier)
-    cube_path = f"{reports_dir}_cubes/{method}"
+    cube_path = f"{reports_dir}_cubes/{method}/{run_ts}"
     sinks.write_parquet(evaluation.score_cube(pairs), cube_path)
     tables = evaluation.evaluate_cube(spark.read.parquet(cube_path), method)
     sinks.write_report(evaluation.report_document(tables, method), reports_dir, run_ts)

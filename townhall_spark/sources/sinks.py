@@ -1,11 +1,13 @@
-"""Sinks. Overwrites are idempotent; appends are for labels only."""
+"""Sinks. Overwrites and runs are idempotent; sets of tables are published at once."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +52,93 @@ def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
         write_parquet(table, f"{root}/{name}")
 
 
-def append_labels(labels: DataFrame, path: str) -> None:
-    """Add golden labels, stamped with the time, to a JSONL golden set.
+def new_run() -> str:
+    """A run's or version's name: names of later ones sort behind."""
+    return f"{datetime.now(UTC):%Y%m%dT%H%M%S%fZ}-{uuid.uuid4().hex[:8]}"
 
-    The stamp orders labels: names of appended files do not.
+
+class Publication:
+    """A set of tables that readers see all at once, or not at all.
+
+    Tables go to a folder of a new version. Only when the block ends without an error is
+    the version named in the manifest, by one file that Spark moves into place; readers
+    follow the newest name. A run that fails leaves the last set readable, and a reader
+    never sees half of one. ::
+
+        with Publication(spark, root) as out:
+            counts = out.write("counts", df)    # stored, and read back
+    """
+
+    def __init__(self, spark: SparkSession, root: str, version: str | None = None):
+        self.spark, self.root, self.version = spark, root.rstrip("/"), version or new_run()
+        self.names: list[str] = []
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/versions/{self.version}/{name}"
+        write_parquet(df, path)
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Publication:
+        return self
+
+    def __exit__(self, error: type[BaseException] | None, *_: object) -> None:
+        if error is None:
+            names = F.array(*map(F.lit, self.names))
+            (self.spark.range(1, numPartitions=1)
+             .select(F.lit(self.version).alias("version"), names.alias("names"))
+             .write.mode("append").json(f"{self.root}/manifest"))
+
+
+def publish(spark: SparkSession, tables: Mapping[str, DataFrame], root: str,
+            version: str | None = None) -> dict[str, DataFrame]:
+    """The tables as one set, as stored."""
+    with Publication(spark, root, version) as out:
+        return {name: out.write(name, table) for name, table in tables.items()}
+
+
+def published(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The newest published set, or that of a version, by name."""
+    manifest = spark.read.schema("version string, names array<string>").json(
+        f"{root.rstrip('/')}/manifest")
+    if version:
+        manifest = manifest.where(F.col("version") == version)
+    newest = manifest.agg(F.max(F.struct("version", "names")).alias("s")).first().s
+    if newest is None:
+        raise ValueError(f"no published tables at {root}")
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/versions/{newest.version}/{name}")
+            for name in newest.names}
+
+
+def append_labels(labels: DataFrame, path: str, run: str | None = None,
+                  skip_known: bool = False) -> None:
+    """Add golden labels, stamped with their run, to a JSONL golden set.
+
+    A run has a partition of its own and replaces it, so a run that is tried again adds
+    nothing twice; without ``run`` every call is a new one. Names of later runs must sort
+    behind, as those of :func:`new_run` do: files are read by path, so labels come by
+    run. ``labelled_at`` is the time in the run's name, else the present one. With
+    ``skip_known`` texts that other runs have labelled are left out.
     """
-    (labels.withColumn("labelled_at", F.current_timestamp())
-     .write.mode("append").option("ignoreNullFields", False).json(path))
+    spark, run = labels.sparkSession, run or new_run()
+    if skip_known and exists_json(spark, path):
+        known = (spark.read.schema("action_text string, run string").json(path)
+                 .where(F.col("run") != run).select("action_text").distinct())
+        labels = labels.join(known, "action_text", "left_anti").select(*labels.columns)
+    named = F.try_to_timestamp(F.lit(run[:15]), F.lit("yyyyMMdd'T'HHmmss"))
+    (labels.withColumn("labelled_at", F.coalesce(named, F.current_timestamp()))
+     .withColumn("run", F.lit(run)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
+     .partitionBy("run").json(path))
+
+
+def exists_json(spark: SparkSession, path: str) -> bool:
+    """Whether JSON lines can be opened at ``path``."""
+    try:
+        spark.read.schema("run string").json(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def write_report(report: DataFrame, root: str, run_ts: str) -> None:

@@ -138,6 +138,7 @@ def map_fields(raw: DataFrame, spec: SourceSpec) -> DataFrame:
         fields["meeting_date"].alias("meeting_date"),
         fields["meeting_type"].alias("meeting_type"),
         fields.get("transcript", none).alias("transcript"),
+        fields.get("transcript_quality", none).cast("string").alias("tier"),
         source.alias("source"), text("source_url").alias("source_url"),
         text("source_record_id").alias("source_record_id"),
         F.col("ingest_seq").cast("long").alias("ingest_seq"))
@@ -149,7 +150,9 @@ def map_fields(raw: DataFrame, spec: SourceSpec) -> DataFrame:
         .alias("canonical_id"),
         "jurisdiction_name", "jurisdiction_fips", "state", "meeting_date", "meeting_type",
         "transcript",
-        F.when(has_text(F.col("transcript")), "full_text").otherwise("metadata_only")
+        # A source may say that its text is a summary; without text there is none.
+        F.when(~has_text(F.col("transcript")), "metadata_only")
+        .when(F.col("tier") == "summary", "summary").otherwise("full_text")
         .alias("transcript_quality"),
         "source", "source_url", "source_record_id", "ingest_seq",
         F.coalesce(F.length("transcript"), F.lit(0)).cast("long").alias("transcript_chars"))
