@@ -1,6 +1,9 @@
 import random
+import time
 
 from townhall_spark.llm import licenses
+from townhall_spark.llm.common import WordHashes
+from townhall_spark.llm.words import words
 
 SCHEMA = "doc_id long, text string, licenses string"
 
@@ -72,3 +75,59 @@ def test_usual_wordings_and_near_misses(spark):
     got = {r.doc_id: r.licenses for r in
            licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[i] for i in range(len(cases))] == [[name] for _, name in cases]
+
+
+def scanned(texts, least=licenses.LEAST, templates=licenses.TEMPLATES):
+    scanner, seen = licenses.Scanner(templates, least), WordHashes()
+    return [[(m.license, m.start_word, m.end_word, m.coverage)
+             for m in scanner.matches(seen.of(words(t)))] for t in texts]
+
+
+def test_words_between_those_of_a_text_do_not_hide_it():
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200).split()
+    apart = " ".join(f"{w} f{i}" for i, w in enumerate(mit))
+    split = " ".join(mit[:80] + [f"x{i}" for i in range(5000)] + mit[80:])
+    twice = " ".join(["pre", *mit, "mid", *mit, "post"])
+    got = scanned([apart, split, twice])
+    assert [[m[0] for m in found] for found in got] == [["MIT"], ["MIT"], ["MIT", "MIT"]]
+    assert got[0][0][3] > 0.95 and got[1][0][3] == got[2][0][3] == got[2][1][3] == 1.0
+
+
+def test_scan_against_the_alignment_of_the_whole_text():
+    """A text covers a template exactly where an alignment of all of it does."""
+    rng = random.Random(6)
+    seen = WordHashes()
+    long = [(n, t) for n, t in licenses.TEMPLATES if len(words(t)) >= licenses.LONG]
+    tried = 0
+    for _ in range(400):
+        name, text = rng.choice(long)
+        own = words(text)
+        kept = [w for w in own if rng.random() > rng.choice([0, 0.05, 0.12, 0.2])]
+        for _ in range(rng.choice([0, 3, 30, 120])):
+            kept.insert(rng.randrange(len(kept) + 1), b"x%d" % rng.randrange(10 ** 6))
+        line = " ".join(w.decode() for w in [b"before"] * rng.randrange(5) + kept)
+        whole = licenses.align(seen.of(words(line)).tolist(), seen.of(own).tolist())
+        covered = len(whole) >= 0.85 * len(own) - 1e-9
+        found, = scanned([line], templates=[(name, text)])
+        assert [m[0] for m in found] == [name] * covered, (name, len(whole) / len(own))
+        tried += covered
+    assert 100 < tried < 390
+
+
+def test_identifiers_names_and_denials():
+    cases = {"SPDX-License-Identifier: MIT": "MIT", "Licensed under Apache 2.0": "Apache-2.0",
+             "Released under the ISC License": "ISC", "BSD 3-Clause License": "BSD-3-Clause",
+             "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+             "Not licensed under the MIT License": None, "mit der license": None,
+             "license, the under, MIT released": None,
+             "Released " + "far " * 20 + "under the MIT License": None}
+    assert {t: found[0][0] if found else None
+            for t, found in zip(cases, scanned(cases), strict=True)} == cases
+
+
+def test_a_long_text_of_shuffled_words_is_scanned_in_bounded_time():
+    rng = random.Random(2)
+    own = words(next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200))
+    start = time.perf_counter()
+    assert scanned([" ".join(w.decode() for w in rng.choices(own, k=100_000))]) == [[]]
+    assert time.perf_counter() - start < 30

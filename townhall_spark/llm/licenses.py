@@ -3,14 +3,22 @@
 Text and template are aligned on anchors, words that are unique to both; of these the
 longest sequence in the same order is kept, and the gaps between its members are
 aligned the same way. The share of the template's words that the alignment matches is
-its coverage. Pairs of neighbouring template words tell where in a text to align; a
-text without any is not aligned, whatever its length.
+its coverage.
+
+A text is aligned with a template if it holds enough of the template's words at all, in
+any order: fewer cannot cover it. Where in the text is found the same way: a span is as
+short as it can be and still hold enough of the words. So no place that the template
+covers is missed for words that stand between its own, however many: the words of a
+licence text may be spread over the whole text. Those of a notice of less than
+``LONG`` words must stand within twice its length, and those of one of up to four words
+next to each other, as any long text holds a few common words in some order.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -19,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townhall_spark.llm.common import WordHashes, combined, values
+from townhall_spark.llm.common import WordHashes, values
 from townhall_spark.llm.words import HashSet, words
 
 # Public licence texts and the notices that stand for them.
@@ -102,7 +110,84 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and "
      "related or neighboring rights to this work."),
 )
+# Further public licence texts, and paragraphs that several of them share.
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+          "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+          "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+          "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+          "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+          "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+          "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+          "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+          "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_GPL = ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU {name} Public License for more details. You should have received a copy of the "
+        "GNU {name} Public License along with this program.")
+_TEXTS = dict(TEMPLATES)
+TEMPLATES += (
+    ("BSD-3-Clause", f"{_TEXTS['BSD-3-Clause']} {_AS_IS}"),
+    ("BSD-2-Clause", f"{_TEXTS['BSD-2-Clause']} {_AS_IS}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with "
+     "or without fee is hereby granted, provided that the above copyright notice and this permission "
+     "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+     "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+     "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+     "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event "
+     "will the authors be held liable for any damages arising from the use of this software. "
+     "Permission is granted to anyone to use this software for any purpose, including commercial "
+     "applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions: The origin of this software must not be misrepresented; you must not claim that "
+     "you wrote the original software. If you use this software in a product, an acknowledgment in "
+     "the product documentation would be appreciated but is not required. Altered source versions "
+     "must be plainly marked as such, and must not be misrepresented as being the original software. "
+     "This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization "
+     "obtaining a copy of the software and accompanying documentation covered by this license (the "
+     "\"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and "
+     "to prepare derivative works of the Software, and to permit third-parties to whom the Software "
+     "is furnished to do so, all subject to the following: The copyright notices in the Software and "
+     "this entire statement, including the above license grant, this restriction and the following "
+     "disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+     "derivative works of the Software, unless such copies or derivative works are solely in the form "
+     "of machine-executable object code generated by a source language processor."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is "
+     "free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+     "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+     "by any means. In jurisdictions that recognize copyright laws, the author or authors of this "
+     "software dedicate any and all copyright interest in the software to the public domain."),
+    ("GPL-3.0", _GPL.format(name="General")), ("LGPL-3.0", _GPL.format(name="Lesser General")),
+    ("AGPL-3.0", _GPL.format(name="Affero General")),
+)
+# Identifiers of the public licence list, and the names that notices use.
+IDENTIFIERS = ("0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0",
+               "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+               "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0",
+               "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later",
+               "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0",
+               "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "OFL-1.1",
+               "Unlicense", "WTFPL", "Zlib")
+NAMES = (("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License 2.0"),
+         ("Apache-2.0", "Apache 2.0"), ("Apache-2.0", "Apache 2.0 License"),
+         ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+         ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-2.0", "GNU General Public License v2.0"),
+         ("GPL-3.0", "GNU General Public License v3.0"), ("GPL-3.0", "GPLv3"), ("GPL-2.0", "GPLv2"),
+         ("LGPL-3.0", "GNU Lesser General Public License v3.0"),
+         ("AGPL-3.0", "GNU Affero General Public License v3.0"), ("BSL-1.0", "Boost Software License 1.0"),
+         ("Zlib", "zlib License"), ("EPL-2.0", "Eclipse Public License 2.0"))
+TEMPLATES += tuple((of, f"SPDX-License-Identifier: {of}") for of in IDENTIFIERS)
+TEMPLATES += tuple((of, f"{way} {article}{name}") for of, name in NAMES
+                   for way in ("Licensed under", "Released under", "Distributed under")
+                   for article in ("", "the "))
+TEMPLATES += tuple((of, name) for of, name in NAMES if name.endswith("License") and len(name) > 16)
 LEAST = 0.85
+# Words from which a template is a licence text, whose words may stand any distance apart.
+LONG = 40
+# Words that turn a notice behind them into its opposite.
+DENIALS = ("not", "never")
 MATCHES = ("array<struct<license:string,template:int,coverage:double,start_word:bigint,"
            "end_word:bigint>>")
 
@@ -162,30 +247,36 @@ class Match(NamedTuple):
 
 
 class Scanner:
-    """The templates' words and the pairs of neighbours that point to them."""
+    """The templates' words, and how often each template has each of them."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]]):
+    def __init__(self, templates: Sequence[tuple[str, str]], least: float = LEAST):
         seen = WordHashes()
         self.names = [name for name, _ in templates]
         self.words = [seen.of(words(t)).tolist() for _, t in templates]
-        self.at: dict[int, set[int]] = defaultdict(set)
+        # No float may ask for a word more than the share does.
+        self.need = np.array([max(1, math.ceil(least * len(own) - 1e-9)) for own in self.words])
+        self.known = HashSet(np.array([w for own in self.words for w in own], np.uint64))
+        self.times = np.zeros((len(templates), len(self.known.sorted)), np.int16)
         for n, own in enumerate(self.words):
-            for pair in combined(np.array(own, np.uint64), 2).tolist():
-                self.at[pair].add(n)
-        self.pairs = HashSet(np.fromiter(self.at, np.uint64, len(self.at)))
+            np.add.at(self.times[n], np.searchsorted(self.known.sorted, np.array(own, np.uint64)), 1)
+        self.denials = set(seen.of([w.encode() for w in DENIALS]).tolist())
 
-    def matches(self, hashes: np.ndarray, least: float) -> list[Match]:
+    def matches(self, hashes: np.ndarray) -> list[Match]:
         """All places of the text that cover a template, best first where they overlap."""
-        pairs = combined(hashes, 2)
-        places: dict[int, list[int]] = defaultdict(list)
-        for p in self.pairs.where(pairs).tolist():
-            for n in self.at[int(pairs[p])]:
-                places[n].append(p)
+        at = self.known.where(hashes)
+        if not len(at):
+            return []
+        which = np.searchsorted(self.known.sorted, hashes[at])
+        present = np.unique(which)
+        held = np.minimum(np.bincount(which, minlength=self.times.shape[1])[present], 1 << 14)
+        enough = np.minimum(self.times[:, present], held).sum(axis=1) >= self.need
         found = []
-        for n, hits in places.items():
-            found.extend(self._places(n, hits, hashes, least))
-        # A longer template says more than a notice inside of it.
-        found.sort(key=lambda m: (-(m.coverage * len(self.words[m.template])), m.template,
+        for n in np.flatnonzero(enough & (self.need > 0)).tolist():
+            own = self.times[n][which] > 0
+            found.extend(self._places(n, at[own].tolist(), hashes))
+        # A longer template says more than a notice inside of it, and a whole one more than one
+        # that lacks a paragraph.
+        found.sort(key=lambda m: (-(m.coverage ** 2 * len(self.words[m.template])), m.template,
                                   m.start_word))
         kept: list[Match] = []
         for m in found:
@@ -193,24 +284,50 @@ class Scanner:
                 kept.append(m)
         return sorted(kept, key=lambda m: m.start_word)
 
-    def _places(self, n: int, hits: list[int], hashes: np.ndarray, least: float
-                ) -> Iterator[Match]:
-        """Aligns template ``n`` to the text from each pair on that no match holds yet."""
-        template = self.words[n]
-        reach, past = len(template) + len(template) // 2 + 2, 0
-        for at, hit in enumerate(hits):
-            if hit < past:
-                continue
-            # The region may hold at most the words that the hits in it stand for.
-            end = min(len(hashes), hit + reach)
-            near = bisect_left(hits, end) - at
-            if 2 * near < (2 * least - 1) * len(template):
+    def _reach(self, n: int) -> int | None:
+        """Words within which a template's must stand; of a licence text any number."""
+        length = len(self.words[n])
+        return None if length >= LONG else length if length <= 4 else 2 * length
+
+    def _places(self, n: int, hits: list[int], hashes: np.ndarray) -> Iterator[Match]:
+        """Aligns template ``n`` to the shortest spans that hold enough of its words.
+
+        ``hits`` are the places of its words. A span ends at each hit in turn and starts
+        as late as it can; what the span's neighbours may add, up to the template's
+        length, is aligned with it. An alignment that lacks so many words cannot be
+        complete before so many hits later.
+        """
+        template, need, reach = self.words[n], int(self.need[n]), self._reach(n)
+        wanted, held = Counter(template), Counter()
+        enough, left, skip, past = 0, 0, 0, 0
+        for right, hit in enumerate(hits):
+            word = int(hashes[hit])
+            held[word] += 1
+            enough += held[word] <= wanted[word]
+            while left <= right:
+                first = int(hashes[hits[left]])
+                late = hits[left] < past or (reach is not None and hit - hits[left] >= reach)
+                if not late and (enough < need or (
+                        held[first] <= wanted[first] and enough == need)):
+                    break
+                enough -= held[first] <= wanted[first]
+                held[first] -= 1
+                left += 1
+            skip -= 1
+            if enough < need or skip > 0:
                 continue
-            matched = align(hashes[hit:end].tolist(), template)
+            low, high = hits[left], hit + 1
+            room = len(template) if reach is None else max(0, reach - (high - low))
+            low, high = max(past, low - room), min(len(hashes), high + room)
+            matched = align(hashes[low:high].tolist(), template)
             coverage = len(matched) / len(template)
-            if coverage >= least:
-                past = hit + matched[-1][0] + 1
-                yield Match(self.names[n], n, coverage, hit + matched[0][0], past)
+            start, end = (low + matched[0][0], low + matched[-1][0] + 1) if matched else (0, 0)
+            if len(matched) >= need and (reach is None or end - start <= reach):
+                past = end
+                if reach is None or not start or int(hashes[start - 1]) not in self.denials:
+                    yield Match(self.names[n], n, coverage, start, end)
+            else:
+                skip = max(1, need - len(matched))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST,
@@ -218,8 +335,10 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, leas
     """(key, licenses, matches) per row: licenses, sorted, and every place of one.
 
     Texts are searched whole. A match is a place where at least ``least`` of a
-    template's words align; of overlapping matches the one with most words counts,
-    then the first template. Null and empty texts match nothing; repeated rows each
+    template's words align: of a licence text at any distances, of a notice of less than
+    ``LONG`` words within twice its length, of one of up to four words side by side. A
+    notice behind a denial is none. Of overlapping matches the one with most words counts, each
+    by the share of its template, then the first template. Null and empty texts match nothing; repeated rows each
     give a row; an empty table gives an empty table; other columns are not read.
     Nothing is shuffled.
     """
@@ -229,10 +348,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, leas
                       ("end_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, seen = Scanner(templates), WordHashes()
+        scanner, seen = Scanner(templates, least), WordHashes()
         for batch in batches:
-            found = [scanner.matches(seen.of(words(t)), least)
-                     for t in values(batch.column(1))]
+            found = [scanner.matches(seen.of(words(t))) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0),
                  pa.array([sorted({m.license for m in f}) for f in found], pa.list_(pa.string())),
