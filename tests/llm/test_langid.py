@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from townhall_spark.llm import langid
 
 SCHEMA = "doc_id long, text string, lang string, score string"
@@ -19,6 +20,45 @@ def test_features_do_not_cross_words_and_chunks_add_up():
     assert len(langid.features("123 !? ")) == 0
 
 
+def test_parts_of_a_long_text_lose_and_add_no_n_gram(monkeypatch):
+    text = "Überall der Hund, it's 7 dogs — and élan 水 vital " * 5
+    whole = sorted(langid.features(text))
+    for size in (1, 2, 3, 5, 16):
+        monkeypatch.setattr(langid, "_CHUNK", size)
+        assert sorted(langid.features(text)) == whole
+    # Brute force: every n-gram of 1 to 4 characters, of which only the ends may be no letters.
+    codes = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    n = sum((w > 2 or codes[i] != " ") and (" " not in codes[i + 1:i + w - 1] if w > 2 else True)
+            for w in langid.WIDTHS for i in range(len(codes) - w + 1))
+    assert n == len(whole)
+
+
+def test_noise_in_labels_is_bounded(spark):
+    rows = docs(spark).collect() + [(1000 + i, "some words here", f"noise{i}", "x")
+                                    for i in range(400)]
+    noisy = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    model = langid.fit(noisy, most_languages=4)
+    assert {"de", "en"} <= set(model.languages) and len(model.languages) == 4
+    found = langid.identify(docs(spark), model).collect()
+    assert sum(r.lang_pred == r.row.lang for r in found) > 0.95 * len(found)
+    few = langid.fit(noisy, sample_rows=100, most_languages=400)
+    assert len(few.languages) <= 100
+
+
+def test_scores_against_a_plain_computation(spark):
+    """One text's score from its n-grams one at a time."""
+    model = langid.fit(docs(spark))
+    measure = model.measure()
+    for text in ("the dog and der Hund", "x", "Fuchs " * 40):
+        rows = [model.embeddings[b] for b in langid.features(text)]
+        logits = (np.mean(rows, axis=0) @ model.weights + model.bias) / model.temperature
+        p = np.exp(logits) / np.exp(logits).sum()
+        name, score, share = measure(text)
+        assert name == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4
+        known = sum(model.known[int(p.argmax())][b] for b in langid.features(text))
+        assert abs(share - (known + langid.PRIOR) / (len(rows) + langid.PRIOR)) < 1e-9
+
+
 def test_learned_languages_scores_and_missing_texts(spark):
     model = langid.fit(docs(spark))
     assert model.languages == ["de", "en"]

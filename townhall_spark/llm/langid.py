@@ -29,6 +29,8 @@ EPOCHS = 6
 RATE = 1.0
 # Rows, of all languages together, that a model is fitted on.
 SAMPLE_ROWS = 2000
+# Labels that are learned; a sample has a few rows of each.
+MOST_LANGUAGES = 200
 # Every so many rows of the sample calibrate and are not trained on.
 CALIBRATE_EVERY = 4
 # Share of labelled texts that calibration lets be rejected by each of the two limits.
@@ -49,31 +51,32 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _chunks(text: str) -> Iterator[str]:
-    """A text in parts of bounded length, cut anywhere."""
-    for at in range(0, len(text), _CHUNK):
-        yield text[at:at + _CHUNK]
+def feature_parts(text: str) -> Iterator[np.ndarray]:
+    """The bucket of every n-gram of a text's words, in parts of bounded length; none without
+    letters. A part reaches as far into the next one as its last n-gram does."""
+    padded, longest = f" {text.lower()} ", max(WIDTHS)
+    for at in range(0, len(padded), _CHUNK):
+        codes = np.frombuffer(padded[at:at + _CHUNK + longest - 1].encode("utf-32-le", "replace"),
+                              np.uint32)
+        codes = np.where(_letters()[codes], codes, np.uint32(0))
+        for width in WIDTHS:
+            count = min(_CHUNK, len(codes) - width + 1)
+            if count < 1:
+                continue
+            mixed = codes[:count] * _MULTIPLIERS[0] + np.uint32(width)
+            inner = codes[:count] != 0 if width < 3 else np.ones(count, bool)
+            for k in range(1, width):
+                part = codes[k:count + k]
+                mixed = (mixed ^ (mixed >> np.uint32(15))) * _MULTIPLIERS[1] + part
+                if width > 2 and k < width - 1:
+                    inner &= part != 0
+            mixed = (mixed ^ (mixed >> np.uint32(13))) * _MULTIPLIERS[0]
+            yield (mixed >> np.uint32(17))[inner]
 
 
 def features(text: str) -> np.ndarray:
-    """The bucket of every n-gram of a text's words; empty without letters."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    codes = np.where(_letters()[codes], codes, np.uint32(0))
-    found = []
-    for width in WIDTHS:
-        count = len(codes) - width + 1
-        if count < 1:
-            continue
-        mixed = codes[:count] * _MULTIPLIERS[0] + np.uint32(width)
-        inner = codes[:count] != 0 if width < 3 else np.ones(count, bool)
-        for k in range(1, width):
-            part = codes[k:count + k]
-            mixed = (mixed ^ (mixed >> np.uint32(15))) * _MULTIPLIERS[1] + part
-            if width > 2 and k < width - 1:
-                inner &= part != 0
-        mixed = (mixed ^ (mixed >> np.uint32(13))) * _MULTIPLIERS[0]
-        found.append((mixed >> np.uint32(17))[inner])
-    return np.concatenate(found)
+    """The bucket of every n-gram of a text's words."""
+    return np.concatenate([np.empty(0, np.uint32), *feature_parts(text)])
 
 
 class Model(NamedTuple):
@@ -95,8 +98,7 @@ class Model(NamedTuple):
         def of(text: str | None) -> tuple[str, float, float]:
             total, count = np.zeros(len(self.languages)), 0
             seen = np.zeros(len(self.languages), np.int64)
-            for chunk in _chunks(text or ""):
-                buckets = features(chunk)
+            for buckets in feature_parts(text or ""):
                 total += logits[buckets].sum(axis=0, dtype=np.float64)
                 seen += np.array([np.count_nonzero(own[buckets]) for own in self.known], np.int64)
                 count += len(buckets)
@@ -195,8 +197,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, buckets, counts = [], [], []
         for lang, text in zip(*map(values, batch.columns), strict=True):
             bag = np.zeros(BUCKETS, np.int64)
-            for chunk in _chunks(text):
-                bag += np.bincount(features(chunk), minlength=BUCKETS)
+            for found in feature_parts(text):
+                bag += np.bincount(found, minlength=BUCKETS)
             if bag.any():
                 langs.append(lang)
                 buckets.append(np.flatnonzero(bag).astype(np.int32))
@@ -212,29 +214,29 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text",
-        sample_rows: int = SAMPLE_ROWS) -> Model:
+        sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> Model:
     """A model from a sample of about ``sample_rows`` labelled rows, equal per language.
 
     Rows are chosen by the hash of their id, among those with label and text that are
-    not held out. Only the rows' n-gram counts come to the driver, at most ``BUCKETS``
+    not held out. Of more than ``most_languages`` labels the most frequent are learned. Only the rows' n-gram counts come to the driver, at most ``BUCKETS``
     numbers a row. Without labelled rows the model knows no language. About
     ``CALIBRATE_ROWS`` further rows, with two numbers each, set the limits of rejection.
     """
     rows = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)).alias("at"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
+        most_languages).collect()
     if not sizes:
         return train([], [])[0]
-    each = max(8, sample_rows // len(sizes))
-    chosen, further = F.lit(False), F.lit(False)
-    more = CALIBRATE_ROWS // len(sizes)
-    for name, size in sizes.items():
-        most, end = ((1 << 30) * n // size for n in (each, each + more))
-        own = F.col("lang") == name
-        chosen = chosen | (own & (F.col("at") < most))
-        further = further | (own & (F.col("at") >= most) & (F.col("at") < end))
-    found = (rows.where(chosen).select("lang", "text")
+    # Of each language, the hashes below which rows train, and from there on set limits.
+    each, more = sample_rows // len(sizes), CALIBRATE_ROWS // len(sizes)
+    bounds = docs.sparkSession.createDataFrame(
+        [(r["lang"], (1 << 30) * each // r["count"], (1 << 30) * (each + more) // r["count"])
+         for r in sizes], "lang string, most long, last long")
+    told = rows.join(F.broadcast(bounds), "lang")
+    further = told.where("at >= most AND at < last")
+    found = (told.where("at < most").select("lang", "text")
              .mapInArrow(_bags, "lang string, buckets array<int>, counts array<int>").toArrow())
     langs = found.column("lang").to_pylist()
     bags = [(np.array(b.values), np.array(c.values)) for b, c in
@@ -250,7 +252,7 @@ def fit(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[2] for g in got], pa.float64())], names=["score", "known"])
-    got = rows.where(further).select("text").mapInArrow(run, "score double, known double").toArrow()
+    got = further.select("text").mapInArrow(run, "score double, known double").toArrow()
     return model.limited(np.concatenate([scores, got.column("score").to_numpy()]),
                          np.concatenate([shares, got.column("known").to_numpy()]))
 

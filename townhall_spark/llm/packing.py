@@ -151,7 +151,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     A document is the ids of its text (null: empty) and the end id 0, so an empty
     text is one token. Repeated rows are packed each by itself; an empty table
-    gives an empty table. A task holds the ids of one group, ``group_tokens`` and
+    gives an empty table; other columns are not read; rows without a key keep a null one.
+    A task holds the ids of one group, ``group_tokens`` and
     its last document. ``ranks`` and ``tokenizer`` are paths of the vocabulary's two
     files, the same on every machine.
     """
