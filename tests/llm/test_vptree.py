@@ -79,3 +79,45 @@ def test_empty_tables(spark):
     assert vptree.search(df, df).count() == 0
     some = frame(spark, [1, 2], [[1, 2], [2, 1]])
     assert vptree.search(some, df).count() == 0 and vptree.search(df, some).count() == 0
+
+
+def test_queries_go_only_to_cells_in_reach(spark):
+    """Clusters far apart: a query's neighbours are all in cells near to its own."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, 6)) * 200
+    vectors = np.repeat(centres, 100, axis=0) + rng.normal(size=(2400, 6))
+    ids = rng.permutation(2400)
+    df = frame(spark, ids, vectors)
+    asked = df.where("vec_id % 100 = 0")
+    sent = []
+    real = vptree._meet
+    vptree._meet = lambda trees, asking, *rest: (
+        sent.append((trees.count(), asking.count())), real(trees, asking, *rest))[1]
+    try:
+        got = found(vptree.search(df, asked, 10, 1.0, shard_vectors=100))
+    finally:
+        vptree._meet = real
+    want = brute(ids, vectors, 10)
+    assert {q: [j for _, j in n] for q, n in got.items()} == \
+        {q: [j for _, j in n] for q, n in want.items()}
+    trees, home = sent[0]
+    assert trees >= 24 and home == 24
+    # All others of 24 cells would be 552 further searches.
+    assert sent[1][1] < 120
+
+
+def test_fewer_candidates_than_asked_for_are_found_in_all_cells(spark):
+    df = frame(spark, [0, 1, 2, 3], [[0, 1], [500, 1], [1, 500], [900, 900]])
+    got = found(vptree.search(df, df.where("vec_id = 0"), 10, shard_vectors=1))
+    assert [j for _, j in got[0]] == [2, 1, 3]
+
+
+def test_one_hot_cell_is_cut_into_shards(spark):
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([rng.normal(size=(900, 4)) * 1e-3, rng.normal(size=(100, 4)) * 50])
+    ids = np.arange(1000)
+    df = frame(spark, ids, vectors)
+    got = found(vptree.search(df, df.where("vec_id % 100 = 0"), 5, shard_vectors=60, query_block=2))
+    want = brute(ids, vectors, 5)
+    assert {q: [j for _, j in n] for q, n in got.items()} == \
+        {q: [j for _, j in n] for q, n in want.items()}
