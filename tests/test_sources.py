@@ -1,6 +1,7 @@
 """Readers, source specs and sinks on real files."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,16 @@ def test_broken_lines_are_kept_verbatim(spark, tmp_path, split):
     assert [r.file[-6:] for r in rejects] == ["a.json", "a.json", "b.json", "b.json"]
     assert {r.source for r in rejects} == {"meetingbank"}
     assert row.transcript == "\n\n".join(["text"] * 43)
+
+
+def test_scratch_folders_are_released(spark):
+    sinks.release(spark)
+    kept = sinks.stored(spark.range(5))
+    sinks.stored(kept.where("id > 2"))
+    made = [Path(p) for p in sinks._MADE[spark.sparkContext.applicationId]]
+    other = made[0].parent / f"other-{made[0].name}"
+    other.mkdir()
+    assert kept.count() == 5 and len(made) == 2 and all(p.is_dir() for p in made)
+    assert sinks.release(spark) == 2 and not any(p.exists() for p in made) and other.is_dir()
+    assert sinks.release(spark) == 0
+    other.rmdir()

@@ -20,21 +20,46 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
+# Scratch folders made by this process, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is missing a temporary folder does on a local master only.
+    Where the setting is missing a temporary folder does on a local master; on a
+    cluster that would be one machine's disk, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="townhall-")
-    return f"{base.rstrip('/')}/townhall-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/townhall-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch folders that this application has made; returns their number.
+
+    Tables that were read from them cannot be read any more, so write what is wanted
+    first. It works in any store that Spark writes to.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(made)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to a scratch folder and read back."""
+    """``df`` written once to a scratch folder and read back: lineage ends here.
+
+    What reads it later is not computed again, and a lost executor costs only the
+    tasks that read it. The write runs when this is called.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
