@@ -84,3 +84,33 @@ def test_nulls_repeats_long_texts_and_no_rows(spark):
         by[r.doc_id] += r.length
     assert by == {k: len(v) * (2 if k == 1 else 1) for k, v in tokens.items()}
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pieces_against_a_plain_packing():
+    """Descending documents, each to the sequence of lowest cost that has room for it."""
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        most = int(rng.choice([16, 64]))
+        lengths = rng.integers(1, 2 * most, rng.integers(1, 40))
+        sequences = [[size, 0.0, 0] for size in packing.capacities(int(lengths.sum()), most)]
+        want, whole, parts = [], 0, []
+        for doc, n in enumerate(lengths.tolist()):
+            for start in range(0, n - n % most, most):
+                want.append((doc, start, most, whole, 0))
+                sequences[whole][2] = most
+                whole += 1
+            if n % most:
+                parts.append((n % most, doc, n - n % most))
+        for n, doc, start in sorted(parts, key=lambda p: (-p[0], p[1])):
+            while n:
+                free = [(s, at) for at, s in enumerate(sequences) if at >= whole]
+                fits = [f for f in free if f[0][0] - f[0][2] >= n] or [
+                    f for f in free if f[0][0] > f[0][2]]
+                s, at = min(fits, key=lambda f: f[0][1])
+                take = min(n, s[0] - s[2])
+                want.append((doc, start, take, at, s[2]))
+                s[1] += take + packing.QUADRATIC * take * take
+                s[2] += take
+                start, n = start + take, n - take
+        assert packing.pack(lengths, most) == want, trial
+        assert all(s[2] == s[0] for s in sequences)

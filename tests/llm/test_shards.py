@@ -52,3 +52,18 @@ def test_one_very_long_text_and_an_empty_table(spark):
     got = {r.doc_id: r.shard for r in shards.shard(spark.createDataFrame(rows, SCHEMA), 2).collect()}
     assert got[2] == got[3] != got[1]
     assert shards.shard(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_differencing_against_every_split():
+    """Up to 11 groups in two bins: never better than the best, and mostly close to it."""
+    rng = np.random.default_rng(8)
+    exact = 0
+    for _ in range(80):
+        sizes = rng.integers(1, 1000, rng.integers(2, 12))
+        signs = 2 * (np.arange(1 << len(sizes))[:, None] >> np.arange(len(sizes)) & 1) - 1
+        best = int(np.abs(signs @ sizes).min())
+        sums = np.stack([sizes, np.zeros_like(sizes)], axis=1)
+        got = int(np.ptp(np.bincount(shards.differencing(sums)[:, 0], sizes, 2)))
+        assert best <= got <= best + int(sizes.max())
+        exact += got <= best + 0.05 * sizes.sum()
+    assert exact >= 70

@@ -1,9 +1,7 @@
-"""Helpers of this subpackage: shared scratch tables and word shingles."""
+"""Helpers of this subpackage: tables, texts and word shingles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from townhall_spark.sources.sinks import stored
+
+__all__ = ["WordHashes", "combined", "shingle_set", "stored", "table", "text_or_empty", "values"]
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_KEPT = 1 << 18
 
@@ -21,31 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is missing a temporary folder does on a local master; on a
-    cluster that would be one machine's disk, so it is an error there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="townhall-scratch-")
-    return f"{base.rstrip('/')}/townhall-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here.
-
-    What reads it later is not computed again, and a lost executor costs only the
-    tasks that read it.
-    """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     """The column with null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))
