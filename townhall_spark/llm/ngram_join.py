@@ -525,19 +525,27 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "
     found = stored(_classes(docs, width, percent, key, text, False).where("n > 0")
                    .select("id", "digest", "component"))
     best = found.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("best"))
-    told = found.groupBy("component", "id", "digest").agg(F.count(F.lit(1)).alias("rows"))
-    named, row = f"_{uuid.uuid4().hex}", F.struct("id", "digest")
-    dropped = stored(told.join(best, "component").where(row != F.col("best"))
-                     .select(row.alias(named)))
-    repeated = stored(told.join(best, "component").where((row == F.col("best")) & (F.col("rows") > 1))
-                      .select(row.alias(named)))
-    kept = docs.withColumn(named, F.struct(
-        _ids(key, text).alias("id"), F.unhex(F.md5(text_or_empty(text))).alias("digest"))
-    ).join(dropped, named, "left_anti")
-    if not repeated.isEmpty():
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        once = (kept.join(repeated, named, "left_semi").groupBy(named)
-                .agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias("row"))
-                .select("row.*"))
-        return kept.join(repeated, named, "left_anti").drop(named).unionByName(once)
-    return kept.drop(named)
+    told = stored(found.groupBy("component", "id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+                  .join(best, "component").select(
+                      "id", "digest", "rows",
+                      (F.struct("id", "digest") != F.col("best")).alias("goes")))
+    # An id goes as a whole unless one of its texts stays: ids are few bytes, and where they are
+    # few, no text has to be shuffled to leave them out.
+    of_id = told.groupBy("id").agg(F.bool_and("goes").alias("all"), F.bool_or("goes").alias("any"))
+    id_name, row_name = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    gone = stored(of_id.where("all").select(F.col("id").alias(id_name)))
+    kept = docs.withColumn(id_name, _ids(key, text)).join(gone, id_name, "left_anti")
+    split = of_id.where("any and not all").select("id")
+    row = F.struct("id", "digest").alias(row_name)
+    apart = stored(told.join(split, "id").where("goes").select(row))
+    again = stored(told.where("not goes and rows > 1").select(row))
+    if apart.isEmpty() and again.isEmpty():
+        return kept.drop(id_name)
+    kept = kept.withColumn(row_name, F.struct(
+        F.col(id_name).alias("id"), F.unhex(F.md5(text_or_empty(text))).alias("digest"))).drop(
+        id_name).join(apart, row_name, "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = (kept.join(again, row_name, "left_semi").groupBy(row_name)
+            .agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias("row"))
+            .select("row.*"))
+    return kept.join(again, row_name, "left_anti").drop(row_name).unionByName(once)
