@@ -138,6 +138,15 @@ def test_long_documents_are_cut_without_a_seam(monkeypatch):
     assert index.matches(documents, 0.8) == whole
 
 
+def test_running_sums():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 15, 16, 17, 40, 1000):
+        rows = rng.integers(0, 256, (n, 64), dtype=np.uint8)
+        want = np.cumsum(rows, axis=0, dtype=np.uint8)
+        decontam._add_up(rows)
+        assert (rows == want).all()
+
+
 def test_a_document_shorter_than_the_item():
     rng = random.Random(9)
     item = [f"i{rng.randrange(500)}" for _ in range(50)]
