@@ -233,3 +233,20 @@ def test_scratch_folders_are_released(spark):
     assert sinks.release(spark) == 2 and not any(p.exists() for p in made) and other.is_dir()
     assert sinks.release(spark) == 0
     other.rmdir()
+
+
+def test_a_write_that_fails_leaves_the_table_as_it_was(spark, tmp_path):
+    """And a table may be computed from the one that it replaces."""
+    lost = F.when(F.col("id") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("id"))
+    for write, read in ((sinks.write_parquet, spark.read.parquet), (sinks.write_jsonl, spark.read.json)):
+        path = str(tmp_path / write.__name__ / "table")
+        write(spark.range(3), path)
+        with pytest.raises(Exception, match="lost"):
+            write(spark.range(40).select(lost.alias("id")), path)
+        assert sorted(r.id for r in read(path).collect()) == [0, 1, 2]
+        write(read(path).select((F.col("id") + 10).alias("id")), path + "/")
+        assert sorted(r.id for r in read(path).collect()) == [10, 11, 12]
+        assert [p.name for p in (tmp_path / write.__name__).iterdir()] == ["table"]
+    parts = str(tmp_path / "parts")
+    sinks.write_parquet(spark.range(4).withColumn("k", F.col("id") % 2), parts, ["k"])
+    assert sorted(p.name for p in Path(parts).glob("k=*")) == ["k=0", "k=1"]

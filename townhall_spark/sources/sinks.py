@@ -4,20 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """A path and its file system, whatever store it is in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Writes beside ``path`` and then takes its place, so that a run that fails while it
+    writes leaves what was there, and the frame may read it.
+
+    Where renaming a folder is one step, as on HDFS, the new table is there at once; on an
+    object store it is a copy, and a :class:`Publication` does without.
+    """
+    path, mark = path.rstrip("/"), uuid.uuid4().hex
+    new, fs = _path(spark, f"{path}.new-{mark}")
+    target, old = _path(spark, path)[0], _path(spark, f"{path}.old-{mark}")[0]
+    try:
+        write(f"{path}.new-{mark}")
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(new, target):
+        raise OSError(f"cannot move {new.toString()} to {path}")
+    fs.delete(old, True)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """One parquet table."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """One parquet table, in place of the one that is there."""
+    _replace(df.sparkSession, path, lambda to: df.write.partitionBy(*partition_by).parquet(to))
 
 
 # Scratch folders made by this process, by application.
@@ -47,10 +73,9 @@ def release(spark: SparkSession) -> int:
     first. It works in any store that Spark writes to.
     """
     made = _MADE.pop(spark.sparkContext.applicationId, [])
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in made:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
+        folder, fs = _path(spark, path)
+        fs.delete(folder, True)
     return len(made)
 
 
@@ -67,8 +92,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines; null fields are written, not dropped."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """JSON lines, in place of those that are there; null fields are written, not dropped."""
+    _replace(df.sparkSession, path,
+             lambda to: df.write.option("ignoreNullFields", False).json(to))
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
@@ -100,7 +126,7 @@ class Publication:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/versions/{self.version}/{name}"
-        write_parquet(df, path)
+        df.write.mode("overwrite").parquet(path)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
