@@ -185,8 +185,11 @@ def test_labels_append_and_latest_report(spark, tmp_path):
                       "model": ("20230101T000000Z", "model@20230101T000000Z")}
 
 
-def test_any_number_of_files_counts_in_order(spark, tmp_path):
-    """More files than a task lists, in two years, numbered without gaps."""
+@pytest.mark.parametrize("sent", [1 << 20, 3])
+def test_any_number_of_files_counts_in_order(spark, tmp_path, monkeypatch, sent):
+    """More files than a task lists, in two years, numbered without gaps; also where their
+    numbers are too many to be sent to all tasks."""
+    monkeypatch.setattr(readers, "SENT_FILES", sent)
     for year, n in ((2014, 60), (2015, 45)):
         spark.range(n).repartitionByRange(n, "id").select(
             F.lit(year).alias("year"), F.explode(F.expr("sequence(1, 1 + CAST(id % 3 AS INT))"))

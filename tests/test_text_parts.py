@@ -48,6 +48,14 @@ def test_parts_against_joined_texts(spark):
         m: "\n\n".join(t) for m, t in want.items()}
 
 
+def test_rows_that_repeat_count_once_where_that_is_said(spark):
+    data = [("m", 1, "one", 0), ("m", 1, "one", 0), ("m", 2, "two", 0), (None, 1, "x", 0)]
+    got = text_parts.parts(spark.createDataFrame(data, SCHEMA), ["meeting"], ["seq"], "text",
+                           repeated=True).collect()
+    assert sorted((r.meeting or "", r.part, r.offset, r.total, r.text) for r in got) == [
+        ("", 0, 0, 1, "x"), ("m", 0, 0, 8, "one"), ("m", 1, 5, 8, "two")]
+
+
 @pytest.mark.parametrize(("size", "overlap", "block"), [(60, 9, 4096), (25, 24, 10), (7, 0, 3)])
 def test_windows_against_joined_texts(spark, monkeypatch, size, overlap, block):
     monkeypatch.setattr(text_parts, "BLOCK_CHARS", block)

@@ -21,18 +21,19 @@ from townhall_spark.sources.sinks import stored
 BLOCK_CHARS = 4096
 
 
-def parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "transcript"
-          ) -> DataFrame:
+def parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "transcript",
+          repeated: bool = False) -> DataFrame:
     """(keys, part, offset, total, text): every non-empty text of a group, in order.
 
     ``offset`` counts the characters before the part in the text that all parts of the
     group make when joined by ``SEPARATOR``; ``total`` are that text's characters.
-    ``order`` must tell the rows of a group apart; equal ones count as one row. Texts
-    are written once to the scratch folder; only their lengths are sorted and summed.
+    ``order`` must tell the rows of a group apart, as an arrival number does; with
+    ``repeated`` rows of equal order may occur, and count as one. Texts are written once
+    to the scratch folder; only their lengths are sorted and summed.
     """
     keys, order = list(keys), list(order)
-    own = stored(rows.select(*keys, *order, F.col(text).alias("text"))
-                 .where(has_text(F.col("text"))).dropDuplicates([*keys, *order]))
+    own = rows.select(*keys, *order, F.col(text).alias("text")).where(has_text(F.col("text")))
+    own = stored(own.dropDuplicates([*keys, *order]) if repeated else own)
     names = [f"_k{i}" for i in range(len(keys) + len(order))]
     light = own.select(*[F.col(c).alias(n) for c, n in zip([*keys, *order], names, strict=True)],
                        (F.length("text") + len(SEPARATOR)).cast("long").alias("_chars"))

@@ -15,6 +15,9 @@ from townhall_spark.operators.ordering import numbered
 from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, PLACE_TO_COUNTY, ROW_ORDER
 from townhall_spark.sources.sinks import stored
 
+# Files, or blocks of files, whose numbers are sent to all tasks: some 100 bytes each.
+SENT_FILES = 1 << 20
+
 # Slashes after a scheme come in different numbers.
 _SCHEME = r"^(\w+):/+"
 
@@ -53,6 +56,14 @@ def _starts(sizes: DataFrame) -> DataFrame:
         "_frame", "_file", F.col("_before").alias("_start")))
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table of files or blocks, sent to all tasks if it has few enough rows.
+
+    Beyond that, Spark joins by shuffling the rows that were read.
+    """
+    return F.broadcast(table) if table.count() <= SENT_FILES else table
+
+
 def in_file_order(frames: Sequence[DataFrame], name: str = "ingest_seq") -> list[DataFrame]:
     """Parquet frames with the arrival number of each row: the rows before it.
 
@@ -70,7 +81,7 @@ def in_file_order(frames: Sequence[DataFrame], name: str = "ingest_seq") -> list
         return []
     starts = _starts(sizes)
     return [frame.select("*", _file().alias("_file"), place.alias("_place"))
-            .join(starts.where(F.col("_frame") == i).drop("_frame"), "_file")
+            .join(_sent(starts.where(F.col("_frame") == i).drop("_frame")), "_file")
             .withColumn(name, F.col("_start") + F.col("_place"))
             .drop("_file", "_place", "_start") for i, frame in enumerate(frames)]
 
@@ -99,6 +110,7 @@ def _lines(spark: SparkSession, path: str, schema: T.StructType, name: str) -> D
     starts = _starts(blocks.groupBy("_file").agg(
         F.max(F.col("_block") + F.col("_rows")).alias("_size"))
         .select(F.lit(0).alias("_frame"), "_file", "_size")).drop("_frame")
+    places = stored(blocks.drop("_rows").join(starts, "_file"))
     number = F.col("_start") + F.col("_block") + F.col("_id") - F.col("_first")
     fields = T.StructType([*nullable(schema), T.StructField(_BROKEN, T.StringType())])
     # The parser stops behind the object; what follows it makes the line a broken one.
@@ -106,7 +118,7 @@ def _lines(spark: SparkSession, path: str, schema: T.StructType, name: str) -> D
         "value", fields, {"columnNameOfCorruptRecord": _BROKEN})).otherwise(
         F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields[:-1]],
                  F.col("value").alias(_BROKEN)))
-    return (lines.join(blocks, ["_file", "_block"]).join(starts, "_file")
+    return (lines.join(_sent(places), ["_file", "_block"])
             .where(F.trim("value") != "")
             .select(parsed.alias("_row"), "_file", F.col("value").alias("_raw_line"),
                     number.alias(name)))
