@@ -280,5 +280,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents that the model does not reject, with their own columns."""
+    """The documents that the model does not reject, with their own columns.
+
+    Rows without text or without a letter go; repeated rows stay or go together; an empty
+    table stays empty; columns may have any name.
+    """
     return identify(docs, model, text).where(~F.col("rejected")).select("row.*")

@@ -124,8 +124,9 @@ def shard(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str =
 
     Size is the UTF-8 length plus 1; a null text counts as empty. Equal texts,
     repeated rows among them, share a shard. ``slot`` numbers a shard's rows from 0
-    without gaps, by slices of the shard, ties by key, size and checksum. An empty
-    table gives an empty table.
+    without gaps, by slices of the shard, ties by key, size and checksum. Rows without a
+    key are placed as others are; other columns are not read, whatever they are called; an
+    empty table gives an empty table.
     """
     light = stored(docs.select(
         F.col(key).alias("_key"),
