@@ -620,6 +620,23 @@ def extract_actions(spark, sf_dir):
     return _actions(spark, sf_dir)
 
 
+@query("default_stamps", ("canonical", "actions"), """
+    SELECT 'records' AS name, count(*) AS n, count(*) AS stamped, CAST(1 AS BIGINT) AS instants
+    FROM canonical UNION ALL SELECT 'actions', count(*), count(*), 1 FROM actions""")
+def default_stamps(spark, sf_dir):
+    """Records and actions without a time get that of their run."""
+    records = specs.stamped(fx.canonical(spark, sf_dir))
+    actions = extraction.extract_actions(fx.canonical(spark, sf_dir), fx.TEST_LEXICON,
+                                         fx.TEST_VERSION)
+
+    def of(name: str, table: DataFrame, stamp: str) -> DataFrame:
+        return table.agg(F.count(F.lit(1)).alias("n"), F.count(stamp).alias("stamped"),
+                         F.count_distinct(stamp).alias("instants")).select(
+            F.lit(name).alias("name"), "n", "stamped", "instants")
+
+    return of("records", records, "ingested_at").unionByName(of("actions", actions, "extracted_at"))
+
+
 @query("category_counts", ("actions",), """
     SELECT action_category, count(*) AS actions FROM actions GROUP BY ALL""")
 def category_counts(spark, sf_dir):

@@ -37,8 +37,7 @@ def ingest(spark: SparkSession, sources: Sequence[specs.SourceSpec], raw_dir: st
            work_dir: str, jsonl: bool = False) -> DataFrame:
     """Writes ``canonical``, ``canonical_rejects`` (records out of their domains) and
     ``line_rejects`` (lines that could not be parsed); returns kept rows per source."""
-    records = specs.ingest(spark, sources, raw_dir).withColumn(
-        "ingested_at", F.current_timestamp())
+    records = specs.stamped(specs.ingest(spark, sources, raw_dir))
     sinks.write_parquet(records.select(*CANONICAL_MEETING.names), f"{work_dir}/canonical")
     stored = spark.read.parquet(f"{work_dir}/canonical")
     _, rejects = check_domain(stored, MEETING_RULES)

@@ -206,6 +206,11 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def stamped(records: DataFrame) -> DataFrame:
+    """Records with the time of their ingestion, the same for all of a run."""
+    return records.withColumn("ingested_at", F.current_timestamp())
+
+
 def ingest(spark: SparkSession, specs: Sequence[SourceSpec], raw_dir: str) -> DataFrame:
     """Canonical records of all given sources."""
     return union_sources([run_source(spark, s, raw_dir) for s in specs])
