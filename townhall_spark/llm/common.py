@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from townhall_spark.sources.sinks import stored
 
-__all__ = ["WordHashes", "combined", "shingle_set", "stored", "table", "text_or_empty", "values"]
+__all__ = ["WordHashes", "bounded_batches", "combined", "shingle_set", "stored", "table", "text_or_empty", "values"]
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_KEPT = 1 << 18
+# Rows of whole texts that Python is handed at once.
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lets Spark hand Python at most ``rows`` rows at once, in this session, if it were more.
+
+    A task and its Python worker each hold a batch as it comes and as it goes back; with
+    whole texts in the rows that is what most of their memory is for.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The column with null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))

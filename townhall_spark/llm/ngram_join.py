@@ -90,22 +90,26 @@ def _deal(width: int, bits: int, block_shingles: int):
             nonlocal block, ids, digests, sets, total
             sizes = np.array([len(s) for s in sets], np.uint32)
             shingles = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets)), sizes)
+            doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
             # What many documents of a block hold goes to its bucket once, with its count;
             # who holds it goes with the block's own data.
-            every, where, times = np.unique(shingles, return_inverse=True, return_counts=True)
+            order = np.argsort(shingles)
+            every = shingles[order]
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            times = np.diff(np.append(starts, len(every)))
             many = times > max(FREQUENT, len(sets) // FREQUENT)
-            frequent = np.flatnonzero(many)
-            held = many[where]
-            places = np.searchsorted(frequent, where[held]).astype(np.uint32)
-            holders = doc[held].astype(np.uint32)
-            shingles, doc = shingles[~held], doc[~held]
+            often, counted = every[starts[many]], times[many].astype(np.uint32)
+            # Places of the frequent ones' occurrences, one shingle after the other.
+            at = order[np.repeat(many, times)]
+            del order, every, starts
+            places = np.repeat(np.arange(len(counted), dtype=np.uint32), counted)
+            holders = doc[at].astype(np.uint32)
+            shingles, doc = np.delete(shingles, at), np.delete(doc, at)
             shift = np.uint64(64 - bits)
             bucket = (shingles >> shift).astype(np.min_scalar_type((1 << bits) - 1))
             order = np.argsort(bucket, kind="stable")
             keys = (shingles >> np.uint64(32 - bits)).astype(np.uint32)[order]
             ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))
-            often, counted = every[frequent], times[frequent].astype(np.uint32)
             bounds = np.searchsorted((often >> shift).astype(np.int64), np.arange((1 << bits) + 1))
             often = (often >> np.uint64(32 - bits)).astype(np.uint32)
             home, rows = block % (1 << bits), []
