@@ -8,31 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from townhall_spark.llm import decontam, langid, ngram_join, packing, secrets
-from townhall_spark.llm.common import stored, table
+from townhall_spark.llm.common import bounded_batches, stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model does not reject."""
+    bounded_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group of near-duplicates."""
+    bounded_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bounded_batches(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no live-looking credential."""
+    bounded_batches(spark)
     return secrets.without_live(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences."""
+    bounded_batches(spark)
     return packing.pack_documents(docs)
 
 
