@@ -161,7 +161,17 @@ def test_canonical_jsonl_round_trip(spark, raw_dir, tmp_path):
         out.write('{"canonical_id": "x", "meeting_type": "party"}\n')
     valid, rejects = readers.read_canonical(spark, str(tmp_path / "bad.jsonl"))
     assert valid.count() == 0
-    assert "meeting_type" in rejects.first().violations
+    assert "meeting_type" in rejects.first().violations and rejects.first().line is None
+    whole = next(json.loads(line) for part in (tmp_path / "c").glob("part-*")
+                 for line in part.read_text().splitlines())
+    broken = ['{"canonical_id": "cut', "no json", json.dumps({**whole, "ingest_seq": "a word"})]
+    (tmp_path / "mixed.jsonl").write_text("\n".join([json.dumps(whole), *broken]))
+    valid, rejects = readers.read_canonical(spark, str(tmp_path / "mixed.jsonl"))
+    assert [r.canonical_id for r in valid.collect()] == [whole["canonical_id"]]
+    assert valid.columns == CANONICAL_MEETING.names
+    found = rejects.collect()
+    assert sorted(r.line for r in found) == sorted(broken)
+    assert all(r.violations[0] == "line" for r in found)
 
 
 def test_labels_append_and_latest_report(spark, tmp_path):

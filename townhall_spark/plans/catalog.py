@@ -32,7 +32,13 @@ from townhall_spark.operators import (
 )
 from townhall_spark.plans import fixtures as fx
 from townhall_spark.plans import oracles as sql
-from townhall_spark.schemas import ACTION, ACTION_CATEGORIES, GOLDEN, PLACE_TO_COUNTY
+from townhall_spark.schemas import (
+    ACTION,
+    ACTION_CATEGORIES,
+    CANONICAL_MEETING,
+    GOLDEN,
+    PLACE_TO_COUNTY,
+)
 from townhall_spark.sources import readers, sinks, specs
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +164,25 @@ def jsonl_scan(spark, sf_dir):
     return readers.read_canonical(spark, path)[0].select(*records.columns)
 
 
+@query("canonical_rejects", ("canonical",), """
+    SELECT ingest_seq, CASE ingest_seq % 7 WHEN 1 THEN 'line,meeting_type' ELSE 'meeting_type' END
+      AS violations, CASE ingest_seq % 7 WHEN 1 THEN 'word' END AS word
+    FROM canonical WHERE ingest_seq % 7 IN (1, 2)""")
+def canonical_rejects(spark, sf_dir):
+    """Canonical records as JSON lines, of which some have an unknown meeting type, some a word
+    for a number as well: those are rejected, the latter with their whole line."""
+    path = sinks.scratch(spark)
+    kind, records = F.col("ingest_seq") % 7, fx.canonical(spark, sf_dir)
+    spoiled = records.withColumn("meeting_type", F.when(kind.isin(1, 2), "party").otherwise(
+        F.col("meeting_type"))).withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    lines = F.to_json(F.struct(*CANONICAL_MEETING.names), {"ignoreNullFields": "false"})
+    spoiled.select(F.when(kind == 1, F.regexp_replace(
+        lines, r'("transcript_chars"):(\d+)', '$1:"word"')).otherwise(lines)).write.text(path)
+    rejects = readers.read_canonical(spark, path)[1]
+    return rejects.select("ingest_seq", F.array_join("violations", ",").alias("violations"),
+                          F.get_json_object("line", "$.transcript_chars").alias("word"))
+
+
 @query("jsonl_untyped", ("label_responses",), "SELECT doc_id, raw FROM label_responses")
 def jsonl_untyped(spark, sf_dir):
     """JSON lines without a schema."""

@@ -41,9 +41,38 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.json(path)
 
 
+# A line that its schema does not fit.
+_BROKEN = "_broken"
+
+
+def _parsed(line: Column, schema: T.StructType) -> Column:
+    """A JSON line as a struct of the schema and ``_broken``, the line if it does not fit.
+
+    It is generated, as a row of its own: filters on its fields stay behind it, and a line
+    is parsed once.
+
+    Every field is parsed, whichever are used later: a reader of files would parse only
+    those, and a line be broken or not by what is selected. The parser stops behind the
+    object; what follows it makes the line a broken one.
+    """
+    fields = T.StructType([*nullable(schema), T.StructField(_BROKEN, T.StringType())])
+    return F.explode(F.array(F.when(F.endswith(ustrip(line), F.lit("}")), F.from_json(
+        line, fields, {"columnNameOfCorruptRecord": _BROKEN})).otherwise(
+        F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields[:-1]],
+                 line.alias(_BROKEN)))))
+
+
 def read_canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) canonical records of a JSONL file."""
-    return check_domain(read_jsonl(spark, path, CANONICAL_MEETING), MEETING_RULES)
+    """(valid, rejected) canonical records of a JSONL file.
+
+    Rejected ones have their ``violations``, and a line that is no JSON object of the
+    schema, which counts as one (``line``), verbatim as ``line``.
+    """
+    records = spark.read.text(path).where(F.trim("value") != "").select(
+        _parsed(F.col("value"), CANONICAL_MEETING).alias("r")).select("r.*")
+    rules = {"line": lambda: F.col(_BROKEN).isNotNull(), **MEETING_RULES}
+    valid, rejects = check_domain(records, rules)
+    return valid.drop(_BROKEN), rejects.withColumnRenamed(_BROKEN, "line")
 
 
 def _starts(sizes: DataFrame) -> DataFrame:
@@ -91,10 +120,6 @@ def _file() -> Column:
     return F.regexp_replace("_metadata.file_path", _SCHEME, "$1:/")
 
 
-# A line that its schema does not fit.
-_BROKEN = "_broken"
-
-
 def _lines(spark: SparkSession, path: str, schema: T.StructType, name: str) -> DataFrame:
     """(_row, _file, _raw_line, name): every line that is not blank, parsed, with its number.
 
@@ -112,12 +137,7 @@ def _lines(spark: SparkSession, path: str, schema: T.StructType, name: str) -> D
         .select(F.lit(0).alias("_frame"), "_file", "_size")).drop("_frame")
     places = stored(blocks.drop("_rows").join(starts, "_file"))
     number = F.col("_start") + F.col("_block") + F.col("_id") - F.col("_first")
-    fields = T.StructType([*nullable(schema), T.StructField(_BROKEN, T.StringType())])
-    # The parser stops behind the object; what follows it makes the line a broken one.
-    parsed = F.when(F.endswith(ustrip(F.col("value")), F.lit("}")), F.from_json(
-        "value", fields, {"columnNameOfCorruptRecord": _BROKEN})).otherwise(
-        F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields.fields[:-1]],
-                 F.col("value").alias(_BROKEN)))
+    parsed = _parsed(F.col("value"), schema)
     return (lines.join(_sent(places), ["_file", "_block"])
             .where(F.trim("value") != "")
             .select(parsed.alias("_row"), "_file", F.col("value").alias("_raw_line"),
