@@ -43,9 +43,19 @@ def test_parts_against_joined_texts(spark):
         assert [r.text for r in own] == texts
         assert all(whole[r.offset:r.offset + len(r.text)] == r.text for r in own)
         assert {r.total for r in own} == {len(whole)}
-    whole = text_parts.joined(text_parts.parts(df, ["meeting"], ["seq"], "text"), ["meeting"])
-    assert {r.meeting: r.text for r in whole.collect()} == {
-        m: "\n\n".join(t) for m, t in want.items()}
+    parts = text_parts.parts(df, ["meeting"], ["seq"], "text")
+    for at_once in (1000, 7, 1):
+        whole = text_parts.joined(parts, ["meeting"], at_once)
+        assert {r.meeting: r.text for r in whole.collect()} == {
+            m: "\n\n".join(t) for m, t in want.items()}
+
+
+def test_a_text_that_no_string_holds_is_an_error_before_it_is_gathered(spark):
+    parts = spark.createDataFrame([("a", 0, 0, 1 << 40, "x"), ("b", 0, 0, 1, "y")],
+                                  "meeting string, part long, offset long, total long, text string")
+    with pytest.raises(Exception, match="longer than a string"):
+        text_parts.joined(parts, ["meeting"]).collect()
+    assert text_parts.joined(parts.where("meeting = 'b'"), ["meeting"]).first().text == "y"
 
 
 def test_rows_that_repeat_count_once_where_that_is_said(spark):

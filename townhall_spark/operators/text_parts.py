@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from townhall_spark.functions.text import has_text
 from townhall_spark.operators.ordering import numbered
-from townhall_spark.operators.text_assembly import SEPARATOR, in_order
+from townhall_spark.operators.text_assembly import MAX_STRING_BYTES, SEPARATOR, in_order
 from townhall_spark.sources.sinks import stored
 
 # Characters of a block that a part is cut into before windows are laid over it.
 BLOCK_CHARS = 4096
+# Parts that are joined to one text before the text of their group is.
+JOINED_PARTS = 1000
 
 
 def parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "transcript",
@@ -46,9 +48,19 @@ def parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str
         (F.col("_total") - len(SEPARATOR)).alias("total"), "text")
 
 
-def joined(of: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, text): the parts of each group as one text; longer than a string holds is an error."""
-    return of.groupBy(*keys).agg(in_order(["part"], "text").alias("text"))
+def joined(of: DataFrame, keys: Sequence[str], at_once: int = JOINED_PARTS) -> DataFrame:
+    """(keys, text): the parts of each group as one text.
+
+    Runs of ``at_once`` parts are joined first, wherever they are, so that the last step
+    of a group of very many parts puts few long texts together. A text with more characters
+    than a string has bytes is an error before any of it is gathered, one with more bytes
+    when it is; neither is cut.
+    """
+    fits = F.when(F.col("total") > MAX_STRING_BYTES, F.raise_error(F.lit(
+        "the text of one group is longer than a string can hold"))).otherwise(F.col("text"))
+    runs = of.select(*keys, F.expr(f"part div {at_once}").alias("_run"), "part", fits.alias("text"))
+    return (runs.groupBy(*keys, "_run").agg(in_order(["part"], "text").alias("text"))
+            .groupBy(*keys).agg(in_order(["_run"], "text").alias("text")))
 
 
 def _blocks(text: Column) -> Column:

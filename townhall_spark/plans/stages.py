@@ -28,6 +28,7 @@ from townhall_spark.operators import (
     responses,
     sampling,
     summaries,
+    text_parts,
 )
 from townhall_spark.schemas import CANONICAL_MEETING, COUNTY_RISK, GOLDEN
 from townhall_spark.sources import readers, sinks, specs
@@ -84,13 +85,6 @@ def extract(spark: SparkSession, work_dir: str, lexicon: Lexicon,
     return summaries.category_counts(spark.read.parquet(f"{work_dir}/actions"))
 
 
-def transcripts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
-    """Writes ``transcripts``, the merged text of every meeting with text, and returns it."""
-    sinks.write_parquet(linking.merged_transcripts(_records(spark, work_dir, limit)),
-                        f"{work_dir}/transcripts")
-    return spark.read.parquet(f"{work_dir}/transcripts")
-
-
 def transcript_parts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
     """Writes ``transcript_parts``, the ordered texts of every meeting, and returns them."""
     sinks.write_parquet(linking.transcript_parts(_records(spark, work_dir, limit)),
@@ -98,6 +92,15 @@ def transcript_parts(spark: SparkSession, work_dir: str, limit: int = 0) -> Data
     return spark.read.parquet(f"{work_dir}/transcript_parts")
 
 
+def transcripts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
+    """Writes ``transcripts``, the merged text of every meeting with text, joined from
+    ``transcript_parts``, and returns it."""
+    parts = transcript_parts(spark, work_dir, limit)
+    sinks.write_parquet(text_parts.joined(parts, [linking.KEY]).withColumnRenamed(
+        "text", "transcript"), f"{work_dir}/transcripts")
+    return spark.read.parquet(f"{work_dir}/transcripts")
+
+
 def prompts(spark: SparkSession, work_dir: str, limit: int = 0) -> DataFrame:
     """Writes ``prompts`` for an external model, windows over all text, and returns them."""
     sinks.write_parquet(extraction.prompt_windows(transcript_parts(spark, work_dir, limit)),
