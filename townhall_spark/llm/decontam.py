@@ -35,7 +35,7 @@ LEAST = 0.8
 RADIUS = 15
 BLOCKS = 4
 # Lengths of items that share a window length differ by this factor at most.
-LENGTHS = 1.12
+LENGTHS = 1.15
 # Windows start at every so-manieth part of their length.
 STARTS = 8
 # Steps of word weights in fingerprints.
@@ -113,14 +113,16 @@ class Table:
             place = np.flatnonzero(some.take(value, mode="clip"))
             if not len(place):
                 continue
-            value = value[place].astype(np.int32)
-            first = bounds[value]
-            counts = bounds[value + 1] - first
+            value = value.take(place).astype(np.intp)
+            first = bounds.take(value, mode="clip")
+            counts = bounds.take(value + 1, mode="clip") - first
             at = np.repeat(first - np.cumsum(counts) + counts, counts)
-            member = listed[at + np.arange(len(at), dtype=np.int32)]
-            place = np.repeat(place, counts)
-            near = np.bitwise_count(prints[place] ^ self.prints[member]) <= RADIUS
-            yield place[near], member[near]
+            at += np.arange(len(at), dtype=np.int32)
+            member, place = listed.take(at, mode="clip"), np.repeat(place, counts)
+            near = np.flatnonzero(np.bitwise_count(
+                prints.take(place) ^ self.prints.take(member, mode="clip")) <= RADIUS)
+            if len(near):
+                yield place[near], member[near]
 
 
 def _add_up(rows: np.ndarray) -> None:
