@@ -118,3 +118,71 @@ def test_a_wide_cell_is_broken_and_pads_no_table_without_bound():
     lines = visible_text(f"<table><tr><td>{cell}<td>n</table>").split("\n")
     assert max(map(len, lines)) <= html_text.MOST_WIDTH + 4
     assert " ".join(line.split("|")[0].strip() for line in lines) == cell
+
+
+@pytest.mark.parametrize(("head", "row", "line"), [
+    ("".join(f"<td>column {i:02}" for i in range(20)), "<tr><td colspan=19>a<td>b",
+     "a         | " + (" " * 9 + " | ") * 18 + "b"),
+    ("<td>x" * 1000, "<tr><td colspan=999><td>y", "×999 | y"),
+    ("<td>" + "w" * 60 + "<td>" * 5 + "w" * 60, "<tr><td>a<td><td><td><td>b<td>c",
+     "a" + " " * 59 + " |  |  |  | b | c"),
+    ("<td>" + ("w" * 60 + "<td>") * 6, "<tr>" + "<td>" * 5 + "b<br>c<td>d<td>",
+     "×4 | b" + " " * 59 + " | d" + " " * 59 + " |\n×4 | c" + " " * 59 + " | " + " " * 60 + " |"),
+])
+def test_a_row_is_laid_out_alike_in_a_table_of_any_size(head, row, line):
+    lines = line.split("\n")
+    for n in (1, 20, 200, 2000):
+        text = visible_text(f"<table><tr>{head}{row * n}</table>").split("\n")
+        assert text[-n * len(lines):] == lines * n
+
+
+def told(line):
+    """Column and text of what a line shows."""
+    column, out = 0, []
+    for part in re.split(" [|](?: |$)", line):
+        if part.startswith("×"):
+            column += int(part[1:])
+            continue
+        if part.strip():
+            out.append((column, part.strip()))
+        column += 1
+    return out
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 4), st.sampled_from(
+    ["", "a", "bc\nd", "w" * 50, "w" * 70])), min_size=1, max_size=9), max_size=7))
+def test_the_column_of_each_text_can_be_told(rows):
+    cells = [[html_text.Cell(t.split("\n"), c, r) for c, r, t in row] for row in rows]
+    at = brute_grid([[(c, r) for c, r, _ in row] for row in rows])
+    used = {c: n for n, c in enumerate(sorted({c for _, c in at}))}
+    texts = [t for row in rows for *_, t in row]
+    want = []
+    for r in range(len(rows)):
+        row = [(used[c], t.split("\n")) for (s, c), t in zip(at, texts, strict=True) if s == r]
+        for n in range(max(len(t) for _, t in row)):
+            want.append([(c, t[n]) for c, t in row if n < len(t) and t[n]])
+    got = html_text._padded(cells)
+    assert [told(line) for line in got] == want
+    width = [min(60, max(len(x) for (_, c), t in zip(at, texts, strict=True) if used[c] == n
+                         for x in t.split("\n"))) for n in range(len(used))]
+    if sum(width) + 3 * len(width) <= html_text.MOST_BLANK:
+        lasts = [max(used[c] for s, c in at if s == r) for r in range(len(rows))
+                 for _ in range(max(t.count("\n") + 1 for *_, t in rows[r]))]
+        assert got == [" | ".join(dict(line).get(c, "").ljust(width[c]) for c in range(last + 1))
+                       .rstrip() for line, last in zip(want, lasts, strict=True)]
+
+
+def test_blank_grows_no_faster_than_the_page():
+    for n in (1000, 4000):
+        page = "<table><tr>" + ("<td>" + "w" * 60) * (n // 10) + "<td>" + "x<br>" * n + "</table>"
+        text = visible_text(page)
+        assert len(text) < 2 * len(page) and text.count("x") == n
+    page = "x"
+    for depth in range(1, 13):
+        page = ("<table><tr>" + ("<td>" + "w" * 40) * 3 + "<td>z<tr><td><td><td><td>"
+                f"<ul><li>{page}</ul></table>")
+        text = visible_text(page)
+        assert len(text) < 8 * len(page) and text.count("w") == 120 * depth
+    lines = visible_text("<table><tr><td>" + CASES[10][0].replace("fig", "f" * 60)
+                         + "</table>").split("\n")
+    assert lines[1:] == ["apple".ljust(60) + " | 3", "f" * 60 + " | 12"]

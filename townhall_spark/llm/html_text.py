@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -56,8 +57,16 @@ _MOST_SPAN = 1000
 # Characters to which a column is padded; a longer cell is broken into lines at its spaces,
 # and a longer word runs over.
 MOST_WIDTH = 60
-# Times the characters of its cells that a padded table may take; a larger one is not padded.
-MOST_PADDING = 6
+# Characters up to which the empty columns side by side in a line are written out; a wider blank
+# is written as "×" and how many columns it stands for, in tables of any size.
+MOST_BLANK = 4 * MOST_WIDTH
+
+
+class _Row(str):
+    """A line of a table, which stays whole in the cells of tables around it: broken there, its
+    empty columns would be lines of their own, and padded once more at each depth."""
+
+    __slots__ = ()
 
 
 class Cell(NamedTuple):
@@ -88,10 +97,10 @@ def _grid(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
 
 
 def _broken(lines: list[str]) -> list[str]:
-    """Lines of at most ``MOST_WIDTH`` characters, unless a word has more."""
+    """Lines of at most ``MOST_WIDTH`` characters, unless a word or a table has more."""
     out = []
     for line in lines:
-        while len(line) > MOST_WIDTH:
+        while len(line) > MOST_WIDTH and not isinstance(line, _Row):
             at = line.rfind(" ", 0, MOST_WIDTH + 1)
             at = at if at > 0 else line.find(" ", MOST_WIDTH)
             if at < 0:
@@ -102,31 +111,50 @@ def _broken(lines: list[str]) -> list[str]:
     return out
 
 
-def _padded(rows: list[list[Cell]]) -> list[str]:
-    """Rows of cells as lines, each column as wide as its widest line."""
+def _line(cells: list[tuple[int, str]], width: list[int], begin: list[int]) -> _Row:
+    """Texts of a line at their columns, which have these widths and begin there."""
+    out, at = [], 0
+    for column, text in cells:
+        if begin[column] - begin[at] > MOST_BLANK:
+            out.append(f"×{column - at}")
+        elif column > at:
+            out.extend([" " * w for w in width[at:column]])
+        out.append(text.ljust(width[column]))
+        at = column + 1
+    return _Row(" | ".join(out).rstrip())
+
+
+def _padded(rows: list[list[Cell]]) -> list[_Row]:
+    """Rows of cells as lines, each column as wide as its widest line.
+
+    A row's layout follows from its cells and the columns, however many rows there are, and
+    from any line the column of each text can be told."""
     grid = [[(c, _broken(cell.lines)) for c, cell in row] for row in _grid(rows)]
-    columns = 1 + max((c for row in grid for c, _ in row), default=0)
-    width, text, height = [0] * columns, 0, 0
+    width = [0] * (1 + max((c for row in grid for c, _ in row), default=0))
     for row in grid:
         for c, lines in row:
-            longest = max(map(len, lines))
-            width[c] = max(width[c], min(longest, MOST_WIDTH))
-            text += sum(map(len, lines)) + 4
-        height += max((len(lines) for _, lines in row), default=0)
-    if height * (sum(width) + 3 * columns) > MOST_PADDING * text + (1 << 12):
-        grid = [[(k, lines) for k, (_, lines) in enumerate(row)] for row in grid]
-        width = [0] * columns
+            width[c] = max(width[c], min(max(map(len, lines)), MOST_WIDTH))
+    begin = list(accumulate((w + 3 for w in width), initial=0))
     out = []
     for row in grid:
-        last = max((c for c, _ in row), default=-1)
-        for n in range(max((len(lines) for _, lines in row), default=0)):
-            cells = [""] * (last + 1)
-            for c, lines in row:
-                cells[c] = lines[n] if n < len(lines) else ""
-            out.append(" | ".join(t.ljust(w) for t, w in zip(cells, width, strict=False)).rstrip())
+        shown = [[] for _ in range(max((len(lines) for _, lines in row), default=0))]
+        for c, lines in row:
+            for line, text in zip(shown, lines, strict=False):
+                if text.strip(" "):
+                    line.append((c, text))
+        for line in shown:
+            # A line ends at the row's last cell, also where that is empty.
+            if not line or line[-1][0] < row[-1][0]:
+                line.append((row[-1][0], ""))
+            out.append(_line(line, width, begin))
     return out
 
 
+def _after(mark: str, line: str) -> str:
+    """The line behind a mark or an indent; that of a table remains one."""
+    return type(line)(mark + line)
+
+
 def _declared(style: str) -> dict[str, str]:
     return {name.lower(): value.lower() for name, value in _DECLARED.findall(style)}
 
@@ -320,7 +348,7 @@ class _Page(HTMLParser):
         if tag in ("td", "th"):
             row = next((e for e in reversed(self.stack) if e.tag in ("tr", "table")), None)
             if row is not None:
-                row.rows.append([Cell("\n".join(own.done()).split("\n"),
+                row.rows.append([Cell(own.done() or [""],
                                       min(_number(own.attrs.get("colspan")), _MOST_SPAN),
                                       min(_number(own.attrs.get("rowspan")), _MOST_SPAN))])
                 return
@@ -345,12 +373,12 @@ class _Page(HTMLParser):
                 mark = f"{_number(home.attrs.get('start')) + home.count}. "
                 home.count += 1
             lines = own.done()
-            lines = [mark + lines[0]] + [" " * len(mark) + x if x else x for x in lines[1:]] \
-                if lines else []
+            lines = [_after(mark, lines[0])] + [_after(" " * len(mark), x) if x else x
+                                                for x in lines[1:]] if lines else []
             parent.block(lines, False)
             return
         if tag == "dd":
-            parent.block(["  " + x if x else x for x in own.done()], False)
+            parent.block([_after("  ", x) if x else x for x in own.done()], False)
             return
         if tag in SPACED or tag in LINED:
             nested = tag in ("ul", "ol") and any(e.tag == "li" for e in self.stack)
